@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import re
 
-from shelfcast.plans.present import DECIMALS, fields
+from shelfcast.plans.present import DECIMALS, NUDGE, fields
 
 
 def _shown(name: str, kind: str) -> str:
     if kind in DECIMALS:
-        rounded = f"round(CAST({name} AS DOUBLE), {DECIMALS[kind]})"
+        rounded = f"round(CAST({name} AS DOUBLE) + CAST({NUDGE} AS DOUBLE), {DECIMALS[kind]})"
         return f"CASE WHEN {rounded} = 0 THEN CAST(0 AS DOUBLE) ELSE {rounded} END AS {name}"
     if kind == "t":
         return f"strftime({name}, '%Y-%m-%d') AS {name}"

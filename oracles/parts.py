@@ -325,3 +325,26 @@ FROM (SELECT cat_l1, count(*) FILTER (WHERE depth > 0.05) AS discount_days, avg(
      (SELECT avg(rel) FILTER (WHERE depth > 0.05) AS hi, avg(rel) FILTER (WHERE depth <= 0.05) AS lo,
              avg(depth) FILTER (WHERE depth > 0.05) AS depth FROM o_price_days) s
 """
+
+PARTS["o_basket"] = f"""
+SELECT invoice_id, item FROM (SELECT *, count(*) OVER (PARTITION BY invoice_id) AS size FROM (
+  SELECT DISTINCT s.invoice_id, s.{R.basket_level} AS item FROM o_std s JOIN o_price u ON u.sku = s.sku AND u.month = s.month
+  WHERE s.unit_price >= CAST({R.discount_cut} AS DOUBLE) * u.usual_price)) WHERE size > 1
+"""
+
+PARTS["o_basket_item"] = "SELECT item, count(*) AS n FROM o_basket GROUP BY item"
+
+PARTS["o_open_place"] = "SELECT date, row_number() OVER (ORDER BY date) AS place FROM o_cal WHERE is_open"
+
+PARTS["o_entity_days"] = f"""
+SELECT DISTINCT s.{R.stockout_entity} AS entity, d.place
+FROM o_sold s JOIN o_open_place d ON d.date = s.sale_date
+WHERE s.{R.stockout_entity} IN (
+  SELECT {R.stockout_entity} FROM o_sold WHERE NOT is_zero_price GROUP BY 1
+  HAVING sum(quantity) > 0 AND count(DISTINCT sale_date) >= CAST({R.min_sell_ratio} AS DOUBLE) * (SELECT n FROM o_open))
+"""
+
+PARTS["o_traffic_month"] = """
+SELECT strftime(date, '%Y-%m') AS year_month, sum(n_invoices) / CAST(count(*) AS DOUBLE) AS inv_per_day,
+       sum(revenue) / sum(n_invoices) AS basket FROM o_traffic GROUP BY 1
+"""

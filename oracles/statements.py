@@ -95,3 +95,155 @@ FROM o_stg WHERE txn_channel = 'retail' AND quantity > 0 AND NOT is_zero_price A
 UNION ALL
 SELECT cat_l3, 'current', sum(quantity * unit_cost_filled) / sum(quantity), sum(line_revenue) / sum(quantity)
 FROM o_stg WHERE txn_channel = 'retail' AND quantity > 0 AND cost_fill_method IS NOT NULL GROUP BY cat_l3"""
+
+# --- entry and export ------------------------------------------------------------------
+SQL["src_header_map"] = """
+SELECT invoice_id, sold_at, sku, product_name, category_path, quantity, unit_price, unit_cost,
+       CAST(NULL AS VARCHAR) AS brand, CAST(NULL AS DOUBLE) AS month_revenue FROM o_raw"""
+SQL["src_read_canonical"] = "SELECT * FROM o_raw"
+SQL["src_coerce_types"] = """
+SELECT CASE WHEN invoice_id LIKE '%77' THEN 'quarantined' ELSE 'good' END AS status, count(*) AS n_lines,
+       sum(CASE WHEN invoice_id NOT LIKE '%77' THEN quantity END) AS quantity FROM o_raw GROUP BY 1"""
+SQL["src_idempotent_load"] = """
+SELECT source_hash, CASE WHEN source_hash = 'b2' THEN loaded_at + INTERVAL 1 DAY ELSE loaded_at END AS loaded_at,
+       count(*) AS n_lines, sum(quantity) AS quantity FROM o_raw GROUP BY ALL"""
+SQL["sink_pii_guard"] = "SELECT * FROM o_monthly"
+
+# --- baskets and stock-outs --------------------------------------------------------------
+SQL["basket_rules"] = f"""
+SELECT * FROM (
+  SELECT CASE WHEN swap THEN y ELSE x END AS antecedent, CASE WHEN swap THEN x ELSE y END AS consequent,
+         n / total AS support, n / CAST(least(nx, ny) AS DOUBLE) AS confidence, n * total / (nx * ny) AS lift,
+         n AS n_baskets, total AS total_multi_item_baskets
+  FROM (SELECT p.*, i.n AS nx, j.n AS ny, (SELECT CAST(count(DISTINCT invoice_id) AS DOUBLE) FROM o_basket) AS total,
+               (j.n < i.n OR (j.n = i.n AND y < x)) AS swap
+        FROM (SELECT a.item AS x, b.item AS y, count(*) AS n FROM o_basket a JOIN o_basket b
+              ON a.invoice_id = b.invoice_id AND a.item < b.item GROUP BY 1, 2) p
+        JOIN o_basket_item i ON i.item = x JOIN o_basket_item j ON j.item = y))
+WHERE support >= {R.min_support} AND lift >= {R.min_lift}"""
+SQL["stockout_suspects"] = f"""
+SELECT * FROM (
+  SELECT g.entity, d0.date AS gap_start, d1.date AS gap_end, g.gap AS gap_open_days, g.ratio AS sell_day_ratio,
+         pow(1 - g.ratio, g.gap) AS chance_probability,
+         CASE WHEN g.nxt > (SELECT n FROM o_open) THEN 'Không bán tới cuối kỳ: hết hàng hoặc đã ngừng bán'
+              ELSE 'Nghi ngờ hết hàng' END AS status
+  FROM (SELECT entity, place, nxt, nxt - place - 1 AS gap,
+               count(*) OVER (PARTITION BY entity) / CAST((SELECT n FROM o_open) + 1 - min(place) OVER (PARTITION BY entity) AS DOUBLE) AS ratio
+        FROM (SELECT *, lead(place, 1, (SELECT n FROM o_open) + 1) OVER (PARTITION BY entity ORDER BY place) AS nxt
+              FROM o_entity_days)) g
+  JOIN o_open_place d0 ON d0.place = g.place + 1 JOIN o_open_place d1 ON d1.place = g.nxt - 1
+  WHERE g.gap >= {R.min_gap})
+WHERE chance_probability < {R.max_gap_probability}"""
+
+# --- data quality ------------------------------------------------------------------------
+SQL["dq_overview"] = """
+SELECT r.n AS raw_lines, count(*) AS staged_lines, r.n - count(*) AS duplicates, min(sale_date) AS first_day,
+       max(sale_date) AS last_day, count(DISTINCT invoice_id) AS n_invoices, count(DISTINCT sku) AS n_skus,
+       sum(line_revenue) AS revenue FROM o_stg, (SELECT count(*) AS n FROM o_raw) r GROUP BY r.n"""
+SQL["dq_reconcile_month"] = """
+SELECT f.period_month, f.v AS file_revenue, o.v AS our_revenue, o.v - f.v AS diff
+FROM (SELECT period_month, sum(quantity * unit_price) AS v FROM o_raw WHERE source_hash = 'b1' GROUP BY 1) f
+JOIN (SELECT strftime(sale_date, '%m-%Y') AS period_month, sum(line_revenue) AS v FROM o_stg GROUP BY 1) o
+  ON o.period_month = f.period_month"""
+SQL["dq_reconcile_invoice"] = """
+SELECT avg(CASE WHEN gap <= 1 THEN 1 ELSE 0 END) AS within_1, avg(CASE WHEN gap <= 100 THEN 1 ELSE 0 END) AS within_100,
+       count(*) AS n_invoices
+FROM (SELECT abs(sum(quantity * unit_price) - sum(CASE WHEN source_hash = 'b1' THEN quantity * unit_price END)) AS gap
+      FROM o_raw GROUP BY invoice_id)"""
+_issues = {
+    "return": "is_return", "edited_invoice": "is_edited_invoice", "cost_missing": "cost_missing",
+    "zero_price": "is_zero_price", "opening_promo": "is_opening_promo", "fractional_quantity": "is_fractional_qty",
+    "unknown_brand": "brand = 'Không rõ'", "deleted_sku": "sku_deleted", "cost_suspect": "is_cost_suspect",
+    "credit_sale": "is_credit_sale"}
+SQL["dq_issue_counts"] = " UNION ALL ".join(
+    f"SELECT '{k}' AS issue, count(*) FILTER (WHERE {c}) AS n_lines, coalesce(sum(line_revenue) FILTER (WHERE {c}), 0) AS revenue, "
+    f"abs(sum(line_revenue) FILTER (WHERE {c})) / sum(line_revenue) AS revenue_share FROM o_stg" for k, c in _issues.items())
+SQL["dq_cost_fill"] = """
+SELECT coalesce(cost_fill_method, 'không điền được') AS method, count(*) AS n_lines FROM o_stg WHERE cost_missing GROUP BY 1"""
+_bad_paths = ", ".join(f"'{p}'" for p in R.category_fixes)
+SQL["dq_category_tree"] = f"""
+SELECT count(DISTINCT cat_l1) AS n_l1, count(DISTINCT cat_l2) AS n_l2, count(DISTINCT cat_l3) AS n_l3,
+       count(*) FILTER (WHERE len(string_split(category_path, '>>')) < 3) AS short_path_lines,
+       (SELECT count(*) FROM o_raw WHERE category_path IN ({_bad_paths})) AS repaired_lines FROM o_stg"""
+SQL["dq_channel_mix"] = """
+SELECT txn_channel, count(*) AS n_lines, count(DISTINCT invoice_id) AS n_invoices,
+       sum(quantity) / (SELECT sum(quantity) FROM o_stg) AS qty_share,
+       sum(line_revenue) / (SELECT sum(line_revenue) FROM o_stg) AS revenue_share FROM o_stg GROUP BY txn_channel"""
+SQL["dq_closed_runs"] = """
+SELECT first_day, last_day, n_days, abs(off) <= 14 AS near_holiday FROM (
+  SELECT min(date) AS first_day, max(date) AS last_day, count(*) AS n_days
+  FROM (SELECT date, date - CAST(row_number() OVER (ORDER BY date) AS INTEGER) AS anchor FROM o_cal WHERE NOT is_open)
+  GROUP BY anchor) JOIN o_offset ON date = first_day"""
+SQL["dq_sparsity"] = """
+SELECT s.a AS share_skus_below_10pct, s.b AS skus_above_50pct, c.b AS categories_above_50pct, c.n AS n_categories
+FROM (SELECT avg(CASE WHEN d < CAST(0.1 AS DOUBLE) * n THEN 1 ELSE 0 END) AS a, count(*) FILTER (WHERE d >= CAST(0.5 AS DOUBLE) * n) AS b
+      FROM (SELECT sku, count(DISTINCT sale_date) AS d FROM o_sold GROUP BY sku), o_open) s,
+     (SELECT count(*) FILTER (WHERE d >= CAST(0.5 AS DOUBLE) * o.n) AS b, count(*) AS n
+      FROM (SELECT cat_l3, count(DISTINCT sale_date) AS d FROM o_std GROUP BY cat_l3), o_open o) c"""
+
+# --- roll-ups ------------------------------------------------------------------------------
+SQL["kpi_channel_totals"] = """
+SELECT channel, sum(revenue) AS revenue, sum(profit) AS profit, sum(n_invoices) AS n_invoices,
+       sum(n_invoices) / CAST(sum(sum(n_invoices)) OVER () AS DOUBLE) AS invoice_share,
+       sum(revenue) / sum(sum(revenue)) OVER () AS revenue_share, sum(profit) / sum(revenue) AS margin
+FROM o_monthly GROUP BY channel"""
+SQL["kpi_traffic_monthly"] = "SELECT * FROM o_traffic_month"
+_shift = {
+    "revenue_per_open_day": "m.revenue_per_open_day", "inv_per_day": "x.inv_per_day", "basket": "x.basket",
+    "retail_morning_per_day": "c.retail_morning_per_day", "retail_midday_per_day": "c.retail_midday_per_day",
+    "retail_evening_per_day": "c.retail_evening_per_day", "bulk_orders": "c.bulk_orders",
+    "retail_inv_500k_plus": "c.retail_inv_500k_plus"}
+_shift_rows = " UNION ALL ".join(
+    f"SELECT '{k}' AS measure, avg(CASE WHEN NOT late THEN {v} END) AS early, avg(CASE WHEN late THEN {v} END) AS late_mean FROM joined"
+    for k, v in ((k, v.split(".")[1]) for k, v in _shift.items()))
+SQL["kpi_period_shift"] = f"""
+SELECT measure, early, late_mean AS late, late_mean / early - 1 AS change FROM (
+  WITH joined AS (
+    SELECT m.revenue_per_open_day, x.inv_per_day, x.basket, c.*, rank() OVER (ORDER BY m.year_month DESC) <= 2 AS late
+    FROM o_monthly m JOIN o_traffic_month x ON x.year_month = m.year_month
+    JOIN ({SQL["mart_channel_monthly"]}) c ON c.year_month = m.year_month
+    WHERE m.channel = 'Bán lẻ' AND m.year_month <> '1998-02')
+  {_shift_rows})"""
+SQL["kpi_abc_summary"] = """
+SELECT abc_class, count(*) AS n_items, count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM o_abc) AS item_share,
+       sum(quantity) / (SELECT sum(quantity) FROM o_abc) AS qty_share,
+       sum(revenue) / (SELECT sum(revenue) FROM o_abc) AS revenue_share,
+       quantile_cont(sell_day_ratio, 0.5) AS median_sell_day_ratio FROM o_abc GROUP BY abc_class"""
+SQL["kpi_peak_hours"] = """
+WITH h AS (SELECT sale_hour, avg(avg_invoices) AS v FROM o_heat GROUP BY sale_hour),
+     q AS (SELECT *, rank() OVER (ORDER BY v DESC, sale_hour) AS place FROM h)
+SELECT CASE place WHEN 1 THEN 'peak' ELSE 'second_peak' END AS kind, sale_hour AS slot, v AS value FROM q WHERE place < 4
+UNION ALL (SELECT 'trough', sale_hour, v FROM h WHERE sale_hour BETWEEN 12 AND 15 ORDER BY v, sale_hour LIMIT 1)
+UNION ALL SELECT 'weekday', iso_weekday, sum(avg_invoices) FROM o_heat GROUP BY iso_weekday"""
+SQL["kpi_quadrants"] = """
+SELECT quadrant, count(*) AS n_categories, sum(revenue_share) AS revenue_share, sum(profit) AS profit,
+       arg_min(cat_l2, profit) AS worst_category FROM o_margin GROUP BY quadrant"""
+SQL["kpi_cost_anomaly"] = """
+SELECT w.*, coalesce(s.n, 0) AS n_suspect, s.loss AS suspect_loss, s.rev AS suspect_revenue
+FROM (SELECT DISTINCT ON (cat_l2) cat_l2, product_name AS worst_product, qty AS worst_qty, price AS worst_price,
+             cost AS worst_cost, round(profit, 4) AS worst_profit
+      FROM (SELECT cat_l2, product_name, sum(line_profit) AS profit, sum(quantity) AS qty,
+                   quantile_cont(unit_price, 0.5) AS price, quantile_cont(unit_cost_filled, 0.5) AS cost
+            FROM o_stg WHERE cost_fill_method IS NOT NULL GROUP BY 1, 2)
+      ORDER BY cat_l2, round(profit, 4), product_name) w
+LEFT JOIN (SELECT cat_l2, count(*) AS n, sum(quantity * (unit_price - unit_cost)) AS loss, sum(line_revenue) AS rev
+           FROM o_stg WHERE is_cost_suspect GROUP BY cat_l2) s ON s.cat_l2 = w.cat_l2"""
+SQL["kpi_bulk_summary"] = """
+SELECT bulk_frequency, count(*) AS n_skus, sum(n_bulk_orders) AS n_orders, sum(bulk_revenue) AS revenue,
+       sum(bulk_revenue) / (SELECT sum(bulk_revenue) FROM o_bulk) AS revenue_share,
+       quantile_cont(bulk_share_qty, 0.5) AS median_bulk_share, count(*) FILTER (WHERE bulk_share_qty > 0.5) AS n_mostly_bulk,
+       sum(reserve_value) AS reserve_value FROM o_bulk GROUP BY bulk_frequency"""
+SQL["kpi_last28"] = """
+SELECT a AS last_28, b AS previous_28, c AS whole_span, a / b - 1 AS change, a / c < CAST(0.85 AS DOUBLE) AS alert FROM (
+  SELECT avg(n_invoices) FILTER (WHERE date > last - 28) AS a,
+         avg(n_invoices) FILTER (WHERE date <= last - 28 AND date > last - 56) AS b, avg(n_invoices) AS c
+  FROM o_traffic, (SELECT max(date) AS last FROM o_traffic))"""
+SQL["weekly_blocks"] = """
+SELECT last - CAST(7 * k + 6 AS INTEGER) AS block_start, sum(quantity) AS value, count(DISTINCT date) AS n_days
+FROM (SELECT *, (last - date) // 7 AS k FROM o_daily, (SELECT max(date) AS last FROM o_cal)) GROUP BY k, last"""
+SQL["kpi_holiday_top"] = """
+SELECT * FROM o_holiday_effect WHERE holiday_window = 'Trước Tết' AND cat_l1 <> 'Toàn cửa hàng' AND rev_per_day > 10000"""
+SQL["kpi_holiday_window"] = """
+SELECT g.holiday, g.day AS date, t.n_invoices, t.revenue, t.quantity
+FROM (SELECT holiday, CAST(unnest(generate_series(holiday - 38, holiday + 31, INTERVAL 1 DAY)) AS DATE) AS day FROM o_holidays) g
+LEFT JOIN o_traffic t ON t.date = g.day"""

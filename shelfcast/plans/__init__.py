@@ -4,7 +4,8 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from shelfcast.plans import mart_queries, staging_queries  # noqa: F401
+    from shelfcast.plans import (  # noqa: F401
+        mart_queries, quality_queries, source_queries, staging_queries)
     from shelfcast.plans.catalog import CATALOG
 
     return dict(CATALOG)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 DECIMALS = {"d": 4, "r": 6}
+# Added before rounding, so that exact halves fall the same way after either summing order.
+NUDGE = 1e-9
 
 
 def fields(schema: str) -> list[tuple[str, str]]:
@@ -19,7 +21,7 @@ def fields(schema: str) -> list[tuple[str, str]]:
 def _shown(name: str, kind: str) -> Column:
     value = F.col(name)
     if kind in DECIMALS:
-        rounded = F.round(value.cast("double"), DECIMALS[kind])
+        rounded = F.round(value.cast("double") + NUDGE, DECIMALS[kind])
         return F.when(rounded == 0, F.lit(0.0)).otherwise(rounded)
     if kind == "t":
         return F.date_format(value, "yyyy-MM-dd")
