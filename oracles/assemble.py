@@ -8,6 +8,7 @@ from shelfcast.plans.present import DECIMALS, NUDGE, fields
 
 
 def _shown(name: str, kind: str) -> str:
+    name = f'"{name}"'
     if kind in DECIMALS:
         rounded = f"round(CAST({name} AS DOUBLE) + CAST({NUDGE} AS DOUBLE), {DECIMALS[kind]})"
         return f"CASE WHEN {rounded} = 0 THEN CAST(0 AS DOUBLE) ELSE {rounded} END AS {name}"

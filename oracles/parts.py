@@ -348,3 +348,313 @@ PARTS["o_traffic_month"] = """
 SELECT strftime(date, '%Y-%m') AS year_month, sum(n_invoices) / CAST(count(*) AS DOUBLE) AS inv_per_day,
        sum(revenue) / sum(n_invoices) AS basket FROM o_traffic GROUP BY 1
 """
+
+# --- series ------------------------------------------------------------------------------
+
+L = R.series_level
+
+PARTS["o_series"] = f"""
+SELECT c.unique_id, d.date AS ds, s.y_raw, NOT d.is_open AS is_closed,
+       d.off BETWEEN -{R.holiday_before} AND {R.holiday_after} AS in_holiday_window, c.cat_l1, c.cat_l2
+FROM (SELECT {L} AS unique_id, min(cat_l1) AS cat_l1, min(cat_l2) AS cat_l2 FROM o_daily GROUP BY 1) c
+CROSS JOIN (SELECT date, is_open, off FROM o_cal JOIN o_offset USING (date)) d
+LEFT JOIN (SELECT {L} AS unique_id, date, sum(quantity) AS y_raw FROM o_daily GROUP BY 1, 2) s
+  ON s.unique_id = c.unique_id AND s.date = d.date
+"""
+
+PARTS["o_imputed"] = f"""
+SELECT * EXCLUDE (clean, before, after),
+       CASE WHEN NOT is_imputed THEN y_raw WHEN before IS NOT NULL THEN before WHEN after IS NOT NULL THEN after ELSE 0 END AS y
+FROM (SELECT *, quantile_cont(clean, 0.5) OVER (w ROWS BETWEEN {R.impute_weeks} PRECEDING AND 1 PRECEDING) AS before,
+             quantile_cont(clean, 0.5) OVER (w ROWS BETWEEN 1 FOLLOWING AND {R.impute_weeks} FOLLOWING) AS after
+      FROM (SELECT *, is_closed OR in_holiday_window AS is_imputed,
+                   CASE WHEN NOT (is_closed OR in_holiday_window) THEN y_raw END AS clean FROM o_series)
+      WINDOW w AS (PARTITION BY unique_id, isodow(ds) ORDER BY ds))
+"""
+
+
+def classes(condition: str) -> str:
+    return f"""
+SELECT *, CASE WHEN sale_days < {R.min_sale_days} THEN 'insufficient'
+     WHEN adi < {R.adi_cut} THEN CASE WHEN cv2 < {R.cv2_cut} THEN 'smooth' ELSE 'erratic' END
+     WHEN cv2 < {R.cv2_cut} THEN 'intermittent' ELSE 'lumpy' END AS demand_class
+FROM (SELECT unique_id, min(cat_l1) AS cat_l1, min(cat_l2) AS cat_l2, count(*) FILTER (WHERE y_raw > 0) AS sale_days,
+             count(*) AS open_days, count(*) / CAST(nullif(count(*) FILTER (WHERE y_raw > 0), 0) AS DOUBLE) AS adi,
+             pow(stddev_samp(y_raw) FILTER (WHERE y_raw > 0) / avg(y_raw) FILTER (WHERE y_raw > 0), 2) AS cv2,
+             sum(y_raw) AS total_qty, avg(y_raw) AS mean_daily_qty
+      FROM o_imputed WHERE NOT is_closed AND {condition} GROUP BY unique_id)
+"""
+
+
+PARTS["o_last"] = "SELECT max(date) AS last FROM o_cal"
+PARTS["o_profile"] = classes("true")
+PARTS["o_profile_before"] = classes(
+    f"ds <= (SELECT last - {R.horizon * R.n_windows} FROM o_last)")
+PARTS["o_cut"] = f"""
+SELECT last - CAST({R.horizon} * (1 + k) AS INTEGER) AS cutoff FROM o_last, range({R.n_windows}) r(k)
+"""
+PARTS["o_cut_long"] = f"""
+SELECT last - CAST({R.long_horizon} + {R.horizon} * k AS INTEGER) AS cutoff FROM o_last, range({R.long_windows}) r(k)
+"""
+PARTS["o_cut_now"] = "SELECT last AS cutoff FROM o_last"
+PARTS["o_known"] = """
+SELECT * FROM o_imputed WHERE unique_id IN (SELECT unique_id FROM o_profile_before WHERE demand_class <> 'insufficient')
+"""
+PARTS["o_known_now"] = """
+SELECT * FROM o_imputed WHERE unique_id IN (SELECT unique_id FROM o_profile WHERE demand_class <> 'insufficient')
+"""
+
+
+def history(cuts: str, known: str) -> str:
+    return f"""
+SELECT unique_id, cutoff, list(y ORDER BY ds) AS ys, avg(y) AS mean_all, avg(y) FILTER (WHERE ds > cutoff - 28) AS mean_28
+FROM {known}, {cuts} WHERE ds <= cutoff GROUP BY unique_id, cutoff
+"""
+
+
+_LEVEL = "list_reduce({x}, lambda a, v: CAST(0.2 AS DOUBLE) * v + CAST(0.8 AS DOUBLE) * a)"
+_DEMAND = "list_filter(ys, lambda v: v > 0)"
+
+
+def native(hist: str, horizon: int) -> str:
+    chance = _LEVEL.format(x="list_transform(ys, lambda v: CASE WHEN v <> 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)")
+    size = _LEVEL.format(x=_DEMAND)
+    return f"""
+SELECT unique_id, cutoff, cutoff + CAST(step AS INTEGER) AS ds, m.model, greatest(m.yhat, 0) AS yhat
+FROM (SELECT *, {chance} * {size} AS tsb FROM {hist}), range(1, {horizon + 1}) r(step),
+LATERAL (SELECT unnest([
+  {{'model': 'HistoricAverage', 'yhat': mean_all}}, {{'model': 'MovingAvg28', 'yhat': mean_28}},
+  {{'model': 'SeasonalNaive', 'yhat': ys[len(ys) - 6 + CAST((step - 1) % 7 AS INTEGER)]}},
+  {{'model': 'TSB', 'yhat': tsb}}], recursive := true)) m
+"""
+
+
+PARTS["o_hist"] = history("o_cut", "o_known")
+PARTS["o_hist_long"] = history("o_cut_long", "o_known")
+PARTS["o_hist_now"] = history("o_cut_now", "o_known_now")
+PARTS["o_native"] = native("o_hist", R.horizon)
+PARTS["o_native_long"] = native("o_hist_long", R.long_horizon)
+PARTS["o_native_now"] = native("o_hist_now", R.long_horizon)
+
+
+def best_level(x: str) -> str:
+    """Best of the eleven weights by squared one-step error, for a list column."""
+    return f"""list_min(list_transform(range(11), lambda k: list_reduce(
+      list_transform({x}, lambda v: {{'sse': CAST(0 AS DOUBLE), 'level': v}}),
+      lambda s, e: {{'sse': s.sse + (e.level - s.level) * (e.level - s.level),
+                     'level': (CAST(0.1 AS DOUBLE) + CAST(0.02 AS DOUBLE) * k) * e.level
+                              + (CAST(1 AS DOUBLE) - (CAST(0.1 AS DOUBLE) + CAST(0.02 AS DOUBLE) * k)) * s.level}}))).level"""
+
+
+PARTS["o_gaps"] = f"""
+SELECT unique_id, cutoff, ys, {_DEMAND} AS sizes, places,
+       list_transform(places, lambda p, i: CAST(p - CASE WHEN i = 1 THEN 0 ELSE places[i - 1] END AS DOUBLE)) AS gaps,
+       CAST(round_even(places[len(places)] / CAST(len(places) AS DOUBLE), 0) AS INTEGER) AS mean_gap
+FROM (SELECT *, list_filter(list_transform(ys, lambda v, i: CASE WHEN v > 0 THEN i END), lambda p: p IS NOT NULL) AS places FROM o_hist)
+"""
+
+PARTS["o_croston"] = f"""
+SELECT unique_id, cutoff, {best_level('sizes')} / {best_level('gaps')} AS rate FROM o_gaps
+"""
+
+PARTS["o_blocks"] = f"""
+SELECT unique_id, cutoff, k, mean_gap, {best_level('sums')} / k AS rate
+FROM (SELECT unique_id, cutoff, mean_gap, k,
+             list_transform(range(len(ys) // k), lambda b: list_sum(ys[len(ys) % k + b * k + 1 : len(ys) % k + b * k + k])) AS sums
+      FROM (SELECT *, unnest(range(1, mean_gap + 1)) AS k FROM o_gaps))
+"""
+
+# --- scoring ---------------------------------------------------------------------------------
+
+PARTS["o_errors"] = """
+SELECT f.*, a.y_raw FROM o_native f JOIN o_imputed a ON a.unique_id = f.unique_id AND a.ds = f.ds WHERE NOT a.is_closed
+"""
+PARTS["o_weeks"] = f"""
+SELECT w.*, CASE WHEN w.win <= {R.n_selection} THEN 'selection' ELSE 'holdout' END AS phase, p.demand_class, p.cat_l1, p.cat_l2
+FROM (SELECT unique_id, cutoff, model, sum(y_raw) AS y, sum(yhat) AS yhat, dense_rank() OVER (ORDER BY cutoff) AS win
+      FROM o_errors GROUP BY unique_id, cutoff, model) w JOIN o_profile_before p ON p.unique_id = w.unique_id
+"""
+PARTS["o_hold"] = "SELECT * FROM o_weeks WHERE phase = 'holdout'"
+_measures = """avg(abs(yhat - y)) AS "MAE", sum(abs(yhat - y)) / nullif(sum(abs(y)), 0) AS "WMAPE",
+       sum(yhat - y) / nullif(sum(abs(y)), 0) AS "Bias", quantile_cont(CASE WHEN y > 0 THEN abs(yhat - y) / y END, 0.5) AS "MdAPE" """
+PARTS["o_metrics"] = f"""
+SELECT 'Tổng thể' AS scope, model, {_measures} FROM o_hold GROUP BY model
+UNION ALL SELECT demand_class, model, {_measures} FROM o_hold GROUP BY demand_class, model
+UNION ALL SELECT 'Giai đoạn chọn mô hình', model, {_measures} FROM o_weeks WHERE phase = 'selection' GROUP BY model
+"""
+PARTS["o_champion"] = f"""
+SELECT model, "WMAPE" AS wmape, "Bias" AS bias FROM o_metrics WHERE scope = 'Giai đoạn chọn mô hình'
+ORDER BY CASE WHEN abs("Bias") <= {R.max_abs_bias} THEN 0 ELSE 1 END, "WMAPE",
+         list_position(['HistoricAverage', 'MovingAvg28', 'SeasonalNaive', 'TSB'], model) LIMIT 1
+"""
+_level = """SELECT '{name}' AS level, model, sum(abs(f - y)) / nullif(sum(abs(y)), 0) AS "WMAPE", sum(f - y) / sum(y) AS "Bias"
+FROM (SELECT model, sum(yhat) AS f, sum(y) AS y FROM o_hold GROUP BY model, cutoff{key}) GROUP BY model"""
+PARTS["o_levels"] = " UNION ALL ".join(_level.format(name=n, key=k) for n, k in (
+    ("Nhóm hàng cấp 3", ", unique_id"), ("Nhóm hàng cấp 2", ", cat_l2"), ("Ngành hàng cấp 1", ", cat_l1"),
+    ("Toàn cửa hàng", "")))
+PARTS["o_report"] = """
+SELECT h.*, b.wmape_baseline, coalesce(h.wmape < b.wmape_baseline, false) AS improved,
+       CASE WHEN demand_class = 'insufficient' OR wmape IS NULL THEN 'Chưa đủ dữ liệu' WHEN wmape <= 0.30 THEN 'Cao'
+            WHEN wmape <= 0.50 THEN 'Trung bình' ELSE 'Thấp' END AS confidence
+FROM (SELECT unique_id, any_value(demand_class) AS demand_class, any_value(cat_l1) AS cat_l1, any_value(cat_l2) AS cat_l2,
+             sum(abs(yhat - y)) / nullif(sum(y), 0) AS wmape, sum(yhat - y) / greatest(sum(y), 1e-9) AS bias,
+             CASE WHEN avg(abs(yhat - y)) = 0 THEN 0 ELSE sum(yhat - y) / avg(abs(yhat - y)) END AS tracking_signal,
+             sum(y) AS holdout_qty
+      FROM o_hold WHERE model = (SELECT model FROM o_champion) GROUP BY unique_id) h
+JOIN (SELECT unique_id, sum(abs(yhat - y)) / nullif(sum(y), 0) AS wmape_baseline FROM o_hold
+      WHERE model = 'HistoricAverage' GROUP BY unique_id) b ON b.unique_id = h.unique_id
+"""
+PARTS["o_loss_days"] = """
+SELECT o.model AS compared_to, o.ds, avg(abs(c.yhat - c.y_raw) - abs(o.yhat - o.y_raw)) AS d
+FROM o_errors c JOIN o_errors o ON o.unique_id = c.unique_id AND o.ds = c.ds AND o.model <> c.model
+WHERE c.model = (SELECT model FROM o_champion) AND c.cutoff IN (SELECT cutoff FROM o_hold) GROUP BY o.model, o.ds
+"""
+PARTS["o_loss_centred"] = """
+SELECT *, d - avg(d) OVER (PARTITION BY compared_to) AS c, row_number() OVER (PARTITION BY compared_to ORDER BY ds) AS t FROM o_loss_days
+"""
+PARTS["o_gamma"] = f"""
+SELECT a.compared_to, a.t - b.t AS k, sum(a.c * b.c) AS g FROM o_loss_centred a JOIN o_loss_centred b
+  ON b.compared_to = a.compared_to AND a.t - b.t BETWEEN 0 AND {R.horizon - 1} GROUP BY 1, 2
+"""
+PARTS["o_loss_series"] = """
+SELECT * FROM (
+  SELECT o.model AS compared_to, o.unique_id, avg(abs(c.yhat - c.y) - abs(o.yhat - o.y)) AS d
+  FROM o_hold c JOIN o_hold o ON o.unique_id = c.unique_id AND o.cutoff = c.cutoff AND o.model <> c.model
+  WHERE c.model = (SELECT model FROM o_champion) GROUP BY 1, 2) WHERE d <> 0
+"""
+PARTS["o_signed"] = """
+SELECT *, rank() OVER (PARTITION BY compared_to ORDER BY size) + (count(*) OVER (PARTITION BY compared_to, size) - 1) / CAST(2 AS DOUBLE) AS r,
+       count(*) OVER (PARTITION BY compared_to, size) AS ties
+FROM (SELECT *, round(abs(d), 9) AS size FROM o_loss_series)
+"""
+
+# --- orders ---------------------------------------------------------------------------------------
+
+_names = ["q10", "q50", "q55", "q70", "q80", "q90"]
+_picks = ", ".join(f"q[{i + 1}] AS {n}" for i, n in enumerate(_names))
+
+
+def ratios(source: str, keys: str) -> str:
+    return f"""
+SELECT {keys}, {_picks}, n_weeks FROM (
+  SELECT {keys}, quantile_cont(y / yhat, [0.1, 0.5, 0.55, 0.7, 0.8, 0.9]) AS q, count(*) AS n_weeks
+  FROM {source} WHERE yhat > {R.min_forecast_for_ratio} GROUP BY {keys})
+"""
+
+
+PARTS["o_champion_weeks"] = "SELECT * FROM o_weeks WHERE model = (SELECT model FROM o_champion)"
+PARTS["o_selection_weeks"] = "SELECT * FROM o_champion_weeks WHERE phase = 'selection'"
+PARTS["o_ratio"] = ratios("o_champion_weeks", "demand_class")
+PARTS["o_ratio_selection"] = ratios("o_selection_weeks", "demand_class")
+PARTS["o_long_weeks"] = """
+SELECT f.unique_id, f.cutoff, (f.ds - f.cutoff - 1) // 7 + 1 AS horizon_week, p.demand_class, sum(a.y_raw) AS y, sum(f.yhat) AS yhat
+FROM o_native_long f JOIN o_imputed a ON a.unique_id = f.unique_id AND a.ds = f.ds
+JOIN o_profile_before p ON p.unique_id = f.unique_id
+WHERE NOT a.is_closed AND f.model = (SELECT model FROM o_champion) GROUP BY 1, 2, 3, 4
+"""
+PARTS["o_ratio_long"] = ratios("o_long_weeks", "demand_class, horizon_week")
+PARTS["o_quantiles"] = """
+SELECT *, 1 AS horizon_week FROM o_ratio UNION ALL BY NAME SELECT * FROM o_ratio_long WHERE horizon_week > 1
+"""
+_lives = ", ".join(f"('{n}', {w})" for n, w in R.shelf_life.items())
+PARTS["o_lives"] = f"SELECT * FROM (VALUES {_lives}) v(name, life)"
+
+
+def service(profile: str, margin_part: str) -> str:
+    return f"""
+SELECT *, CASE service_class WHEN 'Ngôi sao' THEN 0.80 WHEN 'Dễ hư hỏng' THEN 0.55 ELSE 0.70 END AS tau
+FROM (SELECT p.*, m.quadrant, CASE WHEN v.life <= {R.perishable_max_weeks} THEN 'Dễ hư hỏng'
+             WHEN m.quadrant = 'Ngôi sao' THEN 'Ngôi sao' ELSE 'Bảo quản lâu' END AS service_class
+      FROM {profile} p LEFT JOIN (SELECT cat_l2, max(quadrant) AS quadrant FROM {margin_part} GROUP BY cat_l2) m ON m.cat_l2 = p.cat_l2
+      LEFT JOIN o_lives v ON v.name = p.unique_id)
+"""
+
+
+_factor = "CASE tau WHEN 0.80 THEN q80 WHEN 0.55 THEN q55 WHEN 0.70 THEN q70 END"
+PARTS["o_service"] = service("o_profile", "o_margin")
+PARTS["o_start"] = f"SELECT last - {R.horizon * (R.n_windows - R.n_selection)} AS cut FROM o_last"
+PARTS["o_margin_before"] = margin("method = 'actual' AND sale_date <= (SELECT cut FROM o_start)")
+PARTS["o_service_before"] = service("o_profile_before", "o_margin_before")
+PARTS["o_factors"] = "SELECT cat_l1, holiday_window, qty_factor FROM o_holiday_effect WHERE cat_l1 <> 'Toàn cửa hàng'"
+PARTS["o_offset_all"] = """
+SELECT day, arg_min(date_diff('day', holiday, day), abs(date_diff('day', holiday, day)) * 1000 + place) AS off
+FROM (SELECT CAST(unnest(generate_series(min(date), max(date) + 60, INTERVAL 1 DAY)) AS DATE) AS day FROM o_cal), o_holidays GROUP BY day
+"""
+
+
+def layered(source: str) -> str:
+    return f"""
+SELECT f.*, p.cat_l1, h.w AS holiday_window, coalesce(x.qty_factor, 1) AS holiday_factor, f.yhat * coalesce(x.qty_factor, 1) AS forecast
+FROM {source} f JOIN o_profile p ON p.unique_id = f.unique_id
+JOIN (SELECT day, CASE WHEN off BETWEEN -{R.holiday_before} AND -1 THEN 'Trước Tết' WHEN off BETWEEN 0 AND {R.holiday_after} THEN 'Sau Tết' ELSE '' END AS w
+      FROM o_offset_all) h ON h.day = f.ds
+LEFT JOIN o_factors x ON x.cat_l1 = p.cat_l1 AND x.holiday_window = h.w
+"""
+
+
+PARTS["o_future"] = layered("(SELECT * FROM o_native_now WHERE model = (SELECT model FROM o_champion))")
+PARTS["o_unit"] = f"""
+SELECT {L} AS unique_id, sum(quantity * unit_cost_filled) / sum(quantity) AS unit_cost FROM o_stg
+WHERE txn_channel = 'retail' AND quantity > 0 AND cost_fill_method IS NOT NULL GROUP BY 1
+"""
+PARTS["o_unit_before"] = f"""
+SELECT {L} AS unique_id, sum(quantity * unit_cost) / sum(quantity) AS unit_cost, sum(line_revenue) / sum(quantity) AS unit_price FROM o_stg
+WHERE txn_channel = 'retail' AND quantity > 0 AND NOT is_zero_price AND cost_fill_method = 'actual'
+  AND sale_date <= (SELECT cut FROM o_start) GROUP BY 1
+"""
+PARTS["o_plan"] = f"""
+SELECT *, order_qty * unit_cost AS order_value FROM (
+  SELECT w.*, s.cat_l1, s.cat_l2, s.demand_class, s.service_class, s.tau, s.quadrant, r.wmape,
+         CASE WHEN s.demand_class = 'insufficient' OR r.wmape IS NULL THEN 'Chưa đủ dữ liệu' WHEN r.wmape <= 0.30 THEN 'Cao'
+              WHEN r.wmape <= 0.50 THEN 'Trung bình' ELSE 'Thấp' END AS confidence,
+         w.forecast_week * q.q10 AS lower_80, w.forecast_week * q.q90 AS upper_80,
+         ceil(round(w.forecast_week * coalesce({_factor}, 1), 6)) AS order_qty, u.unit_cost
+  FROM (SELECT unique_id, sum(forecast) AS forecast_week, min(ds) AS week_start FROM o_future WHERE ds - cutoff <= 7 GROUP BY 1) w
+  JOIN o_service s ON s.unique_id = w.unique_id LEFT JOIN o_report r ON r.unique_id = w.unique_id
+  LEFT JOIN o_ratio q ON q.demand_class = s.demand_class LEFT JOIN o_unit u ON u.unique_id = w.unique_id)
+"""
+PARTS["o_top"] = f"""
+SELECT * FROM (SELECT *, rank() OVER (PARTITION BY cat ORDER BY qty DESC, sku) AS rk FROM (
+  SELECT {L} AS cat, sku, max(product_name) AS product_name, sum(quantity) AS qty FROM o_sold, o_last
+  WHERE NOT is_zero_price AND last - sale_date < {R.share_days} GROUP BY 1, 2)) WHERE rk <= {R.top_skus}
+"""
+PARTS["o_policy"] = f"""
+SELECT w.unique_id, w.cutoff, w.y, m.policy, ceil(round(m.wanted, 6)) AS wanted,
+       coalesce(u.unit_cost, (SELECT quantile_cont(unit_cost, 0.5) FROM o_unit_before)) AS cost
+FROM (SELECT h.unique_id, h.cutoff, any_value(h.y) AS y, any_value(s.tau) AS tau, any_value(h.demand_class) AS demand_class,
+             max(CASE WHEN model = 'HistoricAverage' THEN yhat END) AS a, max(CASE WHEN model = 'MovingAvg28' THEN yhat END) AS b,
+             max(CASE WHEN model = (SELECT model FROM o_champion) THEN yhat END) AS c
+      FROM o_hold h JOIN o_service_before s ON s.unique_id = h.unique_id GROUP BY 1, 2) w
+LEFT JOIN o_ratio_selection q ON q.demand_class = w.demand_class LEFT JOIN o_unit_before u ON u.unique_id = w.unique_id,
+LATERAL (SELECT unnest([{{'policy': 'baseline', 'wanted': a}}, {{'policy': 'moving_average', 'wanted': b}}, {{'policy': 'point', 'wanted': c}},
+  {{'policy': 'quantile', 'wanted': c * coalesce({_factor}, 1)}}], recursive := true)) m
+"""
+PARTS["o_single"] = """
+SELECT 'Một kỳ (không chuyển tồn)' AS mode, policy, sum(wanted) AS units_ordered, sum(greatest(y - wanted, 0)) AS units_short,
+       sum(greatest(wanted - y, 0)) AS units_excess,
+       count(*) FILTER (WHERE y > 0 AND y - wanted <= 0.5) / CAST(count(*) FILTER (WHERE y > 0) AS DOUBLE) AS service_level,
+       1 - sum(greatest(y - wanted, 0)) / sum(y) AS fill_rate, sum(greatest(wanted - y, 0) * cost) AS excess_value
+FROM o_policy GROUP BY policy
+"""
+PARTS["o_replay"] = """
+SELECT 'backtest-' || strftime(cutoff, '%Y%m%d') AS run_id, 'Mô phỏng lại' AS kind, cutoff AS created_at, cutoff AS data_until,
+       cutoff + 1 AS week_start, model, unique_id, yhat AS forecast_week, CAST(NULL AS DOUBLE) AS order_qty
+FROM o_hold WHERE model = (SELECT model FROM o_champion)
+"""
+PARTS["o_runs"] = """
+SELECT run_id, any_value(kind) AS kind, any_value(week_start) AS week_start, any_value(model) AS model,
+       sum(abs(actual - forecast_week)) / nullif(sum(actual), 0) AS wmape, sum(forecast_week - actual) / nullif(sum(actual), 0) AS bias,
+       sum(actual) AS actual_total, sum(forecast_week) AS forecast_total, count(*) AS n_series
+FROM (SELECT s.run_id, s.kind, s.week_start, s.model, s.unique_id, s.forecast_week, sum(a.y_raw) AS actual
+      FROM o_replay s JOIN o_imputed a ON a.unique_id = s.unique_id AND a.ds - s.week_start BETWEEN 0 AND 6
+      WHERE NOT a.is_closed AND s.week_start + 6 <= (SELECT last FROM o_last) GROUP BY ALL) GROUP BY run_id
+"""
+PARTS["o_drift"] = f"""
+SELECT *, over_limit OR biased AS flagged FROM (
+  SELECT *, abs(tracking_signal) > {R.ts_limit} AS biased,
+         wmape > {R.drift_factor} * (SELECT "WMAPE" FROM o_metrics WHERE scope = 'Tổng thể' AND model = (SELECT model FROM o_champion)) AS over_limit
+  FROM (SELECT *, CASE WHEN avg(abs(forecast_total - actual_total)) OVER w = 0 THEN 0 ELSE
+               sum(forecast_total - actual_total) OVER w / avg(abs(forecast_total - actual_total)) OVER w END AS tracking_signal,
+               week_start = max(week_start) OVER () AS is_latest
+        FROM o_runs WINDOW w AS (ORDER BY week_start ROWS UNBOUNDED PRECEDING)))
+"""

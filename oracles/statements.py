@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracles.parts import BINDING, margin
+from oracles.parts import BINDING, layered, margin
 
 R = BINDING
 AS_OF = "1999-06-30"
@@ -247,3 +247,139 @@ SQL["kpi_holiday_window"] = """
 SELECT g.holiday, g.day AS date, t.n_invoices, t.revenue, t.quantity
 FROM (SELECT holiday, CAST(unnest(generate_series(holiday - 38, holiday + 31, INTERVAL 1 DAY)) AS DATE) AS day FROM o_holidays) g
 LEFT JOIN o_traffic t ON t.date = g.day"""
+
+# --- series ------------------------------------------------------------------------------
+SQL["ts_dense"] = "SELECT * FROM o_series"
+SQL["ts_holiday_offset"] = "SELECT * FROM o_offset"
+SQL["ts_impute"] = "SELECT * FROM o_imputed"
+SQL["ts_demand_class"] = "SELECT * FROM o_profile"
+SQL["ts_features"] = """
+SELECT *, CASE WHEN n7 = 7 THEN m7 END AS rolling_mean_7, CASE WHEN n28 = 28 THEN m28 END AS rolling_mean_28,
+       CASE WHEN n28 = 28 THEN s28 END AS rolling_std_28, CASE WHEN nb = 28 THEN mb END AS rolling_mean_28_lag7
+FROM (SELECT *, lag(y, 1) OVER s AS lag1, lag(y, 2) OVER s AS lag2, lag(y, 3) OVER s AS lag3, lag(y, 7) OVER s AS lag7,
+             lag(y, 14) OVER s AS lag14, lag(y, 21) OVER s AS lag21, lag(y, 28) OVER s AS lag28,
+             avg(y) OVER a AS m7, count(y) OVER a AS n7, avg(y) OVER b AS m28, count(y) OVER b AS n28, stddev_samp(y) OVER b AS s28,
+             avg(y) OVER c AS mb, count(y) OVER c AS nb, avg(y) OVER e AS expanding_mean,
+             isodow(ds) - 1 AS dayofweek, date_part('day', ds) AS day
+      FROM o_imputed
+      WINDOW s AS (PARTITION BY unique_id ORDER BY ds), a AS (s ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING),
+             b AS (s ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING), c AS (s ROWS BETWEEN 34 PRECEDING AND 7 PRECEDING),
+             e AS (s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+SQL["ts_walk_forward"] = f"""
+SELECT i.unique_id, i.ds, c.cutoff, c.n AS "window", CASE WHEN c.n <= {R.n_selection} THEN 'selection' ELSE 'holdout' END AS phase,
+       i.y_raw, i.is_closed
+FROM o_imputed i JOIN (SELECT cutoff, rank() OVER (ORDER BY cutoff) AS n FROM o_cut) c ON i.ds - c.cutoff BETWEEN 1 AND {R.horizon}"""
+
+# --- forecasts ------------------------------------------------------------------------------
+for _name, _model in (("fc_historic_average", "HistoricAverage"), ("fc_moving_avg28", "MovingAvg28"),
+                      ("fc_seasonal_naive", "SeasonalNaive"), ("fc_tsb", "TSB")):
+    SQL[_name] = f"SELECT * FROM o_native WHERE model = '{_model}'"
+_ahead = f"range(1, {R.horizon + 1}) r(step)"
+SQL["fc_croston"] = f"""
+SELECT unique_id, cutoff, cutoff + CAST(step AS INTEGER) AS ds, 'Croston' AS model, rate AS yhat FROM o_croston, {_ahead}"""
+SQL["fc_adida"] = f"""
+SELECT unique_id, cutoff, cutoff + CAST(step AS INTEGER) AS ds, 'ADIDA' AS model, rate AS yhat FROM o_blocks, {_ahead} WHERE k = mean_gap"""
+SQL["fc_imapa"] = f"""
+SELECT unique_id, cutoff, cutoff + CAST(step AS INTEGER) AS ds, 'IMAPA' AS model, avg(rate) AS yhat FROM o_blocks, {_ahead}
+GROUP BY unique_id, cutoff, step"""
+SQL["fc_fallback56"] = f"""
+SELECT unique_id, last AS cutoff, last + CAST(step AS INTEGER) AS ds, 'TB 8 tuần (chưa đủ dữ liệu)' AS model, yhat
+FROM (SELECT unique_id, last, coalesce(avg(y_raw) FILTER (WHERE last - ds < {R.share_days}), 0) AS yhat
+      FROM o_imputed, o_last WHERE NOT is_closed GROUP BY 1, 2 HAVING count(*) FILTER (WHERE y_raw > 0) < 1300),
+range(1, {R.long_horizon + 1}) r(step)"""
+
+# --- scoring -----------------------------------------------------------------------------------
+SQL["ev_weekly"] = 'SELECT *, win AS "window" FROM o_weeks'
+SQL["ev_metrics"] = "SELECT * FROM o_metrics"
+SQL["ev_tracking_signal"] = """
+SELECT unique_id, model, CASE WHEN avg(abs(yhat - y)) = 0 THEN 0 ELSE sum(yhat - y) / avg(abs(yhat - y)) END AS tracking_signal
+FROM o_hold GROUP BY unique_id, model"""
+SQL["ev_dm_stat"] = f"""
+SELECT compared_to, n AS n_days, m AS mean_diff, better AS share_days_better,
+       m / sqrt(CASE WHEN lrv > 0 THEN lrv ELSE g0 END / n) * sqrt((n + 1 - {2 * R.horizon} + {R.horizon * (R.horizon - 1)} / CAST(n AS DOUBLE)) / n) AS dm_stat
+FROM (SELECT l.compared_to, l.n, l.m, l.better, sum(CASE WHEN k = 0 THEN g ELSE 2 * g END) / l.n AS lrv, max(CASE WHEN k = 0 THEN g END) / l.n AS g0
+      FROM (SELECT compared_to, count(*) AS n, avg(d) AS m, avg(CASE WHEN d < 0 THEN 1 ELSE 0 END) AS better FROM o_loss_days GROUP BY 1) l
+      JOIN o_gamma g ON g.compared_to = l.compared_to GROUP BY 1, 2, 3, 4)"""
+SQL["ev_wilcoxon"] = """
+SELECT compared_to, n AS n_series, md AS mean_abs_err_diff, better AS share_series_better, w AS w_stat,
+       (w - n * (n + 1) / CAST(4 AS DOUBLE)) / sqrt(n * (n + 1) * (2 * n + 1) / CAST(24 AS DOUBLE) - t / CAST(48 AS DOUBLE)) AS z_stat
+FROM (SELECT compared_to, count(*) AS n, avg(d) AS md, avg(CASE WHEN d < 0 THEN 1 ELSE 0 END) AS better, sum(ties * ties - 1) AS t,
+             least(coalesce(sum(r) FILTER (WHERE d > 0), 0), coalesce(sum(r) FILTER (WHERE d < 0), 0)) AS w FROM o_signed GROUP BY 1)"""
+SQL["ev_champion"] = "SELECT * FROM o_champion"
+SQL["ev_levels"] = "SELECT * FROM o_levels"
+SQL["ev_per_series"] = "SELECT * FROM o_report"
+SQL["ev_confidence"] = "SELECT * FROM o_report"
+SQL["ev_run_summary"] = """
+SELECT c.model AS champion, a."WMAPE" AS holdout_wmape, b."WMAPE" AS baseline_wmape, l."WMAPE" AS store_wmape,
+       r.share AS share_improved, p.n AS n_series, p.m AS n_modelled, r.n AS n_backtest
+FROM o_champion c JOIN o_metrics a ON a.model = c.model AND a.scope = 'Tổng thể'
+JOIN o_metrics b ON b.model = 'HistoricAverage' AND b.scope = 'Tổng thể'
+JOIN o_levels l ON l.model = c.model AND l.level = 'Toàn cửa hàng',
+(SELECT avg(CASE WHEN improved THEN 1 ELSE 0 END) AS share, count(*) AS n FROM o_report) r,
+(SELECT count(*) AS n, count(*) FILTER (WHERE demand_class <> 'insufficient') AS m FROM o_profile) p"""
+SQL["kpi_model_compare"] = """
+SELECT *, rank() OVER (ORDER BY wmape_selection) AS rank_selection, rank() OVER (ORDER BY wmape_holdout) AS rank_holdout
+FROM (SELECT model, max("WMAPE") FILTER (WHERE scope = 'Giai đoạn chọn mô hình') AS wmape_selection,
+             max("WMAPE") FILTER (WHERE scope = 'Tổng thể') AS wmape_holdout FROM o_metrics GROUP BY model)"""
+SQL["kpi_class_by_model"] = "SELECT model, " + ", ".join(
+    f"max(\"WMAPE\") FILTER (WHERE scope = '{c}') AS {c}" for c in ("smooth", "erratic", "intermittent", "lumpy")
+) + " FROM o_metrics WHERE scope IN ('smooth', 'erratic', 'intermittent', 'lumpy') GROUP BY model"
+SQL["kpi_class_mix"] = """
+SELECT demand_class, count(*) AS n_series, sum(total_qty) / (SELECT sum(total_qty) FROM o_profile) AS qty_share FROM o_profile GROUP BY 1"""
+SQL["kpi_biased_series"] = """
+SELECT count(*) FILTER (WHERE abs(tracking_signal) > 2) AS n_biased, count(*) FILTER (WHERE tracking_signal > 2) AS n_high,
+       count(*) FILTER (WHERE tracking_signal < -2) AS n_low FROM o_report"""
+
+# --- orders ----------------------------------------------------------------------------------------
+SQL["pol_ratio_quantiles"] = "SELECT * FROM o_ratio"
+SQL["pol_horizon_quantiles"] = "SELECT * FROM o_quantiles"
+SQL["pol_service_class"] = "SELECT * FROM o_service"
+SQL["pol_holiday_layer"] = layered("""(
+  SELECT unique_id, DATE '2001-01-31' + CAST(step AS INTEGER) AS ds, m.model, m.yhat
+  FROM (SELECT unique_id, avg(y) AS a, avg(y) FILTER (WHERE ds > DATE '2001-01-31' - 28) AS b, list(y ORDER BY ds) AS ys
+        FROM o_known_now WHERE ds <= DATE '2001-01-31' GROUP BY 1), range(1, 29) r(step),
+  LATERAL (SELECT unnest([{'model': 'HistoricAverage', 'yhat': a}, {'model': 'MovingAvg28', 'yhat': b},
+    {'model': 'SeasonalNaive', 'yhat': ys[len(ys) - 6 + CAST((step - 1) % 7 AS INTEGER)]}], recursive := true)) m)""")
+SQL["pol_order_plan"] = "SELECT * FROM o_plan"
+SQL["pol_sku_allocation"] = f"""
+SELECT cat AS cat_l2, sku, product_name, qty, share, order_qty, forecast_week * share AS sku_forecast_week,
+       whole + CASE WHEN row_number() OVER (PARTITION BY cat ORDER BY round(raw - whole, 9) DESC, sku)
+                         <= round(order_qty - sum(whole) OVER (PARTITION BY cat)) THEN 1 ELSE 0 END AS sku_order_qty
+FROM (SELECT *, floor(raw) AS whole FROM (
+  SELECT t.*, p.order_qty, p.forecast_week, qty / sum(qty) OVER (PARTITION BY cat) AS share,
+         round(p.order_qty * (qty / sum(qty) OVER (PARTITION BY cat)), 9) AS raw
+  FROM o_top t JOIN o_plan p ON p.unique_id = t.cat))"""
+SQL["pol_backtest_single"] = "SELECT * FROM o_single"
+SQL["kpi_plan_totals"] = f"""
+SELECT t.v AS total_value, t.n AS n_ordered, rank() OVER (ORDER BY order_qty DESC, unique_id) AS top_rank, unique_id, order_qty
+FROM o_plan, (SELECT sum(order_value) AS v, count(*) FILTER (WHERE order_qty > 0) AS n FROM o_plan) t
+QUALIFY top_rank <= {R.top_skus}"""
+SQL["sink_order_plan"] = """
+SELECT * REPLACE (round(order_value) AS order_value) FROM o_plan WHERE service_class <> 'Dễ hư hỏng'"""
+
+# --- monitoring ---------------------------------------------------------------------------------------
+SQL["snap_backfill"] = "SELECT * FROM o_replay"
+SQL["snap_upsert"] = """
+SELECT * REPLACE (CASE WHEN data_until = (SELECT max(cutoff) FROM o_cut) THEN 'corrected' ELSE run_id END AS run_id,
+                  CASE WHEN data_until = (SELECT max(cutoff) FROM o_cut) THEN forecast_week + 1 ELSE forecast_week END AS forecast_week)
+FROM o_replay"""
+SQL["mon_snapshot_eval"] = "SELECT * FROM o_runs"
+SQL["mon_drift"] = "SELECT * FROM o_drift"
+SQL["mon_retrain"] = f"""
+SELECT last AS data_until, {R.horizon} AS new_days, d.f AS drifted, true AS retrain
+FROM o_last, (SELECT flagged AS f FROM o_drift WHERE is_latest) d"""
+SQL["mon_accuracy"] = """
+SELECT kind, count(*) AS n_weeks, 1 - sum(abs(forecast_total - actual_total)) / sum(actual_total) AS accuracy FROM o_runs GROUP BY kind"""
+
+# --- what-ifs --------------------------------------------------------------------------------------------
+SQL["sc_discount"] = """
+SELECT cat_l1, slope, 1 + slope * 5 AS net_factor, w AS base_week, w * (1 + slope * 5) AS scenario_week,
+       greatest(q * slope * 5, 0) AS extra_order
+FROM (SELECT p.cat_l1, sum(p.forecast_week) AS w, sum(p.order_qty) AS q,
+             any_value(CASE WHEN r.reliable THEN r.uplift_per_pct ELSE r.store_uplift_per_pct END) AS slope
+      FROM o_plan p JOIN o_price_response r ON r.cat_l1 = p.cat_l1 GROUP BY p.cat_l1)"""
+SQL["sc_holiday"] = """
+SELECT cat_l1, f AS qty_factor, 2 * w AS normal_two_weeks, 2 * w * f AS before_holiday, w / 7 * 3 * 0.5 AS stock_up,
+       2 * w * f + w / 7 * 3 * 0.5 AS total
+FROM (SELECT p.cat_l1, sum(p.forecast_week) AS w, coalesce(any_value(x.qty_factor), 1) AS f FROM o_plan p
+      LEFT JOIN o_factors x ON x.cat_l1 = p.cat_l1 AND x.holiday_window = 'Trước Tết' GROUP BY p.cat_l1)"""

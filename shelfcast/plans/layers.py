@@ -6,12 +6,14 @@ built on first use; its readers then scan only the columns they need.
 
 from __future__ import annotations
 
+from datetime import date
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfcast.functions.tables import written
-from shelfcast.operators import marts, staging
+from shelfcast.operators import (
+    evaluate, forecast, learner, marts, policy, series as ts, smoothing, staging)
 from shelfcast.params import BINDING, Rules
 from shelfcast.plans.session import prepared
 from shelfcast.sources.binding import raw_sales_lines
@@ -45,6 +47,160 @@ class Layers:
     def daily(self) -> DataFrame:
         return written(marts.daily_category(self.staged, self.calendar, self.prices), "daily")
 
+    # --- series and backtests ------------------------------------------------------------
+
+    @cached_property
+    def last_day(self) -> date:
+        return self.calendar.agg(F.max("date")).first()[0]
+
+    @cached_property
+    def series(self) -> DataFrame:
+        dense = ts.dense_series(self.daily, self.calendar, self.rules)
+        return written(ts.imputed(dense, self.rules), "series")
+
+    @property
+    def cutoffs(self) -> list[date]:
+        r = self.rules
+        return ts.cutoffs(self.last_day, r.horizon, r.n_windows, r.horizon)
+
+    @property
+    def holdout_start(self) -> date:
+        """The last day known before the first hold-out window."""
+        return self.cutoffs[self.rules.n_selection]
+
+    @cached_property
+    def profile(self) -> DataFrame:
+        return written(ts.demand_classes(self.series, self.rules), "profile")
+
+    @cached_property
+    def profile_before(self) -> DataFrame:
+        """Classes as known at the first cutoff."""
+        return written(ts.demand_classes(self.series, self.rules, until=self.cutoffs[0]), "profile_before")
+
+    def eligible(self, profile: DataFrame) -> DataFrame:
+        enough = profile.filter(F.col("demand_class") != "insufficient").select("unique_id")
+        return self.series.join(enough, "unique_id", "left_semi")
+
+    @cached_property
+    def native_daily(self) -> DataFrame:
+        """Backtest of the methods an SQL oracle can repeat, next to actual sales."""
+        known = self.eligible(self.profile_before)
+        fc = forecast.native_forecasts(known, self.cutoffs, self.rules.horizon)
+        return written(evaluate.daily_errors(fc, self.series), "native_daily")
+
+    @cached_property
+    def weeks(self) -> DataFrame:
+        return written(evaluate.weekly(self.native_daily, self.profile_before, self.rules), "weeks")
+
+    @cached_property
+    def champion(self) -> str:
+        return evaluate.champion(self.weeks, self.rules, forecast.MODEL_ORDER).first()["model"]
+
+    @cached_property
+    def features(self) -> DataFrame:
+        return written(ts.features(self.series), "features")
+
+    def all_models(self, last_days: list[date], horizon: int, profile: DataFrame) -> DataFrame:
+        """Every method and the ensembles, long form."""
+        known = self.eligible(profile)
+        rows = self.features.join(known.select("unique_id").distinct(), "unique_id", "left_semi")
+        single = (
+            forecast.native_forecasts(known, last_days, horizon)
+            .unionByName(forecast.intermittent(known, last_days, horizon))
+            .unionByName(forecast.aggregated(known, last_days, horizon))
+            .unionByName(smoothing.seasonal_smoothing(known, last_days, horizon))
+            .unionByName(learner.learned_forecasts(known, rows, last_days, horizon).drop("x"))
+        )
+        single = written(single, "single_models")
+        return single.unionByName(forecast.ensembles(single))
+
+    @cached_property
+    def full_daily(self) -> DataFrame:
+        fc = self.all_models(self.cutoffs, self.rules.horizon, self.profile_before)
+        return written(evaluate.daily_errors(fc, self.series), "full_daily")
+
+    @cached_property
+    def full_weeks(self) -> DataFrame:
+        return written(evaluate.weekly(self.full_daily, self.profile_before, self.rules), "full_weeks")
+
+    @cached_property
+    def full_champion(self) -> str:
+        return evaluate.champion(self.full_weeks, self.rules, forecast.MODEL_ORDER).first()["model"]
+
+    # --- the plan of next week, from the champion among the native methods ------------------
+
+    def unit_prices(self, **options) -> DataFrame:
+        prices = marts.category_unit_price(self.staged, level=self.rules.series_level, **options)
+        return prices.withColumnRenamed(self.rules.series_level, "unique_id")
+
+    @cached_property
+    def long_daily(self) -> DataFrame:
+        """Backtest with the long horizon, for quantiles per week ahead."""
+        r = self.rules
+        days = ts.cutoffs(self.last_day, r.long_horizon, r.long_windows, r.horizon)
+        fc = forecast.native_forecasts(self.eligible(self.profile_before), days, r.long_horizon)
+        return written(evaluate.daily_errors(fc, self.series), "long_daily")
+
+    @cached_property
+    def quantiles(self) -> DataFrame:
+        first = policy.ratio_quantiles(self.weeks.filter(F.col("model") == self.champion), self.rules)
+        later = policy.horizon_quantiles(self.long_daily, self.profile_before, self.champion, self.rules)
+        return written(policy.calibrated(first, later), "quantiles")
+
+    @cached_property
+    def future(self) -> DataFrame:
+        """28 days ahead for every series, holiday layer applied."""
+        r = self.rules
+        modelled = forecast.native_forecasts(self.eligible(self.profile), [self.last_day], r.long_horizon).filter(
+            F.col("model") == self.champion)
+        thin = forecast.fallback(self.series, self.profile, self.last_day, r.long_horizon, r)
+        effect = marts.holiday_effect(self.daily, r)
+        layered = policy.holiday_layer(modelled, self.profile, effect, r)
+        plain = (
+            thin.join(self.profile.select("unique_id", "cat_l1"), "unique_id")
+            .withColumn("holiday_window", F.lit(None).cast("string"))
+            .withColumn("holiday_factor", F.lit(None).cast("double")).withColumn("forecast", F.col("yhat")))
+        return written(layered.unionByName(plain), "future")
+
+    @cached_property
+    def report(self) -> DataFrame:
+        return written(evaluate.per_series(self.weeks, self.champion), "report")
+
+    @cached_property
+    def plan(self) -> DataFrame:
+        classes = policy.service_classes(self.profile, marts.category_margin(self.staged), self.rules)
+        scored = self.profile.select("unique_id", "demand_class").join(
+            self.report.select("unique_id", "wmape"), "unique_id", "left")
+        labelled = scored.withColumn("confidence", evaluate.confidence())
+        return written(
+            policy.order_plan(self.future, classes, self.quantiles, self.unit_prices(), labelled), "plan")
+
+    def policies(self) -> dict:
+        """Ordering rules compared on the hold-out weeks, as columns of the wide weeks."""
+        return {
+            "baseline": F.col("HistoricAverage"), "moving_average": F.col("MovingAvg28"),
+            "point": F.col(self.champion), "quantile": F.col(self.champion) * F.col("factor"),
+        }
+
+    @cached_property
+    def policy_weeks(self) -> DataFrame:
+        """Every parameter comes from before the hold-out: margins with actual costs, ratios
+        of the selection weeks, prices, demand classes."""
+        r, cut = self.rules, self.holdout_start
+        margin = marts.category_margin(self.staged, until=cut, actual_cost_only=True)
+        classes = policy.service_classes(self.profile_before, margin, r).select("unique_id", "tau")
+        selection = self.weeks.filter((F.col("phase") == "selection") & (F.col("model") == self.champion))
+        ratios = policy.ratio_quantiles(selection, r).drop("n_weeks")
+        models = sorted({"HistoricAverage", "MovingAvg28", self.champion})
+        wide = (
+            self.weeks.filter(F.col("phase") == "holdout").groupBy("unique_id", "cutoff", "demand_class")
+            .agg(F.max("y").alias("y"), *[F.max(F.when(F.col("model") == m, F.col("yhat"))).alias(m) for m in models])
+            .join(classes, "unique_id").join(ratios, "demand_class", "left")
+            .withColumn("factor", F.coalesce(policy.quantile_at(F.col("tau")), F.lit(1.0)))
+        )
+        prices = self.unit_prices(until=cut, actual_cost_only=True)
+        return written(policy.policy_weeks(wide, self.policies(), prices, r), "policy_weeks")
+
 
 _built: dict[tuple[str, str], Layers] = {}
 
