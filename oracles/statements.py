@@ -383,3 +383,8 @@ SELECT cat_l1, f AS qty_factor, 2 * w AS normal_two_weeks, 2 * w * f AS before_h
        2 * w * f + w / 7 * 3 * 0.5 AS total
 FROM (SELECT p.cat_l1, sum(p.forecast_week) AS w, coalesce(any_value(x.qty_factor), 1) AS f FROM o_plan p
       LEFT JOIN o_factors x ON x.cat_l1 = p.cat_l1 AND x.holiday_window = 'Trước Tết' GROUP BY p.cat_l1)"""
+
+# --- streams end in the same tables as the batch jobs ---------------------------------------
+SQL["stream_ingest_dedup"] = "SELECT * FROM o_dedup"
+SQL["stream_daily_traffic"] = "SELECT * FROM o_traffic"
+SQL["stream_reconcile"] = "SELECT * FROM o_drift"

@@ -64,8 +64,12 @@ def histories(series: DataFrame, last_days: list[date]) -> DataFrame:
     """One array of daily values per series and cutoff."""
     whole = series.groupBy("unique_id").agg(
         F.array_sort(F.collect_list(F.struct("ds", "y"))).alias("_days"))
+    # The arrays are small but the work on them is not: a fixed partition count keeps adaptive
+    # execution from folding them into a few tasks.
+    tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         whole.withColumn("cutoff", F.explode(F.array(*[F.lit(c) for c in last_days])))
+        .repartition(tasks, "unique_id", "cutoff")
         .withColumn("y", F.transform(F.filter("_days", lambda d: d["ds"] <= F.col("cutoff")), lambda d: d["y"]))
         .drop("_days")
     )

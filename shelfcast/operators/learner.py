@@ -8,6 +8,7 @@ stable. Being linear on the link, its contributions are exact: weight * (value -
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame, Window, functions as F
 
+from shelfcast.functions.tables import written
 from shelfcast.operators.series import LAGS
 
 POWER = 1.2
@@ -103,9 +105,12 @@ def learned_forecasts(series: DataFrame, features: DataFrame, last_days: list[da
     `x`, the model columns of each forecast, for explanations.
     """
     categories = top_categories(features)
-    rows = design(features, categories)
+    rows = written(design(features, categories), "design")
     n_columns = len(design_names(categories))
-    weights = {c: fit(rows.filter(F.col("ds") <= F.lit(c)), n_columns) for c in last_days}
+    # Every fit is a chain of small distributed jobs; several run side by side.
+    with ThreadPoolExecutor(min(6, len(last_days))) as pool:
+        fitted = pool.map(lambda c: fit(rows.filter(F.col("ds") <= F.lit(c)), n_columns), last_days)
+        weights = dict(zip(last_days, fitted))
     own = Window.partitionBy("unique_id").orderBy("ds")
     state = (
         series.select(
