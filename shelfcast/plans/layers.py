@@ -14,18 +14,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from shelfcast.functions.tables import written
 from shelfcast.operators import (
     evaluate, forecast, learner, marts, policy, series as ts, smoothing, staging)
-from shelfcast.params import BINDING, Rules
+from shelfcast.params import BINDING, DEFAULT, Rules
 from shelfcast.plans.session import prepared
 from shelfcast.sources.binding import raw_sales_lines
 
 
 class Layers:
-    def __init__(self, spark: SparkSession, sf_dir: str, rules: Rules = BINDING):
-        self.spark, self.sf_dir, self.rules = prepared(spark), sf_dir, rules
+    """All tables of one set of raw lines.
 
-    @cached_property
-    def raw(self) -> DataFrame:
-        return raw_sales_lines(self.spark, self.sf_dir)
+    `all_methods` lets the learned and searched methods compete for the plan; without it
+    only the methods an SQL oracle can repeat do, which is what the registered queries use.
+    """
+
+    def __init__(self, raw: DataFrame, rules: Rules = DEFAULT, all_methods: bool = False):
+        self.spark = prepared(raw.sparkSession)
+        self.raw, self.rules, self.all_methods = raw, rules, all_methods
 
     @cached_property
     def base(self) -> DataFrame:
@@ -90,7 +93,8 @@ class Layers:
 
     @cached_property
     def weeks(self) -> DataFrame:
-        return written(evaluate.weekly(self.native_daily, self.profile_before, self.rules), "weeks")
+        return self.full_weeks if self.all_methods else written(
+            evaluate.weekly(self.native_daily, self.profile_before, self.rules), "weeks")
 
     @cached_property
     def champion(self) -> str:
@@ -127,7 +131,17 @@ class Layers:
     def full_champion(self) -> str:
         return evaluate.champion(self.full_weeks, self.rules, forecast.MODEL_ORDER).first()["model"]
 
-    # --- the plan of next week, from the champion among the native methods ------------------
+    @property
+    def backtest(self) -> DataFrame:
+        return self.full_daily if self.all_methods else self.native_daily
+
+    def forecasts(self, last_days: list[date], horizon: int, profile: DataFrame) -> DataFrame:
+        """Forecasts of the champion at any cutoffs."""
+        fc = self.all_models(last_days, horizon, profile) if self.all_methods else forecast.native_forecasts(
+            self.eligible(profile), last_days, horizon)
+        return fc.filter(F.col("model") == self.champion)
+
+    # --- the plan of next week, from the champion ---------------------------------------------
 
     def unit_prices(self, **options) -> DataFrame:
         prices = marts.category_unit_price(self.staged, level=self.rules.series_level, **options)
@@ -138,7 +152,7 @@ class Layers:
         """Backtest with the long horizon, for quantiles per week ahead."""
         r = self.rules
         days = ts.cutoffs(self.last_day, r.long_horizon, r.long_windows, r.horizon)
-        fc = forecast.native_forecasts(self.eligible(self.profile_before), days, r.long_horizon)
+        fc = self.forecasts(days, r.long_horizon, self.profile_before)
         return written(evaluate.daily_errors(fc, self.series), "long_daily")
 
     @cached_property
@@ -151,8 +165,7 @@ class Layers:
     def future(self) -> DataFrame:
         """28 days ahead for every series, holiday layer applied."""
         r = self.rules
-        modelled = forecast.native_forecasts(self.eligible(self.profile), [self.last_day], r.long_horizon).filter(
-            F.col("model") == self.champion)
+        modelled = self.forecasts([self.last_day], r.long_horizon, self.profile)
         thin = forecast.fallback(self.series, self.profile, self.last_day, r.long_horizon, r)
         effect = marts.holiday_effect(self.daily, r)
         layered = policy.holiday_layer(modelled, self.profile, effect, r)
@@ -182,6 +195,10 @@ class Layers:
             "point": F.col(self.champion), "quantile": F.col(self.champion) * F.col("factor"),
         }
 
+    @cached_property
+    def prices_before(self) -> DataFrame:
+        return self.unit_prices(until=self.holdout_start, actual_cost_only=True)
+
     @cached_property
     def policy_weeks(self) -> DataFrame:
         """Every parameter comes from before the hold-out: margins with actual costs, ratios
@@ -198,8 +215,7 @@ class Layers:
             .join(classes, "unique_id").join(ratios, "demand_class", "left")
             .withColumn("factor", F.coalesce(policy.quantile_at(F.col("tau")), F.lit(1.0)))
         )
-        prices = self.unit_prices(until=cut, actual_cost_only=True)
-        return written(policy.policy_weeks(wide, self.policies(), prices, r), "policy_weeks")
+        return written(policy.policy_weeks(wide, self.policies(), self.prices_before, r), "policy_weeks")
 
 
 _built: dict[tuple[str, str], Layers] = {}
@@ -208,5 +224,5 @@ _built: dict[tuple[str, str], Layers] = {}
 def layers_for(spark: SparkSession, sf_dir: str) -> Layers:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _built:
-        _built[key] = Layers(spark, sf_dir)
+        _built[key] = Layers(raw_sales_lines(prepared(spark), sf_dir), BINDING)
     return _built[key]
