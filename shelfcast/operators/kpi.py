@@ -12,13 +12,11 @@ from shelfcast.params import (
     BEFORE_HOLIDAY, CHANNEL_RETAIL, QUADRANT_LOSS, Rules, WHOLE_STORE,
 )
 
-# The inputs of this module are small tables (months, classes, hours, quadrants), so a
-# window over all rows sees few of them.
-ALL_ROWS = Window.partitionBy()
-
 
 def share_of(column: str) -> Column:
-    return F.try_divide(F.col(column), F.sum(column).over(ALL_ROWS))
+    """Share of the column total. Only used on small tables (months, classes, quadrants), so
+    a window over all rows sees few of them."""
+    return F.try_divide(F.col(column), F.sum(column).over(Window.partitionBy()))
 
 
 def channel_totals(monthly: DataFrame) -> DataFrame:
