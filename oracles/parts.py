@@ -288,7 +288,7 @@ SELECT p.*, i.product_name, i.cat_l1, i.cat_l3, coalesce(t.retail_qty, 0) AS ret
 FROM (SELECT sku, count(*) AS n_bulk_orders, count(DISTINCT month) AS n_bulk_months, sum(qty) AS bulk_qty,
              quantile_cont(qty, 0.5) AS median_qty_per_order, max(qty) AS max_qty_per_order, sum(revenue) AS bulk_revenue,
              max(sale_date) AS last_bulk_date, quantile_cont(unit_cost, 0.5) AS unit_cost FROM o_purchase GROUP BY sku) p
-JOIN (SELECT DISTINCT ON (sku) sku, product_name, cat_l1, cat_l3 FROM o_stg ORDER BY sku, sold_at DESC, invoice_id DESC) i ON i.sku = p.sku
+JOIN (SELECT DISTINCT ON (sku) sku, product_name, cat_l1, cat_l3 FROM o_stg ORDER BY sku, sold_at DESC, product_name DESC, cat_l1 DESC, cat_l3 DESC) i ON i.sku = p.sku
 LEFT JOIN (SELECT sku, sum(quantity) AS retail_qty FROM o_sold WHERE NOT is_zero_price GROUP BY sku) t ON t.sku = p.sku,
 (SELECT count(DISTINCT date_trunc('month', sale_date)) AS n_data_months FROM o_stg) m
 """

@@ -14,6 +14,14 @@ def median(column: str | Column) -> Column:
     return F.percentile(column, F.lit(0.5))
 
 
+def counted_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """Interpolated median per key where values repeat often (costs, prices). Rows first
+    shrink to (key, value, count) by hash aggregation with map-side combine, so neither a
+    sort of all rows nor a hot key reaches the median itself."""
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.groupBy(*keys).agg(F.percentile(value, F.lit(0.5), F.col("_n")).alias(out))
+
+
 def banded_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """Interpolated median per key for values with unbounded distinct counts.
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from shelfcast.functions.tables import written
+
 
 def median_before(lines: DataFrame, key: str, time: str, order: list[Column], value: str,
                   out: str, hot_rows: int) -> DataFrame:
@@ -16,25 +18,30 @@ def median_before(lines: DataFrame, key: str, time: str, order: list[Column], va
     The weighted median over (carry, rows so far) equals the median over the full history,
     so nothing is approximated and no task sees more than a slice.
     """
+    # Found once and written: with no hot key, the usual case, the plan stays one window.
+    hot = written(
+        lines.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(key), "hot_keys")
+    if hot.isEmpty():
+        history = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return lines.withColumn(out, F.percentile(value, F.lit(0.5)).over(history))
+
     hour = F.date_trunc("hour", time)
-    hot = lines.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(key)
     # Hours of one key are bounded by the calendar, so this window is small for any key.
     earlier_hours = Window.partitionBy(key).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
-    slices = (
+    slices = written(
         lines.select(key, hour.alias("_hour")).join(hot, key, "left_semi")
         .groupBy(key, "_hour").agg(F.count(F.lit(1)).alias("_n"))
-        .select(key, "_hour", F.floor(F.coalesce(F.sum("_n").over(earlier_hours), F.lit(0)) / hot_rows).alias("_slice"))
-    )
+        .select(key, "_hour", F.floor(
+            F.coalesce(F.sum("_n").over(earlier_hours), F.lit(0)) / hot_rows).alias("_slice")), "slices")
     placed = (
         lines.withColumn("_hour", hour).join(slices, [key, "_hour"], "left")
         .withColumn("_slice", F.coalesce("_slice", F.lit(0))).drop("_hour")
     )
 
     # Carry of the hot keys: one row per (key, slice, value), counted before the slice.
-    hot_counts = (
+    hot_counts = written(
         placed.select(key, "_slice", value).filter(F.col(value).isNotNull()).join(hot, key, "left_semi")
-        .groupBy(key, "_slice", value).agg(F.count(F.lit(1)).alias("_n"))
-    )
+        .groupBy(key, "_slice", value).agg(F.count(F.lit(1)).alias("_n")), "hot_counts")
     grid = slices.select(key, "_slice").distinct().join(hot_counts.select(key, value).distinct(), key)
     earlier_slices = Window.partitionBy(key, value).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carry = (

@@ -11,8 +11,8 @@ from shelfcast.functions.medians import median
 from shelfcast.functions.scans import ordered_running
 from shelfcast.operators.staging import month_of, retail_sale, standard_retail, year_month_of
 from shelfcast.params import (
-    CHANNEL_INTERNAL, CHANNEL_RETAIL, CHANNEL_WHOLESALE, COST_ACTUAL, FREQUENT, INTERNAL,
-    NORMAL_DAYS, OCCASIONAL, ONCE, QUADRANT_LOSS, QUADRANT_POTENTIAL, QUADRANT_REVIEW,
+    BULK, CHANNEL_INTERNAL, CHANNEL_RETAIL, CHANNEL_WHOLESALE, COST_ACTUAL, FREQUENT, INTERNAL,
+    NORMAL_DAYS, OCCASIONAL, ONCE, ORGANIZATION, QUADRANT_LOSS, QUADRANT_POTENTIAL, QUADRANT_REVIEW,
     QUADRANT_STAR, QUADRANT_THIN, RETAIL, Rules, WHOLESALE, WHOLE_STORE,
 )
 
@@ -35,7 +35,7 @@ def open_days_by_month(calendar: DataFrame) -> DataFrame:
 
 # --- daily demand --------------------------------------------------------------------------
 
-def daily_category(staged: DataFrame, calendar: DataFrame, prices: DataFrame) -> DataFrame:
+def daily_category(staged: DataFrame, calendar: DataFrame, prices: DataFrame, rules: Rules) -> DataFrame:
     """Retail demand per open day and category; days without a sale are zero rows.
 
     Lines first shrink to (day, category, article, price) with map-side combine, so the join
@@ -50,7 +50,7 @@ def daily_category(staged: DataFrame, calendar: DataFrame, prices: DataFrame) ->
         by_price.withColumn("month", month_of("date")).join(prices, ["sku", "month"])
         .groupBy("date", "cat_l3").agg(
             F.sum("q").alias("quantity"), F.sum("r").alias("revenue"), F.sum("p").alias("profit"),
-            F.sum(F.when(F.col("unit_price") < 0.95 * usual, F.col("q"))).alias("discounted"),
+            F.sum(F.when(F.col("unit_price") < rules.discount_cut * usual, F.col("q"))).alias("discounted"),
             F.sum(F.col("unit_price") * F.col("q")).alias("sold_value"),
             F.sum(usual * F.col("q")).alias("usual_value"))
     )
@@ -116,10 +116,13 @@ def monthly(staged: DataFrame, calendar: DataFrame) -> DataFrame:
 def channel_monthly(staged: DataFrame, calendar: DataFrame, rules: Rules) -> DataFrame:
     """Retail invoices per open day by part of the day, next to wholesale orders.
 
-    An invoice whose lines fall into several channels counts under the first by name.
+    An invoice whose lines fall into several channels counts under the first by name. The
+    channel travels as its place in that order: a number keeps the aggregation hash-based.
     """
+    names = F.array(*[F.lit(c) for c in sorted((BULK, INTERNAL, ORGANIZATION, RETAIL))])
     invoices = staged.filter(~F.col("is_return")).groupBy("invoice_id").agg(
-        F.min("txn_channel").alias("channel"), F.min("sale_date").alias("sale_date"),
+        F.get(names, F.min(F.array_position(names, F.col("txn_channel"))).cast("int") - 1).alias("channel"),
+        F.min("sale_date").alias("sale_date"),
         F.min("sale_hour").alias("hour"), F.sum("line_revenue").alias("value"))
     retail, hour = F.col("channel") == RETAIL, F.col("hour")
     wholesale = F.col("channel").isin(*WHOLESALE)
@@ -163,13 +166,19 @@ def sku_abc(staged: DataFrame, calendar: DataFrame, rules: Rules) -> DataFrame:
     """Classes by retail quantity: A until 80% is reached, B until 95%, then C. The share
     before the article decides, so the article that crosses a cut belongs to the class
     above. Opening promotions stay in, unlike in ordinary retail demand.
+
+    Lines first shrink to article days. Names are keys there, because text in an aggregate
+    buffer would turn hashing into sorting.
     """
+    article_days = staged.filter(retail_sale() & ~F.col("is_zero_price")).groupBy(
+        "sku", "product_name", "cat_l1", "cat_l3", "sale_date").agg(
+        F.sum("quantity").alias("quantity"), F.sum("line_revenue").alias("revenue"),
+        F.sum(F.when(F.col("cost_fill_method").isNotNull(), F.col("line_profit"))).alias("profit"))
     articles = (
-        staged.filter(retail_sale() & ~F.col("is_zero_price")).groupBy("sku").agg(
+        article_days.groupBy("sku").agg(
             F.max("product_name").alias("product_name"), F.max("cat_l1").alias("cat_l1"),
             F.max("cat_l3").alias("cat_l3"),
-            F.sum("quantity").alias("quantity"), F.sum("line_revenue").alias("revenue"),
-            F.sum(F.when(F.col("cost_fill_method").isNotNull(), F.col("line_profit"))).alias("profit"),
+            F.sum("quantity").alias("quantity"), F.sum("revenue").alias("revenue"), F.sum("profit").alias("profit"),
             F.count_distinct("sale_date").alias("days_sold"),
             F.min("sale_date").alias("first_sale"), F.max("sale_date").alias("last_sale"))
         .filter("quantity > 0")
@@ -293,12 +302,14 @@ def bulk_sku(staged: DataFrame) -> DataFrame:
             F.max("qty").alias("max_qty_per_order"), F.sum("revenue").alias("bulk_revenue"),
             F.max("sale_date").alias("last_bulk_date"), median("unit_cost").alias("unit_cost"))
     )
-    # Names of the latest sale and the retail quantity come from one more pass.
+    # Names of the latest sale and the retail quantity come from one more pass, shrunk to one
+    # row per article and set of names before the names are compared.
     retail = retail_sale() & ~F.col("is_zero_price")
-    latest = lambda c: F.max(F.struct("sold_at", "invoice_id", c))[c].alias(c)
-    articles = staged.groupBy("sku").agg(
-        latest("product_name"), latest("cat_l1"), latest("cat_l3"),
-        F.sum(F.when(retail, F.col("quantity"))).alias("retail_qty"))
+    named = staged.groupBy("sku", "product_name", "cat_l1", "cat_l3").agg(
+        F.max("sold_at").alias("sold_at"), F.sum(F.when(retail, F.col("quantity"))).alias("retail_qty"))
+    latest = F.max(F.struct("sold_at", "product_name", "cat_l1", "cat_l3"))
+    articles = named.groupBy("sku").agg(latest.alias("_latest"), F.sum("retail_qty").alias("retail_qty")).select(
+        "sku", "_latest.product_name", "_latest.cat_l1", "_latest.cat_l3", "retail_qty")
     frequent = F.col("n_bulk_months") * 2 >= F.col("n_data_months")
     reserve = F.ceil("median_qty_per_order").cast("double")
     return (
@@ -401,8 +412,10 @@ def recent_sku_shares(staged: DataFrame, rules: Rules, level: str = "cat_l3") ->
     last_day = staged.agg(F.max("sale_date")).scalar()
     recent = staged.filter(retail_sale() & ~F.col("is_zero_price")).filter(
         F.col("sale_date") > F.date_sub(last_day, rules.share_days))
-    sold = recent.groupBy(level, "sku").agg(
-        F.max("product_name").alias("product_name"), F.sum("quantity").alias("qty"))
+    sold = (
+        recent.groupBy(level, "sku", "product_name").agg(F.sum("quantity").alias("qty"))
+        .groupBy(level, "sku").agg(F.max("product_name").alias("product_name"), F.sum("qty").alias("qty"))
+    )
     totals = sold.groupBy(level).agg(F.sum("qty").alias("_total"))
     best_first = Window.partitionBy(level).orderBy(F.col("qty").desc(), "sku")
     top = sold.withColumn("rk", F.row_number().over(best_first)).filter(F.col("rk") <= rules.top_skus)

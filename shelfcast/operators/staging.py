@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfcast.functions.joins import left_join_where
-from shelfcast.functions.medians import banded_median, median
+from shelfcast.functions.medians import banded_median, counted_median
 from shelfcast.functions.running import median_before
 from shelfcast.functions.scans import ordered_running
 from shelfcast.params import (
@@ -62,11 +62,13 @@ def clean_base(raw: DataFrame, rules: Rules) -> DataFrame:
 
 def category_levels(lines: DataFrame) -> DataFrame:
     """Split the path; a missing level takes the name of the level above."""
-    level = lambda n: F.split_part("category_path", F.lit(">>"), F.lit(n))
+    level = lambda i: F.nullif(F.get("_levels", F.lit(i)), F.lit(""))
     return (
-        lines.withColumn("cat_l1", level(1))
-        .withColumn("cat_l2", F.coalesce(F.nullif(level(2), F.lit("")), F.col("cat_l1")))
-        .withColumn("cat_l3", F.coalesce(F.nullif(level(3), F.lit("")), F.col("cat_l2")))
+        lines.withColumn("_levels", F.split("category_path", ">>"))
+        .withColumn("cat_l1", F.get("_levels", F.lit(0)))
+        .withColumn("cat_l2", F.coalesce(level(1), "cat_l1"))
+        .withColumn("cat_l3", F.coalesce(level(2), "cat_l2"))
+        .drop("_levels")
     )
 
 
@@ -125,7 +127,7 @@ def cost_lookups(lines: DataFrame) -> list[tuple[DataFrame, list[str]]]:
     """Median known cost per article (the code as sold, deleted mark included), and median
     cost share of the price per category path."""
     known = lines.filter(F.col("unit_cost") > 0)
-    by_article = known.groupBy("sku").agg(median("unit_cost").alias("_article_cost"))
+    by_article = counted_median(known, ["sku"], "unit_cost", "_article_cost")
     shares = known.filter(F.col("unit_price") > 0).withColumn("_share", F.col("unit_cost") / F.col("unit_price"))
     by_category = banded_median(shares, ["category_path"], "_share", "_cost_share")
     return [(by_article, ["sku"]), (by_category, ["category_path"])]

@@ -31,17 +31,19 @@ def stockout_suspects(staged: DataFrame, calendar: DataFrame, rules: Rules) -> D
         "date", F.row_number().over(Window.orderBy("date")).alias("place"))
     sales = (
         staged.filter(retail_sale()).join(regular_sellers(staged, calendar, rules), entity, "left_semi")
-        .groupBy(F.col(entity).alias("entity"), F.col("sale_date").alias("date"))
-        .agg(F.max("product_name").alias("product_name"), F.max("cat_l3").alias("cat_l3"))
+        .select(F.col(entity).alias("entity"), F.col("sale_date").alias("date")).distinct()
         .join(open_days, "date")
     )
+    names = (
+        staged.filter(retail_sale()).select(F.col(entity).alias("entity"), "product_name",
+                                            F.col("cat_l3").alias("category")).distinct()
+        .groupBy("entity").agg(F.max("product_name").alias("product_name"), F.max("category").alias("cat_l3"))
+    )
     own, in_order = Window.partitionBy("entity"), Window.partitionBy("entity").orderBy("place")
     gaps = (
         sales.withColumn("_end", open_day_count(calendar) + 1)
         .withColumn("_next", F.coalesce(F.lead("place").over(in_order), F.col("_end")))
         .withColumn("sell_day_ratio", F.count(F.lit(1)).over(own) / (F.col("_end") - F.min("place").over(own)))
-        .withColumn("product_name", F.max("product_name").over(own))
-        .withColumn("cat_l3", F.max("cat_l3").over(own))
         .withColumn("gap_open_days", F.col("_next") - F.col("place") - 1)
         .withColumn("chance_probability", F.pow(1 - F.col("sell_day_ratio"), F.col("gap_open_days")))
         .filter((F.col("gap_open_days") >= rules.min_gap)
@@ -50,7 +52,7 @@ def stockout_suspects(staged: DataFrame, calendar: DataFrame, rules: Rules) -> D
     day = lambda name: open_days.select(F.col("date").alias(name), F.col("place").alias(f"_{name}"))
     return (
         gaps.withColumn("_gap_start", F.col("place") + 1).withColumn("_gap_end", F.col("_next") - 1)
-        .join(day("gap_start"), "_gap_start").join(day("gap_end"), "_gap_end")
+        .join(day("gap_start"), "_gap_start").join(day("gap_end"), "_gap_end").join(names, "entity")
         .select(
             "entity", "product_name", "cat_l3", "gap_start", "gap_end", "gap_open_days", "sell_day_ratio",
             "chance_probability",

@@ -48,7 +48,7 @@ class Layers:
 
     @cached_property
     def daily(self) -> DataFrame:
-        return written(marts.daily_category(self.staged, self.calendar, self.prices), "daily")
+        return written(marts.daily_category(self.staged, self.calendar, self.prices, self.rules), "daily")
 
     # --- series and backtests ------------------------------------------------------------
 

@@ -1,4 +1,4 @@
-"""The streaming flows over the driver lines, delivered as monthly files."""
+"""The streaming flows over the driver lines, delivered as files."""
 
 from __future__ import annotations
 
@@ -18,17 +18,13 @@ def _folder(t: Layers, name: str) -> str:
     return f"{shared_folder(t.spark)}/shelfcast/{t.spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:8]}"
 
 
-def _delivered(df: DataFrame, folder: str, by: str) -> None:
-    """One file per value of `by`, as a shop would deliver them."""
-    df.repartition(F.col(by)).withColumn("_file", F.col(by)).write.partitionBy("_file").parquet(folder)
-
-
 @query("invoice_id:s sold_at:T sku:s loaded_at:T quantity:d unit_price:d unit_cost:d")
 def stream_ingest_dedup(t: Layers) -> DataFrame:
+    """Each writing task delivers one file, which carries its own hash."""
     root = _folder(t, "stream-lines")
-    monthly = t.raw.withColumn("source_hash", F.concat_ws("-", "source_hash", "period_month"))
-    _delivered(monthly, f"{root}/in", "source_hash")
-    lines = flows.file_stream(t.spark, f"{root}/in", monthly.schema, files_per_batch=40)
+    files = t.raw.withColumn("source_hash", F.concat_ws("-", "source_hash", F.spark_partition_id()))
+    files.write.parquet(f"{root}/in")
+    lines = flows.file_stream(t.spark, f"{root}/in", files.schema, files_per_batch=3)
     flows.run_to_end(flows.ingest_lines(lines, f"{root}/store"), f"{root}/checkpoint")
     return flows.current_lines(t.spark, f"{root}/store")
 
@@ -36,10 +32,8 @@ def stream_ingest_dedup(t: Layers) -> DataFrame:
 @query("date:t n_invoices:i revenue:d quantity:d")
 def stream_daily_traffic(t: Layers) -> DataFrame:
     root = _folder(t, "stream-traffic")
-    needed = t.staged.select(
-        "invoice_id", "sold_at", "txn_channel", "is_return", "line_revenue", "quantity",
-        F.date_format("sale_date", "yyyy").alias("year"))
-    _delivered(needed, f"{root}/in", "year")
+    needed = t.staged.select("invoice_id", "sold_at", "txn_channel", "is_return", "line_revenue", "quantity")
+    needed.write.parquet(f"{root}/in")
     staged = flows.file_stream(t.spark, f"{root}/in", needed.schema, files_per_batch=3)
     flows.run_to_end(flows.follow_traffic(staged, f"{root}/store", "4000 days"), f"{root}/checkpoint")
     return flows.current_traffic(t.spark, f"{root}/store")
@@ -50,9 +44,8 @@ def stream_reconcile(t: Layers) -> DataFrame:
     """The hold-out days arrive in files; the last verdicts must equal the batch ones."""
     root = _folder(t, "stream-reconcile")
     days = (
-        t.series.filter(F.col("ds") > F.lit(t.holdout_start)).select("unique_id", "ds", "y_raw", "is_closed")
-        .withColumn("batch", F.date_format("ds", "yyyy-MM")))
-    _delivered(days, f"{root}/in", "batch")
+        t.series.filter(F.col("ds") > F.lit(t.holdout_start)).select("unique_id", "ds", "y_raw", "is_closed"))
+    days.repartitionByRange("ds").write.parquet(f"{root}/in")
     reference = evaluate.metrics(t.weeks).filter(
         (F.col("scope") == SCOPE_ALL) & (F.col("model") == t.champion)).agg(F.max("WMAPE")).first()[0]
     actuals = flows.file_stream(t.spark, f"{root}/in", days.schema, files_per_batch=1)
