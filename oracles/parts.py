@@ -620,7 +620,10 @@ SELECT * FROM (SELECT *, rank() OVER (PARTITION BY cat ORDER BY qty DESC, sku) A
 """
 PARTS["o_policy"] = f"""
 SELECT w.unique_id, w.cutoff, w.y, m.policy, ceil(round(m.wanted, 6)) AS wanted,
-       coalesce(u.unit_cost, (SELECT quantile_cont(unit_cost, 0.5) FROM o_unit_before)) AS cost
+       coalesce(u.unit_cost, (SELECT quantile_cont(unit_cost, 0.5) FROM o_unit_before)) AS cost,
+       coalesce(u.unit_price, (SELECT quantile_cont(unit_price, 0.5) FROM o_unit_before)) AS price,
+       (SELECT life FROM o_lives WHERE name = w.unique_id) AS life,
+       row_number() OVER (PARTITION BY w.unique_id, m.policy ORDER BY w.cutoff) AS n
 FROM (SELECT h.unique_id, h.cutoff, any_value(h.y) AS y, any_value(s.tau) AS tau, any_value(h.demand_class) AS demand_class,
              max(CASE WHEN model = 'HistoricAverage' THEN yhat END) AS a, max(CASE WHEN model = 'MovingAvg28' THEN yhat END) AS b,
              max(CASE WHEN model = (SELECT model FROM o_champion) THEN yhat END) AS c
@@ -658,3 +661,33 @@ SELECT *, over_limit OR biased AS flagged FROM (
                week_start = max(week_start) OVER () AS is_latest
         FROM o_runs WINDOW w AS (ORDER BY week_start ROWS UNBOUNDED PRECEDING)))
 """
+
+_SUM = "coalesce(list_sum(list_transform({x}, lambda l: l.qty)), 0)"
+PARTS["o_stock"] = f"""
+WITH RECURSIVE sim AS (
+  SELECT DISTINCT policy, unique_id, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(qty DOUBLE, age INTEGER)[]) AS lots,
+         CAST(0 AS DOUBLE) AS bought, CAST(0 AS DOUBLE) AS miss, CAST(0 AS DOUBLE) AS y, CAST(0 AS DOUBLE) AS expired,
+         CAST(0 AS DOUBLE) AS cost, CAST(0 AS DOUBLE) AS price
+  FROM o_policy
+  UNION ALL
+  SELECT policy, unique_id, n, list_filter(aged, lambda l: life IS NULL OR l.age < life), bought, y - sold, y,
+         {_SUM.format(x="list_filter(aged, lambda l: coalesce(l.age >= life, false))")}, cost, price
+  FROM (SELECT *, list_filter(list_transform(pool, lambda l, i: {{
+                 'qty': l.qty - least(l.qty, greatest(sold - {_SUM.format(x="pool[1:i - 1]")}, 0)), 'age': l.age + 1}}),
+                 lambda l: l.qty > 1e-9) AS aged
+        FROM (SELECT *, least(y, on_hand + bought) AS sold,
+                     CASE WHEN bought > 0 THEN list_append(lots, {{'qty': bought, 'age': CAST(0 AS INTEGER)}}) ELSE lots END AS pool
+              FROM (SELECT *, greatest(wanted - on_hand, 0) AS bought
+                    FROM (SELECT s.policy, s.unique_id, w.n, s.lots, w.y, w.wanted, w.cost, w.price, w.life,
+                                 {_SUM.format(x="s.lots")} AS on_hand
+                          FROM sim s JOIN o_policy w ON w.policy = s.policy AND w.unique_id = s.unique_id AND w.n = s.n + 1)))))
+SELECT *, {_SUM.format(x="lots")} AS held FROM sim WHERE n > 0
+"""
+PARTS["o_carry"] = f"""
+SELECT *, lost_profit + excess_value + holding_cost AS total_cost FROM (
+  SELECT 'Nhiều kỳ (có chuyển tồn)' AS mode, policy, sum(bought) AS units_ordered, sum(miss) AS units_short, sum(expired) AS units_excess,
+         count(*) FILTER (WHERE y > 0 AND miss <= 0.5) / CAST(count(*) FILTER (WHERE y > 0) AS DOUBLE) AS service_level,
+         1 - sum(miss) / sum(y) AS fill_rate, sum(expired * cost) AS excess_value,
+         sum(miss * greatest(price - cost, 0)) AS lost_profit, sum(held * cost) * CAST({R.holding_rate_week!r} AS DOUBLE) AS holding_cost
+  FROM o_stock GROUP BY policy)
+"""

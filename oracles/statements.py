@@ -388,3 +388,22 @@ FROM (SELECT p.cat_l1, sum(p.forecast_week) AS w, coalesce(any_value(x.qty_facto
 SQL["stream_ingest_dedup"] = "SELECT * FROM o_dedup"
 SQL["stream_daily_traffic"] = "SELECT * FROM o_traffic"
 SQL["stream_reconcile"] = "SELECT * FROM o_drift"
+
+SQL["pol_backtest_carry"] = "SELECT * FROM o_carry"
+_components = ("units_ordered", "units_short", "units_excess", "excess_value", "lost_profit", "holding_cost", "total_cost")
+SQL["kpi_policy_change"] = """
+SELECT n.mode, n.component, n.value AS new, o.value AS old, n.value / nullif(o.value, 0) - 1 AS change
+FROM (SELECT mode, policy, component, value FROM o_parts WHERE policy = 'quantile') n
+JOIN (SELECT * FROM o_parts WHERE policy = 'moving_average') o ON o.mode = n.mode AND o.component = n.component""".replace(
+    "o_parts", "(" + " UNION ALL ".join(
+        [f"SELECT mode, policy, '{c}' AS component, CAST({c} AS DOUBLE) AS value FROM o_carry" for c in _components]
+        + [f"SELECT mode, policy, '{c}', CAST({c if c in _components[:4] else 'NULL'} AS DOUBLE) FROM o_single" for c in _components]) + ")")
+SQL["kpi_series_view"] = """
+SELECT unique_id, last - CAST(7 * k + 6 AS INTEGER) AS block_start, 'actual' AS kind, sum(y_raw) AS value,
+       CAST(NULL AS DOUBLE) AS lower, CAST(NULL AS DOUBLE) AS upper
+FROM (SELECT *, (last - ds) // 7 AS k FROM o_imputed, o_last WHERE NOT is_closed AND last - ds < 70) GROUP BY unique_id, k, last
+UNION ALL
+SELECT f.unique_id, f.cutoff + CAST(7 * f.k + 1 AS INTEGER), 'forecast', f.v, f.v * q.q10, f.v * q.q90
+FROM (SELECT unique_id, cutoff, (ds - cutoff - 1) // 7 AS k, sum(forecast) AS v FROM o_future GROUP BY 1, 2, 3) f
+JOIN o_profile p ON p.unique_id = f.unique_id
+LEFT JOIN o_quantiles q ON q.demand_class = p.demand_class AND q.horizon_week = f.k + 1"""
