@@ -15,7 +15,7 @@ from shelfcast.functions.tables import written
 from shelfcast.operators import (
     evaluate, forecast, learner, marts, policy, series as ts, smoothing, staging)
 from shelfcast.params import BINDING, DEFAULT, Rules
-from shelfcast.plans.session import prepared
+from shelfcast.plans.session import prepared, sized_for
 from shelfcast.sources.binding import raw_sales_lines
 
 
@@ -224,5 +224,6 @@ _built: dict[tuple[str, str], Layers] = {}
 def layers_for(spark: SparkSession, sf_dir: str) -> Layers:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _built:
-        _built[key] = Layers(raw_sales_lines(prepared(spark), sf_dir), BINDING)
+        sized_for(prepared(spark), [f"{sf_dir}/{name}.parquet" for name in ("lineitem", "orders", "part")])
+        _built[key] = Layers(raw_sales_lines(spark, sf_dir), BINDING)
     return _built[key]

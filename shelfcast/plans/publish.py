@@ -14,6 +14,7 @@ from shelfcast.functions.tables import written
 from shelfcast.operators import basket, evaluate, explain, learner, marts, monitor, policy, stockout
 from shelfcast.params import DEFAULT, Rules, SENSITIVE_COLUMNS, SNAPSHOT_LIVE
 from shelfcast.plans.layers import Layers
+from shelfcast.plans.session import prepared, sized_for
 from shelfcast.sources.ingest import read_export
 from shelfcast.sources.sinks import export_tables
 
@@ -123,7 +124,7 @@ def publish_folder(t: Layers, folder: str) -> list[str]:
 
 def main(argv: list[str], rules: Rules = DEFAULT) -> None:
     folder, exports = argv[0], argv[1:]
-    spark = SparkSession.builder.appName("shelfcast").getOrCreate()
+    spark = sized_for(prepared(SparkSession.builder.appName("shelfcast").getOrCreate()), exports)
     t = Layers(written(read_export(spark, exports), "raw"), rules, all_methods=True)
     for name in publish_folder(t, folder):
         print(name)
