@@ -333,3 +333,36 @@ def test_sample_is_repeatable(spark):
     df = spark.range(100).select(F.col("id"))
     first = [r[0] for r in explain.sampled(df, 10, ["id"]).collect()]
     assert len(first) == 10 and first == [r[0] for r in explain.sampled(df.repartition(5), 10, ["id"]).collect()]
+
+
+def test_learner_converges_and_beats_last_week_repeated(spark):
+    """Sparse series with a weekly pattern: the fitted model must track their level."""
+    from shelfcast.operators import learner
+
+    rng = random.Random(9)
+    rows = [(f"s{k}", START + timedelta(days=i), float(rng.random() < 0.5) * rng.randrange(1, 6) * (k + 1)
+             * (2 if i % 7 == 3 else 1), f"c{k % 2}") for k in range(6) for i in range(200)]
+    df = spark.createDataFrame(rows, "unique_id string, ds date, y double, cat_l1 string").withColumn(
+        "is_closed", F.lit(False)).withColumn("y_raw", F.col("y"))
+    cut = START + timedelta(days=171)
+    fc = learner.learned_forecasts(df, ts.features(df), [cut], 28)
+    naive = forecast.averages(df, [cut], 28).filter("model = 'SeasonalNaive'")
+    scores = {r["model"]: r for r in evaluate.daily_errors(fc.drop("x").unionByName(naive), df)
+              .withColumn("y", F.col("y_raw")).groupBy("model")
+              .agg(evaluate.wmape().alias("wmape"), evaluate.bias().alias("bias")).collect()}
+    assert abs(scores["GlobalTweedie"]["bias"]) < 0.25
+    assert scores["GlobalTweedie"]["wmape"] < scores["SeasonalNaive"]["wmape"]
+
+
+def test_batch_features_equal_recursive_ones(spark):
+    """The first forecast step must see the columns the training rows have for that day."""
+    from shelfcast.operators import learner
+
+    rng = random.Random(11)
+    df = ready(daily(spark, [rng.randrange(0, 9) for _ in range(80)])).select("unique_id", "ds", "y", "cat_l1")
+    day = START + timedelta(days=60)
+    feats = ts.features(df)
+    row = learner.design(feats, ["X"]).filter(F.col("ds") == F.lit(day)).first()
+    n = len(learner.design_names(["X"]))
+    first = learner.learned_forecasts(df, feats, [day - timedelta(days=1)], 1).first()
+    assert list(first["x"]) == pytest.approx([row[f"x{i}"] for i in range(n)])
