@@ -407,3 +407,16 @@ SELECT f.unique_id, f.cutoff + CAST(7 * f.k + 1 AS INTEGER), 'forecast', f.v, f.
 FROM (SELECT unique_id, cutoff, (ds - cutoff - 1) // 7 AS k, sum(forecast) AS v FROM o_future GROUP BY 1, 2, 3) f
 JOIN o_profile p ON p.unique_id = f.unique_id
 LEFT JOIN o_quantiles q ON q.demand_class = p.demand_class AND q.horizon_week = f.k + 1"""
+
+SQL["kpi_monthly_pivot"] = """
+SELECT year_month, coalesce(max(revenue_per_open_day) FILTER (WHERE channel = 'Bán lẻ'), 0) AS retail,
+       coalesce(max(revenue_per_open_day) FILTER (WHERE channel = 'Đơn lớn / tổ chức'), 0) AS wholesale
+FROM o_monthly GROUP BY year_month"""
+SQL["kpi_heat_grid"] = "SELECT iso_weekday, " + ", ".join(
+    f"coalesce(max(avg_invoices) FILTER (WHERE sale_hour = {h}), 0) AS h{h}" for h in range(6, 22)
+) + " FROM o_heat GROUP BY iso_weekday"
+SQL["kpi_least_profitable"] = """
+SELECT rank() OVER (ORDER BY profit, cat_l2) AS rank, cat_l2, revenue, profit, margin FROM o_margin QUALIFY rank <= 8"""
+SQL["mon_snapshot_list"] = """
+SELECT run_id, any_value(kind) AS kind, any_value(week_start) AS week_start, any_value(created_at) AS created_at,
+       sum(forecast_week) AS forecast_total FROM o_replay GROUP BY run_id"""

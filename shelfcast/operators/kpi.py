@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from shelfcast.functions.medians import median
 from shelfcast.operators.marts import rows
 from shelfcast.params import (
-    BEFORE_HOLIDAY, CHANNEL_RETAIL, QUADRANT_LOSS, Rules, WHOLE_STORE,
+    BEFORE_HOLIDAY, CHANNEL_RETAIL, CHANNEL_WHOLESALE, QUADRANT_LOSS, Rules, WHOLE_STORE,
 )
 
 
@@ -27,6 +27,21 @@ def channel_totals(monthly: DataFrame) -> DataFrame:
         F.try_divide("profit", "revenue").alias("margin"))
 
 
+def monthly_by_channel(monthly: DataFrame) -> DataFrame:
+    """Revenue per open day, months by sales channel; a channel without sales shows zero."""
+    wide = monthly.groupBy("year_month").pivot("channel", [CHANNEL_RETAIL, CHANNEL_WHOLESALE]).agg(
+        F.max("revenue_per_open_day"))
+    return wide.select("year_month", *[
+        F.coalesce(F.col(f"`{label}`"), F.lit(0.0)).alias(name)
+        for label, name in ((CHANNEL_RETAIL, "retail"), (CHANNEL_WHOLESALE, "wholesale"))])
+
+
+def heat_grid(heat: DataFrame, hours: range = range(6, 22)) -> DataFrame:
+    """Average invoices, weekdays by hours of the day; empty cells show zero."""
+    wide = heat.groupBy("iso_weekday").pivot("sale_hour", list(hours)).agg(F.max("avg_invoices"))
+    return wide.select("iso_weekday", *[F.coalesce(F.col(str(h)), F.lit(0.0)).alias(f"h{h}") for h in hours])
+
+
 def traffic_monthly(traffic: DataFrame) -> DataFrame:
     return traffic.groupBy(F.date_format("date", "yyyy-MM").alias("year_month")).agg(
         (F.sum("n_invoices") / rows()).alias("inv_per_day"),
@@ -86,6 +101,11 @@ def loss_list(margin: DataFrame, n: int | None = None) -> DataFrame:
     return losses.limit(n) if n else losses
 
 
+def least_profitable(margin: DataFrame, n: int) -> DataFrame:
+    lowest = margin.orderBy("profit", "cat_l2").limit(n)
+    return lowest.withColumn("rank", F.row_number().over(Window.orderBy("profit", "cat_l2")))
+
+
 def cost_anomalies(staged: DataFrame) -> DataFrame:
     """Per level-2 category: the fake loss its suspect costs would book, and the product that
     loses most with known cost."""

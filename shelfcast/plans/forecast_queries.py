@@ -379,6 +379,11 @@ def mon_accuracy(t: Layers) -> DataFrame:
     return monitor.total_accuracy(mon_snapshot_eval(t))
 
 
+@query("run_id:s kind:s week_start:t created_at:t forecast_total:r")
+def mon_snapshot_list(t: Layers) -> DataFrame:
+    return monitor.snapshot_list(monitor.backfill(t.weeks, t.champion))
+
+
 # --- what-ifs ------------------------------------------------------------------------------------------
 
 @query("cat_l1:s slope:r net_factor:r base_week:r scenario_week:r extra_order:r")

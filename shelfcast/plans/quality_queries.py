@@ -128,3 +128,19 @@ def kpi_holiday_top(t: Layers) -> DataFrame:
 @query("holiday:t date:t n_invoices:i revenue:d quantity:d")
 def kpi_holiday_window(t: Layers) -> DataFrame:
     return kpi.days_around(marts.daily_traffic(t.staged), t.rules.holidays, before=38, after=31)
+
+
+@query("year_month:s retail:d wholesale:d")
+def kpi_monthly_pivot(t: Layers) -> DataFrame:
+    return kpi.monthly_by_channel(marts.monthly(t.staged, t.calendar))
+
+
+@query("iso_weekday:i " + " ".join(f"h{h}:r" for h in range(6, 22)))
+def kpi_heat_grid(t: Layers) -> DataFrame:
+    return kpi.heat_grid(marts.hour_weekday(t.staged, t.calendar))
+
+
+@query("rank:i cat_l2:s revenue:d profit:d margin:r")
+def kpi_least_profitable(t: Layers) -> DataFrame:
+    """The categories that earn least, as a short list."""
+    return kpi.least_profitable(marts.category_margin(t.staged), 8)
