@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-from shelfcast.llm import licences, mixing, secrets, sharding, warc
+from shelfcast.llm import (
+    decontaminate, licences, mixing, neardup_vectors, ngram_join, quality, secrets, sharding, toxicity, warc)
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_sorted_projections": neardup_vectors.op2_sorted_projections,
+    "op3_lexicon_automata": toxicity.op3_lexicon_automata,
     "op4_hypergeometric_shards": sharding.op4_hypergeometric_shards,
     "op5_secret_spans": secrets.op5_secret_spans,
     "op6_licences": licences.op6_licences,
+    "op7_ngram_jaccard": ngram_join.op7_ngram_jaccard,
+    "op8_bayes_support_vectors": quality.op8_bayes_support_vectors,
+    "op9_simhash_windows": decontaminate.op9_simhash_windows,
     "op10_warc_normaliser": warc.op10_warc_normaliser,
 }
 ORACLES = {
     "op1_mix_sources": mixing.ORACLE,
+    "op2_sorted_projections": neardup_vectors.ORACLE,
     "op5_secret_spans": secrets.ORACLE,
     "op6_licences": licences.ORACLE,
+    "op7_ngram_jaccard": ngram_join.ORACLE,
+    "op9_simhash_windows": decontaminate.ORACLE,
     "op10_warc_normaliser": warc.ORACLE,
 }
