@@ -1,4 +1,8 @@
-"""The corpus pipeline: documents through the stages below, each on all that the last one kept."""
+"""The corpus pipeline: documents through the stages below, each on all that the last one kept.
+
+Each stage takes (spark, docs, sf_dir) and returns documents; its rows are written and read
+again as the next one's input. All but the last keep the columns of documents.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +11,29 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfcast.functions.tables import shared_folder
+from shelfcast.llm import toxicity
 from shelfcast.llm.common import table
+from shelfcast.llm.decontaminate import decontaminated
 from shelfcast.llm.mixing import mixed
+from shelfcast.llm.ngram_join import deduplicated
 from shelfcast.llm.sharding import sharded
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score stays below the cut, by a model fitted on the labels of `sf_dir`."""
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id."""
+    return deduplicated(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of `benchmark`."""
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
     return mixed(docs)
@@ -22,9 +44,13 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharded(docs)
 
 
-STAGES = [("mix", mix), ("shard", shard)]
+STAGES = [
+    ("toxicity", reject_toxic), ("ngram_jaccard_join", deduplicate), ("decontamination", decontaminate),
+    ("mixing", mix), ("sharding", shard),
+]
 
-# The stages before the mix learn from labels, so SQL cannot express the rows.
+# The first stage learns from labels, so SQL cannot express the rows; tests hold the stages
+# against brute force.
 ORACLE_SQL = None
 
 

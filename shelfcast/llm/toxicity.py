@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from shelfcast.functions.shipping import shipped
 from shelfcast.functions.tables import written
-from shelfcast.llm.common import table
+from shelfcast.llm.common import fresh, table
 from shelfcast.llm.labels import held_out, logistic, training_sample
 from shelfcast.llm.lexicon import LETTERS, STEM, WORD, LexiconAutomaton, WordMatches
 
@@ -67,7 +67,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "toxic": pa.array([counts[1][t] for t in terms], pa.int64())})
 
 
-def learned_lexicon(sample: DataFrame, weights: dict[int, float]) -> list[tuple[str, str, float]]:
+def learned_lexicon(sample: DataFrame) -> list[tuple[str, str, float]]:
     """(term, kind, log-odds of a toxic text) for a bounded number of terms."""
     texts = {int(r["label"]): r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(texts) < 2:
@@ -137,7 +137,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int
     once = sample.groupBy(F.md5("text").alias("side")).agg(F.min("text").alias("text"), F.max("label").alias("label"))
     sample = written(once, "toxicity-sample")
     first = F.conv(F.substring("side", 1, 2), 16, 10).cast("int") % 2 == 0
-    entries = learned_lexicon(sample.filter(first), weights)
+    entries = learned_lexicon(sample.filter(first))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matches = WordMatches(LexiconAutomaton(entries))
@@ -152,28 +152,27 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int
     return entries, logistic(x, y, w / w.mean() if len(w) else w, ridge=0.5).tolist()
 
 
-def scored(docs: DataFrame, model: tuple[list, list[float]], text: str = "text") -> DataFrame:
+def scored(docs: DataFrame, model: tuple[list, list[float]], text: str = "text", score: str = "score") -> DataFrame:
     """`docs` with `score`, the chance that a whole text is toxic."""
     shipped(docs.sparkSession)
     entries, beta = model
-    kept = docs.drop("score")
-    schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())])
+    kept = docs.drop(score)
+    schema = T.StructType([*kept.schema.fields, T.StructField(score, T.DoubleType())])
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def chances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matches, coefficients = WordMatches(LexiconAutomaton(entries)), np.array(beta)
         for batch in batches:
             rows = np.array([text_features(t.as_py(), matches) for t in batch.column(text)]).reshape(batch.num_rows, N_FEATURES)
             chance = 1 / (1 + np.exp(-np.clip(rows @ coefficients[:-1] + coefficients[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chance)], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chance)], [*batch.schema.names, score])
 
-    return kept.mapInArrow(score, schema)
+    return kept.mapInArrow(chances, schema)
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`docs` without those the score rejects."""
-    score = "score"
-    model = fitted(docs, labels)
-    return scored(docs, model).filter(F.col(score) < CUT).select(*docs.columns)
+    score = fresh(docs, "score")
+    return scored(docs, fitted(docs, labels), score=score).filter(F.col(score) < CUT).select(*docs.columns)
 
 
 def op3_lexicon_automata(spark, sf_dir: str) -> DataFrame:
