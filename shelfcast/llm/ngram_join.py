@@ -156,7 +156,8 @@ def _verified(grouped: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFr
     members = written(grouped.join(sizes, "component").join(classes.select("node", "copies", "text_row"), "node"), "groups")
     # One row per class; rows that are equal share a row key, and any of them will do.
     wanted = members.select("node", "text_row")
-    texts = docs.join(wanted, docs["row_key"] == wanted["text_row"]).select("node", "text")
+    # The list grows with the corpus, so this is a merge join whatever its size: one way at every size.
+    texts = docs.join(wanted.hint("merge"), docs["row_key"] == wanted["text_row"]).select("node", "text")
     # A row key that repeats (equal rows, ids and all) gives a node several times.
     shingles = _shingled(texts).groupBy("node").agg(F.first("shingles").alias("shingles"))
     dealt = block_pairs(members.drop("text_row"), "component", "members", "node", GROUP_BLOCK, GROUP_TASK)
