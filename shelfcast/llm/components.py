@@ -16,18 +16,19 @@ def components(edges: DataFrame) -> DataFrame:
 
     `edges` has columns u, v of one orderable type without nulls. Each round points every node's
     larger neighbours, then its smaller ones, at the smallest node it knows; the rounds grow
-    with the logarithm of a component's size. A hub is a hot join key, which adaptive execution
-    splits, and its minimum is taken before the shuffle. Each round is written.
+    with the logarithm of a component's size. A hub's minimum is taken before the shuffle. The
+    hub is then a hot key of a join: the minima are written, so that both sides of the join come
+    straight from a shuffle and adaptive execution can split it. Each round is written.
     """
     pairs = written(
         edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star")
     before, now = None, _stamp(pairs)
     while now != before:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large, "large-star")
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        down = written(large.groupBy("u").agg(F.min("v").alias("m")), "down")
         moved = large.join(down, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = written(moved.unionByName(down.withColumnRenamed("m", "v")).distinct(), "star")
         before, now = now, _stamp(pairs)
