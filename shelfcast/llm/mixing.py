@@ -84,7 +84,9 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
-    sized = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    # Sizes are written first: the range bounds, the targets and the plan then read no text.
+    sized = written(
+        table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     plan = planned(sized, size="size")
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"),
                        "source", "copies")
