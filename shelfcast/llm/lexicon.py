@@ -48,6 +48,9 @@ class LexiconAutomaton:
         self.states: dict[frozenset, int] = {}
         self.steps: list[dict[str, int]] = []
         self.sets: list[frozenset] = []
+        # Of each state: the best stem it has reached, and the best word it ends.
+        self.begun: list[float | None] = []
+        self.ended: list[tuple[bool, float] | None] = []
         self.dead = self._state({})
         self.start = self._state({0: 0})
 
@@ -65,6 +68,9 @@ class LexiconAutomaton:
             self.states[key] = len(self.sets)
             self.sets.append(key)
             self.steps.append({})
+            self.begun.append(max((self.stems[n] for n, e in key if e == 0 and self.stems[n] is not None), default=None))
+            ends = [(e, self.words[n]) for n, e in key if self.words[n] is not None]
+            self.ended.append(max(((e == 0, weight) for e, (weight, most) in ends if e <= most), default=None))
         return self.states[key]
 
     def _step(self, state: int, letter: str) -> int:
@@ -83,23 +89,21 @@ class LexiconAutomaton:
 
     def match(self, word: str) -> tuple[float, bool] | None:
         """(weight, exact) of the best entry the word is, begins with, or misspells."""
-        state, best = self.start, None
-        for at, letter in enumerate(word):
-            letter = letter if letter in self.alphabet else "\0"
+        state, stem = self.start, None
+        for letter in word:
             after = self.steps[state].get(letter)
             if after is None:
-                after = self.steps[state][letter] = self._step(state, letter)
+                after = self.steps[state][letter] = self._step(state, letter if letter in self.alphabet else "\0")
             state = after
             if state == self.dead:
-                return best
-            for node, errors in self.sets[state]:
-                if errors == 0 and self.stems[node] is not None and (best is None or self.stems[node] > best[0]):
-                    best = (self.stems[node], True)
-        for node, errors in self.sets[state]:
-            term = self.words[node]
-            if term is not None and errors <= term[1] and (best is None or (errors == 0, term[0]) > (best[1], best[0])):
-                best = (term[0], errors == 0)
-        return best
+                return None if stem is None else (stem, True)
+            begun = self.begun[state]
+            if begun is not None and (stem is None or begun > stem):
+                stem = begun
+        ended = self.ended[state]
+        if stem is not None and (ended is None or (True, stem) >= ended):
+            return stem, True
+        return None if ended is None else (ended[1], ended[0])
 
 
 class WordMatches(dict):

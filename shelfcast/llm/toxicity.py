@@ -1,8 +1,8 @@
 """Toxicity by a learned lexicon, misspellings included, read in context.
 
 * The lexicon is learned from labelled documents: words, and stems of words, that stand in far
-  more toxic texts than others. One half of the sample gives the lexicon, the other the weights
-  of the score, so that the score has seen how the lexicon does on new texts.
+  more toxic texts than others. The weights of the score are fitted on features from a lexicon
+  of the other half of the sample, so that the score has seen how lexicons do on new texts.
 * Levenshtein automata intersected with the lexicon's trie find its words with one or two
   letters wrong.
 * A window of words around each match tells quotation (between quote marks, or next to a word
@@ -73,10 +73,18 @@ def learned_lexicon(sample: DataFrame) -> list[tuple[str, str, float]]:
     if len(texts) < 2:
         return []
     odds = F.log((F.col("toxic") + 0.5) / (texts[1] + 1)) - F.log((F.col("clean") + 0.5) / (texts[0] + 1))
-    counted = (
+    # Twice the log-likelihood ratio against a term that is as common in both kinds of text.
+    both, everything = F.col("toxic") + F.col("clean"), texts[0] + texts[1]
+    part = lambda n, kind: F.when(n > 0, n * F.log(n * everything / (both * texts[kind]))).otherwise(0.0)
+    evidence = 2 * (part(F.col("toxic"), 1) + part(F.col("clean"), 0))
+    every = written(
         sample.select("text", "label").mapInArrow(_term_counts, "term string, clean long, toxic long")
-        .groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        .filter(F.col("toxic") >= LEAST_TEXTS).withColumn("weight", odds).filter(F.col("weight") >= LEAST_WEIGHT))
+        .groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "terms")
+    # With so many terms, chance alone would show about one beyond this.
+    needed = 2 * math.log(max(every.count(), 1))
+    counted = (
+        every.filter(F.col("toxic") >= LEAST_TEXTS).withColumn("weight", odds)
+        .filter((F.col("weight") >= LEAST_WEIGHT) & (evidence >= needed)))
     best = counted.orderBy(F.desc(F.col("weight") * F.log1p("toxic")), "term").limit(MOST_ENTRIES).collect()
     stems = {r["term"]: r["weight"] for r in best if not r["term"].endswith(" ")}
     words = {r["term"][:-1]: (r["weight"], r["toxic"]) for r in best if r["term"].endswith(" ")}
@@ -137,15 +145,22 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int
     once = sample.groupBy(F.md5("text").alias("side")).agg(F.min("text").alias("text"), F.max("label").alias("label"))
     sample = written(once, "toxicity-sample")
     first = F.conv(F.substring("side", 1, 2), 16, 10).cast("int") % 2 == 0
-    entries = learned_lexicon(sample.filter(first))
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matches = WordMatches(LexiconAutomaton(entries))
-        for batch in batches:
-            rows = [text_features(t, matches) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("label").cast(pa.int32()), pa.array(rows, pa.list_(pa.float64()))], ["label", "x"])
 
-    seen = sample.filter(~first).select("text", "label").mapInArrow(features, "label int, x array<double>").collect()
+    def seen_through(entries: list[tuple[str, str, float]]):
+        def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matches = WordMatches(LexiconAutomaton(entries))
+            for batch in batches:
+                rows = [text_features(t, matches) for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("label").cast(pa.int32()), pa.array(rows, pa.list_(pa.float64()))], ["label", "x"])
+
+        return features
+
+    seen = []
+    for half, other in ((first, ~first), (~first, first)):
+        through = seen_through(learned_lexicon(sample.filter(half)))
+        seen += sample.filter(other).select("text", "label").mapInArrow(through, "label int, x array<double>").collect()
+    entries = learned_lexicon(sample)
     x = np.array([r["x"] for r in seen]).reshape(len(seen), N_FEATURES)
     y = np.array([r["label"] for r in seen], float)
     w = np.array([weights[int(v)] for v in y])
