@@ -446,28 +446,97 @@ def best_level(x: str) -> str:
                               + (CAST(1 AS DOUBLE) - (CAST(0.1 AS DOUBLE) + CAST(0.02 AS DOUBLE) * k)) * s.level}}))).level"""
 
 
-PARTS["o_gaps"] = f"""
+def gaps(hist: str) -> str:
+    return f"""
 SELECT unique_id, cutoff, ys, {_DEMAND} AS sizes, places,
        list_transform(places, lambda p, i: CAST(p - CASE WHEN i = 1 THEN 0 ELSE places[i - 1] END AS DOUBLE)) AS gaps,
        CAST(round_even(places[len(places)] / CAST(len(places) AS DOUBLE), 0) AS INTEGER) AS mean_gap
-FROM (SELECT *, list_filter(list_transform(ys, lambda v, i: CASE WHEN v > 0 THEN i END), lambda p: p IS NOT NULL) AS places FROM o_hist)
+FROM (SELECT *, list_filter(list_transform(ys, lambda v, i: CASE WHEN v > 0 THEN i END), lambda p: p IS NOT NULL) AS places FROM {hist})
 """
 
-PARTS["o_croston"] = f"""
-SELECT unique_id, cutoff, {best_level('sizes')} / {best_level('gaps')} AS rate FROM o_gaps
-"""
 
-PARTS["o_blocks"] = f"""
-SELECT unique_id, cutoff, k, mean_gap, {best_level('sums')} / k AS rate
-FROM (SELECT unique_id, cutoff, mean_gap, k,
+def blocks(gap_part: str) -> str:
+    return f"""
+SELECT unique_id, cutoff, k, longest, {best_level('sums')} / k AS rate
+FROM (SELECT unique_id, cutoff, longest, k,
              list_transform(range(len(ys) // k), lambda b: list_sum(ys[len(ys) % k + b * k + 1 : len(ys) % k + b * k + k])) AS sums
-      FROM (SELECT *, unnest(range(1, mean_gap + 1)) AS k FROM o_gaps))
+      FROM (SELECT *, coalesce(mean_gap, 1) AS longest, unnest(range(1, coalesce(mean_gap, 1) + 1)) AS k FROM {gap_part}))
+"""
+
+
+# Exponential smoothing: one row per series, variant and day, day after day.
+_grid = [(a, b, g) for a in (0.02, 0.05, 0.1, 0.2, 0.4) for b in (0.0, 0.02) for g in (0.0, 0.02, 0.1)]
+PARTS["o_variants"] = "SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, CAST({a} AS DOUBLE), CAST({b} AS DOUBLE), CAST({g} AS DOUBLE))" for i, (a, b, g) in enumerate(_grid)) + ") v(variant, alpha, beta, gamma)"
+# Weeks end on a series' last day, as the cutoffs do; days before its first are null.
+PARTS["o_ets_days"] = """
+SELECT unique_id, ds, y, t, (t + shift) // 7 AS w, (t + shift) % 7 AS j, shift
+FROM (SELECT *, (7 - count(*) OVER (PARTITION BY unique_id) % 7) % 7 AS shift
+      FROM (SELECT unique_id, ds, y, row_number() OVER (PARTITION BY unique_id ORDER BY ds) - 1 AS t FROM o_imputed))
+"""
+PARTS["o_ets_weeks"] = "SELECT unique_id, w, max(ds) AS ds, count(*) AS days, " + ", ".join(
+    f"max(y) FILTER (WHERE j = {j}) AS y{j}" for j in range(7)) + " FROM o_ets_days GROUP BY unique_id, w"
+PARTS["o_ets_start"] = """
+SELECT unique_id, shift, list_sum(f) / len(f) AS start,
+       list_transform(range(7), lambda i: CASE WHEN i >= len(f) THEN list_sum(f) / len(f) WHEN i + 7 >= len(f) THEN f[i + 1]
+                      ELSE (f[i + 1] + f[i + 8]) / CAST(2 AS DOUBLE) END - list_sum(f) / len(f)) AS pattern
+FROM (SELECT unique_id, any_value(shift) AS shift, list(y ORDER BY ds) AS f FROM o_ets_days WHERE t < 14 GROUP BY unique_id)
+"""
+
+
+def _week() -> str:
+    """One week of smoothing, a nested select per day."""
+    sql = "SELECT run.*, w.ds AS day, w.days, " + ", ".join(f"w.y{j}" for j in range(7)) + (
+        " FROM run JOIN o_ets_weeks w ON w.unique_id = run.unique_id AND w.w = run.weeks")
+    for j in range(7):
+        sql = f"SELECT *, coalesce(y{j} - (level + slope + s{j}), 0) AS e, y{j} IS NOT NULL AS known FROM ({sql})"
+        sql = (f"SELECT * EXCLUDE (e, known) REPLACE (sse + e * e AS sse, CASE WHEN known THEN level + slope + alpha * e ELSE level END AS level, "
+               f"slope + beta * alpha * e AS slope, s{j} + gamma * e AS s{j}) FROM ({sql})")
+    return sql
+
+
+PARTS["o_ets_states"] = f"""
+WITH RECURSIVE run AS (
+  SELECT s.unique_id, v.*, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS weeks, CAST(NULL AS DATE) AS ds, CAST(0 AS DOUBLE) AS sse,
+         s.start AS level, CAST(0 AS DOUBLE) AS slope,
+         {", ".join(f"CASE WHEN gamma > 0 THEN s.pattern[({j} + 7 - shift) % 7 + 1] ELSE CAST(0 AS DOUBLE) END AS s{j}" for j in range(7))}
+  FROM o_ets_start s, o_variants v
+  UNION ALL
+  SELECT unique_id, variant, alpha, beta, gamma, n + days, weeks + 1, day, sse, level, slope, {", ".join(f"s{j}" for j in range(7))} FROM ({_week()}))
+SELECT * FROM run WHERE ds IN (SELECT cutoff FROM o_cut UNION SELECT cutoff FROM o_cut_long UNION SELECT cutoff FROM o_cut_now)
+"""
+PARTS["o_ets_best"] = f"""
+SELECT unique_id, ds AS cutoff, level, slope, [{", ".join(f"s{j}" for j in range(7))}] AS season FROM (
+  SELECT *, n * ln(greatest(sse, 1e-9) / n) + 2 * k + 2 * k * (k + 1) / CAST(greatest(n - k - 1, 1) AS DOUBLE) AS criterion
+  FROM (SELECT *, 2 + 2 * CASE WHEN beta > 0 THEN 1 ELSE 0 END + 7 * CASE WHEN gamma > 0 THEN 1 ELSE 0 END AS k FROM o_ets_states))
+QUALIFY row_number() OVER (PARTITION BY unique_id, ds ORDER BY round(criterion, 6), variant) = 1
 """
 
+
+def statistical(hist: str, native_part: str, gap_part: str, block_part: str, horizon: int) -> str:
+    """The eight models that work series by series, by day ahead."""
+    ahead = f"range(1, {horizon + 1}) r(step)"
+    day = "cutoff + CAST(step AS INTEGER) AS ds"
+    return f"""
+SELECT * FROM {native_part}
+UNION ALL SELECT unique_id, cutoff, {day}, 'Croston', coalesce({best_level('sizes')} / {best_level('gaps')}, 0) FROM {gap_part}, {ahead}
+UNION ALL SELECT unique_id, cutoff, {day}, 'ADIDA', rate FROM {block_part}, {ahead} WHERE k = longest
+UNION ALL SELECT unique_id, cutoff, {day}, 'IMAPA', rate FROM (SELECT unique_id, cutoff, avg(rate) AS rate FROM {block_part} GROUP BY 1, 2), {ahead}
+UNION ALL SELECT b.unique_id, b.cutoff, b.{day}, 'AutoETS', greatest(level + slope * step + season[(step - 1) % 7 + 1], 0)
+FROM o_ets_best b JOIN {hist} h ON h.unique_id = b.unique_id AND h.cutoff = b.cutoff, {ahead}
+"""
+
+
+for _suffix, _horizon in (("", R.horizon), ("_long", R.long_horizon), ("_now", R.long_horizon)):
+    PARTS["o_gaps" + _suffix] = gaps("o_hist" + _suffix)
+    PARTS["o_blocks" + _suffix] = blocks("o_gaps" + _suffix)
+    PARTS["o_stat" + _suffix] = statistical(
+        "o_hist" + _suffix, "o_native" + _suffix, "o_gaps" + _suffix, "o_blocks" + _suffix, _horizon)
+
 # --- scoring ---------------------------------------------------------------------------------
 
 PARTS["o_errors"] = """
-SELECT f.*, a.y_raw FROM o_native f JOIN o_imputed a ON a.unique_id = f.unique_id AND a.ds = f.ds WHERE NOT a.is_closed
+SELECT f.*, a.y_raw FROM o_stat f JOIN o_imputed a ON a.unique_id = f.unique_id AND a.ds = f.ds WHERE NOT a.is_closed
 """
 PARTS["o_weeks"] = f"""
 SELECT w.*, CASE WHEN w.win <= {R.n_selection} THEN 'selection' ELSE 'holdout' END AS phase, p.demand_class, p.cat_l1, p.cat_l2
@@ -485,7 +554,7 @@ UNION ALL SELECT 'Giai đoạn chọn mô hình', model, {_measures} FROM o_week
 PARTS["o_champion"] = f"""
 SELECT model, "WMAPE" AS wmape, "Bias" AS bias FROM o_metrics WHERE scope = 'Giai đoạn chọn mô hình'
 ORDER BY CASE WHEN abs("Bias") <= {R.max_abs_bias} THEN 0 ELSE 1 END, "WMAPE",
-         list_position(['HistoricAverage', 'MovingAvg28', 'SeasonalNaive', 'TSB'], model) LIMIT 1
+         list_position(['HistoricAverage', 'MovingAvg28', 'SeasonalNaive', 'AutoETS', 'Croston', 'ADIDA', 'IMAPA', 'TSB'], model) LIMIT 1
 """
 _level = """SELECT '{name}' AS level, model, sum(abs(f - y)) / nullif(sum(abs(y)), 0) AS "WMAPE", sum(f - y) / sum(y) AS "Bias"
 FROM (SELECT model, sum(yhat) AS f, sum(y) AS y FROM o_hold GROUP BY model, cutoff{key}) GROUP BY model"""
@@ -493,7 +562,7 @@ PARTS["o_levels"] = " UNION ALL ".join(_level.format(name=n, key=k) for n, k in
     ("Nhóm hàng cấp 3", ", unique_id"), ("Nhóm hàng cấp 2", ", cat_l2"), ("Ngành hàng cấp 1", ", cat_l1"),
     ("Toàn cửa hàng", "")))
 PARTS["o_report"] = """
-SELECT h.*, b.wmape_baseline, coalesce(h.wmape < b.wmape_baseline, false) AS improved,
+SELECT h.*, b.wmape_baseline, coalesce(round(h.wmape, 9) < round(b.wmape_baseline, 9), false) AS improved,
        CASE WHEN demand_class = 'insufficient' OR wmape IS NULL THEN 'Chưa đủ dữ liệu' WHEN wmape <= 0.30 THEN 'Cao'
             WHEN wmape <= 0.50 THEN 'Trung bình' ELSE 'Thấp' END AS confidence
 FROM (SELECT unique_id, any_value(demand_class) AS demand_class, any_value(cat_l1) AS cat_l1, any_value(cat_l2) AS cat_l2,
@@ -548,13 +617,14 @@ PARTS["o_ratio"] = ratios("o_champion_weeks", "demand_class")
 PARTS["o_ratio_selection"] = ratios("o_selection_weeks", "demand_class")
 PARTS["o_long_weeks"] = """
 SELECT f.unique_id, f.cutoff, (f.ds - f.cutoff - 1) // 7 + 1 AS horizon_week, p.demand_class, sum(a.y_raw) AS y, sum(f.yhat) AS yhat
-FROM o_native_long f JOIN o_imputed a ON a.unique_id = f.unique_id AND a.ds = f.ds
+FROM o_stat_long f JOIN o_imputed a ON a.unique_id = f.unique_id AND a.ds = f.ds
 JOIN o_profile_before p ON p.unique_id = f.unique_id
 WHERE NOT a.is_closed AND f.model = (SELECT model FROM o_champion) GROUP BY 1, 2, 3, 4
 """
 PARTS["o_ratio_long"] = ratios("o_long_weeks", "demand_class, horizon_week")
 PARTS["o_quantiles"] = """
-SELECT *, 1 AS horizon_week FROM o_ratio UNION ALL BY NAME SELECT * FROM o_ratio_long WHERE horizon_week > 1
+SELECT *, 1 AS horizon_week FROM o_ratio UNION ALL BY NAME SELECT * FROM o_ratio_long
+WHERE horizon_week > 1 AND (SELECT model FROM o_champion) IN ('AutoETS', 'IMAPA')
 """
 _lives = ", ".join(f"('{n}', {w})" for n, w in R.shelf_life.items())
 PARTS["o_lives"] = f"SELECT * FROM (VALUES {_lives}) v(name, life)"
@@ -592,7 +662,7 @@ LEFT JOIN o_factors x ON x.cat_l1 = p.cat_l1 AND x.holiday_window = h.w
 """
 
 
-PARTS["o_future"] = layered("(SELECT * FROM o_native_now WHERE model = (SELECT model FROM o_champion))")
+PARTS["o_future"] = layered("(SELECT * FROM o_stat_now WHERE model = (SELECT model FROM o_champion))")
 PARTS["o_unit"] = f"""
 SELECT {L} AS unique_id, sum(quantity * unit_cost_filled) / sum(quantity) AS unit_cost FROM o_stg
 WHERE txn_channel = 'retail' AND quantity > 0 AND cost_fill_method IS NOT NULL GROUP BY 1

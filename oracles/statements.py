@@ -202,7 +202,7 @@ SELECT measure, early, late_mean AS late, late_mean / early - 1 AS change FROM (
     SELECT m.revenue_per_open_day, x.inv_per_day, x.basket, c.*, rank() OVER (ORDER BY m.year_month DESC) <= 2 AS late
     FROM o_monthly m JOIN o_traffic_month x ON x.year_month = m.year_month
     JOIN ({SQL["mart_channel_monthly"]}) c ON c.year_month = m.year_month
-    WHERE m.channel = 'Bán lẻ' AND m.year_month <> '1998-02')
+    WHERE m.channel = 'Bán lẻ' AND m.year_month NOT IN ('1996-02', '1997-02', '1998-02', '1999-02', '2000-02', '2001-02'))
   {_shift_rows})"""
 SQL["kpi_abc_summary"] = """
 SELECT abc_class, count(*) AS n_items, count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM o_abc) AS item_share,
@@ -275,13 +275,15 @@ for _name, _model in (("fc_historic_average", "HistoricAverage"), ("fc_moving_av
                       ("fc_seasonal_naive", "SeasonalNaive"), ("fc_tsb", "TSB")):
     SQL[_name] = f"SELECT * FROM o_native WHERE model = '{_model}'"
 _ahead = f"range(1, {R.horizon + 1}) r(step)"
-SQL["fc_croston"] = f"""
-SELECT unique_id, cutoff, cutoff + CAST(step AS INTEGER) AS ds, 'Croston' AS model, rate AS yhat FROM o_croston, {_ahead}"""
-SQL["fc_adida"] = f"""
-SELECT unique_id, cutoff, cutoff + CAST(step AS INTEGER) AS ds, 'ADIDA' AS model, rate AS yhat FROM o_blocks, {_ahead} WHERE k = mean_gap"""
-SQL["fc_imapa"] = f"""
-SELECT unique_id, cutoff, cutoff + CAST(step AS INTEGER) AS ds, 'IMAPA' AS model, avg(rate) AS yhat FROM o_blocks, {_ahead}
-GROUP BY unique_id, cutoff, step"""
+for _name, _model in (("fc_croston", "Croston"), ("fc_adida", "ADIDA"), ("fc_imapa", "IMAPA"), ("fc_ets", "AutoETS")):
+    SQL[_name] = f"SELECT * FROM o_stat WHERE model = '{_model}'"
+SQL["fc_future"] = "SELECT * FROM o_stat_now"
+SQL["fc_ensembles_gap"] = f"""
+SELECT unique_id, cutoff, cutoff + CAST(step AS INTEGER) AS ds, model, 0 AS gap FROM o_hist, {_ahead},
+(VALUES ('Ens_Tweedie_IMAPA'), ('Ens_Tweedie_ETS_IMAPA'), ('Ens_Tweedie_IMAPA_MA')) m(model)"""
+for _name in ("xp_local_gap", "xp_waterfall_gap"):
+    SQL[_name] = f"""
+SELECT unique_id, cutoff + CAST(step AS INTEGER) AS ds, 0 AS gap FROM o_hist_now, range(1, {R.horizon + 1}) r(step)"""
 SQL["fc_fallback56"] = f"""
 SELECT unique_id, last AS cutoff, last + CAST(step AS INTEGER) AS ds, 'TB 8 tuần (chưa đủ dữ liệu)' AS model, yhat
 FROM (SELECT unique_id, last, coalesce(avg(y_raw) FILTER (WHERE last - ds < {R.share_days}), 0) AS yhat
@@ -305,6 +307,15 @@ SELECT compared_to, n AS n_series, md AS mean_abs_err_diff, better AS share_seri
        (w - n * (n + 1) / CAST(4 AS DOUBLE)) / sqrt(n * (n + 1) * (2 * n + 1) / CAST(24 AS DOUBLE) - t / CAST(48 AS DOUBLE)) AS z_stat
 FROM (SELECT compared_to, count(*) AS n, avg(d) AS md, avg(CASE WHEN d < 0 THEN 1 ELSE 0 END) AS better, sum(ties * ties - 1) AS t,
              least(coalesce(sum(r) FILTER (WHERE d > 0), 0), coalesce(sum(r) FILTER (WHERE d < 0), 0)) AS w FROM o_signed GROUP BY 1)"""
+_cells = 20000
+_normal_p = f"""1 - sqrt(2 / pi()) * abs(z_stat) / {_cells}
+    * list_sum(list_transform(range({_cells}), lambda i: exp(-pow((i + 0.5) * abs(z_stat) / {_cells}, 2) / 2)))"""
+_student_p = f"""1 - 2 * exp(lgamma(n_days / CAST(2 AS DOUBLE)) - lgamma((n_days - 1) / CAST(2 AS DOUBLE))) / sqrt((n_days - 1) * pi()) * abs(dm_stat) / {_cells}
+    * list_sum(list_transform(range({_cells}), lambda i: pow(1 + pow((i + 0.5) * abs(dm_stat) / {_cells}, 2) / (n_days - 1), -n_days / CAST(2 AS DOUBLE))))"""
+SQL["ev_significance"] = f"""
+SELECT (SELECT model FROM o_champion) AS model, compared_to, n_series, mean_abs_err_diff, share_series_better, w_stat, z_stat,
+       {_normal_p} AS wilcoxon_p, n_days, share_days_better, dm_stat, {_student_p} AS dm_p
+FROM ({SQL["ev_wilcoxon"]}) JOIN ({SQL["ev_dm_stat"]}) USING (compared_to)"""
 SQL["ev_champion"] = "SELECT * FROM o_champion"
 SQL["ev_levels"] = "SELECT * FROM o_levels"
 SQL["ev_per_series"] = "SELECT * FROM o_report"
@@ -327,8 +338,8 @@ SQL["kpi_class_by_model"] = "SELECT model, " + ", ".join(
 SQL["kpi_class_mix"] = """
 SELECT demand_class, count(*) AS n_series, sum(total_qty) / (SELECT sum(total_qty) FROM o_profile) AS qty_share FROM o_profile GROUP BY 1"""
 SQL["kpi_biased_series"] = """
-SELECT count(*) FILTER (WHERE abs(tracking_signal) > 2) AS n_biased, count(*) FILTER (WHERE tracking_signal > 2) AS n_high,
-       count(*) FILTER (WHERE tracking_signal < -2) AS n_low FROM o_report"""
+SELECT count(*) FILTER (WHERE abs(tracking_signal) > 4) AS n_biased, count(*) FILTER (WHERE tracking_signal > 4) AS n_high,
+       count(*) FILTER (WHERE tracking_signal < -4) AS n_low FROM o_report"""
 
 # --- orders ----------------------------------------------------------------------------------------
 SQL["pol_ratio_quantiles"] = "SELECT * FROM o_ratio"
@@ -403,7 +414,9 @@ SELECT unique_id, last - CAST(7 * k + 6 AS INTEGER) AS block_start, 'actual' AS
        CAST(NULL AS DOUBLE) AS lower, CAST(NULL AS DOUBLE) AS upper
 FROM (SELECT *, (last - ds) // 7 AS k FROM o_imputed, o_last WHERE NOT is_closed AND last - ds < 70) GROUP BY unique_id, k, last
 UNION ALL
-SELECT f.unique_id, f.cutoff + CAST(7 * f.k + 1 AS INTEGER), 'forecast', f.v, f.v * q.q10, f.v * q.q90
+SELECT f.unique_id, f.cutoff + CAST(7 * f.k + 1 AS INTEGER), 'forecast', f.v,
+       f.v * last_value(q.q10 IGNORE NULLS) OVER (PARTITION BY f.unique_id ORDER BY f.k),
+       f.v * last_value(q.q90 IGNORE NULLS) OVER (PARTITION BY f.unique_id ORDER BY f.k)
 FROM (SELECT unique_id, cutoff, (ds - cutoff - 1) // 7 AS k, sum(forecast) AS v FROM o_future GROUP BY 1, 2, 3) f
 JOIN o_profile p ON p.unique_id = f.unique_id
 LEFT JOIN o_quantiles q ON q.demand_class = p.demand_class AND q.horizon_week = f.k + 1"""
@@ -413,10 +426,18 @@ SELECT year_month, coalesce(max(revenue_per_open_day) FILTER (WHERE channel = 'B
        coalesce(max(revenue_per_open_day) FILTER (WHERE channel = 'Đơn lớn / tổ chức'), 0) AS wholesale
 FROM o_monthly GROUP BY year_month"""
 SQL["kpi_heat_grid"] = "SELECT iso_weekday, " + ", ".join(
-    f"coalesce(max(avg_invoices) FILTER (WHERE sale_hour = {h}), 0) AS h{h}" for h in range(6, 22)
+    f"coalesce(max(avg_invoices) FILTER (WHERE sale_hour = {h}), 0) AS h{h}" for h in range(24)
 ) + " FROM o_heat GROUP BY iso_weekday"
 SQL["kpi_least_profitable"] = """
 SELECT rank() OVER (ORDER BY profit, cat_l2) AS rank, cat_l2, revenue, profit, margin FROM o_margin QUALIFY rank <= 8"""
 SQL["mon_snapshot_list"] = """
 SELECT run_id, any_value(kind) AS kind, any_value(week_start) AS week_start, any_value(created_at) AS created_at,
        sum(forecast_week) AS forecast_total FROM o_replay GROUP BY run_id"""
+
+
+
+
+def contested(names: list[str]) -> dict[str, str]:
+    """Statements by query name. Of queries registered twice, SQL repeats the contest among the
+    models that work series by series."""
+    return {f"{name}_statistical" if name in names else name: sql for name, sql in SQL.items()}

@@ -110,7 +110,8 @@ def per_series(weeks: DataFrame, chosen: str) -> DataFrame:
     base = holdout.filter(F.col("model") == BASELINE).groupBy("unique_id").agg(wmape().alias("wmape_baseline"))
     return (
         ours.join(base, "unique_id")
-        .withColumn("improved", F.coalesce(F.col("wmape") < F.col("wmape_baseline"), F.lit(False)))
+        # Rounded, so that equal forecasts do not differ by the order of their sums.
+        .withColumn("improved", F.coalesce(F.round("wmape", 9) < F.round("wmape_baseline", 9), F.lit(False)))
         .withColumn("confidence", confidence())
     )
 

@@ -9,11 +9,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from shelfcast.operators.learner import FEATURE_GROUPS, LEVEL_GROUPS, design_names
 
 
-def sampled(df: DataFrame, n: int, keys: list[str], seed: int = 0) -> DataFrame:
-    """A fixed-size random sample that is the same in every run: smallest hashes first."""
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
-
-
 def group_of(column: str) -> str:
     name = column.split("=")[0]
     return FEATURE_GROUPS.get(name, name)

@@ -20,14 +20,16 @@ TSB_SMOOTHING = 0.2
 
 # --- fixed values: the ensembles and their members ------------------------------------------
 ENSEMBLES = {
-    "Ens_LGB_IMAPA": ("GlobalTweedie", "IMAPA"),
-    "Ens_LGB_ETS_IMAPA": ("GlobalTweedie", "AutoETS", "IMAPA"),
-    "Ens_LGB_IMAPA_MA": ("GlobalTweedie", "IMAPA", "MovingAvg28"),
+    "Ens_Tweedie_IMAPA": ("GlobalTweedie", "IMAPA"),
+    "Ens_Tweedie_ETS_IMAPA": ("GlobalTweedie", "AutoETS", "IMAPA"),
+    "Ens_Tweedie_IMAPA_MA": ("GlobalTweedie", "IMAPA", "MovingAvg28"),
 }
 MODEL_ORDER = (
     "HistoricAverage", "MovingAvg28", "SeasonalNaive", "AutoETS", "Croston", "ADIDA", "IMAPA", "TSB",
     "GlobalTweedie", *ENSEMBLES,
 )
+# Those computed series by series, without a model learned over all of them.
+STATISTICAL = MODEL_ORDER[:8]
 
 
 def spread(state: DataFrame, horizon: int, models: dict[str, Column]) -> DataFrame:
@@ -162,6 +164,13 @@ def native_forecasts(series: DataFrame, last_days: list[date], horizon: int) ->
     return averages(series, last_days, horizon).unionByName(probability_smoothed(series, last_days, horizon))
 
 
+# Which names each of the methods above gives.
+METHODS = (
+    ({"HistoricAverage", "MovingAvg28", "SeasonalNaive"}, averages), ({"Croston"}, intermittent),
+    ({"ADIDA", "IMAPA"}, aggregated), ({"TSB"}, probability_smoothed),
+)
+
+
 def fallback(series: DataFrame, profile: DataFrame, last_day: date, horizon: int, rules: Rules) -> DataFrame:
     """Series too thin to model: the mean of the open days of the last eight weeks."""
     thin = profile.filter(F.col("demand_class") == "insufficient").select("unique_id")

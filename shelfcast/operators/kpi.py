@@ -36,7 +36,7 @@ def monthly_by_channel(monthly: DataFrame) -> DataFrame:
         for label, name in ((CHANNEL_RETAIL, "retail"), (CHANNEL_WHOLESALE, "wholesale"))])
 
 
-def heat_grid(heat: DataFrame, hours: range = range(6, 22)) -> DataFrame:
+def heat_grid(heat: DataFrame, hours: range = range(24)) -> DataFrame:
     """Average invoices, weekdays by hours of the day; empty cells show zero."""
     wide = heat.groupBy("iso_weekday").pivot("sale_hour", list(hours)).agg(F.max("avg_invoices"))
     return wide.select("iso_weekday", *[F.coalesce(F.col(str(h)), F.lit(0.0)).alias(f"h{h}") for h in hours])

@@ -17,10 +17,14 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame, Window, functions as F
 
+from shelfcast.functions.shipping import shipped
 from shelfcast.functions.tables import written
 from shelfcast.operators.series import LAGS
 
 POWER = 1.2
+TOLERANCE, RIDGE = 1e-3, 0.01
+# Days of history a step looks back on.
+LOOK_BACK = 35
 LAG_FEATURES = [f"lag{k}" for k in LAGS] + [
     "rolling_mean_7", "rolling_mean_28", "rolling_std_28", "expanding_mean", "rolling_mean_28_lag7"]
 
@@ -52,22 +56,31 @@ def design(features: DataFrame, categories: list[str]) -> DataFrame:
         "unique_id", "ds", "y", "cat_l1", *[c.alias(f"x{i}") for i, c in enumerate(columns)])
 
 
-def fit(rows: DataFrame, n_columns: int) -> np.ndarray:
+def points(rows: DataFrame, n_columns: int) -> DataFrame:
+    """Design rows with their columns as one vector."""
+    assembled = VectorAssembler(inputCols=[f"x{i}" for i in range(n_columns)], outputCol="x")
+    return assembled.transform(rows).select("ds", "y", "x")
+
+
+def fit_points(vectors: DataFrame) -> np.ndarray:
     """Intercept and weights. The fit is distributed: every iteration is one pass over the
-    rows, kept in memory or on executor disk meanwhile, and only the weights come back.
+    rows, and only the weights come back.
 
     The solver starts from the observed values. With many days without a sale that start is
     poor and it needs about sixteen iterations, so a smaller limit would return nonsense.
     """
-    assembled = VectorAssembler(inputCols=[f"x{i}" for i in range(n_columns)], outputCol="x")
-    points = assembled.transform(rows).select("y", "x").persist()
+    model = GeneralizedLinearRegression(
+        family="tweedie", variancePower=POWER, linkPower=0.0, featuresCol="x", labelCol="y",
+        maxIter=40, tol=TOLERANCE, regParam=RIDGE).fit(vectors)
+    return np.concatenate([[model.intercept], model.coefficients.toArray()])
+
+
+def fit(rows: DataFrame, n_columns: int) -> np.ndarray:
+    vectors = points(rows, n_columns).persist()
     try:
-        model = GeneralizedLinearRegression(
-            family="tweedie", variancePower=POWER, linkPower=0.0, featuresCol="x", labelCol="y",
-            maxIter=40, tol=1e-3, regParam=0.01).fit(points)
+        return fit_points(vectors)
     finally:
-        points.unpersist()
-    return np.concatenate([[model.intercept], model.coefficients.toArray()])
+        vectors.unpersist()
 
 
 def _recursion(weights: dict[date, np.ndarray], categories: list[str], horizon: int) -> Callable:
@@ -107,25 +120,34 @@ def top_categories(features: DataFrame) -> list[str]:
 def learned_forecasts(series: DataFrame, features: DataFrame, last_days: list[date], horizon: int) -> DataFrame:
     """Fit once per cutoff on the rows up to it, then forecast step by step.
 
-    The recursion is vectorised over all series of an Arrow batch. The result also carries
+    The recursion is vectorised over all series of an Arrow batch. Days before a series began
+    count as its mean, so a short series is forecast like any other. The result also carries
     `x`, the model columns of each forecast, for explanations.
     """
     categories = top_categories(features)
     rows = written(design(features, categories), "design")
     n_columns = len(design_names(categories))
-    # Every fit is a chain of small distributed jobs; several run side by side.
-    with ThreadPoolExecutor(min(6, len(last_days))) as pool:
-        fitted = pool.map(lambda c: fit(rows.filter(F.col("ds") <= F.lit(c)), n_columns), last_days)
-        weights = dict(zip(last_days, fitted))
+    # The rows are kept in memory, or on executor disk, once; every fit is a chain of small
+    # distributed jobs over those up to its cutoff, and several run side by side.
+    vectors = points(rows, n_columns).persist()
+    try:
+        with ThreadPoolExecutor(min(6, len(last_days))) as pool:
+            fitted = pool.map(lambda c: fit_points(vectors.filter(F.col("ds") <= F.lit(c))), last_days)
+            weights = dict(zip(last_days, fitted))
+    finally:
+        vectors.unpersist()
     own = Window.partitionBy("unique_id").orderBy("ds")
     state = (
         series.select(
             "unique_id", "cat_l1", F.col("ds").alias("cutoff"),
-            F.collect_list("y").over(own.rowsBetween(-34, 0)).alias("last35"),
+            F.collect_list("y").over(own.rowsBetween(1 - LOOK_BACK, 0)).alias("last35"),
             F.sum("y").over(own.rowsBetween(Window.unboundedPreceding, 0)).alias("total"),
             F.count("y").over(own.rowsBetween(Window.unboundedPreceding, 0)).alias("n"))
-        .filter(F.col("cutoff").isin(last_days) & (F.size("last35") == 35))
+        .filter(F.col("cutoff").isin(last_days) & (F.col("n") > 0))
+        .withColumn("last35", F.concat(
+            F.array_repeat(F.col("total") / F.col("n"), F.lit(LOOK_BACK) - F.size("last35")), "last35"))
     )
+    shipped(series.sparkSession)
     return state.mapInPandas(
         _recursion(weights, categories, horizon),
         "unique_id string, cutoff date, ds date, model string, yhat double, x array<double>")

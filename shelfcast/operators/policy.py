@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfcast.functions.holidays import holiday_offset, holiday_window
 from shelfcast.functions.medians import median
+from shelfcast.operators.forecast import ENSEMBLES
 from shelfcast.operators.marts import rows
 from shelfcast.params import (
     MODE_CARRY, MODE_SINGLE, QUADRANT_STAR, Rules, SERVICE_DURABLE, SERVICE_PERISHABLE,
@@ -41,10 +42,14 @@ def horizon_quantiles(daily: DataFrame, profile: DataFrame, chosen: str, rules:
     return ratio_quantiles(weeks, rules, ("demand_class", "horizon_week"))
 
 
-def calibrated(first_week: DataFrame, by_horizon: DataFrame) -> DataFrame:
-    """Week 1 from the weekly backtest, later weeks from the long one."""
-    return first_week.withColumn("horizon_week", F.lit(1).cast("bigint")).unionByName(
-        by_horizon.filter("horizon_week > 1"))
+# --- fixed values: champions whose later weeks are calibrated by a long backtest ------------
+LONG_TESTED = (*ENSEMBLES, "GlobalTweedie", "AutoETS", "IMAPA")
+
+
+def calibrated(first_week: DataFrame, by_horizon: DataFrame | None = None) -> DataFrame:
+    """Week 1 from the weekly backtest, later weeks from the long one, if there is one."""
+    first = first_week.withColumn("horizon_week", F.lit(1).cast("bigint"))
+    return first if by_horizon is None else first.unionByName(by_horizon.filter("horizon_week > 1"))
 
 
 # --- service classes ---------------------------------------------------------------------------

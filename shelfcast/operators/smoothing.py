@@ -1,71 +1,72 @@
 """Seasonal exponential smoothing chosen by an information criterion.
 
-Approximate by design: the smoothing weights come from a small grid instead of a
-continuous search. A series is one group (bounded by the calendar); one pass over its days
-serves every cutoff, because errors and states only look back.
+Approximate by design: the smoothing weights come from a small grid instead of a continuous
+search. One pass over a series' days (their number is bounded by the calendar) serves every
+cutoff, because errors and states only look back; variants and series spread over the cluster.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import date
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from shelfcast.operators.forecast import spread
 
 SEASON = 7
 LEVEL = (0.02, 0.05, 0.1, 0.2, 0.4)
 TREND = (0.0, 0.02)
 SEASONAL = (0.0, 0.02, 0.1)
+# (level, trend, seasonal) weights; a zero weight leaves that component out.
+VARIANTS = tuple((a, b, g) for a in LEVEL for b in TREND for g in SEASONAL)
+
 
+def _started(series: DataFrame) -> DataFrame:
+    """Per series and variant: days in order, level and weekday pattern of the first two weeks."""
+    variants = F.array(*[
+        F.struct(F.lit(i).alias("variant"), F.lit(a).alias("alpha"), F.lit(b).alias("beta"), F.lit(g).alias("gamma"))
+        for i, (a, b, g) in enumerate(VARIANTS)])
+    whole = series.groupBy("unique_id").agg(F.array_sort(F.collect_list(F.struct("ds", "y"))).alias("days"))
+    first = whole.withColumn("first", F.expr(f"transform(slice(days, 1, {2 * SEASON}), d -> d.y)"))
+    levelled = first.withColumn("start", F.expr("aggregate(first, 0D, (s, v) -> s + v) / size(first)"))
+    tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        levelled.select("unique_id", "days", "first", "start", F.inline(variants))
+        .withColumn("season", F.expr(f"""
+            transform(sequence(0, {SEASON - 1}), i -> CASE WHEN gamma = 0D OR i >= size(first) THEN 0D
+                WHEN i + {SEASON} >= size(first) THEN get(first, i) - start
+                ELSE (get(first, i) + get(first, i + {SEASON})) / 2D - start END)"""))
+        .repartition(tasks, "unique_id", "variant"))
 
-def _variants() -> np.ndarray:
-    """(level, trend, seasonal) weights; a zero weight leaves that component out."""
-    return np.array([(a, b, g) for a in LEVEL for b in TREND for g in SEASONAL])
 
+def _states(last_days: list[date]) -> Column:
+    """States after the days of `last_days`: (cutoff, n, sse, level, slope, season)."""
+    wanted = ", ".join(f"DATE '{d}'" for d in last_days)
+    kept = "array<struct<cutoff:date,n:int,sse:double,level:double,slope:double,season:array<double>>>"
+    return F.expr(f"""
+        aggregate(days, named_struct('n', 0, 'sse', 0D, 'level', start, 'slope', 0D, 'season', season,
+                                     'kept', cast(array() AS {kept})),
+          (s, d) -> transform(transform(array(d.y - (s.level + s.slope + get(s.season, s.n % {SEASON}))), e -> named_struct(
+            'n', s.n + 1, 'sse', s.sse + e * e, 'level', s.level + s.slope + alpha * e, 'slope', s.slope + beta * alpha * e,
+            'season', transform(s.season, (v, i) -> IF(i = s.n % {SEASON}, v + gamma * e, v)), 'kept', s.kept)),
+            x -> IF(array_contains(array({wanted}), d.ds), named_struct('n', x.n, 'sse', x.sse, 'level', x.level,
+              'slope', x.slope, 'season', x.season, 'kept', concat(x.kept, array(named_struct('cutoff', d.ds, 'n', x.n,
+              'sse', x.sse, 'level', x.level, 'slope', x.slope, 'season', x.season)))), x))[0],
+          s -> s.kept)""")
 
-def _fit_predict(last_days: list[date], horizon: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(days: pd.DataFrame) -> pd.DataFrame:
-        days = days.sort_values("ds")
-        y, dates = days["y"].to_numpy(float), days["ds"].tolist()
-        alpha, beta, gamma = _variants().T
-        seasonal = gamma > 0
-        first = y[:2 * SEASON] if len(y) >= 2 * SEASON else y
-        level = np.full(len(alpha), first.mean())
-        slope = np.zeros(len(alpha))
-        pattern = np.array([first[i::SEASON].mean() if len(first) > i else first.mean() for i in range(SEASON)])
-        season = np.where(seasonal[None, :], (pattern - first.mean())[:, None], 0.0)
-        n_weights = 2 + 2 * (beta > 0) + seasonal * SEASON
-        sse = np.zeros(len(alpha))
-        wanted, out = set(last_days), []
-        for t, value in enumerate(y):
-            slot = t % SEASON
-            error = value - (level + slope + season[slot])
-            sse += error ** 2
-            level = level + slope + alpha * error
-            slope = slope + beta * alpha * error
-            season[slot] += np.where(seasonal, gamma * error, 0.0)
-            if dates[t] in wanted:
-                n = t + 1
-                criterion = (n * np.log(np.maximum(sse, 1e-9) / n) + 2 * n_weights
-                             + 2 * n_weights * (n_weights + 1) / np.maximum(n - n_weights - 1, 1))
-                best = int(np.argmin(criterion))
-                steps = np.arange(1, horizon + 1)
-                path = level[best] + slope[best] * steps + season[(t + steps) % SEASON, best]
-                out.append(pd.DataFrame({
-                    "unique_id": days["unique_id"].iloc[0], "cutoff": dates[t],
-                    "ds": [dates[t] + pd.Timedelta(days=int(s)) for s in steps],
-                    "model": "AutoETS", "yhat": np.maximum(path, 0.0)}))
-        columns = ["unique_id", "cutoff", "ds", "model", "yhat"]
-        return pd.concat(out) if out else pd.DataFrame(columns=columns)
 
-    return run
+def criterion() -> Column:
+    """Akaike's, corrected for short series."""
+    weights = 2 + 2 * (F.col("beta") > 0).cast("int") + SEASON * (F.col("gamma") > 0).cast("int")
+    n = F.col("n")
+    return (n * F.log(F.greatest("sse", F.lit(1e-9)) / n) + 2 * weights
+            + 2 * weights * (weights + 1) / F.greatest(n - weights - 1, F.lit(1)))
 
 
 def seasonal_smoothing(series: DataFrame, last_days: list[date], horizon: int) -> DataFrame:
-    return (
-        series.select("unique_id", "ds", "y").groupBy("unique_id")
-        .applyInPandas(_fit_predict(last_days, horizon),
-                       "unique_id string, cutoff date, ds date, model string, yhat double")
-    )
+    states = _started(series).select("unique_id", "variant", "beta", "gamma", F.inline(_states(last_days)))
+    # Variants too close to tell apart go to the first of them.
+    best = Window.partitionBy("unique_id", "cutoff").orderBy(F.round(criterion(), 6), "variant")
+    chosen = states.withColumn("_rank", F.row_number().over(best)).filter("_rank = 1")
+    path = F.col("level") + F.col("slope") * F.col("step") + F.get("season", (F.col("n") - 1 + F.col("step")) % SEASON)
+    return spread(chosen, horizon, {"AutoETS": path})

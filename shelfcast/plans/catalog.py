@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from shelfcast.operators.forecast import STATISTICAL
 from shelfcast.plans.layers import Layers
 from shelfcast.plans.present import present
 
@@ -21,6 +22,8 @@ class Query:
 
 
 CATALOG: dict[str, Query] = {}
+# Names registered twice.
+CONTESTS: list[str] = []
 
 
 def query(schema: str) -> Callable:
@@ -31,3 +34,19 @@ def query(schema: str) -> Callable:
         return build
 
     return register
+
+
+def contest(schema: str) -> Callable:
+    """Register a builder whose result depends on the champion, or lists models, twice.
+
+    Under its own name all models compete. Under `<name>_statistical` only those do that work
+    series by series; SQL can repeat these, so that name carries the oracle of the shared code.
+    """
+
+    def register(build: Callable[[Layers], DataFrame]) -> Callable[[Layers], DataFrame]:
+        CATALOG[build.__name__] = Query(schema, build)
+        CATALOG[f"{build.__name__}_statistical"] = Query(schema, lambda t: build(t.among(STATISTICAL)))
+        CONTESTS.append(build.__name__)
+        return build
+
+    return register

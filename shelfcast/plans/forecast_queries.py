@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -11,7 +12,7 @@ from shelfcast.functions.tables import shared_folder
 from shelfcast.operators import (
     evaluate, explain, forecast, kpi, learner, marts, monitor, policy, scenario, series as ts)
 from shelfcast.params import SCOPE_ALL, SNAPSHOT_LIVE
-from shelfcast.plans.catalog import query
+from shelfcast.plans.catalog import contest, query
 from shelfcast.plans.layers import Layers
 from shelfcast.sources import sinks
 
@@ -20,7 +21,6 @@ FORECAST = "unique_id:s cutoff:t ds:t model:s yhat:r"
 QUANTILES = "q10:r q50:r q55:r q70:r q80:r q90:r n_weeks:i"
 SNAPSHOT = ("run_id:s kind:s created_at:T data_until:T week_start:T model:s unique_id:s forecast_week:r order_qty:r")
 RUN = "run_id:s kind:s week_start:t model:s wmape:r bias:r actual_total:d forecast_total:d n_series:i"
-NATIVE = ("HistoricAverage", "MovingAvg28", "SeasonalNaive", "TSB")
 
 
 # --- series ----------------------------------------------------------------------------------
@@ -100,28 +100,34 @@ def fc_tsb(t: Layers) -> DataFrame:
     return forecast.probability_smoothed(t.eligible(t.profile_before), t.cutoffs, t.rules.horizon)
 
 
-def _of_full(t: Layers, *models: str) -> DataFrame:
-    return t.full_daily.filter(F.col("model").isin(*models))
-
-
 @query(FORECAST)
 def fc_ets(t: Layers) -> DataFrame:
-    return _of_full(t, "AutoETS")
+    return t.statistical_backtest.filter(F.col("model") == "AutoETS")
 
 
 @query(FORECAST)
 def fc_global_tweedie(t: Layers) -> DataFrame:
-    return _of_full(t, "GlobalTweedie")
+    return t.learned_backtest
 
 
 @query(FORECAST)
 def fc_ensembles(t: Layers) -> DataFrame:
-    return _of_full(t, *forecast.ENSEMBLES)
+    return t.backtest_forecasts.filter(F.col("model").isin(*forecast.ENSEMBLES))
 
 
-@query(FORECAST)
+@query("unique_id:s cutoff:t ds:t model:s gap:r")
+def fc_ensembles_gap(t: Layers) -> DataFrame:
+    """Each ensemble against the mean of its members, which must leave nothing."""
+    wide = t.backtest_forecasts.groupBy("unique_id", "cutoff", "ds").pivot("model", list(forecast.MODEL_ORDER)).agg(F.max("yhat"))
+    gaps = F.array(*[
+        F.struct(F.lit(name).alias("model"), (F.col(name) - sum(F.col(m) for m in members) / len(members)).alias("gap"))
+        for name, members in forecast.ENSEMBLES.items()])
+    return wide.select("unique_id", "cutoff", "ds", F.inline(gaps))
+
+
+@contest(FORECAST)
 def fc_future(t: Layers) -> DataFrame:
-    return t.all_models([t.last_day], t.rules.long_horizon, t.profile)
+    return t.future_forecasts
 
 
 FALLBACK_MIN_DAYS = 1300
@@ -137,75 +143,74 @@ def fc_fallback56(t: Layers) -> DataFrame:
 
 # --- scoring --------------------------------------------------------------------------------------
 
-@query("unique_id:s cutoff:t model:s window:i phase:s y:d yhat:r demand_class:s")
+@contest("unique_id:s cutoff:t model:s window:i phase:s y:d yhat:r demand_class:s")
 def ev_weekly(t: Layers) -> DataFrame:
-    return evaluate.weekly(t.native_daily, t.profile_before, t.rules)
+    return evaluate.weekly(t.backtest, t.profile_before, t.rules)
 
 
 METRICS = "scope:s model:s MAE:r WMAPE:r Bias:r MdAPE:r"
 
 
-@query(METRICS)
+@contest(METRICS)
 def ev_metrics(t: Layers) -> DataFrame:
     return evaluate.metrics(t.weeks)
 
 
-@query("unique_id:s model:s tracking_signal:r")
+@contest("unique_id:s model:s tracking_signal:r")
 def ev_tracking_signal(t: Layers) -> DataFrame:
     return t.weeks.filter("phase = 'holdout'").groupBy("unique_id", "model").agg(
         evaluate.tracking_signal().alias("tracking_signal"))
 
 
-def _others(chosen: str, models: tuple[str, ...] = NATIVE) -> list[str]:
-    return [m for m in models if m != chosen]
+def _others(t: Layers) -> list[str]:
+    return [m for m in t.models if m != t.champion]
 
 
-@query("compared_to:s n_days:i mean_diff:r share_days_better:r dm_stat:r")
+@contest("compared_to:s n_days:i mean_diff:r share_days_better:r dm_stat:r")
 def ev_dm_stat(t: Layers) -> DataFrame:
-    held = t.native_daily.filter(F.col("cutoff") >= F.lit(t.holdout_start))
-    return evaluate.diebold_mariano(held, t.champion, _others(t.champion), t.rules.horizon)
+    held = t.backtest.filter(F.col("cutoff") >= F.lit(t.holdout_start))
+    return evaluate.diebold_mariano(held, t.champion, _others(t), t.rules.horizon)
 
 
-@query("compared_to:s n_series:i mean_abs_err_diff:r share_series_better:r w_stat:d z_stat:r")
+@contest("compared_to:s n_series:i mean_abs_err_diff:r share_series_better:r w_stat:d z_stat:r")
 def ev_wilcoxon(t: Layers) -> DataFrame:
-    return evaluate.wilcoxon(t.weeks, t.champion, _others(t.champion))
+    return evaluate.wilcoxon(t.weeks, t.champion, _others(t))
 
 
-@query("model:s compared_to:s n_series:i mean_abs_err_diff:r share_series_better:r w_stat:d z_stat:r wilcoxon_p:r "
-       "n_days:i share_days_better:r dm_stat:r dm_p:r")
+@contest("model:s compared_to:s n_series:i mean_abs_err_diff:r share_series_better:r w_stat:d z_stat:r wilcoxon_p:r "
+         "n_days:i share_days_better:r dm_stat:r dm_p:r")
 def ev_significance(t: Layers) -> DataFrame:
-    """All models, with p-values."""
-    others = _others(t.full_champion, ("MovingAvg28", evaluate.BASELINE, "GlobalTweedie", "Ens_LGB_ETS_IMAPA"))
-    return evaluate.significance(t.full_daily, t.full_weeks, t.full_champion, others, t.rules.horizon)
+    """Both tests against every other model, with p-values."""
+    return evaluate.significance(t.backtest, t.weeks, t.champion, _others(t), t.rules.horizon)
 
 
-@query("model:s wmape:r bias:r")
+@contest("model:s wmape:r bias:r")
 def ev_champion(t: Layers) -> DataFrame:
     return evaluate.champion(t.weeks, t.rules, forecast.MODEL_ORDER)
 
 
-@query("level:s model:s WMAPE:r Bias:r")
+@contest("level:s model:s WMAPE:r Bias:r")
 def ev_levels(t: Layers) -> DataFrame:
     return evaluate.level_errors(t.weeks)
 
 
-@query("unique_id:s wmape:r wmape_baseline:r bias:r tracking_signal:r holdout_qty:d improved:b")
+@contest("unique_id:s wmape:r wmape_baseline:r bias:r tracking_signal:r holdout_qty:d improved:b")
 def ev_per_series(t: Layers) -> DataFrame:
     return evaluate.per_series(t.weeks, t.champion)
 
 
-@query("unique_id:s demand_class:s wmape:r confidence:s")
+@contest("unique_id:s demand_class:s wmape:r confidence:s")
 def ev_confidence(t: Layers) -> DataFrame:
     return evaluate.per_series(t.weeks, t.champion)
 
 
-@query("champion:s holdout_wmape:r baseline_wmape:r store_wmape:r share_improved:r n_series:i n_modelled:i n_backtest:i")
+@contest("champion:s holdout_wmape:r baseline_wmape:r store_wmape:r share_improved:r n_series:i n_modelled:i n_backtest:i")
 def ev_run_summary(t: Layers) -> DataFrame:
     return evaluate.run_summary(
         evaluate.metrics(t.weeks), evaluate.level_errors(t.weeks), t.report, t.profile, t.champion)
 
 
-@query("model:s wmape_selection:r wmape_holdout:r rank_selection:r rank_holdout:r")
+@contest("model:s wmape_selection:r wmape_holdout:r rank_selection:r rank_holdout:r")
 def kpi_model_compare(t: Layers) -> DataFrame:
     return evaluate.model_comparison(evaluate.metrics(t.weeks))
 
@@ -213,10 +218,10 @@ def kpi_model_compare(t: Layers) -> DataFrame:
 @query(METRICS)
 def kpi_model_compare_all(t: Layers) -> DataFrame:
     """The error table of every model, the learned ones included."""
-    return evaluate.metrics(t.full_weeks)
+    return evaluate.metrics(t.weeks)
 
 
-@query("model:s smooth:r erratic:r intermittent:r lumpy:r")
+@contest("model:s smooth:r erratic:r intermittent:r lumpy:r")
 def kpi_class_by_model(t: Layers) -> DataFrame:
     return evaluate.class_by_model(evaluate.metrics(t.weeks))
 
@@ -226,23 +231,21 @@ def kpi_class_mix(t: Layers) -> DataFrame:
     return evaluate.class_mix(t.profile)
 
 
-@query("n_biased:i n_high:i n_low:i")
+@contest("n_biased:i n_high:i n_low:i")
 def kpi_biased_series(t: Layers) -> DataFrame:
-    return evaluate.biased_series(t.report, t.rules.scaled(ts_limit=2.0))
+    return evaluate.biased_series(t.report, t.rules)
 
 
 # --- orders ------------------------------------------------------------------------------------------
 
-@query("demand_class:s " + QUANTILES)
+@contest("demand_class:s " + QUANTILES)
 def pol_ratio_quantiles(t: Layers) -> DataFrame:
     return policy.ratio_quantiles(t.weeks.filter(F.col("model") == t.champion), t.rules)
 
 
-@query("demand_class:s horizon_week:i " + QUANTILES)
+@contest("demand_class:s horizon_week:i " + QUANTILES)
 def pol_horizon_quantiles(t: Layers) -> DataFrame:
-    first = policy.ratio_quantiles(t.weeks.filter(F.col("model") == t.champion), t.rules)
-    later = policy.horizon_quantiles(t.long_daily, t.profile_before, t.champion, t.rules)
-    return policy.calibrated(first, later)
+    return t.quantiles
 
 
 @query("unique_id:s cat_l2:s quadrant:s service_class:s tau:r")
@@ -264,12 +267,12 @@ PLAN = ("unique_id:s cat_l1:s cat_l2:s week_start:t demand_class:s confidence:s
         "forecast_week:r lower_80:r upper_80:r order_qty:d unit_cost:d order_value:d")
 
 
-@query(PLAN)
+@contest(PLAN)
 def pol_order_plan(t: Layers) -> DataFrame:
     return t.plan
 
 
-@query("cat_l2:s sku:s product_name:s qty:d share:r order_qty:d sku_forecast_week:r sku_order_qty:d")
+@contest("cat_l2:s sku:s product_name:s qty:d share:r order_qty:d sku_forecast_week:r sku_order_qty:d")
 def pol_sku_allocation(t: Layers) -> DataFrame:
     level = t.rules.series_level
     return policy.allocate(marts.recent_sku_shares(t.staged, t.rules, level), t.plan, level)
@@ -278,24 +281,24 @@ def pol_sku_allocation(t: Layers) -> DataFrame:
 SCORES = "mode:s policy:s units_ordered:d units_short:d units_excess:d service_level:r fill_rate:r excess_value:d"
 
 
-@query(SCORES)
+@contest(SCORES)
 def pol_backtest_single(t: Layers) -> DataFrame:
     return policy.single_period(t.policy_weeks)
 
 
-@query(SCORES + " lost_profit:d holding_cost:d total_cost:d")
+@contest(SCORES + " lost_profit:d holding_cost:d total_cost:d")
 def pol_backtest_carry(t: Layers) -> DataFrame:
     return policy.carry_over(t.policy_weeks, t.rules)
 
 
-@query("mode:s component:s new:d old:d change:r")
+@contest("mode:s component:s new:d old:d change:r")
 def kpi_policy_change(t: Layers) -> DataFrame:
     both = policy.single_period(t.policy_weeks).unionByName(
         policy.carry_over(t.policy_weeks, t.rules), allowMissingColumns=True)
     return policy.policy_change(both, "quantile", "moving_average")
 
 
-@query("total_value:d n_ordered:i top_rank:i unique_id:s order_qty:d")
+@contest("total_value:d n_ordered:i top_rank:i unique_id:s order_qty:d")
 def kpi_plan_totals(t: Layers) -> DataFrame:
     totals = t.plan.agg(F.struct(
         F.sum("order_value").alias("value"), F.count_if(F.col("order_qty") > 0).alias("n"))).scalar()
@@ -306,16 +309,16 @@ def kpi_plan_totals(t: Layers) -> DataFrame:
         "unique_id", "order_qty")
 
 
-@query("unique_id:s cat_l1:s service_class:s forecast_week:r order_qty:d order_value:d")
+@contest("unique_id:s cat_l1:s service_class:s forecast_week:r order_qty:d order_value:d")
 def sink_order_plan(t: Layers) -> DataFrame:
     """The plan of two service classes as CSV, read back as text and cast."""
-    path = f"{shared_folder(t.spark)}/shelfcast/{t.spark.sparkContext.applicationId}/order_plan_csv"
+    path = f"{shared_folder(t.spark)}/shelfcast/{t.spark.sparkContext.applicationId}/order-plan-csv-{uuid.uuid4().hex[:8]}"
     sinks.export_plan_csv(sinks.filtered_plan(t.plan, service_class=["Ngôi sao", "Bảo quản lâu"]), path)
     return t.spark.read.option("header", True).schema(
         sinks.filtered_plan(t.plan).schema).csv(path)
 
 
-@query("unique_id:s block_start:t kind:s value:r lower:r upper:r")
+@contest("unique_id:s block_start:t kind:s value:r lower:r upper:r")
 def kpi_series_view(t: Layers) -> DataFrame:
     """Ten past weeks and the forecast weeks of every series, with the band of each week."""
     end = F.lit(t.last_day)
@@ -337,12 +340,12 @@ def kpi_series_view(t: Layers) -> DataFrame:
 
 # --- monitoring ------------------------------------------------------------------------------------
 
-@query(SNAPSHOT)
+@contest(SNAPSHOT)
 def snap_backfill(t: Layers) -> DataFrame:
     return monitor.backfill(t.weeks, t.champion)
 
 
-@query(SNAPSHOT)
+@contest(SNAPSHOT)
 def snap_upsert(t: Layers) -> DataFrame:
     """Save the replayed weeks, then a corrected run of the newest one: it replaces the old."""
     saved = monitor.backfill(t.weeks, t.champion)
@@ -351,7 +354,7 @@ def snap_upsert(t: Layers) -> DataFrame:
     return monitor.upsert(saved, corrected)
 
 
-@query(RUN)
+@contest(RUN)
 def mon_snapshot_eval(t: Layers) -> DataFrame:
     return monitor.evaluate_snapshots(monitor.backfill(t.weeks, t.champion), t.series, F.lit(t.last_day))
 
@@ -362,68 +365,68 @@ def _flags(t: Layers) -> DataFrame:
     return monitor.drift(mon_snapshot_eval(t), reference, t.rules)
 
 
-@query("run_id:s week_start:t wmape:r tracking_signal:r over_limit:b biased:b flagged:b is_latest:b")
+@contest("run_id:s week_start:t wmape:r tracking_signal:r over_limit:b biased:b flagged:b is_latest:b")
 def mon_drift(t: Layers) -> DataFrame:
     return _flags(t)
 
 
-@query("data_until:t new_days:i drifted:b retrain:b")
+@contest("data_until:t new_days:i drifted:b retrain:b")
 def mon_retrain(t: Layers) -> DataFrame:
     status = monitor.drift_status(_flags(t))
     kind = "Mô phỏng lại"
     return monitor.retrain_decision(t.calendar, t.cutoffs[-1], status, kind)
 
 
-@query("kind:s n_weeks:i accuracy:r")
+@contest("kind:s n_weeks:i accuracy:r")
 def mon_accuracy(t: Layers) -> DataFrame:
     return monitor.total_accuracy(mon_snapshot_eval(t))
 
 
-@query("run_id:s kind:s week_start:t created_at:t forecast_total:r")
+@contest("run_id:s kind:s week_start:t created_at:t forecast_total:r")
 def mon_snapshot_list(t: Layers) -> DataFrame:
     return monitor.snapshot_list(monitor.backfill(t.weeks, t.champion))
 
 
 # --- what-ifs ------------------------------------------------------------------------------------------
 
-@query("cat_l1:s slope:r net_factor:r base_week:r scenario_week:r extra_order:r")
+@contest("cat_l1:s slope:r net_factor:r base_week:r scenario_week:r extra_order:r")
 def sc_discount(t: Layers) -> DataFrame:
     return scenario.discount(t.plan, marts.price_response(t.daily), discount_pct=10, cannibal_pct=50)
 
 
-@query("cat_l1:s qty_factor:r normal_two_weeks:r before_holiday:r stock_up:r total:r")
+@contest("cat_l1:s qty_factor:r normal_two_weeks:r before_holiday:r stock_up:r total:r")
 def sc_holiday(t: Layers) -> DataFrame:
     return scenario.holiday(t.plan, marts.holiday_effect(t.daily, t.rules), closed_days=10, stock_up_pct=50)
 
 
 # --- explanations -----------------------------------------------------------------------------------------
 
-def _explained(t: Layers):
-    known = t.eligible(t.profile)
-    rows = t.features.join(known.select("unique_id").distinct(), "unique_id", "left_semi")
-    categories = learner.top_categories(rows)
-    design = learner.design(rows, categories)
-    weights = learner.fit(design, len(learner.design_names(categories)))
-    return known, rows, design, weights, categories
-
-
 @query("group:s mean_abs_contribution:r")
 def xp_global(t: Layers) -> DataFrame:
-    _, _, design, weights, categories = _explained(t)
-    return explain.global_importance(design, weights, categories)
-
-
-def _local(t: Layers) -> DataFrame:
-    known, rows, design, weights, categories = _explained(t)
-    fc = learner.learned_forecasts(known, rows, [t.last_day], t.rules.horizon)
-    return explain.local_contributions(fc, design, weights, categories)
+    rows, categories = t.design
+    return explain.global_importance(rows, t.weights, categories)
 
 
 @query("unique_id:s ds:t group:s base_value:r contribution:r effect_pct:r")
 def xp_local(t: Layers) -> DataFrame:
-    return _local(t)
+    return t.contributions
+
+
+@query("unique_id:s ds:t gap:r")
+def xp_local_gap(t: Layers) -> DataFrame:
+    """Base and contributions against the log of the forecast, which must leave nothing."""
+    told = t.contributions.groupBy("unique_id", "ds", "base_value").agg(F.sum("contribution").alias("moved"))
+    return told.join(t.learned_future, ["unique_id", "ds"]).withColumn(
+        "gap", F.col("base_value") + F.col("moved") - F.log("yhat"))
 
 
 @query("unique_id:s ds:t step:i group:s start:r from_level:r to_level:r effect_pct:r")
 def xp_waterfall(t: Layers) -> DataFrame:
-    return explain.waterfall(_local(t))
+    return explain.waterfall(t.contributions)
+
+
+@query("unique_id:s ds:t gap:r")
+def xp_waterfall_gap(t: Layers) -> DataFrame:
+    """The last step of each waterfall relative to the forecast, which must leave nothing."""
+    ends = explain.waterfall(t.contributions).groupBy("unique_id", "ds").agg(F.max_by("to_level", "step").alias("end"))
+    return ends.join(t.learned_future, ["unique_id", "ds"]).withColumn("gap", F.col("end") / F.col("yhat") - 1)

@@ -7,28 +7,24 @@ built on first use; its readers then scan only the columns they need.
 from __future__ import annotations
 
 from datetime import date
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfcast.functions.tables import written
 from shelfcast.operators import (
-    evaluate, forecast, learner, marts, policy, series as ts, smoothing, staging)
-from shelfcast.params import BINDING, DEFAULT, Rules
+    evaluate, explain, forecast, learner, marts, policy, series as ts, smoothing, staging)
+from shelfcast.params import BINDING, DEFAULT, FALLBACK_MODEL, Rules
 from shelfcast.plans.session import prepared, sized_for
 from shelfcast.sources.binding import raw_sales_lines
 
 
-class Layers:
-    """All tables of one set of raw lines.
-
-    `all_methods` lets the learned and searched methods compete for the plan; without it
-    only the methods an SQL oracle can repeat do, which is what the registered queries use.
-    """
+class Inputs:
+    """Everything up to the forecasts of every model, which no choice of a model changes."""
 
-    def __init__(self, raw: DataFrame, rules: Rules = DEFAULT, all_methods: bool = False):
+    def __init__(self, raw: DataFrame, rules: Rules = DEFAULT):
         self.spark = prepared(raw.sparkSession)
-        self.raw, self.rules, self.all_methods = raw, rules, all_methods
+        self.raw, self.rules = raw, rules
 
     @cached_property
     def base(self) -> DataFrame:
@@ -85,61 +81,111 @@ class Layers:
         return self.series.join(enough, "unique_id", "left_semi")
 
     @cached_property
-    def native_daily(self) -> DataFrame:
-        """Backtest of the methods an SQL oracle can repeat, next to actual sales."""
+    def features(self) -> DataFrame:
+        return written(ts.features(self.series), "features")
+
+    def statistical(self, known: DataFrame, last_days: list[date], horizon: int) -> DataFrame:
+        """Every method that works series by series, long form."""
+        return (
+            forecast.native_forecasts(known, last_days, horizon)
+            .unionByName(forecast.intermittent(known, last_days, horizon))
+            .unionByName(forecast.aggregated(known, last_days, horizon))
+            .unionByName(smoothing.seasonal_smoothing(known, last_days, horizon)))
+
+    def learned(self, known: DataFrame, last_days: list[date], horizon: int) -> DataFrame:
+        rows = self.features.join(known.select("unique_id").distinct(), "unique_id", "left_semi")
+        return learner.learned_forecasts(known, rows, last_days, horizon)
+
+    @cached_property
+    def statistical_backtest(self) -> DataFrame:
         known = self.eligible(self.profile_before)
-        fc = forecast.native_forecasts(known, self.cutoffs, self.rules.horizon)
-        return written(evaluate.daily_errors(fc, self.series), "native_daily")
+        return written(self.statistical(known, self.cutoffs, self.rules.horizon), "statistical_backtest")
 
     @cached_property
-    def weeks(self) -> DataFrame:
-        return self.full_weeks if self.all_methods else written(
-            evaluate.weekly(self.native_daily, self.profile_before, self.rules), "weeks")
+    def learned_backtest(self) -> DataFrame:
+        known = self.eligible(self.profile_before)
+        return written(self.learned(known, self.cutoffs, self.rules.horizon).drop("x"), "learned_backtest")
 
     @cached_property
-    def champion(self) -> str:
-        return evaluate.champion(self.weeks, self.rules, forecast.MODEL_ORDER).first()["model"]
+    def statistical_future(self) -> DataFrame:
+        known = self.eligible(self.profile)
+        return written(self.statistical(known, [self.last_day], self.rules.long_horizon), "statistical_future")
 
     @cached_property
-    def features(self) -> DataFrame:
-        return written(ts.features(self.series), "features")
+    def learned_future(self) -> DataFrame:
+        """The learner's forecasts ahead, with the model columns that explain them."""
+        known = self.eligible(self.profile)
+        return written(self.learned(known, [self.last_day], self.rules.long_horizon), "learned_future")
 
-    def all_models(self, last_days: list[date], horizon: int, profile: DataFrame) -> DataFrame:
-        """Every method and the ensembles, long form."""
-        known = self.eligible(profile)
-        rows = self.features.join(known.select("unique_id").distinct(), "unique_id", "left_semi")
-        single = (
-            forecast.native_forecasts(known, last_days, horizon)
-            .unionByName(forecast.intermittent(known, last_days, horizon))
-            .unionByName(forecast.aggregated(known, last_days, horizon))
-            .unionByName(smoothing.seasonal_smoothing(known, last_days, horizon))
-            .unionByName(learner.learned_forecasts(known, rows, last_days, horizon).drop("x"))
-        )
-        single = written(single, "single_models")
-        return single.unionByName(forecast.ensembles(single))
+    @cached_property
+    def design(self) -> tuple[DataFrame, list[str]]:
+        """The learner's training rows up to the last day, and its top-level categories."""
+        known = self.eligible(self.profile).select("unique_id").distinct()
+        rows = self.features.join(known, "unique_id", "left_semi")
+        categories = learner.top_categories(rows)
+        return written(learner.design(rows, categories), "design_rows"), categories
 
     @cached_property
-    def full_daily(self) -> DataFrame:
-        fc = self.all_models(self.cutoffs, self.rules.horizon, self.profile_before)
-        return written(evaluate.daily_errors(fc, self.series), "full_daily")
+    def weights(self):
+        rows, categories = self.design
+        return learner.fit(rows, len(learner.design_names(categories)))
 
     @cached_property
-    def full_weeks(self) -> DataFrame:
-        return written(evaluate.weekly(self.full_daily, self.profile_before, self.rules), "full_weeks")
+    def contributions(self) -> DataFrame:
+        """What makes the learner's forecasts of the next days, per feature group."""
+        rows, categories = self.design
+        return written(explain.local_contributions(self.learned_future, rows, self.weights, categories), "contributions")
+
+
+class Layers:
+    """All tables of one set of raw lines. Every model in `models` competes for the plan.
+
+    The tables below a contest are shared: `layers.among(models)` holds another contest over
+    the same inputs, and any table of `Inputs` can be asked for here.
+    """
+
+    def __init__(self, raw: DataFrame, rules: Rules = DEFAULT, models: tuple[str, ...] = forecast.MODEL_ORDER,
+                 inputs: Inputs | None = None):
+        self.inputs, self.models = inputs or Inputs(raw, rules), tuple(models)
+        self._among: dict[tuple[str, ...], Layers] = {}
+
+    def __getattr__(self, name: str):
+        if name == "inputs":
+            raise AttributeError(name)
+        return getattr(self.inputs, name)
+
+    def among(self, models: tuple[str, ...]) -> Layers:
+        if models not in self._among:
+            self._among[models] = Layers(self.raw, self.rules, models, self.inputs)
+        return self._among[models]
+
+    def _competing(self, statistical: DataFrame, learned) -> DataFrame:
+        """Forecasts of the competing models; the learner is only asked where it is needed."""
+        if set(self.models) <= set(forecast.STATISTICAL):
+            return statistical.filter(F.col("model").isin(*self.models))
+        single = statistical.unionByName(learned())
+        return single.unionByName(forecast.ensembles(single)).filter(F.col("model").isin(*self.models))
 
     @cached_property
-    def full_champion(self) -> str:
-        return evaluate.champion(self.full_weeks, self.rules, forecast.MODEL_ORDER).first()["model"]
+    def backtest_forecasts(self) -> DataFrame:
+        return self._competing(self.statistical_backtest, lambda: self.learned_backtest)
 
-    @property
+    @cached_property
+    def future_forecasts(self) -> DataFrame:
+        return self._competing(self.statistical_future, lambda: self.learned_future.drop("x"))
+
+    @cached_property
     def backtest(self) -> DataFrame:
-        return self.full_daily if self.all_methods else self.native_daily
+        """Forecasts of open days next to actual sales."""
+        return written(evaluate.daily_errors(self.backtest_forecasts, self.series), "backtest")
+
+    @cached_property
+    def weeks(self) -> DataFrame:
+        return written(evaluate.weekly(self.backtest, self.profile_before, self.rules), "weeks")
 
-    def forecasts(self, last_days: list[date], horizon: int, profile: DataFrame) -> DataFrame:
-        """Forecasts of the champion at any cutoffs."""
-        fc = self.all_models(last_days, horizon, profile) if self.all_methods else forecast.native_forecasts(
-            self.eligible(profile), last_days, horizon)
-        return fc.filter(F.col("model") == self.champion)
+    @cached_property
+    def champion(self) -> str:
+        return evaluate.champion(self.weeks, self.rules, forecast.MODEL_ORDER).first()["model"]
 
     # --- the plan of next week, from the champion ---------------------------------------------
 
@@ -147,34 +193,52 @@ class Layers:
         prices = marts.category_unit_price(self.staged, level=self.rules.series_level, **options)
         return prices.withColumnRenamed(self.rules.series_level, "unique_id")
 
+    def champion_forecasts(self, last_days: list[date], horizon: int) -> DataFrame:
+        """Forecasts of the champion at any cutoffs; only its members are computed."""
+        known, members = self.eligible(self.profile_before), set(forecast.ENSEMBLES.get(self.champion, (self.champion,)))
+        parts = [build(known, last_days, horizon) for names, build in forecast.METHODS if names & members]
+        if "AutoETS" in members:
+            parts.append(smoothing.seasonal_smoothing(known, last_days, horizon))
+        if "GlobalTweedie" in members:
+            parts.append(self.learned(known, last_days, horizon).drop("x"))
+        single = reduce(DataFrame.unionByName, parts)
+        return single.unionByName(forecast.ensembles(single)).filter(F.col("model") == self.champion)
+
     @cached_property
     def long_daily(self) -> DataFrame:
-        """Backtest with the long horizon, for quantiles per week ahead."""
+        """Backtest of the champion with the long horizon, for quantiles per week ahead."""
         r = self.rules
         days = ts.cutoffs(self.last_day, r.long_horizon, r.long_windows, r.horizon)
-        fc = self.forecasts(days, r.long_horizon, self.profile_before)
-        return written(evaluate.daily_errors(fc, self.series), "long_daily")
+        return written(evaluate.daily_errors(self.champion_forecasts(days, r.long_horizon), self.series), "long_daily")
 
     @cached_property
     def quantiles(self) -> DataFrame:
+        """Week 1 from the weekly backtest; later weeks only for champions that are backtested
+        that far. For the others, readers carry the last week there is."""
         first = policy.ratio_quantiles(self.weeks.filter(F.col("model") == self.champion), self.rules)
+        if self.champion not in policy.LONG_TESTED:
+            return written(policy.calibrated(first), "quantiles")
         later = policy.horizon_quantiles(self.long_daily, self.profile_before, self.champion, self.rules)
         return written(policy.calibrated(first, later), "quantiles")
 
     @cached_property
-    def future(self) -> DataFrame:
-        """28 days ahead for every series, holiday layer applied."""
+    def future_daily(self) -> DataFrame:
+        """28 days ahead, holiday layer applied: every competing model, and the fallback of thin series."""
         r = self.rules
-        modelled = self.forecasts([self.last_day], r.long_horizon, self.profile)
         thin = forecast.fallback(self.series, self.profile, self.last_day, r.long_horizon, r)
         effect = marts.holiday_effect(self.daily, r)
-        layered = policy.holiday_layer(modelled, self.profile, effect, r)
+        layered = policy.holiday_layer(self.future_forecasts, self.profile, effect, r)
         plain = (
             thin.join(self.profile.select("unique_id", "cat_l1"), "unique_id")
             .withColumn("holiday_window", F.lit(None).cast("string"))
             .withColumn("holiday_factor", F.lit(None).cast("double")).withColumn("forecast", F.col("yhat")))
         return written(layered.unionByName(plain), "future")
 
+    @cached_property
+    def future(self) -> DataFrame:
+        """What the plan is made from: the champion, and the fallback."""
+        return self.future_daily.filter(F.col("model").isin(self.champion, FALLBACK_MODEL))
+
     @cached_property
     def report(self) -> DataFrame:
         return written(evaluate.per_series(self.weeks, self.champion), "report")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfcast.functions.tables import written
-from shelfcast.operators import basket, evaluate, explain, learner, marts, monitor, policy, stockout
+from shelfcast.operators import basket, evaluate, explain, marts, monitor, policy, stockout
 from shelfcast.params import DEFAULT, Rules, SENSITIVE_COLUMNS, SNAPSHOT_LIVE
 from shelfcast.plans.layers import Layers
 from shelfcast.plans.session import prepared, sized_for
@@ -42,9 +42,9 @@ def base_tables(t: Layers) -> dict[str, Callable[[], DataFrame]]:
 
 
 def forecast_tables(t: Layers) -> dict[str, Callable[[], DataFrame]]:
-    scores = lambda: evaluate.metrics(t.weeks)
-    others = lambda: [
-        m for m in ("MovingAvg28", evaluate.BASELINE, "GlobalTweedie", "Ens_LGB_ETS_IMAPA") if m != t.champion]
+    scores = lambda: evaluate.metrics(t.weeks).withColumn(
+        "is_champion", F.col("model") == t.champion)
+    others = lambda: [m for m in t.models if m != t.champion]
 
     def profile() -> DataFrame:
         classes = policy.service_classes(t.profile, marts.category_margin(t.staged), t.rules)
@@ -55,21 +55,9 @@ def forecast_tables(t: Layers) -> dict[str, Callable[[], DataFrame]]:
         return policy.single_period(t.policy_weeks).unionByName(
             policy.carry_over(t.policy_weeks, t.rules), allowMissingColumns=True)
 
-    def explanation():
-        known = t.eligible(t.profile)
-        rows = t.features.join(known.select("unique_id").distinct(), "unique_id", "left_semi")
-        categories = learner.top_categories(rows)
-        design = learner.design(rows, categories)
-        return known, rows, design, learner.fit(design, len(learner.design_names(categories))), categories
-
-    def local() -> DataFrame:
-        known, rows, design, weights, categories = explanation()
-        fc = learner.learned_forecasts(known, rows, [t.last_day], t.rules.horizon)
-        return explain.local_contributions(fc, design, weights, categories)
-
     def overall() -> DataFrame:
-        _, _, design, weights, categories = explanation()
-        return explain.global_importance(design, weights, categories)
+        rows, categories = t.design
+        return explain.global_importance(rows, t.weights, categories)
 
     def snapshots() -> DataFrame:
         live = monitor.plan_snapshot(
@@ -88,11 +76,11 @@ def forecast_tables(t: Layers) -> dict[str, Callable[[], DataFrame]]:
         "fc_simulation": simulation,
         "fc_significance": lambda: evaluate.significance(t.backtest, t.weeks, t.champion, others(), t.rules.horizon),
         "fc_ratio_quantiles": lambda: t.quantiles,
-        "fc_forecast_daily": lambda: t.future,
+        "fc_forecast_daily": lambda: t.future_daily,
         "fc_order_plan": lambda: t.plan,
         "fc_sku_allocation": allocation,
         "fc_contributions_global": overall,
-        "fc_contributions_local": local,
+        "fc_contributions_local": lambda: t.contributions,
         "fc_price_response": lambda: marts.price_response(t.daily),
         "fc_run_info": lambda: evaluate.run_summary(
             scores(), evaluate.level_errors(t.weeks), t.report, t.profile, t.champion),
@@ -105,8 +93,11 @@ def publish_views(t: Layers, names: list[str] | None = None) -> list[str]:
     them. Every view reads a written table, not a pending plan."""
     tables = {**base_tables(t), **forecast_tables(t)}
     wanted = names or list(tables)
+    stored = {"raw_sales_lines", "stg_sales_lines", "dim_date", "sku_month_price", "fct_retail_daily_category"}
     for name in wanted:
-        written(tables[name](), name).createOrReplaceTempView(name)
+        table = tables[name]()
+        # Layers are written tables already.
+        (table if name in stored else written(table, name)).createOrReplaceTempView(name)
     return wanted
 
 
@@ -114,20 +105,25 @@ def has_table(spark: SparkSession, name: str) -> bool:
     return spark.catalog.tableExists(name)
 
 
-def publish_folder(t: Layers, folder: str) -> list[str]:
-    """Write every table that holds no sensitive column."""
+def publish_folder(t: Layers, folder: str) -> tuple[list[str], dict[str, list[str]]]:
+    """Write every table that holds no sensitive column. Also says which were withheld, and
+    for which columns."""
     tables = {name: build() for name, build in {**base_tables(t), **forecast_tables(t)}.items()}
-    safe = {name: df for name, df in tables.items() if not SENSITIVE_COLUMNS & set(df.columns)}
+    withheld = {name: sorted(SENSITIVE_COLUMNS & set(df.columns)) for name, df in tables.items() if SENSITIVE_COLUMNS & set(df.columns)}
+    safe = {name: df for name, df in tables.items() if name not in withheld}
     export_tables(safe, folder)
-    return list(safe)
+    return list(safe), withheld
 
 
 def main(argv: list[str], rules: Rules = DEFAULT) -> None:
     folder, exports = argv[0], argv[1:]
     spark = sized_for(prepared(SparkSession.builder.appName("shelfcast").getOrCreate()), exports)
-    t = Layers(written(read_export(spark, exports), "raw"), rules, all_methods=True)
-    for name in publish_folder(t, folder):
+    t = Layers(written(read_export(spark, exports), "raw"), rules)
+    published, withheld = publish_folder(t, folder)
+    for name in published:
         print(name)
+    for name, columns in withheld.items():
+        print(f"withheld: {name} ({', '.join(columns)})", file=sys.stderr)
 
 
 if __name__ == "__main__":

@@ -79,7 +79,7 @@ def kpi_traffic_monthly(t: Layers) -> DataFrame:
 def kpi_period_shift(t: Layers) -> DataFrame:
     return kpi.period_shift(
         marts.monthly(t.staged, t.calendar), kpi.traffic_monthly(marts.daily_traffic(t.staged)),
-        marts.channel_monthly(t.staged, t.calendar, t.rules), skip=("1998-02",))
+        marts.channel_monthly(t.staged, t.calendar, t.rules), skip=tuple(f"{day:%Y-%m}" for day in t.rules.holidays))
 
 
 @query("abc_class:s n_items:i item_share:r qty_share:r revenue_share:r median_sell_day_ratio:r")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from shelfcast.functions.tables import shared_folder
@@ -60,6 +62,6 @@ def src_idempotent_load(t: Layers) -> DataFrame:
 @query("year_month:s channel:s revenue:d n_invoices:i")
 def sink_pii_guard(t: Layers) -> DataFrame:
     """Publish the monthly table through the guard and read the file back."""
-    folder = f"{shared_folder(t.spark)}/shelfcast/{t.spark.sparkContext.applicationId}/published"
+    folder = f"{shared_folder(t.spark)}/shelfcast/{t.spark.sparkContext.applicationId}/published-{uuid.uuid4().hex[:8]}"
     sinks.export_tables({"mart_monthly": marts.monthly(t.staged, t.calendar)}, folder)
     return t.spark.read.parquet(f"{folder}/mart_monthly")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from shelfcast.functions.tables import shared_folder
 from shelfcast.operators import evaluate, monitor
 from shelfcast.params import SCOPE_ALL
-from shelfcast.plans.catalog import query
+from shelfcast.plans.catalog import contest, query
 from shelfcast.plans.layers import Layers
 from shelfcast.streaming import flows
 
@@ -39,7 +39,7 @@ def stream_daily_traffic(t: Layers) -> DataFrame:
     return flows.current_traffic(t.spark, f"{root}/store")
 
 
-@query("run_id:s week_start:t wmape:r tracking_signal:r over_limit:b biased:b flagged:b is_latest:b")
+@contest("run_id:s week_start:t wmape:r tracking_signal:r over_limit:b biased:b flagged:b is_latest:b")
 def stream_reconcile(t: Layers) -> DataFrame:
     """The hold-out days arrive in files; the last verdicts must equal the batch ones."""
     root = _folder(t, "stream-reconcile")
