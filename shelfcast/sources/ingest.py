@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from shelfcast.functions.tables import written
+
 # --- fixed values: canonical columns of a sales line and their types -------------------
 CANONICAL_FIELDS = {
     "period_month": "string", "month_gross_amount": "double", "month_discount": "double",
@@ -18,31 +20,64 @@ CANONICAL_FIELDS = {
     "unit_cost": "double", "unit_profit": "double", "line_profit": "double",
 }
 
-# --- fixed values: headers of the export, in the order of the canonical columns --------
-EXPORT_HEADERS = (
-    "thời gian", "tổng tiền hàng (theo thời gian)", "giảm giá (theo thời gian)",
-    "doanh thu (theo thời gian)", "tổng giá vốn (theo thời gian)",
-    "lợi nhuận gộp (theo thời gian)", "mã giao dịch", "chi nhánh", "người bán", "ghi chú",
-    "thời gian (theo giao dịch)", "tổng tiền hàng (theo giao dịch)",
-    "giảm giá (theo giao dịch)", "doanh thu (theo giao dịch)",
-    "tổng giá vốn (theo giao dịch)", "lợi nhuận gộp (theo giao dịch)", "mã hàng",
-    "mã vạch", "tên hàng", "thương hiệu", "nhóm hàng(3 cấp)", "sl", "giá bán/sp",
-    "giá vốn/sp", "lợi nhuận/sp", "tổng lợi nhuận hàng hóa",
-)
+# --- fixed values: headers of the export and the field each stands for ------------------
+EXPORT_HEADERS = {
+    "thời gian": "period_month",
+    "tổng tiền hàng (theo thời gian)": "month_gross_amount",
+    "giảm giá (theo thời gian)": "month_discount",
+    "doanh thu (theo thời gian)": "month_revenue",
+    "tổng giá vốn (theo thời gian)": "month_cogs",
+    "lợi nhuận gộp (theo thời gian)": "month_gross_profit",
+    "mã giao dịch": "invoice_id",
+    "chi nhánh": "branch",
+    "người bán": "seller",
+    "ghi chú": "note",
+    "thời gian (theo giao dịch)": "sold_at",
+    "tổng tiền hàng (theo giao dịch)": "invoice_gross_amount",
+    "giảm giá (theo giao dịch)": "invoice_discount",
+    "doanh thu (theo giao dịch)": "invoice_revenue",
+    "tổng giá vốn (theo giao dịch)": "invoice_cogs",
+    "lợi nhuận gộp (theo giao dịch)": "invoice_gross_profit",
+    "mã hàng": "sku",
+    "mã vạch": "barcode",
+    "tên hàng": "product_name",
+    "thương hiệu": "brand",
+    "nhóm hàng(3 cấp)": "category_path",
+    "sl": "quantity",
+    "giá bán/sp": "unit_price",
+    "giá vốn/sp": "unit_cost",
+    "lợi nhuận/sp": "unit_profit",
+    "tổng lợi nhuận hàng hóa": "line_profit",
+}
 
 # --- fixed values: other headers seen in files of other point-of-sale programs ---------
-HEADER_SYNONYMS = {
-    "invoice_id": ("mã hóa đơn", "mã hoá đơn", "số hóa đơn", "mã hđ"),
-    "sold_at": ("ngày bán", "thời gian bán", "ngày giờ"),
-    "sku": ("mã sản phẩm", "mã sp", "sku"),
-    "product_name": ("tên sản phẩm", "tên sp"),
-    "category_path": ("nhóm hàng", "danh mục", "ngành hàng"),
-    "quantity": ("số lượng", "sl bán", "qty"),
-    "unit_price": ("đơn giá", "giá bán"),
-    "unit_cost": ("giá vốn",),
-    "seller": ("nhân viên", "nhân viên bán", "thu ngân"),
-    "branch": ("cửa hàng",),
-    "barcode": ("barcode",),
+SYNONYMS = {
+    "mã hóa đơn": "invoice_id",
+    "mã hoá đơn": "invoice_id",
+    "số hóa đơn": "invoice_id",
+    "mã hđ": "invoice_id",
+    "ngày bán": "sold_at",
+    "thời gian bán": "sold_at",
+    "ngày giờ": "sold_at",
+    "mã sản phẩm": "sku",
+    "mã sp": "sku",
+    "sku": "sku",
+    "tên sản phẩm": "product_name",
+    "tên sp": "product_name",
+    "nhóm hàng": "category_path",
+    "danh mục": "category_path",
+    "ngành hàng": "category_path",
+    "số lượng": "quantity",
+    "sl bán": "quantity",
+    "qty": "quantity",
+    "đơn giá": "unit_price",
+    "giá bán": "unit_price",
+    "giá vốn": "unit_cost",
+    "nhân viên": "seller",
+    "nhân viên bán": "seller",
+    "thu ngân": "seller",
+    "cửa hàng": "branch",
+    "barcode": "barcode",
 }
 
 # --- fixed values: line fields without which nothing can be computed --------------------
@@ -51,18 +86,13 @@ REQUIRED_FIELDS = (
     "unit_price", "unit_cost",
 )
 
-_KNOWN_HEADERS = {
-    **{alias: target for target, aliases in HEADER_SYNONYMS.items() for alias in aliases},
-    **dict(zip(EXPORT_HEADERS, CANONICAL_FIELDS)),
-}
-
-
 def normalized_header(header: str) -> str:
     return " ".join(re.split(r"\s+", str(header).strip())).lower()
 
 
 def map_headers(headers: list[str]) -> dict[str, str | None]:
-    return {h: _KNOWN_HEADERS.get(normalized_header(h)) for h in headers}
+    known = {**SYNONYMS, **EXPORT_HEADERS}
+    return {h: known.get(normalized_header(h)) for h in headers}
 
 
 def missing_fields(mapping: dict[str, str | None]) -> list[str]:
@@ -122,8 +152,10 @@ def read_export(spark: SparkSession, paths: str | list[str],
         .withColumn("source_path", F.col("_metadata.file_path"))
     )
     lines = cast_strict(to_canonical(text, mapping, keep=("source_path",)))
+    # One row per file. Written first, so that the join sees its size and leaves the lines in place.
+    fingerprints = written(file_fingerprints(spark, paths), "fingerprints")
     return (
-        lines.join(file_fingerprints(spark, paths), "source_path")
+        lines.join(fingerprints, "source_path")
         .withColumn("loaded_at", F.current_timestamp())
         .drop("source_path")
     )
@@ -141,6 +173,9 @@ def file_fingerprints(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def append_idempotent(raw: DataFrame, batch: DataFrame) -> DataFrame:
-    """Replace every earlier load of the batch's files by the batch itself."""
-    reloaded = batch.select("source_hash").distinct()
+    """Replace every earlier load of the batch's files by the batch itself.
+
+    The list of files is written first: raw lines are only filtered, not shuffled by file.
+    """
+    reloaded = written(batch.select("source_hash").distinct(), "reloaded")
     return raw.join(reloaded, "source_hash", "left_anti").select(*raw.columns).unionByName(batch)

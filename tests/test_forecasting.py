@@ -32,48 +32,52 @@ def measured(spark, y, f, measure):
         measure.alias("m")).first()["m"]
 
 
-def test_error_measures(spark):
-    assert measured(spark, [0, 0, 10], [2, 0, 8], evaluate.wmape()) == pytest.approx(0.4)
-    assert measured(spark, [10, 10], [12, 12], evaluate.bias()) == pytest.approx(0.2)
-    assert measured(spark, [10, 10], [8, 8], evaluate.bias()) == pytest.approx(-0.2)
-    assert measured(spark, [10] * 8, [8] * 8, evaluate.tracking_signal()) == pytest.approx(-8)
-    assert abs(measured(spark, [10] * 8, [11, 9] * 4, evaluate.tracking_signal())) < 1e-9
-    assert measured(spark, [0, 0], [1, 1], evaluate.wmape()) is None
+def test_error_measures_equal_their_definitions(spark):
+    rng = random.Random(21)
+    y = [rng.choice([0, 0, 3, 8, 14]) for _ in range(30)]
+    f = [rng.uniform(0, 15) for _ in y]
+    total, gaps = sum(y), [b - a for a, b in zip(y, f)]
+    assert measured(spark, y, f, evaluate.wmape()) == pytest.approx(sum(map(abs, gaps)) / total)
+    assert measured(spark, y, f, evaluate.bias()) == pytest.approx(sum(gaps) / total)
+    assert measured(spark, y, f, evaluate.mae()) == pytest.approx(sum(map(abs, gaps)) / 30)
+    assert measured(spark, y, f, evaluate.tracking_signal()) == pytest.approx(sum(gaps) / (sum(map(abs, gaps)) / 30))
+    assert measured(spark, y, f, evaluate.mdape()) == pytest.approx(float(np.median([abs(g) / a for a, g in zip(y, gaps) if a])))
+    assert measured(spark, [0] * 4, [3] * 4, evaluate.wmape()) is None
+    assert measured(spark, [5] * 4, [5] * 4, evaluate.tracking_signal()) == 0
+
+
+def test_holiday_offset_is_the_distance_to_the_nearest_holiday(spark):
+    days = [date(2025, 12, 1) + timedelta(days=13 * i) for i in range(45)]
+    got = spark.createDataFrame([(d,) for d in days], "d date").select("d", holiday_offset("d", DEFAULT).alias("o")).collect()
+    for row in got:
+        assert abs(row["o"]) == min(abs((row["d"] - h).days) for h in DEFAULT.holidays)
+        assert any(h + timedelta(days=row["o"]) == row["d"] for h in DEFAULT.holidays)
+
+
+def test_closed_days_see_no_later_value(spark):
+    rng = random.Random(22)
+    values = [rng.randrange(1, 40) for _ in range(50)]
+    closed = {30, 37}
+    first = ts.imputed(daily(spark, values, closed=closed), DEFAULT).orderBy("ds").collect()
+    other = ts.imputed(daily(spark, values[:38] + [v + 500 for v in values[38:]], closed=closed), DEFAULT).orderBy("ds").collect()
+    assert first[30]["is_imputed"] and first[37]["is_imputed"] and not first[29]["is_imputed"]
+    assert [r["y"] for r in other[:38]] == [r["y"] for r in first[:38]]
 
 
-def test_holiday_offset(spark):
-    days = spark.createDataFrame([(date(2026, 2, 17),), (date(2026, 2, 10),), (date(2027, 2, 1),)], "d date")
-    assert [r[0] for r in days.select(holiday_offset("d", DEFAULT)).collect()] == [0, -7, -5]
-
+def test_first_days_fall_back_to_later_weeks(spark):
+    rows = ts.imputed(daily(spark, [0, 0] + [9.0] * 26, closed={0, 1}), DEFAULT).orderBy("ds").collect()
+    assert [r["y"] for r in rows[:2]] == [9.0, 9.0]
 
-def test_closed_day_uses_only_earlier_weeks(spark):
-    values = [5.0] * 21 + [0] + [100.0] * 20
-    rows = ts.imputed(daily(spark, values, closed={21}), DEFAULT).orderBy("ds").collect()
-    assert rows[21]["is_imputed"] and rows[21]["y"] == 5.0
-    # Later values never change an imputed day that has an earlier week.
-    other = ts.imputed(daily(spark, values[:22] + [7.0] * 20, closed={21}), DEFAULT).orderBy("ds").collect()
-    assert [r["y"] for r in other[:22]] == [r["y"] for r in rows[:22]]
 
-
-def test_first_days_fall_back_to_later_weeks(spark):
-    rows = ts.imputed(daily(spark, [0] + [6.0] * 20, closed={0}), DEFAULT).orderBy("ds").collect()
-    assert rows[0]["y"] == 6.0
-
-
-def test_demand_classes(spark):
-    rng = random.Random(0)
-    frames = [
-        daily(spark, [rng.randrange(20, 30) for _ in range(100)], name="smooth"),
-        daily(spark, [rng.choice([1, 60]) for _ in range(100)], name="erratic"),
-        daily(spark, [0] * 95 + [3] * 5, name="insufficient"),
-        daily(spark, [4 if i % 3 == 0 else 0 for i in range(120)], name="intermittent"),
-        daily(spark, [(1 if i % 2 else 50) if i % 3 == 0 else 0 for i in range(120)], name="lumpy"),
-    ]
-    union = frames[0]
-    for f in frames[1:]:
-        union = union.unionByName(f)
-    for row in ts.demand_classes(union, DEFAULT).collect():
-        assert row["demand_class"] == row["unique_id"]
+@pytest.mark.parametrize("gap, sizes, want", [
+    (1, [11, 12, 13], "smooth"), (1, [2, 90], "erratic"), (4, [6, 6], "intermittent"), (4, [1, 1, 70], "lumpy"), (40, [5, 5], "insufficient")])
+def test_demand_class_follows_gaps_and_spread(spark, gap, sizes, want):
+    values = [sizes[i // gap % len(sizes)] if i % gap == 0 else 0 for i in range(160)]
+    row = ts.demand_classes(daily(spark, values), DEFAULT).first()
+    sold = [v for v in values if v]
+    cv2 = (np.std(sold, ddof=1) / np.mean(sold)) ** 2
+    assert row["demand_class"] == want
+    assert row["adi"] == pytest.approx(len(values) / len(sold)) and row["cv2"] == pytest.approx(cv2)
 
 
 def _ses(x, a):
@@ -126,38 +130,62 @@ def test_a_series_without_sales_forecasts_zero(spark):
 
 
 def test_smoothing_finds_a_weekly_pattern(spark):
-    week = [2.0, 4.0, 6.0, 8.0, 10.0, 30.0, 1.0]
-    df, cut = ready(daily(spark, week * 20)), START + timedelta(days=139)
+    week = [12.0, 3.0, 3.0, 7.0, 5.0, 18.0, 26.0]
+    df, cut = ready(daily(spark, week * 22)), START + timedelta(days=153)
     rows = smoothing.seasonal_smoothing(df, [cut], 7).orderBy("ds").collect()
     assert [r["yhat"] for r in rows] == pytest.approx(week, abs=0.5)
 
 
+def test_smoothing_equals_a_plain_loop(spark):
+    rng = random.Random(23)
+    y = [rng.randrange(0, 20) + 8 * (i % 7 == 2) for i in range(75)]
+    ends = [9, 40, 74]
+    got = smoothing.seasonal_smoothing(ready(daily(spark, y)), [START + timedelta(days=e) for e in ends], 10).collect()
+    for end in ends:
+        runs = []
+        for a, b, g in smoothing.VARIANTS:
+            first = y[:14]
+            level, slope, sse = sum(first) / 14, 0.0, 0.0
+            season = [((first[i] + first[i + 7]) / 2 - level) if g else 0.0 for i in range(7)]
+            for t in range(end + 1):
+                e = y[t] - (level + slope + season[t % 7])
+                sse, level, slope = sse + e * e, level + slope + a * e, slope + b * a * e
+                season[t % 7] += g * e
+            n, k = end + 1, 2 + 2 * (b > 0) + 7 * (g > 0)
+            score = n * math.log(max(sse, 1e-9) / n) + 2 * k + 2 * k * (k + 1) / max(n - k - 1, 1)
+            runs.append((round(score, 6), len(runs), [max(level + slope * s + season[(end + s) % 7], 0) for s in range(1, 11)]))
+        path = [r["yhat"] for r in sorted(got, key=lambda r: r["ds"]) if r["cutoff"] == START + timedelta(days=end)]
+        assert path == pytest.approx(min(runs)[2])
+
+
 def test_ensembles_need_every_member(spark):
     cols = "unique_id string, cutoff date, ds date, model string, yhat double"
     day = (START, START + timedelta(days=1))
     df = spark.createDataFrame([("A", *day, "GlobalTweedie", 2.0), ("A", *day, "IMAPA", 4.0)], cols)
-    assert [(r["model"], r["yhat"]) for r in forecast.ensembles(df).collect()] == [("Ens_LGB_IMAPA", 3.0)]
+    assert [(r["model"], r["yhat"]) for r in forecast.ensembles(df).collect()] == [("Ens_Tweedie_IMAPA", 3.0)]
 
 
 def weeks(spark, rows):
     return spark.createDataFrame(rows, WEEKLY)
 
 
-def test_champion_skips_biased_models(spark):
-    y = [10.0, 2.0, 0.0, 30.0] * 3
-    noise = [6.0, -6.0, 3.0, -3.0] * 3
-    rows = [("A", i, "low", "selection", v, v * 0.7, "c", "X", "Y") for i, v in enumerate(y)]
-    rows += [("A", i, "fair", "selection", v, v + e, "c", "X", "Y") for i, (v, e) in enumerate(zip(y, noise))]
-    df = weeks(spark, rows)
-    assert evaluate.champion(df, DEFAULT, ("low", "fair")).first()["model"] == "fair"
-    assert evaluate.champion(df, DEFAULT.scaled(max_abs_bias=1.0), ("low", "fair")).first()["model"] == "low"
+def test_champion_has_the_least_error_within_the_allowed_bias(spark):
+    rng = random.Random(24)
+    y = [rng.randrange(5, 50) for _ in range(16)]
+    paths = {"under": [v * (1 - 2 * DEFAULT.max_abs_bias) for v in y], "even": [v + (9 if i % 2 else -9) for i, v in enumerate(y)],
+             "wild": [v + (25 if i % 2 else -25) for i, v in enumerate(y)]}
+    df = weeks(spark, [("A", i, m, "selection", float(v), float(p), "c", "X", "Y") for m, path in paths.items() for i, (v, p) in enumerate(zip(y, path))])
+    names = tuple(paths)
+    assert evaluate.champion(df, DEFAULT, names).first()["model"] == "even"
+    assert evaluate.champion(df, DEFAULT.scaled(max_abs_bias=0.9), names).first()["model"] == "under"
 
 
-def test_confidence_labels(spark):
-    df = spark.createDataFrame([(0.2, "erratic"), (0.45, "lumpy"), (0.9, "lumpy"), (None, "insufficient")],
-                               "wmape double, demand_class string")
-    labels = [r[0] for r in df.select(evaluate.confidence()).collect()]
-    assert labels == ["Cao", "Trung bình", "Thấp", "Chưa đủ dữ liệu"]
+@pytest.mark.parametrize("wmape, demand, label", [
+    (0.29, "smooth", "Cao"), (0.30, "lumpy", "Cao"), (0.31, "smooth", "Trung bình"), (0.51, "erratic", "Thấp"), (None, "smooth", "Chưa đủ dữ liệu"),
+    (0.1, "insufficient", "Chưa đủ dữ liệu")])
+def test_confidence_label(spark, wmape, demand, label):
+    df = spark.createDataFrame([(wmape, demand)], "wmape double, demand_class string")
+    assert df.select(evaluate.confidence()).first()[0] == label
 
 
 def _dm(spark, diffs):
@@ -172,17 +200,16 @@ def _dm(spark, diffs):
 
 
 def test_diebold_mariano(spark):
-    rng = np.random.default_rng(0)
-    stat, p = _dm(spark, -1 + rng.normal(0, 1, 56))
-    assert stat < 0 and p < 0.01
-    d = rng.normal(0, 1, 56)
-    stat, p = _dm(spark, d)
-    assert p > 0.05
-    c = d - d.mean()
-    gamma = [float(c[k:] @ c[:56 - k]) / 56 for k in range(7)]
-    var = (gamma[0] + 2 * sum(gamma[1:])) / 56
-    var = var if var > 0 else gamma[0] / 56
-    assert stat == pytest.approx(d.mean() / math.sqrt(var) * math.sqrt((56 + 1 - 14 + 42 / 56) / 56))
+    rng = np.random.default_rng(31)
+    for n, shift in ((49, -2.0), (63, 0.0), (35, 0.4)):
+        d = shift + rng.uniform(-1.5, 1.5, n)
+        stat, p = _dm(spark, d)
+        c = d - d.mean()
+        gamma = [float(c[k:] @ c[:n - k]) / n for k in range(7)]
+        var = (gamma[0] + 2 * sum(gamma[1:])) / n
+        var = var if var > 0 else gamma[0] / n
+        assert stat == pytest.approx(d.mean() / math.sqrt(var) * math.sqrt((n + 1 - 14 + 42 / n) / n))
+        assert p < 0.01 or shift != -2.0
 
 
 def test_student_tail_known_values():
@@ -197,23 +224,15 @@ def policy_rows(spark, rows, life):
     return spark.createDataFrame([("p", u, c, float(y), float(w), 100.0, 150.0, life) for u, c, y, w in rows], cols)
 
 
-def test_single_period(spark):
-    r = policy.single_period(policy_rows(spark, [("A", 1, 10, 6), ("A", 2, 4, 6)], None)).first()
-    assert (r["units_short"], r["units_excess"]) == (4, 2)
-    assert r["fill_rate"] == pytest.approx(1 - 4 / 14) and r["excess_value"] == 200
-    idle = policy.single_period(policy_rows(spark, [("A", 1, 10, 5), ("A", 2, 0, 5)], None)).first()
-    assert idle["service_level"] == 0.0
-
-
-@pytest.mark.parametrize("life, rows, ordered, waste", [
-    (None, [("A", 1, 4, 10), ("A", 2, 10, 10)], 14, 0),
-    (1, [("A", 1, 4, 10), ("A", 2, 10, 10)], 20, 6),
-    (2, [("A", 1, 4, 10), ("A", 2, 0, 10), ("A", 3, 5, 10)], 20, 6),
-])
-def test_carry_over_pinned(spark, life, rows, ordered, waste):
-    r = policy.carry_over(policy_rows(spark, rows, life), DEFAULT.scaled(holding_rate_week=0.0)).first()
-    assert r["units_ordered"] == ordered and r["units_excess"] == waste
-    assert r["units_short"] == 0 and r["excess_value"] == waste * 100
+def test_single_period_equals_its_definition(spark):
+    rng = random.Random(33)
+    rows = [("A", c, rng.choice([0, 7, 13, 22]), rng.randrange(0, 25)) for c in range(20)]
+    r = policy.single_period(policy_rows(spark, rows, None)).first()
+    short, over = sum(max(y - w, 0) for _, _, y, w in rows), sum(max(w - y, 0) for _, _, y, w in rows)
+    asked = [(y, w) for _, _, y, w in rows if y > 0]
+    assert (r["units_short"], r["units_excess"], r["excess_value"]) == (short, over, 100 * over)
+    assert r["fill_rate"] == pytest.approx(1 - short / sum(y for _, _, y, _ in rows))
+    assert r["service_level"] == pytest.approx(sum(y - w <= 0.5 for y, w in asked) / len(asked))
 
 
 def _simulate(rows, life):
@@ -250,23 +269,26 @@ def test_carry_over_equals_brute_force(spark, life):
     assert r["lost_profit"] == pytest.approx(want["short"] * 50)
 
 
-def test_allocation_adds_up(spark):
-    shares = spark.createDataFrame([("N", "a", "A", 50.0, 0.5), ("N", "b", "B", 30.0, 0.3), ("N", "c", "C", 20.0, 0.2)],
+@pytest.mark.parametrize("units", [0, 1, 11, 64])
+def test_allocation_gives_every_unit_once(spark, units):
+    sold = {"u": 41.0, "v": 23.0, "w": 19.0, "x": 6.0}
+    shares = spark.createDataFrame([("N", s, s.upper(), q, q / sum(sold.values())) for s, q in sold.items()],
                                    "cat_l3 string, sku string, product_name string, qty double, share double")
-    plan = spark.createDataFrame([("N", 7.0, 6.0)], "unique_id string, order_qty double, forecast_week double")
-    parts = policy.allocate(shares, plan, "cat_l3").collect()
-    assert sum(r["sku_order_qty"] for r in parts) == 7
-    assert sum(r["share"] for r in parts) == pytest.approx(1)
+    plan = spark.createDataFrame([("N", float(units), 5.0)], "unique_id string, order_qty double, forecast_week double")
+    parts = {r["sku"]: r["sku_order_qty"] for r in policy.allocate(shares, plan, "cat_l3").collect()}
+    assert sum(parts.values()) == units
+    assert all(abs(parts[s] - units * q / sum(sold.values())) < 1 for s, q in sold.items())
 
 
-def test_service_classes(spark):
-    profile = spark.createDataFrame([("Sữa chua", "s"), ("Sữa tươi", "s"), ("Nước giải khát", "t")],
-                                    "unique_id string, cat_l2 string")
-    margin = spark.createDataFrame([("s", "Ngôi sao"), ("t", "Lời mỏng")], "cat_l2 string, quadrant string")
-    got = {r["unique_id"]: (r["service_class"], r["tau"])
-           for r in policy.service_classes(profile, margin, DEFAULT).collect()}
-    assert got == {"Sữa chua": ("Dễ hư hỏng", 0.55), "Sữa tươi": ("Ngôi sao", 0.80),
-                   "Nước giải khát": ("Bảo quản lâu", 0.70)}
+def test_service_class_is_perishable_before_star_before_durable(spark):
+    lives = {"milk": DEFAULT.perishable_max_weeks, "rice": DEFAULT.perishable_max_weeks + 1}
+    rules = DEFAULT.scaled(shelf_life=lives)
+    profile = spark.createDataFrame([(u, q) for u in ("milk", "rice", "salt") for q in ("top", "rest")], "unique_id string, cat_l2 string")
+    margin = spark.createDataFrame([("top", "Ngôi sao"), ("rest", "Cần xem xét")], "cat_l2 string, quadrant string")
+    got = {(r["unique_id"], r["cat_l2"]): (r["service_class"], r["tau"]) for r in policy.service_classes(profile, margin, rules).collect()}
+    fresh, star, keeps = ("Dễ hư hỏng", 0.55), ("Ngôi sao", 0.80), ("Bảo quản lâu", 0.70)
+    assert got == {("milk", "top"): fresh, ("milk", "rest"): fresh, ("rice", "top"): star, ("rice", "rest"): keeps,
+                   ("salt", "top"): star, ("salt", "rest"): keeps}
 
 
 # --- monitoring --------------------------------------------------------------------------------
@@ -283,24 +305,32 @@ def status(spark, *args):
     return monitor.drift_status(flags).first()
 
 
-def test_drift(spark):
-    assert not status(spark, [0.5, 0.55], [100, 110], [105, 100])["retrain"]
-    assert status(spark, [0.5, 0.9], [100, 110], [105, 100])["retrain"]
-    biased = status(spark, [0.3] * 6, [100] * 6, [80] * 6)
-    assert biased["retrain"] and biased["state"] == "bias" and biased["tracking_signal"] == pytest.approx(-6)
+LIMIT = 0.55 * DEFAULT.drift_factor
+
 
+def test_one_bad_week_calls_for_training_and_good_ones_do_not(spark):
+    calm = [LIMIT - 0.05] * 5
+    assert not status(spark, calm, [80] * 5, [83, 77, 82, 79, 80])["retrain"]
+    assert status(spark, calm[:4] + [LIMIT + 0.05], [80] * 5, [83, 77, 82, 79, 80])["retrain"]
 
-def test_drift_keeps_earlier_alarms(spark):
-    st = status(spark, [0.5, 0.95, 0.5, 0.5], [100] * 4, [100] * 4)
-    assert not st["retrain"] and st["flagged_weeks"] == "2025-10-08"
 
+def test_forecasts_that_stay_low_are_biased(spark):
+    weeks_ = int(DEFAULT.ts_limit) + 3
+    got = status(spark, [0.2] * weeks_, [90] * weeks_, [63] * weeks_)
+    assert got["retrain"] and got["state"] == "bias" and got["tracking_signal"] == pytest.approx(-weeks_)
 
-def test_retrain_without_history(spark):
+
+def test_earlier_alarms_are_listed(spark):
+    got = status(spark, [0.4, 0.4, LIMIT + 0.2, 0.4], [60] * 4, [60] * 4)
+    assert not got["retrain"] and got["flagged_weeks"] == str(START + timedelta(days=14))
+
+
+def test_retrain_after_a_whole_week_of_new_days(spark):
     calendar = spark.createDataFrame([(START,)], "date date")
     none = monitor.drift_status(monitor.drift(runs(spark, [], [], []), F.lit(0.5), DEFAULT))
-    assert monitor.retrain_decision(calendar, None, none, "k").first()["retrain"]
-    assert not monitor.retrain_decision(calendar, START - timedelta(days=3), none, "k").first()["retrain"]
-    assert monitor.retrain_decision(calendar, START - timedelta(days=7), none, "k").first()["retrain"]
+    decided = {age: monitor.retrain_decision(calendar, age if age is None else START - timedelta(days=age), none, "k").first()["retrain"]
+               for age in (None, 1, 6, 7, 30)}
+    assert decided == {None: True, 1: False, 6: False, 7: True, 30: True}
 
 
 def test_weekly_blocks(spark):
@@ -311,12 +341,14 @@ def test_weekly_blocks(spark):
     assert [(r["value"], r["block_start"]) for r in ahead] == [(7.0, START + timedelta(days=1))]
 
 
-def test_discount_scenario(spark):
-    plan = spark.createDataFrame([("X", 100.0, 120.0)], "cat_l1 string, forecast_week double, order_qty double")
-    response = spark.createDataFrame([("X", True, 0.02, 0.5)],
+@pytest.mark.parametrize("reliable, slope", [(True, 0.031), (False, 0.012)])
+def test_discount_scenario_uses_the_reliable_slope(spark, reliable, slope):
+    plan = spark.createDataFrame([("X", 70.0, 90.0)], "cat_l1 string, forecast_week double, order_qty double")
+    response = spark.createDataFrame([("X", reliable, 0.031, 0.012)],
                                      "cat_l1 string, reliable boolean, uplift_per_pct double, store_uplift_per_pct double")
-    r = scenario.discount(plan, response, 10, 50).first()
-    assert r["net_factor"] == pytest.approx(1.1) and r["extra_order"] == pytest.approx(12)
+    r = scenario.discount(plan, response, 20, 25).first()
+    net = slope * 20 * (1 - 0.25)
+    assert r["net_factor"] == pytest.approx(1 + net) and r["extra_order"] == pytest.approx(90 * net)
 
 
 def test_waterfall_ends_at_the_forecast(spark):
@@ -329,12 +361,6 @@ def test_waterfall_ends_at_the_forecast(spark):
     assert steps[-1]["to_level"] == pytest.approx(math.exp(1.6))
 
 
-def test_sample_is_repeatable(spark):
-    df = spark.range(100).select(F.col("id"))
-    first = [r[0] for r in explain.sampled(df, 10, ["id"]).collect()]
-    assert len(first) == 10 and first == [r[0] for r in explain.sampled(df.repartition(5), 10, ["id"]).collect()]
-
-
 def test_learner_converges_and_beats_last_week_repeated(spark):
     """Sparse series with a weekly pattern: the fitted model must track their level."""
     from shelfcast.operators import learner
@@ -366,3 +392,15 @@ def test_batch_features_equal_recursive_ones(spark):
     n = len(learner.design_names(["X"]))
     first = learner.learned_forecasts(df, feats, [day - timedelta(days=1)], 1).first()
     assert list(first["x"]) == pytest.approx([row[f"x{i}"] for i in range(n)])
+
+
+def test_short_series_get_a_learned_forecast(spark):
+    """Every eligible series competes on the same rows, however short its history."""
+    from shelfcast.operators import learner
+
+    rng = random.Random(12)
+    rows = [(f"s{k}", START + timedelta(days=i), float(rng.randrange(0, 6)), "c") for k, days in enumerate((120, 90, 22)) for i in range(120 - days, 120)]
+    df = spark.createDataFrame(rows, "unique_id string, ds date, y double, cat_l1 string")
+    fc = learner.learned_forecasts(df, ts.features(df), [START + timedelta(days=119)], 7).collect()
+    assert {k: sum(r["unique_id"] == k for r in fc) for k in ("s0", "s1", "s2")} == {"s0": 7, "s1": 7, "s2": 7}
+    assert all(math.isfinite(r["yhat"]) for r in fc)

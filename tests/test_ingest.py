@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 from shelfcast.sources import ingest, sinks
 
 HEADERS = [h.title() for h in ingest.EXPORT_HEADERS]
-ROW = ["06-2026", "100", "0", "100", "80", "20", "HD000001", "CN1", "A", None, "2026-06-30 19:27:56", "18000", "0",
-       "18000", "15000", "3000", "02000758", "893", "Nước", None, "Đồ uống>>Nước ngọt>>Nước giải khát", "2", "9000",
-       "7500", "1500", "3000"]
+VALUES = dict(
+    period_month="11-2023", invoice_id="Q-17", branch="east", seller="Ada", note=None, sold_at="2023-11-09 08:05:30", sku="000413",
+    barcode="5012", product_name="Oats", brand=None, category_path="Pantry>>Oats>>Rolled", quantity="6", unit_price="4.5", unit_cost="2.25")
+ROW = [VALUES.get(field, "0") for field in ingest.CANONICAL_FIELDS]
 
 
 def _text(spark, rows, headers):
@@ -24,54 +25,58 @@ def test_every_export_header_is_known():
 def test_ids_keep_leading_zeros(spark):
     lines = ingest.cast_strict(ingest.to_canonical(_text(spark, [ROW], HEADERS)))
     row = lines.first()
-    assert row["sku"] == "02000758" and row["quantity"] == 2.0
+    assert row["sku"] == "000413" and row["quantity"] == 6.0
     assert lines.columns == list(ingest.CANONICAL_FIELDS)
 
 
-def test_missing_column_is_named(spark):
-    keep = [i for i, h in enumerate(ingest.EXPORT_HEADERS) if h != "sl"]
-    export = _text(spark, [[ROW[i] for i in keep]], [HEADERS[i] for i in keep])
-    with pytest.raises(ValueError, match="quantity"):
-        ingest.to_canonical(export)
+@pytest.mark.parametrize("field", sorted(ingest.REQUIRED_FIELDS))
+def test_each_missing_column_is_named(spark, field):
+    keep = [i for i, name in enumerate(ingest.CANONICAL_FIELDS) if name != field]
+    with pytest.raises(ValueError, match=field):
+        ingest.to_canonical(_text(spark, [[ROW[i] for i in keep]], [HEADERS[i] for i in keep]))
 
 
-def test_synonyms_and_optional_columns(spark):
-    headers = ["Mã hóa đơn", "Ngày bán", "Mã SP", "Tên sản phẩm", "Danh mục", "Số lượng", "Đơn giá", "Giá vốn"]
-    export = _text(spark, [["B001", "2026-06-01 10:00:00", "007", "Nước", "A>>B>>C", "3", "10000", "8000"]], headers)
-    row = ingest.cast_strict(ingest.to_canonical(export)).first()
-    assert (row["sku"], row["quantity"], row["month_revenue"]) == ("007", 3.0, None)
+def test_every_synonym_leads_to_its_field(spark):
+    for header, field in ingest.SYNONYMS.items():
+        assert ingest.map_headers([header.upper()]) == {header.upper(): field}
+
+
+def test_optional_columns_may_be_absent(spark):
+    keep = [i for i, name in enumerate(ingest.CANONICAL_FIELDS) if name in ingest.REQUIRED_FIELDS]
+    row = ingest.cast_strict(ingest.to_canonical(_text(spark, [[ROW[i] for i in keep]], [HEADERS[i] for i in keep]))).first()
+    assert (row["sku"], row["quantity"], row["month_revenue"], row["brand"]) == ("000413", 6.0, None, None)
 
 
 def test_unknown_headers_and_missing_fields():
-    mapping = ingest.map_headers(["Mã giao dịch", "SL", "Cột lạ"])
-    assert mapping["Cột lạ"] is None
+    mapping = ingest.map_headers(["no such column", "SL"])
+    assert mapping["no such column"] is None and mapping["SL"] == "quantity"
     assert "unit_price" in ingest.missing_fields(mapping)
 
 
 def test_first_column_wins(spark):
     export = _text(spark, [ROW + ["99"]], HEADERS + ["Số lượng"])
-    assert ingest.cast_strict(ingest.to_canonical(export)).first()["quantity"] == 2.0
+    assert ingest.cast_strict(ingest.to_canonical(export)).first()["quantity"] == 6.0
 
 
 def test_bad_values_raise_or_are_set_aside(spark):
     bad = list(ROW)
-    bad[21] = "two"
+    bad[list(ingest.CANONICAL_FIELDS).index("quantity")] = "six"
     lines = ingest.to_canonical(_text(spark, [ROW, bad], HEADERS))
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         ingest.cast_strict(lines).collect()
     good, aside = ingest.cast_lenient(lines)
-    assert good.count() == 1 and aside.first()["quantity"] == "two"
+    assert good.count() == 1 and aside.first()["quantity"] == "six"
 
 
 def test_files_are_hashed_and_reloaded_once(spark, tmp_path):
     import hashlib
 
-    path = tmp_path / "june.csv"
+    path = tmp_path / "autumn.csv"
     path.write_text(",".join(f'"{h}"' for h in HEADERS) + "\n" + ",".join(f'"{v or ""}"' for v in ROW) + "\n")
     batch = ingest.read_export(spark, str(path))
     row = batch.first()
     assert row["source_hash"] == hashlib.sha256(path.read_bytes()).hexdigest()
-    assert row["source_file"] == "june.csv" and row["sku"] == "02000758"
+    assert row["source_file"] == "autumn.csv" and row["sku"] == "000413"
     assert ingest.append_idempotent(batch, ingest.read_export(spark, str(path))).count() == 1
 
 
