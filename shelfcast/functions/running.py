@@ -12,44 +12,42 @@ def median_before(lines: DataFrame, key: str, time: str, order: list[Column], va
     """Add `out`: the interpolated median of `value` over the rows of the same `key` that
     come strictly earlier in `order` (whose leading part must be `time`).
 
-    A key with at most `hot_rows` rows is one window partition. The history of a larger key
-    is cut into consecutive time slices of about `hot_rows` rows. Each slice starts with a
-    carry: how often every value occurred before the slice, as one weighted row per value.
-    The weighted median over (carry, rows so far) equals the median over the full history,
-    so nothing is approximated and no task sees more than a slice.
+    One plan serves keys of any size. The history of a key is cut into consecutive time slices
+    of about `hot_rows` rows; most keys have only slice 0. Each later slice starts with a carry:
+    how often every value occurred before the slice, as one weighted row per value. The weighted
+    median over (carry, rows so far) equals the median over the full history, so nothing is
+    approximated and no task sees more than a slice. A null key is a key like any other; rows of
+    one key and one second are never parted.
     """
-    # Found once and written: with no hot key, the usual case, the plan stays one window.
+    # Keys with more than one slice, and their later slices: small tables, written so that the
+    # joins see their size and leave the lines in place.
     hot = written(
-        lines.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(key), "hot_keys")
-    if hot.isEmpty():
-        history = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return lines.withColumn(out, F.percentile(value, F.lit(0.5)).over(history))
-
-    hour = F.date_trunc("hour", time)
-    # Hours of one key are bounded by the calendar, so this window is small for any key.
-    earlier_hours = Window.partitionBy(key).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+        lines.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+        .select(F.col(key).alias("_hot")), "hot_keys")
+    second = F.date_trunc("second", time)
+    earlier = Window.partitionBy("_hot").orderBy("_second").rowsBetween(Window.unboundedPreceding, -1)
     slices = written(
-        lines.select(key, hour.alias("_hour")).join(hot, key, "left_semi")
-        .groupBy(key, "_hour").agg(F.count(F.lit(1)).alias("_n"))
-        .select(key, "_hour", F.floor(
-            F.coalesce(F.sum("_n").over(earlier_hours), F.lit(0)) / hot_rows).alias("_slice")), "slices")
-    placed = (
-        lines.withColumn("_hour", hour).join(slices, [key, "_hour"], "left")
-        .withColumn("_slice", F.coalesce("_slice", F.lit(0))).drop("_hour")
-    )
-
-    # Carry of the hot keys: one row per (key, slice, value), counted before the slice.
+        lines.select(key, second.alias("_second")).join(hot, F.col(key).eqNullSafe(F.col("_hot")))
+        .groupBy("_hot", "_second").agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_slice", F.floor(F.coalesce(F.sum("_n").over(earlier), F.lit(0)) / hot_rows))
+        .groupBy("_hot", "_slice").agg(F.min("_second").alias("_from")), "slices")
+    starts = written(
+        slices.groupBy("_hot").agg(F.array_sort(F.collect_list(F.struct("_from", "_slice"))).alias("_starts")), "slice_starts")
+    # The slice of a row is the last one that starts no later.
+    own = F.element_at(F.filter("_starts", lambda s: s["_from"] <= second), -1)["_slice"]
+    placed = lines.join(starts, F.col(key).eqNullSafe(F.col("_hot")), "left").withColumn(
+        "_slice", F.coalesce(own, F.lit(0))).drop("_starts", "_hot")
+
+    # Carry: one row per (key, slice, value), counted before the slice.
     hot_counts = written(
-        placed.select(key, "_slice", value).filter(F.col(value).isNotNull()).join(hot, key, "left_semi")
-        .groupBy(key, "_slice", value).agg(F.count(F.lit(1)).alias("_n")), "hot_counts")
-    grid = slices.select(key, "_slice").distinct().join(hot_counts.select(key, value).distinct(), key)
-    earlier_slices = Window.partitionBy(key, value).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        placed.select(key, "_slice", value).filter(F.col(value).isNotNull())
+        .join(hot, F.col(key).eqNullSafe(F.col("_hot")))
+        .groupBy("_hot", "_slice", F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_n")), "hot_counts")
+    later = slices.filter("_slice > 0").select(F.col("_hot").alias("_of"), F.col("_slice").alias("_at"))
     carry = (
-        grid.join(hot_counts, [key, "_slice", value], "left")
-        .withColumn("_weight", F.sum("_n").over(earlier_slices))
-        .filter(F.col("_weight") > 0)
-        .select(key, "_slice", value, "_weight", F.lit(True).alias("_is_carry"))
-    )
+        hot_counts.join(later, F.col("_hot").eqNullSafe(F.col("_of")) & (F.col("_slice") < F.col("_at")))
+        .groupBy(F.col("_of").alias(key), F.col("_at").alias("_slice"), F.col("_value").alias(value))
+        .agg(F.sum("_n").alias("_weight")).withColumn("_is_carry", F.lit(True)))
 
     rows = placed.withColumn("_weight", F.lit(1).cast("bigint")).withColumn("_is_carry", F.lit(False))
     before = (

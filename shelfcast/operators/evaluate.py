@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from shelfcast.functions.medians import median
+from shelfcast.functions.medians import banded_median
 from shelfcast.functions.pvalues import normal_p, student_p
 from shelfcast.functions.scans import ordered_running
 from shelfcast.operators.marts import rows
@@ -54,8 +54,9 @@ def mae() -> Column:
     return F.avg(F.abs(error()))
 
 
-def mdape() -> Column:
-    return median(F.when(F.col("y") > 0, F.abs(error()) / F.col("y")))
+def relative_error() -> Column:
+    """Only weeks with sales have one; its median is the MdAPE."""
+    return F.when(F.col("y") > 0, F.abs(error()) / F.col("y"))
 
 
 def tracking_signal() -> Column:
@@ -68,8 +69,9 @@ def metrics(weeks: DataFrame) -> DataFrame:
     holdout = F.col("phase") == "holdout"
     scopes = F.when(holdout, F.array(F.lit(SCOPE_ALL), F.col("demand_class"))).otherwise(
         F.array(F.lit(SCOPE_SELECTION)))
-    return weeks.withColumn("scope", F.explode(scopes)).groupBy("scope", "model").agg(
-        mae().alias("MAE"), wmape().alias("WMAPE"), bias().alias("Bias"), mdape().alias("MdAPE"))
+    scoped = weeks.withColumn("scope", F.explode(scopes)).withColumn("_relative", relative_error())
+    means = scoped.groupBy("scope", "model").agg(mae().alias("MAE"), wmape().alias("WMAPE"), bias().alias("Bias"))
+    return means.join(banded_median(scoped, ["scope", "model"], "_relative", "MdAPE"), ["scope", "model"], "left")
 
 
 def champion(weeks: DataFrame, rules: Rules, order: tuple[str, ...]) -> DataFrame:

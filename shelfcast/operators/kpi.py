@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from shelfcast.functions.medians import median
+from shelfcast.functions.medians import banded_median, median
 from shelfcast.operators.marts import rows
 from shelfcast.params import (
     BEFORE_HOLIDAY, CHANNEL_RETAIL, CHANNEL_WHOLESALE, QUADRANT_LOSS, Rules, WHOLE_STORE,
@@ -127,9 +127,10 @@ def cost_anomalies(staged: DataFrame) -> DataFrame:
 def bulk_summary(bulk: DataFrame) -> DataFrame:
     classes = bulk.groupBy("bulk_frequency").agg(
         rows().alias("n_skus"), F.sum("n_bulk_orders").alias("n_orders"), F.sum("bulk_revenue").alias("revenue"),
-        median("bulk_share_qty").alias("median_bulk_share"),
         F.count_if(F.col("bulk_share_qty") > 0.5).alias("n_mostly_bulk"), F.sum("reserve_value").alias("reserve_value"))
-    return classes.withColumn("revenue_share", share_of("revenue"))
+    # A ratio of its own per article: too many values for one buffer per class.
+    middle = banded_median(bulk, ["bulk_frequency"], "bulk_share_qty", "median_bulk_share")
+    return classes.join(middle, "bulk_frequency", "left").withColumn("revenue_share", share_of("revenue"))
 
 
 def last_28_days(traffic: DataFrame, alert_drop: float = 0.15) -> DataFrame:

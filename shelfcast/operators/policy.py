@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfcast.functions.holidays import holiday_offset, holiday_window
-from shelfcast.functions.medians import median
+from shelfcast.functions.medians import banded_median, banded_quantiles
 from shelfcast.operators.forecast import ENSEMBLES
 from shelfcast.operators.marts import rows
 from shelfcast.params import (
@@ -25,8 +25,8 @@ def quantile_name(tau: float) -> str:
 def ratio_quantiles(weeks: DataFrame, rules: Rules, keys: tuple[str, ...] = ("demand_class",)) -> DataFrame:
     """Quantiles of actual over forecast per demand class, from weeks with a real forecast."""
     ratios = weeks.filter(F.col("yhat") > rules.min_forecast_for_ratio).withColumn("_ratio", F.col("y") / F.col("yhat"))
-    found = ratios.groupBy(*keys).agg(
-        F.percentile("_ratio", F.array(*[F.lit(t) for t in TAUS])).alias("_q"), rows().alias("n_weeks"))
+    found = ratios.groupBy(*keys).agg(rows().alias("n_weeks")).join(
+        banded_quantiles(ratios, list(keys), "_ratio", list(TAUS), "_q"), list(keys))
     return found.select(*keys, *[F.col("_q")[i].alias(quantile_name(t)) for i, t in enumerate(TAUS)], "n_weeks")
 
 
@@ -151,12 +151,11 @@ def policy_weeks(weeks: DataFrame, policies: dict[str, Column], prices: DataFram
     and shelf life. Categories without a price take the median one."""
     long = F.array(*[
         F.struct(F.lit(name).alias("policy"), wanted.cast("double").alias("wanted")) for name, wanted in policies.items()])
-    middle = prices.agg(F.struct(median("unit_cost").alias("cost"), median("unit_price").alias("price"))).scalar()
+    middle_of = lambda column: banded_median(prices, [], column, "_m").select("_m").scalar()
     return (
         weeks.join(prices.select("unique_id", "unit_cost", "unit_price"), "unique_id", "left")
-        .withColumn("_middle", middle)
-        .withColumn("cost", F.coalesce("unit_cost", F.col("_middle.cost")))
-        .withColumn("price", F.coalesce("unit_price", F.col("_middle.price")))
+        .withColumn("cost", F.coalesce("unit_cost", middle_of("unit_cost")))
+        .withColumn("price", F.coalesce("unit_price", middle_of("unit_price")))
         .withColumn("life", shelf_life(rules))
         .select("unique_id", "cutoff", "y", "cost", "price", "life", F.inline(long))
         .withColumn("wanted", F.ceil(F.round("wanted", 6)).cast("double"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from shelfcast.functions.joins import left_join_where
 from shelfcast.functions.medians import banded_median, counted_median
 from shelfcast.functions.running import median_before
+from shelfcast.functions.tables import written
 from shelfcast.functions.scans import ordered_running
 from shelfcast.params import (
     BULK, COST_ACTUAL, COST_CATEGORY, COST_SKU, CREDIT_NOTES, DELETED_MARK, INTERNAL,
@@ -219,9 +220,15 @@ def bulk_candidate(rules: Rules) -> Column:
 
 
 def bulk_lines(lines: DataFrame, rules: Rules) -> DataFrame:
-    """Keys of lines that are big in themselves and against the article's own history."""
+    """Keys of lines that are big in themselves and against the article's own history.
+
+    Only articles with such a line have their history looked at.
+    """
+    articles = written(
+        lines.filter(bulk_candidate(rules)).select(clean_sku().alias("_candidate")).distinct(), "bulk_articles")
+    history = lines.join(articles, clean_sku().eqNullSafe(F.col("_candidate")), "left_semi")
     return (
-        prior_median_quantity(lines, rules)
+        prior_median_quantity(history, rules)
         .filter(bulk_candidate(rules) & (F.col("quantity") >= rules.bulk_line_ratio * F.col("prior_median_qty")))
         .select(*LINE_KEY, F.lit(True).alias("_big_line"))
     )

@@ -87,7 +87,7 @@ class Rules:
     bulk_invoice_value: float = 3_000_000.0
     bulk_line_units: float = 48.0
     bulk_line_ratio: float = 10.0
-    # A clean sku with more lines than this has its history cut into time slices.
+    # Lines of one clean sku in a time slice of its history.
     hot_key_rows: int = 5_000_000
     # marts
     discount_cut: float = 0.95

@@ -41,7 +41,9 @@ def test_error_measures_equal_their_definitions(spark):
     assert measured(spark, y, f, evaluate.bias()) == pytest.approx(sum(gaps) / total)
     assert measured(spark, y, f, evaluate.mae()) == pytest.approx(sum(map(abs, gaps)) / 30)
     assert measured(spark, y, f, evaluate.tracking_signal()) == pytest.approx(sum(gaps) / (sum(map(abs, gaps)) / 30))
-    assert measured(spark, y, f, evaluate.mdape()) == pytest.approx(float(np.median([abs(g) / a for a, g in zip(y, gaps) if a])))
+    scores = evaluate.metrics(weeks(spark, [("A", i, "m", "holdout", float(a), float(b), "c", "X", "Y") for i, (a, b) in enumerate(zip(y, f))]))
+    want = float(np.median([abs(g) / a for a, g in zip(y, gaps) if a]))
+    assert {r["scope"]: r["MdAPE"] for r in scores.collect()} == pytest.approx({"Tổng thể": want, "c": want})
     assert measured(spark, [0] * 4, [3] * 4, evaluate.wmape()) is None
     assert measured(spark, [5] * 4, [5] * 4, evaluate.tracking_signal()) == 0
 

@@ -9,7 +9,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from shelfcast.functions.joins import left_join_where
-from shelfcast.functions.medians import banded_median, median
+from shelfcast.functions.medians import banded_median, banded_quantiles, median
 from shelfcast.functions.running import median_before
 from shelfcast.functions.scans import ordered_running
 from shelfcast.operators import basket
@@ -20,13 +20,13 @@ from shelfcast.operators.staging import dedup_latest
 def test_median_before_equals_brute_force_with_a_hot_key(spark, hot_rows):
     rng = random.Random(1)
     start = datetime(2026, 1, 1)
-    rows = [(("hot" if rng.random() < 0.4 else f"k{rng.randrange(8)}"), start + timedelta(minutes=37 * rng.randrange(400)),
+    rows = [(("hot" if rng.random() < 0.4 else rng.choice([None, "k1", "k2", "k3"])), start + timedelta(minutes=37 * rng.randrange(400)),
              i, rng.choice([None, 1.0, 2.0, 5.0, 9.0, 2.5])) for i in range(600)]
     df = spark.createDataFrame(rows, "k string, t timestamp, i int, v double")
     got = {r["i"]: r["m"] for r in median_before(
         df, "k", "t", [F.col("t"), F.col("i")], "v", "m", hot_rows).collect()}
     seen: dict = {}
-    for k, _, i, v in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+    for k, _, i, v in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
         past = seen.setdefault(k, [])
         assert got[i] == (statistics.median(past) if past else None)
         if v is not None:
@@ -43,6 +43,16 @@ def test_banded_median_equals_median(spark, pairs):
     assert banded == plain
 
 
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", None]), st.integers(-20, 20)), min_size=1, max_size=80))
+def test_banded_quantiles_equal_percentiles(spark, pairs):
+    taus = [0.0, 0.1, 0.5, 0.55, 0.9, 1.0]
+    df = spark.createDataFrame([(k, v / 4) for k, v in pairs], "k string, v double")
+    banded = {r["k"]: r["q"] for r in banded_quantiles(df, ["k"], "v", taus, "q").collect()}
+    plain = {r["k"]: r["q"] for r in df.groupBy("k").agg(F.percentile("v", F.array(*[F.lit(t) for t in taus])).alias("q")).collect()}
+    assert set(banded) == set(plain) and all(banded[k] == pytest.approx(plain[k]) for k in plain)
+
+
 def test_banded_median_on_many_distinct_values(spark):
     df = spark.range(0, 200_001).select(F.lit("x").alias("k"), (F.col("id") * 7919 % 200_001).cast("double").alias("v"))
     assert banded_median(df, ["k"], "v", "m").first()["m"] == 100_000.0
