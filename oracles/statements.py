@@ -322,7 +322,8 @@ SQL["ev_per_series"] = "SELECT * FROM o_report"
 SQL["ev_confidence"] = "SELECT * FROM o_report"
 SQL["ev_run_summary"] = """
 SELECT c.model AS champion, a."WMAPE" AS holdout_wmape, b."WMAPE" AS baseline_wmape, l."WMAPE" AS store_wmape,
-       r.share AS share_improved, p.n AS n_series, p.m AS n_modelled, r.n AS n_backtest
+       r.share AS share_improved, p.n AS n_series, p.m AS n_modelled, r.n AS n_backtest,
+       (SELECT last FROM o_last) AS data_until, (SELECT min(cutoff) FROM o_cut) AS first_cutoff, (SELECT cut FROM o_start) AS holdout_cutoff
 FROM o_champion c JOIN o_metrics a ON a.model = c.model AND a.scope = 'Tổng thể'
 JOIN o_metrics b ON b.model = 'HistoricAverage' AND b.scope = 'Tổng thể'
 JOIN o_levels l ON l.model = c.model AND l.level = 'Toàn cửa hàng',
@@ -362,7 +363,8 @@ FROM (SELECT *, floor(raw) AS whole FROM (
   FROM o_top t JOIN o_plan p ON p.unique_id = t.cat))"""
 SQL["pol_backtest_single"] = "SELECT * FROM o_single"
 SQL["kpi_plan_totals"] = f"""
-SELECT t.v AS total_value, t.n AS n_ordered, rank() OVER (ORDER BY order_qty DESC, unique_id) AS top_rank, unique_id, order_qty
+SELECT t.v AS total_value, t.n AS n_ordered, rank() OVER (ORDER BY order_qty DESC, unique_id) AS top_rank, unique_id, order_qty,
+       forecast_week, order_value, confidence
 FROM o_plan, (SELECT sum(order_value) AS v, count(*) FILTER (WHERE order_qty > 0) AS n FROM o_plan) t
 QUALIFY top_rank <= {R.top_skus}"""
 SQL["sink_order_plan"] = """
@@ -436,6 +438,10 @@ SELECT run_id, any_value(kind) AS kind, any_value(week_start) AS week_start, any
 
 
 
+SQL["dq_ambiguous_level3"] = """
+SELECT cat_l3, count(*) AS n_parents FROM (SELECT DISTINCT cat_l1, cat_l2, cat_l3 FROM o_daily) GROUP BY cat_l3 HAVING count(*) > 1"""
+SQL["kpi_loss_list"] = "SELECT cat_l2, revenue, profit FROM o_margin WHERE quadrant = 'Thua lỗ'"
+
 
 def contested(names: list[str]) -> dict[str, str]:
     """Statements by query name. Of queries registered twice, SQL repeats the contest among the

@@ -204,10 +204,10 @@ def ev_confidence(t: Layers) -> DataFrame:
     return evaluate.per_series(t.weeks, t.champion)
 
 
-@contest("champion:s holdout_wmape:r baseline_wmape:r store_wmape:r share_improved:r n_series:i n_modelled:i n_backtest:i")
+@contest("champion:s holdout_wmape:r baseline_wmape:r store_wmape:r share_improved:r n_series:i n_modelled:i n_backtest:i "
+         "data_until:t first_cutoff:t holdout_cutoff:t")
 def ev_run_summary(t: Layers) -> DataFrame:
-    return evaluate.run_summary(
-        evaluate.metrics(t.weeks), evaluate.level_errors(t.weeks), t.report, t.profile, t.champion)
+    return t.run_info()
 
 
 @contest("model:s wmape_selection:r wmape_holdout:r rank_selection:r rank_holdout:r")
@@ -298,7 +298,7 @@ def kpi_policy_change(t: Layers) -> DataFrame:
     return policy.policy_change(both, "quantile", "moving_average")
 
 
-@contest("total_value:d n_ordered:i top_rank:i unique_id:s order_qty:d")
+@contest("total_value:d n_ordered:i top_rank:i unique_id:s order_qty:d forecast_week:r order_value:d confidence:s")
 def kpi_plan_totals(t: Layers) -> DataFrame:
     totals = t.plan.agg(F.struct(
         F.sum("order_value").alias("value"), F.count_if(F.col("order_qty") > 0).alias("n"))).scalar()
@@ -306,7 +306,7 @@ def kpi_plan_totals(t: Layers) -> DataFrame:
     return top.withColumn("_t", totals).select(
         F.col("_t.value").alias("total_value"), F.col("_t.n").alias("n_ordered"),
         F.row_number().over(Window.orderBy(F.col("order_qty").desc(), "unique_id")).alias("top_rank"),
-        "unique_id", "order_qty")
+        "unique_id", "order_qty", "forecast_week", "order_value", "confidence")
 
 
 @contest("unique_id:s cat_l1:s service_class:s forecast_week:r order_qty:d order_value:d")

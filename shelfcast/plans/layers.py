@@ -243,6 +243,13 @@ class Layers:
     def report(self) -> DataFrame:
         return written(evaluate.per_series(self.weeks, self.champion), "report")
 
+    def run_info(self) -> DataFrame:
+        """One row on this run: the days it rests on, the champion, its errors, what was modelled."""
+        found = evaluate.run_summary(
+            evaluate.metrics(self.weeks), evaluate.level_errors(self.weeks), self.report, self.profile, self.champion)
+        days = {"data_until": self.last_day, "first_cutoff": self.cutoffs[0], "holdout_cutoff": self.holdout_start}
+        return found.withColumns({name: F.lit(day) for name, day in days.items()})
+
     @cached_property
     def plan(self) -> DataFrame:
         classes = policy.service_classes(self.profile, marts.category_margin(self.staged), self.rules)

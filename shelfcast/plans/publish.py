@@ -82,8 +82,7 @@ def forecast_tables(t: Layers) -> dict[str, Callable[[], DataFrame]]:
         "fc_contributions_global": overall,
         "fc_contributions_local": lambda: t.contributions,
         "fc_price_response": lambda: marts.price_response(t.daily),
-        "fc_run_info": lambda: evaluate.run_summary(
-            scores(), evaluate.level_errors(t.weeks), t.report, t.profile, t.champion),
+        "fc_run_info": lambda: t.run_info().withColumn("run_at", F.current_timestamp()),
         "fc_snapshots": snapshots,
     }
 

@@ -144,3 +144,13 @@ def kpi_heat_grid(t: Layers) -> DataFrame:
 def kpi_least_profitable(t: Layers) -> DataFrame:
     """The categories that earn least, as a short list."""
     return kpi.least_profitable(marts.category_margin(t.staged), 8)
+
+
+@query("cat_l3:s n_parents:i")
+def dq_ambiguous_level3(t: Layers) -> DataFrame:
+    return marts.ambiguous_level3(t.daily)
+
+
+@query("cat_l2:s revenue:d profit:d")
+def kpi_loss_list(t: Layers) -> DataFrame:
+    return kpi.loss_list(marts.category_margin(t.staged))
