@@ -268,10 +268,17 @@ def stage_lines(base: DataFrame, rules: Rules) -> DataFrame:
     once and meet only the join with the bulk invoice ids and the seller codes.
     """
     rare = unknown_cost() | bulk_candidate(rules)
-    looked_up = left_join_where(base, rare, [*cost_lookups(base), (bulk_lines(base, rules), LINE_KEY)])
-    marked = looked_up.join(bulk_invoices(base, rules), "invoice_id", "left")
+    # Each lookup reads its few columns once and is written, so that the final plan scans the
+    # lines twice (rare and common), knows the size of what it joins, and moves wide lines only
+    # where a lookup has outgrown a broadcast.
+    costs = [(written(table, "costs"), keys) for table, keys in cost_lookups(base)]
+    big_lines = written(bulk_lines(base, rules), "bulk_lines")
+    big_invoices = written(bulk_invoices(base, rules), "bulk_invoices")
+    sellers = written(seller_codes(base), "seller_codes")
+    looked_up = left_join_where(base, rare, [*costs, (big_lines, LINE_KEY)])
+    marked = looked_up.join(big_invoices, "invoice_id", "left")
     classified = with_channel(with_filled_cost(marked))
-    coded = classified.join(seller_codes(base), "seller", "left").withColumn(
+    coded = classified.join(sellers, "seller", "left").withColumn(
         "seller_active", ~F.col("seller").contains(DELETED_MARK))
     described = product_attributes(category_levels(time_attributes(invoice_attributes(coded))))
     return quality_flags(line_money(drop_suspect_costs(described, rules))).select(*STAGED_COLUMNS)
