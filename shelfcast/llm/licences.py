@@ -27,7 +27,27 @@ SPELLINGS = (
     ("organisation", "organization"), ("per cent", "percent"), ("programme", "program"), ("recognised", "recognized"),
     ("sub license", "sublicense"), ("utilisation", "utilization"), ("whilst", "while"), ("https", "http"),
 )
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+# Words after "copyright" or "(c)" in the prose of a licence; anything else is a name, a year or a sign.
+PROSE = (
+    "notice", "notices", "holder", "holders", "owner", "owners", "license", "licenses", "licence", "licences", "law", "laws",
+    "and", "or", "in", "of", "to", "for", "is", "interest", "interests", "protection", "statement", "statements", "patent",
+    "trademark", "treaty", "disclaimer", "you")
+
+
+def _other_word(words: tuple[str, ...]) -> str:
+    """A pattern of the words that are none of these, letter by letter: the oracle's engine has no look-ahead."""
+    heads = sorted({w[0] for w in words if w})
+    if not heads:
+        return r"[\p{L}\p{N}]+"
+    ways = [rf"[^\P{{L}}{''.join(heads)}][\p{{L}}\p{{N}}]*", r"\p{N}[\p{L}\p{N}]*"]
+    ways += [h + _other_word(tuple(w[1:] for w in words if w[:1] == h)) for h in heads]
+    return f"(?:{'|'.join(ways)}{'' if '' in words else '|'})"
+
+
+_NAMED = rf"[^\p{{L}}\p{{N}}\n]+{_other_word((*PROSE, ''))}(?:[^\p{{L}}\p{{N}}\n][^\n]*)?"
+COPYRIGHT_LINE = (
+    rf"(?m)^[^\p{{L}}\p{{N}}\n]*(?:(?:copyright|\(c\)){_NAMED}|copyright[^\p{{L}}\p{{N}}\n]*(?:©|\p{{N}})[^\n]*"
+    r"|(?:©|all rights reserved)[^\n]*)$")
 
 _WARRANTY = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '

@@ -1,5 +1,7 @@
 """Licence look-ups: entire texts and lines, never parts."""
 
+import textwrap
+
 from shelfcast.llm.licences import KNOWN, scanned
 
 
@@ -21,3 +23,11 @@ def test_known_licences_may_be_given(spark):
     known = spark.createDataFrame([("b", "Do as you like"), ("a", "do as you LIKE."), ("none", "©")], "license string, text string")
     docs = spark.createDataFrame([(1, "do, as you like"), (2, "")], "doc_id long, text string")
     assert [(r["doc_id"], r["license"]) for r in scanned(docs, known).orderBy("doc_id").collect()] == [(1, "a"), (2, None)]
+
+
+def test_wrapping_does_not_change_what_a_text_is(spark):
+    texts = [(name, text) for name, text in KNOWN if len(text) > 100]
+    rows = [(f"{name} {width}", "Copyright (c) 2020 A. Person\nCopyright Jane Doe\n" + "\n\n".join(
+        textwrap.fill(p, width) for p in text.split("\n\n"))) for name, text in texts for width in (40, 60, 66, 72, 78, 80)]
+    got = scanned(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert [r["doc_id"] for r in got if r["license"] != r["doc_id"].split()[0]] == []
