@@ -31,3 +31,7 @@ def test_wrapping_does_not_change_what_a_text_is(spark):
         textwrap.fill(p, width) for p in text.split("\n\n"))) for name, text in texts for width in (40, 60, 66, 72, 78, 80)]
     got = scanned(spark.createDataFrame(rows, "doc_id string, text string")).collect()
     assert [r["doc_id"] for r in got if r["license"] != r["doc_id"].split()[0]] == []
+
+
+def test_the_whole_isc_text_is_known():
+    assert {name for name, text in KNOWN if "WARRANTIES" in text} >= {"MIT", "ISC"}
