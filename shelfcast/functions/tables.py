@@ -24,9 +24,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once and return a reader of the written table."""
+def written(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write `df` once and return a reader of the written table.
+
+    `by` names columns of few values: each value is a folder, which a filter on it reads alone.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/shelfcast/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.mode("error").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.mode("error").partitionBy(*by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
