@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from shelfcast.llm import (
-    decontaminate, lexical_search, licences, mixing, neardup_vectors, ngram_join, quality, secrets, sharding, toxicity, warc)
+    decontaminate, lexical_search, licences, mixing, neardup_vectors, ngram_join, prefix_trie, quality, secrets, sharding, toxicity, warc)
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_bayes_support_vectors": quality.op8_bayes_support_vectors,
     "op9_simhash_windows": decontaminate.op9_simhash_windows,
     "op10_warc_normaliser": warc.op10_warc_normaliser,
+    "op11_contracted_trie": prefix_trie.op11_contracted_trie,
     "op13_limited_accumulators": lexical_search.op13_limited_accumulators,
 }
 ORACLES = {
@@ -26,5 +27,6 @@ ORACLES = {
     "op7_ngram_jaccard": ngram_join.ORACLE,
     "op9_simhash_windows": decontaminate.ORACLE,
     "op10_warc_normaliser": warc.ORACLE,
+    "op11_contracted_trie": prefix_trie.ORACLE,
     "op13_limited_accumulators": lexical_search.ORACLE,
 }
