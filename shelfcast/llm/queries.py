@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from shelfcast.llm import (
-    decontaminate, lexical_search, licences, mixing, neardup_vectors, ngram_join, prefix_trie, quality, secrets, sharding, toxicity, warc)
+    decontaminate, lexical_search, licences, mixing, neardup_vectors, ngram_join, prefix_trie, quality, sanitise, secrets, sharding, toxicity, warc)
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_simhash_windows": decontaminate.op9_simhash_windows,
     "op10_warc_normaliser": warc.op10_warc_normaliser,
     "op11_contracted_trie": prefix_trie.op11_contracted_trie,
+    "op12_disclosing_terms": sanitise.op12_disclosing_terms,
     "op13_limited_accumulators": lexical_search.op13_limited_accumulators,
 }
 ORACLES = {
@@ -28,5 +29,6 @@ ORACLES = {
     "op9_simhash_windows": decontaminate.ORACLE,
     "op10_warc_normaliser": warc.ORACLE,
     "op11_contracted_trie": prefix_trie.ORACLE,
+    "op12_disclosing_terms": sanitise.ORACLE,
     "op13_limited_accumulators": lexical_search.ORACLE,
 }
