@@ -261,12 +261,14 @@ def sanitised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     joined = docs.withColumn(key, key_of(doc_id, text)).join(
         hits.withColumnRenamed("key", key).withColumnRenamed("found", found), key, "left").select(*docs.columns, found)
 
+    names = docs.columns
+
     def rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [None if t is None else _cleaned(t, f or [])
                      for t, f in zip(batch.column(text).to_pylist(), batch.column(found).to_pylist())]
-            columns = [pa.array(texts, pa.string()) if c == text else batch.column(c) for c in docs.columns]
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            columns = [pa.array(texts, pa.string()) if c == text else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return joined.mapInArrow(rewritten, docs.schema)
 
