@@ -7,6 +7,10 @@ from oracles.parts import BINDING, layered, margin
 R = BINDING
 AS_OF = "1999-06-30"
 
+# crc32 a bit at a time: there is no such function in DuckDB.
+CRC32 = (
+    "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({0}) + 1), lambda i: ascii(substr({0}, i, 1))::BIGINT)), "
+    "lambda c, b: list_reduce(list_prepend(xor(c, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))))")
 SQL: dict[str, str] = {}
 
 SQL["stg_dedup_latest"] = "SELECT * FROM o_dedup"
@@ -101,6 +105,13 @@ SQL["src_header_map"] = """
 SELECT invoice_id, sold_at, sku, product_name, category_path, quantity, unit_price, unit_cost,
        CAST(NULL AS VARCHAR) AS brand, CAST(NULL AS DOUBLE) AS month_revenue FROM o_raw"""
 SQL["src_read_canonical"] = "SELECT * FROM o_raw"
+# The same share of invoices as the files of another program, which lack these two columns.
+SQL["src_read_mixed_headers"] = f"""
+SELECT * REPLACE (CASE WHEN {CRC32.format('invoice_id')} % 4 <> 3 THEN branch END AS branch,
+                  CASE WHEN {CRC32.format('invoice_id')} % 4 <> 3 THEN seller END AS seller) FROM o_raw"""
+SQL["src_store_reload"] = """
+SELECT source_hash, strftime(sold_at, '%Y-%m') AS sold_month, count(*) AS n_lines, sum(quantity) AS quantity,
+       source_hash = 'b2' AS rewritten FROM o_raw GROUP BY ALL"""
 SQL["src_coerce_types"] = """
 SELECT CASE WHEN invoice_id LIKE '%77' THEN 'quarantined' ELSE 'good' END AS status, count(*) AS n_lines,
        sum(CASE WHEN invoice_id NOT LIKE '%77' THEN quantity END) AS quantity FROM o_raw GROUP BY 1"""

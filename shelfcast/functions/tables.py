@@ -7,12 +7,25 @@ before it chooses a broadcast.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def placed(spark: SparkSession, folder: str) -> str:
+    """`folder`, unless it lies on one machine's disk while the executors run on others.
+
+    A `file:` folder may be mounted everywhere; say so by setting `shelfcast.sharedFiles` to true.
+    """
+    local = not re.match(r"[a-z][a-z0-9+.-]*:", folder) and spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:").startswith("file:")
+    on_cluster = not spark.sparkContext.master.startswith("local")
+    if on_cluster and (local or folder.startswith("file:")) and spark.conf.get("shelfcast.sharedFiles", "") != "true":
+        raise RuntimeError(f"{folder} is a folder of one machine: give one that every executor can reach")
+    return folder.rstrip("/")
+
+
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:

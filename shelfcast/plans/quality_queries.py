@@ -135,7 +135,7 @@ def kpi_monthly_pivot(t: Layers) -> DataFrame:
     return kpi.monthly_by_channel(marts.monthly(t.staged, t.calendar))
 
 
-@query("iso_weekday:i " + " ".join(f"h{h}:r" for h in range(6, 22)))
+@query("iso_weekday:i " + " ".join(f"h{h}:r" for h in range(24)))
 def kpi_heat_grid(t: Layers) -> DataFrame:
     return kpi.heat_grid(marts.hour_weekday(t.staged, t.calendar))
 

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from shelfcast.functions.tables import shared_folder
+from shelfcast.functions.tables import shared_folder, written
 from shelfcast.operators import marts
 from shelfcast.plans.catalog import query
 from shelfcast.plans.layers import Layers
@@ -37,6 +37,40 @@ def src_read_canonical(t: Layers) -> DataFrame:
     return ingest.cast_strict(ingest.to_canonical(export))
 
 
+def _scratch(t: Layers, name: str) -> str:
+    return f"{shared_folder(t.spark)}/shelfcast/{t.spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:8]}"
+
+
+@query(LINE + " branch:s seller:s")
+def src_read_mixed_headers(t: Layers) -> DataFrame:
+    """All lines as CSV files of four programs, read back together: two columns swapped, the whole
+    order reversed, and one with other headers and fewer columns."""
+    names = {field: header for header, field in ingest.EXPORT_HEADERS.items()}
+    swapped = {"quantity": "unit_price", "unit_price": "quantity"}
+    orders = [
+        [(f, names[f]) for f in names], [(swapped.get(f, f), names[swapped.get(f, f)]) for f in names],
+        [(f, names[f].upper()) for f in reversed(names)], list(SYNONYM_HEADERS.items())]
+    folder = _scratch(t, "exports")
+    for i, columns in enumerate(orders):
+        part = t.raw.filter(F.pmod(F.crc32("invoice_id"), F.lit(len(orders))) == i)
+        part.select(*[F.col(f).cast("string").alias(h) for f, h in columns]).write.option("header", True).csv(f"{folder}/{i}")
+    return ingest.read_export(t.spark, [f"{folder}/{i}" for i in range(len(orders))])
+
+
+@query("source_hash:s sold_month:s n_lines:i quantity:d rewritten:b")
+def src_store_reload(t: Layers) -> DataFrame:
+    """All lines in the partitioned store, then one file again: only its folders are written anew."""
+    folder = _scratch(t, "store")
+    ingest.store(t.raw.drop("loaded_at"), folder)
+    files = F.col("_metadata.file_path")
+    # Written, so that it tells the files of before from those of after.
+    before = written(t.spark.read.parquet(folder).select(files.alias("path")).distinct(), "stored-files")
+    again = ingest.store(t.raw.filter(F.col("source_hash") == "b2").drop("loaded_at"), folder)
+    kept = again.withColumn("path", files).join(before.withColumn("kept", F.lit(True)), "path", "left")
+    return kept.groupBy("source_hash", "sold_month").agg(
+        marts.rows().alias("n_lines"), F.sum("quantity").alias("quantity"), F.bool_or(F.col("kept").isNull()).alias("rewritten"))
+
+
 @query("status:s n_lines:i quantity:d")
 def src_coerce_types(t: Layers) -> DataFrame:
     """Text lines, some with a broken quantity: the good ones are cast, the others set aside."""
@@ -62,6 +96,6 @@ def src_idempotent_load(t: Layers) -> DataFrame:
 @query("year_month:s channel:s revenue:d n_invoices:i")
 def sink_pii_guard(t: Layers) -> DataFrame:
     """Publish the monthly table through the guard and read the file back."""
-    folder = f"{shared_folder(t.spark)}/shelfcast/{t.spark.sparkContext.applicationId}/published-{uuid.uuid4().hex[:8]}"
+    folder = _scratch(t, "published")
     sinks.export_tables({"mart_monthly": marts.monthly(t.staged, t.calendar)}, folder)
     return t.spark.read.parquet(f"{folder}/mart_monthly")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import csv
 import re
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from shelfcast.functions.tables import written
+from shelfcast.functions.tables import placed, written
 
 # --- fixed values: canonical columns of a sales line and their types -------------------
 CANONICAL_FIELDS = {
@@ -86,6 +89,10 @@ REQUIRED_FIELDS = (
     "unit_price", "unit_cost",
 )
 
+# A header ends within so many bytes; files are opened so many at a time to read theirs.
+HEADER_BYTES, OPENED_AT_ONCE = 65536, 32
+
+
 def normalized_header(header: str) -> str:
     return " ".join(re.split(r"\s+", str(header).strip())).lower()
 
@@ -143,15 +150,71 @@ def cast_lenient(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cast_strict(lines.filter(~bad)), lines.filter(bad)
 
 
+def first_lines(spark: SparkSession, paths: str | list[str]) -> dict[str, str]:
+    """The first line of every file, by path, compressed files included.
+
+    One open and one read of `HEADER_BYTES` a file, some at a time, through Spark's file systems: a
+    task would have to scan whole blocks for it. The driver holds a line per file beside the list of
+    files that any scan keeps there.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+
+    def first(uri: str) -> tuple[str, str]:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri))
+        opened = path.getFileSystem(conf).open(path)
+        try:
+            codec = codecs.getCodec(path)
+            head = (codec.createInputStream(opened) if codec else opened).readNBytes(HEADER_BYTES)
+        finally:
+            opened.close()
+        text = bytes(head).decode("utf-8", errors="ignore").removeprefix("\ufeff")
+        return path.toString(), re.split(r"\r\n|\n|\r", text, maxsplit=1)[0]
+
+    with ThreadPoolExecutor(OPENED_AT_ONCE) as pool:
+        return dict(pool.map(first, spark.read.text(paths).inputFiles()))
+
+
+def header_groups(spark: SparkSession, paths: str | list[str],
+                  mapping: dict[str, str | None] | None = None) -> dict[tuple[str | None, ...], list[str]]:
+    """Files by the field that each of their columns stands for, in order; see `read_export`."""
+    groups: dict[tuple[str | None, ...], list[str]] = {}
+    for path, line in sorted(first_lines(spark, paths).items()):
+        headers = next(csv.reader([line]), [])
+        known = map_headers(headers) if mapping is None else mapping
+        fields = tuple(known.get(h) for h in headers)
+        missing = missing_fields(dict(enumerate(fields)))
+        if missing:
+            raise ValueError(f"{path}: required columns are missing: {missing}")
+        groups.setdefault(fields, []).append(path)
+    return groups
+
+
+def _read_group(spark: SparkSession, fields: tuple[str | None, ...], paths: list[str]) -> DataFrame:
+    """The canonical columns, as text, of files whose columns stand for `fields`; the first of two wins."""
+    schema = ", ".join(f"_c{i} string" for i in range(len(fields)))
+    text = spark.read.schema(schema).option("header", True).csv(paths)
+    at = {field: i for i, field in reversed(list(enumerate(fields))) if field}
+    return text.select(
+        *[(F.col(f"_c{at[name]}") if name in at else F.lit(None).cast("string")).alias(name) for name in CANONICAL_FIELDS],
+        F.col("_metadata.file_path").alias("source_path"))
+
+
 def read_export(spark: SparkSession, paths: str | list[str],
                 mapping: dict[str, str | None] | None = None) -> DataFrame:
     """Read CSV exports as text (ids keep leading zeros), map, cast, and tag each line with
-    its file name and the SHA-256 of the file's bytes."""
-    text = (
-        spark.read.option("header", True).option("inferSchema", False).csv(paths)
-        .withColumn("source_path", F.col("_metadata.file_path"))
-    )
-    lines = cast_strict(to_canonical(text, mapping, keep=("source_path",)))
+    its file name and the SHA-256 of the file's bytes.
+
+    Every file has its own header: files whose columns stand for the same fields in the same order
+    are one scan, and the scans are united by name. A file that lacks a required column, or has no
+    header at all, raises an error that names it before any line is read. `mapping` (header to
+    field) replaces the known headers for all files.
+    """
+    groups = header_groups(spark, paths, mapping)
+    if not groups:
+        raise ValueError(f"no files in {paths}")
+    text = reduce(DataFrame.unionByName, [_read_group(spark, fields, files) for fields, files in groups.items()])
+    lines = cast_strict(text)
     # One row per file. Written first, so that the join sees its size and leaves the lines in place.
     fingerprints = written(file_fingerprints(spark, paths), "fingerprints")
     return (
@@ -179,3 +242,26 @@ def append_idempotent(raw: DataFrame, batch: DataFrame) -> DataFrame:
     """
     reloaded = written(batch.select("source_hash").distinct(), "reloaded")
     return raw.join(reloaded, "source_hash", "left_anti").select(*raw.columns).unionByName(batch)
+
+
+def store(batch: DataFrame, folder: str) -> DataFrame:
+    """Load a batch of lines into the raw store at `folder` and return a reader of the whole store.
+
+    The store has a folder per file and month of sale (`source_hash`, `sold_month`); lines without a
+    time of sale have a folder, too. Writing replaces the folders of the batch and touches no other,
+    so loading a file again does not read, move or double anything, and a reader that filters by
+    month or file opens its folders only. Lines of a month are spread over the tasks that hold them.
+    """
+    spark = batch.sparkSession
+    placed(spark, folder)
+    monthly = batch.withColumn("sold_month", F.date_format("sold_at", "yyyy-MM"))
+    # Equal bytes are equal lines: a file that was loaded before has the same folders again.
+    monthly.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_hash", "sold_month").parquet(folder)
+    return stored(spark, folder, monthly.schema)
+
+
+def stored(spark: SparkSession, folder: str, schema: T.StructType | None = None) -> DataFrame:
+    """A reader of the store: the columns of its batches and `sold_month`."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    found = reader.parquet(folder)
+    return found.withColumn("sold_month", F.col("sold_month").cast("string")).withColumn("source_hash", F.col("source_hash").cast("string"))
