@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from shelfcast.functions.shipping import shipped
 from shelfcast.functions.tables import written
 from shelfcast.operators.marts import rows
 from shelfcast.operators.staging import month_of, standard_retail
@@ -64,6 +65,7 @@ def basket_rules(staged: DataFrame, prices: DataFrame, rules: Rules) -> DataFram
     support) items remain: that bounds the code table and every count matrix, whatever the
     number of baskets. Tasks emit summed counts only, never the pairs of a basket.
     """
+    shipped(staged.sparkSession)
     sets = written(baskets(staged, prices, rules), "baskets")
     n_baskets = sets.agg(rows()).scalar()
     item_counts = sets.select(F.explode("items").alias("item")).groupBy("item").agg(rows().alias("n"))
