@@ -2,7 +2,8 @@
 
 A uniform permutation of all rows is made without ever holding them together:
 
-1. every input partition permutes its rows by a seeded hash and writes them with their place;
+1. every input partition permutes its rows by a seeded hash of their place as read, so that equal rows
+   part like any others, and writes them with their new place;
 2. the matrix says how many rows of partition p go to shard s. For a uniform permutation its
    rows are multivariate hypergeometric. It is drawn as a binary tree over the partitions:
    each node splits its shard counts between its two halves, so all nodes of a level are
@@ -13,15 +14,16 @@ A uniform permutation of all rows is made without ever holding them together:
 The law is `rows`: shard counts differ by one at most, whatever the keys or sizes are.
 
 Nulls and edge cases: any column may be null; a null text has no bytes; repeated rows are
-dealt separately; fewer rows than shards leave shards empty; no rows give no rows. Columns of
-the input named `shard` or `slot` are replaced, all others pass through.
+dealt like different ones; fewer rows than shards leave shards empty; no rows give no rows. Columns
+of the input named `shard` or `slot` are replaced, all others pass through. Reruns agree where the
+input is read in the same partitions and order, as files are.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from shelfcast.functions.tables import written
 from shelfcast.llm.common import fresh, numbered, partition_of, row_of, table
@@ -118,14 +120,13 @@ def communication_matrix(sizes: DataFrame, shards: int = SHARDS, seed: str = SEE
     return nodes.selectExpr("parts[0].part AS part", "caps AS counts")
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, tie: list[Column] | None = None) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
     """`docs` with `shard` (0 to shards - 1) and `slot` (0-based place within the shard)."""
     docs = docs.drop("shard", "slot")
-    place, bounds = fresh(docs, "_place"), fresh(docs, "_bounds")
-    keys = tie or [F.col(c) for c in docs.columns]
+    place, bounds, read = fresh(docs, "_place"), fresh(docs, "_bounds"), fresh(docs, "_read")
     permuted = written(
-        docs.sortWithinPartitions(F.xxhash64(F.lit(seed), *keys), *keys)
-        .withColumn(place, F.monotonically_increasing_id()), "permuted")
+        docs.withColumn(read, F.monotonically_increasing_id()).sortWithinPartitions(F.xxhash64(F.lit(seed), read), read)
+        .drop(read).withColumn(place, F.monotonically_increasing_id()), "permuted")
     sizes = written(
         permuted.groupBy(partition_of(F.col(place)).alias("part")).agg(F.count(F.lit(1)).alias("n")), "sizes")
     running = F.expr("transform(sequence(1, size(counts)), s -> aggregate(slice(counts, 1, s), 0L, (a, c) -> a + c))")

@@ -56,3 +56,11 @@ def test_rows_of_a_partition_spread_evenly(spark):
     rows = sharded(spark.range(4800, numPartitions=6).withColumn("part", F.spark_partition_id()), shards=4).collect()
     counts = Counter((r["part"], r["shard"]) for r in rows)
     assert len(counts) == 24 and all(130 < n < 270 for n in counts.values())
+
+
+def test_copies_of_a_row_part_like_different_rows(spark):
+    copies = spark.createDataFrame([(i, f"t{i}") for i in range(3000) for _ in range(3)], "doc_id long, text string").coalesce(2)
+    held = Counter(len(r["s"]) for r in sharded(copies).groupBy("doc_id").agg(F.collect_set("shard").alias("s")).collect())
+    # Three of one shard: 1 in 576; of three shards: 23 * 22 in 576.
+    expected = {1: 3000 / 576, 2: 3000 * 69 / 576, 3: 3000 * 506 / 576}
+    assert sum((held[k] - e) ** 2 / e for k, e in expected.items()) < 16
