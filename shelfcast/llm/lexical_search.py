@@ -10,8 +10,8 @@
    term's largest score. Once that is below an item's kth partial score, a document without an
    accumulator can no longer get in: the item stops creating them. Accumulators that cannot
    reach the kth score with all that remains go, too.
-4. The survivors of stopped items get the scores of their remaining terms, exactly, by one join of
-   (document, term) with the postings. Frequent terms thus meet few documents.
+4. The survivors of stopped items get the scores of their remaining terms, exactly, by a join of
+   (document, term) with the band's postings. Frequent terms thus meet few documents.
 
 All accumulators of a round live in one table spread over (item, document): a term that most
 documents hold is a hot key only of the join with the few rows of items that ask for it, which
@@ -61,83 +61,68 @@ def asked_terms(items: DataFrame, item_id: str, text: str) -> DataFrame:
     return written(split.groupBy("item", "item_id", "term").agg(F.count(F.lit(1)).alias("times")), "asked")
 
 
-def postings(docs: DataFrame, asked: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc, doc_id, term, part, df, most, band): the index of the asked terms; `doc` numbers the rows.
+def postings(docs: DataFrame, asked: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc, term, part, band), (term, df, most, band, weight) and (doc, doc_id): the index of the asked terms.
 
-    `part` is the score of one unit of weight, `most` the largest of the term's.
+    `doc` numbers the rows. `part` is the score of one unit of weight, `most` the largest of the term.
     """
-    length = F.coalesce(F.regexp_count(text, F.lit(TERM)), F.lit(0)).cast("long")
-    total, words = docs.select(length.alias("n")).agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
-    vocabulary = written(asked.select("term").distinct(), "vocabulary")
+    # Each text also holds the empty term once, which stands for the whole: one scan gives all counts.
+    empty = asked.sparkSession.createDataFrame([("",)], "term string")
+    vocabulary = written(asked.select("term").distinct().unionByName(empty), "vocabulary")
     split = docs.select(F.monotonically_increasing_id().alias("doc"), F.col(doc_id).alias("doc_id"), terms(F.col(text)).alias("all"))
-    held = (
-        split.select("doc", "doc_id", F.size("all").cast("long").alias("n"), F.explode("all").alias("term"))
-        .join(vocabulary, "term").groupBy("doc", "doc_id", "n", "term").agg(F.count(F.lit(1)).alias("tf")))
+    whole = F.col("term") == ""
+    held = written(
+        split.select("doc", "doc_id", F.size("all").cast("long").alias("n"), F.explode(F.concat("all", F.array(F.lit("")))).alias("term"))
+        .join(vocabulary, "term").groupBy("doc", "n", "term")
+        .agg(F.count(F.lit(1)).alias("tf"), F.max(F.when(whole, F.col("doc_id"))).alias("doc_id")), "held")
+    total, words = held.filter(whole).agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
     # Without a word in the table there are no rows to divide for.
     normal = f"{100 - LENGTH_SHARE} + (({LENGTH_SHARE}L * n * {total}L) div {max(words, 1)}L)"
-    parts = written(
-        held.select("doc", "doc_id", "term", F.expr(f"(1000000000L * tf) div (1000L * tf + 8L * ({normal}))").alias("part")), "parts")
+    parts = held.filter(~whole).select("doc", "term", F.expr(f"(1000000000L * tf) div (1000L * tf + 8L * ({normal}))").alias("part"))
     stats = parts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("part").alias("most"))
     stats = written(stats.withColumn("band", _band(F.lit(float(total)), F.col("df"))).withColumn(
         "weight", F.floor(1000 * F.log((2.0 * total + 2) / (2.0 * F.col("df") + 1))).cast("long")), "terms")
-    return written(parts.join(stats, "term"), "postings", by=("band",)), stats
+    index = written(parts.join(stats.select("term", "band"), "term").select("doc", "term", "part", "band"), "postings", by=("band",))
+    return index, stats, held.filter(whole).select("doc", "doc_id")
 
 
-def _best(scores: DataFrame, k: int) -> DataFrame:
-    order = [F.col("score").desc(), F.col("doc_id").asc_nulls_last(), F.col("doc")]
-    ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(*order)))
-    return ranked.filter(F.col("rank") <= k)
+def _numbered_best(scores: DataFrame, order: list[Column]) -> DataFrame:
+    return scores.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(F.col("score").desc(), *order)))
 
 
 def ranked(docs: DataFrame, items: DataFrame, k: int = K, doc_id: str = "doc_id", text: str = "text",
            item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(item, item_id, rank, doc, doc_id, score): the k best documents of every item."""
     asked = asked_terms(items, item_id, item_text)
-    index, stats = postings(docs, asked, doc_id, text)
+    index, stats, names = postings(docs, asked, doc_id, text)
+    gain = F.col("weight") * F.col("times")
     wanted = written(
-        asked.join(stats, "term").select(
-            "item", "term", "band", (F.col("weight") * F.col("times")).alias("gain"),
-            (F.col("weight") * F.col("times") * F.col("most")).alias("bound")), "wanted")
-    keys = ["item", "doc", "doc_id"]
-    scores = None
+        asked.join(stats, "term").select("item", "term", "band", gain.alias("gain"), (gain * F.col("most")).alias("bound")), "wanted")
+    scores = wanted.select("item", F.lit(0).cast("long").alias("doc"), F.lit(0).cast("long").alias("score")).limit(0)
     live = written(wanted.select("item").distinct(), "live")
-    stopped_at = []
     # About as many bands as the logarithm of the number of documents.
     for band in [r["band"] for r in stats.select("band").distinct().orderBy(F.desc("band")).collect()]:
-        added = (
-            wanted.filter(F.col("band") == band).join(live, "item").select("item", "term", "gain")
-            .join(index.filter(F.col("band") == band).select("doc", "doc_id", "term", "part"), "term")
-            .select(*keys, (F.col("gain") * F.col("part")).alias("score")))
-        both = added if scores is None else scores.unionByName(added)
-        made = written(both.groupBy(*keys).agg(F.sum("score").alias("score")), f"accumulators-{band}")
+        asks = wanted.filter(F.col("band") == band).select("item", "term", "gain")
+        found = index.filter(F.col("band") == band).select("doc", "term", "part")
+        created = asks.join(live, "item").join(found, "term")
+        stopped = scores.join(live, "item", "left_anti").join(asks, "item").select("item", "doc", "term", "gain")
+        updated = stopped.join(found, ["doc", "term"])
+        added = [df.select("item", "doc", (F.col("gain") * F.col("part")).alias("score")) for df in (created, updated)]
+        made = written(
+            scores.unionByName(added[0]).unionByName(added[1]).groupBy("item", "doc").agg(F.sum("score").alias("score")),
+            f"accumulators-{band}")
+        kth = _numbered_best(made, []).filter(F.col("rank") == k).select("item", F.col("score").alias("kth"))
         coming = wanted.filter(F.col("band") < band).groupBy("item").agg(F.sum("bound").alias("rest"))
-        full = _best(made, k).groupBy("item").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k)
-        bounds = written(
-            full.join(coming, "item", "left").select("item", "kth", F.coalesce("rest", F.lit(0)).alias("rest")), "bounds")
-        stops = bounds.filter(F.col("rest") < F.col("kth"))
+        bounds = written(kth.join(coming, "item", "left").select("item", "kth", F.coalesce("rest", F.lit(0)).alias("rest")), "bounds")
         # An item below k accumulators has no bound, and keeps all of them.
-        able = made.join(bounds, "item", "left").filter(
-            F.col("kth").isNull() | (F.col("score") + F.col("rest") >= F.col("kth"))).select(*keys, "score")
-        stopped_at.append((band, able.join(stops.select("item"), "item", "left_semi")))
-        scores = able.join(stops.select("item"), "item", "left_anti")
-        live = written(live.join(stops.select("item"), "item", "left_anti"), "live")
-        if live.isEmpty():
-            break
-    if scores is None:
-        return asked.select("item", "item_id", F.lit(0).alias("rank"), F.col("item").alias("doc"),
-                            F.lit(None).cast(docs.schema[doc_id].dataType).alias("doc_id"), F.lit(0).cast("long").alias("score")).limit(0)
-    survivors = scores.withColumn("band", F.lit(0))
-    for band, kept in stopped_at:
-        survivors = survivors.unionByName(kept.withColumn("band", F.lit(band)))
-    survivors = written(survivors, "survivors")
-    open_terms = written(
-        survivors.withColumnRenamed("band", "done").join(wanted.select("item", "term", "gain", "band"), "item")
-        .filter(F.col("band") < F.col("done")).select(*keys, "term", "gain"), "open-terms")
-    late = open_terms.join(index.select("doc", "term", "part"), ["doc", "term"]).select(
-        *keys, (F.col("gain") * F.col("part")).alias("score"))
-    whole = survivors.select(*keys, "score").unionByName(late).groupBy(*keys).agg(F.sum("score").alias("score"))
-    names = asked.select("item", "item_id").distinct()
-    return _best(whole.filter(F.col("score") > 0), k).join(names, "item").select("item", "item_id", "rank", "doc", "doc_id", "score")
+        scores = made.join(bounds, "item", "left").filter(
+            F.col("kth").isNull() | (F.col("score") + F.col("rest") >= F.col("kth"))).select("item", "doc", "score")
+        live = written(live.join(bounds.filter(F.col("rest") < F.col("kth")), "item", "left_anti"), "live")
+    # Ties of the kth score are still there, and are few.
+    last = written(scores.filter(F.col("score") > 0), "survivors")
+    named = names.join(last, "doc").select("item", "doc", "doc_id", "score")
+    best = _numbered_best(named, [F.col("doc_id").asc_nulls_last(), F.col("doc")]).filter(F.col("rank") <= k)
+    return best.join(asked.select("item", "item_id").distinct(), "item").select("item", "item_id", "rank", "doc", "doc_id", "score")
 
 
 def op13_limited_accumulators(spark, sf_dir: str) -> DataFrame:
