@@ -761,3 +761,7 @@ SELECT *, lost_profit + excess_value + holding_cost AS total_cost FROM (
          sum(miss * greatest(price - cost, 0)) AS lost_profit, sum(held * cost) * CAST({R.holding_rate_week!r} AS DOUBLE) AS holding_cost
   FROM o_stock GROUP BY policy)
 """
+
+# The same parts where only these two models may win.
+_everyone = "FROM o_metrics WHERE scope = 'Giai đoạn chọn mô hình'"
+CHALLENGER_PARTS = {**PARTS, "o_champion": PARTS["o_champion"].replace(_everyone, f"{_everyone} AND model IN ('IMAPA', 'AutoETS')")}

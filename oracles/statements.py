@@ -458,3 +458,8 @@ def contested(names: list[str]) -> dict[str, str]:
     """Statements by query name. Of queries registered twice, SQL repeats the contest among the
     models that work series by series."""
     return {f"{name}_statistical" if name in names else name: sql for name, sql in SQL.items()}
+
+
+def challenged(names: tuple[str, ...]) -> dict[str, str]:
+    """Statements of the third registration, over `oracles.parts.CHALLENGER_PARTS`."""
+    return {f"{name}_challenger": SQL[name] for name in names}

@@ -24,6 +24,11 @@ class Query:
 CATALOG: dict[str, Query] = {}
 # Names registered twice.
 CONTESTS: list[str] = []
+# A third registration, `<name>_challenger`: only models with a long backtest may win there, never the
+# baseline, so that what compares or calibrates the champion has an effect that SQL repeats.
+CHALLENGERS = ("IMAPA", "AutoETS")
+CHALLENGED = ("ev_champion", "ev_per_series", "ev_confidence", "ev_dm_stat", "ev_significance", "ev_run_summary",
+              "pol_ratio_quantiles", "pol_horizon_quantiles", "pol_order_plan", "pol_backtest_single", "mon_drift")
 
 
 def query(schema: str) -> Callable:
@@ -47,6 +52,8 @@ def contest(schema: str) -> Callable:
         CATALOG[build.__name__] = Query(schema, build)
         CATALOG[f"{build.__name__}_statistical"] = Query(schema, lambda t: build(t.among(STATISTICAL)))
         CONTESTS.append(build.__name__)
+        if build.__name__ in CHALLENGED:
+            CATALOG[f"{build.__name__}_challenger"] = Query(schema, lambda t: build(t.among(STATISTICAL, CHALLENGERS)))
         return build
 
     return register

@@ -186,7 +186,7 @@ def ev_significance(t: Layers) -> DataFrame:
 
 @contest("model:s wmape:r bias:r")
 def ev_champion(t: Layers) -> DataFrame:
-    return evaluate.champion(t.weeks, t.rules, forecast.MODEL_ORDER)
+    return t.champion_row
 
 
 @contest("level:s model:s WMAPE:r Bias:r")

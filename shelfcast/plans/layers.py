@@ -141,23 +141,24 @@ class Layers:
     """All tables of one set of raw lines. Every model in `models` competes for the plan.
 
     The tables below a contest are shared: `layers.among(models)` holds another contest over
-    the same inputs, and any table of `Inputs` can be asked for here.
+    the same inputs, and any table of `Inputs` can be asked for here. Only `contenders` may win;
+    all models may, if none are named.
     """
 
     def __init__(self, raw: DataFrame, rules: Rules = DEFAULT, models: tuple[str, ...] = forecast.MODEL_ORDER,
-                 inputs: Inputs | None = None):
-        self.inputs, self.models = inputs or Inputs(raw, rules), tuple(models)
-        self._among: dict[tuple[str, ...], Layers] = {}
+                 inputs: Inputs | None = None, contenders: tuple[str, ...] = ()):
+        self.inputs, self.models, self.contenders = inputs or Inputs(raw, rules), tuple(models), tuple(contenders or models)
+        self._among: dict[tuple, Layers] = {}
 
     def __getattr__(self, name: str):
         if name == "inputs":
             raise AttributeError(name)
         return getattr(self.inputs, name)
 
-    def among(self, models: tuple[str, ...]) -> Layers:
-        if models not in self._among:
-            self._among[models] = Layers(self.raw, self.rules, models, self.inputs)
-        return self._among[models]
+    def among(self, models: tuple[str, ...], contenders: tuple[str, ...] = ()) -> Layers:
+        if (models, contenders) not in self._among:
+            self._among[models, contenders] = Layers(self.raw, self.rules, models, self.inputs, contenders)
+        return self._among[models, contenders]
 
     def _competing(self, statistical: DataFrame, learned) -> DataFrame:
         """Forecasts of the competing models; the learner is only asked where it is needed."""
@@ -185,7 +186,12 @@ class Layers:
 
     @cached_property
     def champion(self) -> str:
-        return evaluate.champion(self.weeks, self.rules, forecast.MODEL_ORDER).first()["model"]
+        return self.champion_row.first()["model"]
+
+    @property
+    def champion_row(self) -> DataFrame:
+        able = self.weeks.filter(F.col("model").isin(*self.contenders))
+        return evaluate.champion(able, self.rules, forecast.MODEL_ORDER)
 
     # --- the plan of next week, from the champion ---------------------------------------------
 
