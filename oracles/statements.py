@@ -263,6 +263,9 @@ LEFT JOIN o_traffic t ON t.date = g.day"""
 SQL["ts_dense"] = "SELECT * FROM o_series"
 SQL["ts_holiday_offset"] = "SELECT * FROM o_offset"
 SQL["ts_impute"] = "SELECT * FROM o_imputed"
+SQL["ts_sample"] = """
+SELECT unique_id, ds, y, is_imputed FROM o_imputed
+ORDER BY md5('sample|=' || unique_id || '|=' || strftime(ds, '%Y-%m-%d')), unique_id, ds LIMIT 2000"""
 SQL["ts_demand_class"] = "SELECT * FROM o_profile"
 SQL["ts_features"] = """
 SELECT *, CASE WHEN n7 = 7 THEN m7 END AS rolling_mean_7, CASE WHEN n28 = 28 THEN m28 END AS rolling_mean_28,

@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, Window, functions as F
 
 from shelfcast.functions.holidays import holiday_offset
+from shelfcast.functions.sampling import bottom_k
 from shelfcast.functions.tables import shared_folder
 from shelfcast.operators import (
     evaluate, explain, forecast, kpi, learner, marts, monitor, policy, scenario, series as ts)
@@ -40,6 +41,12 @@ def ts_impute(t: Layers) -> DataFrame:
     return ts.imputed(ts.dense_series(t.daily, t.calendar, t.rules), t.rules)
 
 
+@query(DAY + " y:d is_imputed:b")
+def ts_sample(t: Layers) -> DataFrame:
+    """A sample of 2,000 days of series, as an explanation by sampled rows would take it."""
+    return bottom_k(ts.imputed(ts.dense_series(t.daily, t.calendar, t.rules), t.rules), 2000, ["unique_id", "ds"])
+
+
 @query("unique_id:s cat_l1:s cat_l2:s sale_days:i open_days:i adi:r cv2:r total_qty:d mean_daily_qty:r demand_class:s")
 def ts_demand_class(t: Layers) -> DataFrame:
     return ts.demand_classes(t.series, t.rules)
