@@ -151,19 +151,16 @@ def _profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = base_spans(text)
             spans.append([{"start": a, "kind": k, "end": b} for a, k, b in found])
             near.append([{"entity": c, "terms": t} for c, t in neighbourhoods(text, found)])
-        kept = [batch.column(c) for c in ("key", "doc_id", "n_words")]
+        kept = [batch.column(c) for c in ("key", "doc_id")]
         yield pa.RecordBatch.from_arrays(
-            [*kept, pa.array(spans, _ARROW_SPAN), pa.array(near, _ARROW_NEAR)], ["key", "doc_id", "n_words", "base", "near"])
+            [*kept, pa.array(spans, _ARROW_SPAN), pa.array(near, _ARROW_NEAR)], ["key", "doc_id", "base", "near"])
 
 
 def profiled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, doc_id, n_words, base, near), one row per row of `docs`; written. No text leaves the scan."""
+    """(key, doc_id, base, near), one row per row of `docs`; written. No text leaves the scan."""
     shipped(docs.sparkSession)
-    said = F.coalesce(F.col(text), F.lit(""))
-    read = docs.select(key_of(doc_id, text).alias("key"), F.col(doc_id).alias("doc_id"),
-                       F.coalesce(F.regexp_count(said, F.lit(TERM)), F.lit(0)).cast("long").alias("n_words"), said.alias("text"))
-    schema = T.StructType([read.schema["key"], read.schema["doc_id"], read.schema["n_words"],
-                           T.StructField("base", _SPAN), T.StructField("near", _NEAR)])
+    read = docs.select(key_of(doc_id, text).alias("key"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    schema = T.StructType([read.schema["key"], read.schema["doc_id"], T.StructField("base", _SPAN), T.StructField("near", _NEAR)])
     return written(read.mapInArrow(_profiled, schema), "personal-data")
 
 
@@ -176,20 +173,29 @@ def _stem(term: Column) -> Column:
     return F.substring(term, 1, STEM)
 
 
-def disclosing(docs: DataFrame, profile: DataFrame, text: str = "text") -> DataFrame:
-    """(term, replacement): the terms that disclose some entity; null where the term is removed; written."""
-    total = profile.agg(F.sum("n_words")).first()[0] or 0
+def disclosing(docs: DataFrame, profile: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(term, replacement), the terms that disclose some entity, null where the term is removed; and
+    (key, found): for each text that holds such terms, the list of these rows. Both written."""
     contexts = profile.select(F.explode("near").alias("c")).select("c.entity", "c.terms")
-    shares = written(contexts.groupBy("entity").agg((F.sum(F.size("terms")) / float(max(total, 1))).alias("share"))
-                     .filter((F.col("share") > 0) & (F.col("share") < 1)), "shares")
     # A neighbourhood that repeats is summed first, and then counted once as a witness.
     seen = contexts.withColumn("context", F.xxhash64(F.array_join("terms", " "))).withColumn("term", F.explode("terms"))
     seen = seen.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("near"))
     joint = written(seen.groupBy("entity", "term").agg(F.sum("near").alias("near"), F.count(F.lit(1)).alias("witnesses")), "joint")
     asked = joint.filter(F.col("witnesses") >= CONTEXTS)
-    stems = written(asked.select(_stem(F.col("term")).alias("stem")).distinct(), "stems")
-    every = docs.select(F.explode(terms(F.col(text))).alias("term")).withColumn("stem", _stem(F.col("term")))
-    counts = written(every.join(stems, "stem", "left_semi").groupBy("term", "stem").agg(F.count(F.lit(1)).alias("n")), "term-counts")
+    # One scan counts: terms that are asked for by text, others of their stems, and, as the empty term, all.
+    stems = asked.select(_stem(F.col("term")).alias("stem")).unionByName(docs.sparkSession.createDataFrame([("",)], "stem string"))
+    stems = written(stems.distinct(), "stems")
+    wanted = written(asked.select("term", F.lit(True).alias("asked")).distinct(), "asked-terms")
+    split = docs.select(key_of(doc_id, text).alias("key"), terms(F.col(text)).alias("all"))
+    every = split.select("key", F.size("all").alias("size"), F.explode(F.concat("all", F.array(F.lit("")))).alias("term"))
+    every = every.withColumn("stem", _stem(F.col("term"))).join(stems, "stem", "left_semi").join(wanted, "term", "left")
+    held = written(
+        every.groupBy(F.when(F.col("asked"), F.col("key")).alias("key"), "term", "stem")
+        .agg(F.sum(F.when(F.col("term") == "", F.col("size")).otherwise(1)).alias("n")), "term-counts")
+    counts = held.filter(F.col("term") != "").groupBy("term", "stem").agg(F.sum("n").alias("n"))
+    total = held.filter(F.col("term") == "").agg(F.sum("n")).first()[0] or 0
+    shares = contexts.groupBy("entity").agg((F.sum(F.size("terms")) / float(max(total, 1))).alias("share"))
+    shares = written(shares.filter((F.col("share") > 0) & (F.col("share") < 1)), "shares")
     told = written(
         asked.join(counts, "term").join(shares, "entity")
         .withColumn("told", _told(F.col("near"), F.col("n"), F.col("share"))).filter(F.col("told") >= THRESHOLD)
@@ -203,14 +209,10 @@ def disclosing(docs: DataFrame, profile: DataFrame, text: str = "text") -> DataF
         told.join(by_stem, ["entity", "stem"]).join(stem_counts, "stem")
         .withColumn("vague", (F.length("term") > STEM) & (_told(F.col("near"), F.col("n"), F.col("share")) < THRESHOLD)))
     decided = general.groupBy("term", "stem").agg(F.min("vague").alias("vague"))
-    return written(decided.select("term", F.when(F.col("vague"), F.concat("stem", F.lit("*"))).alias("replacement")), "decided")
-
-
-def _hits(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(key, found): the disclosing terms of each text that has some, with what replaces them; written."""
-    words = docs.select(key_of(doc_id, text).alias("key"), F.explode(terms(F.col(text))).alias("term"))
-    held = words.join(found, "term").distinct()
-    return written(held.groupBy("key").agg(F.collect_list(F.struct("term", "replacement")).alias("found")), "hits")
+    decided = written(decided.select("term", F.when(F.col("vague"), F.concat("stem", F.lit("*"))).alias("replacement")), "decided")
+    hits = held.filter(F.col("key").isNotNull()).join(decided, "term").groupBy("key").agg(
+        F.collect_list(F.struct("term", "replacement")).alias("found"))
+    return decided, written(hits, "hits")
 
 
 def _term_places(text: str, spans: list[tuple[int, int, int]], wanted) -> list[tuple[int, int, str]]:
@@ -232,7 +234,7 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, base, extra): the spans of every row, as arrays of (start, kind, end) in reading order."""
     profile = profiled(docs, doc_id, text)
-    hits = _hits(docs, disclosing(docs, profile, text), doc_id, text)
+    _, hits = disclosing(docs, profile, doc_id, text)
     # Only texts that hold a disclosing term are read again, each once.
     texts = docs.select(key_of(doc_id, text).alias("key"), F.col(text).alias("text")).join(hits, "key").dropDuplicates(["key"])
     placed = texts.mapInArrow(_placed, T.StructType([T.StructField("key", T.LongType()), T.StructField("extra", _SPAN)]))
@@ -256,7 +258,7 @@ def _cleaned(text: str, found: list[dict]) -> str:
 
 def sanitised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with personal data labelled, and disclosing terms generalised or removed, in `text`."""
-    hits = _hits(docs, disclosing(docs, profiled(docs, doc_id, text), text), doc_id, text)
+    _, hits = disclosing(docs, profiled(docs, doc_id, text), doc_id, text)
     key, found = fresh(docs, "_key"), fresh(docs, "_found")
     joined = docs.withColumn(key, key_of(doc_id, text)).join(
         hits.withColumnRenamed("key", key).withColumnRenamed("found", found), key, "left").select(*docs.columns, found)

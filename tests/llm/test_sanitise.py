@@ -58,7 +58,7 @@ def corpus():
 
 def test_a_disclosing_term_is_found_everywhere_and_generalised(spark):
     docs = spark.createDataFrame(corpus(), "doc_id long, text string").repartition(3)
-    found = {r["term"]: r["replacement"] for r in disclosing(docs, profiled(docs)).collect()}
+    found = {r["term"]: r["replacement"] for r in disclosing(docs, profiled(docs))[0].collect()}
     assert found["quixotal"] == "qui*" and "the" not in found and "zanzibar" not in found
     spans = {r["doc_id"]: r for r in scanned(docs).collect()}
     text = dict(corpus())
@@ -92,7 +92,7 @@ def brute_disclosing(rows):
 def test_statistics_equal_plain_loops(spark):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert {r["term"] for r in disclosing(docs, profiled(docs)).collect()} == brute_disclosing(rows)
+    assert {r["term"] for r in disclosing(docs, profiled(docs))[0].collect()} == brute_disclosing(rows)
 
 
 def test_neighbourhoods_leave_out_other_base_spans():
