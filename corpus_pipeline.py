@@ -1,7 +1,13 @@
 """The corpus pipeline: documents through the stages below, each on all that the last one kept.
 
 Each stage takes (spark, docs, sf_dir) and returns documents; its rows are written and read
-again as the next one's input. All but the last keep the columns of documents.
+again as the next one's input. All but the last keep the columns of documents, extra ones included.
+
+Nulls and edge cases: a null text is scored as an empty one, and either has no near copies and holds no
+passage; of rows equal in id and text one stays; of near copies the smallest id stays. Ids may be null or repeat,
+rows are told apart by id and text. A null source is a source of its own; a source without words is not taken
+into the mix. Extra columns pass through, but `shard` and `slot`, which the last stage replaces. No documents
+give no rows.
 """
 
 from __future__ import annotations
