@@ -336,14 +336,20 @@ PARTS["o_basket_item"] = "SELECT item, count(*) AS n FROM o_basket GROUP BY item
 
 PARTS["o_open_place"] = "SELECT date, row_number() OVER (ORDER BY date) AS place FROM o_cal WHERE is_open"
 
-PARTS["o_entity_days"] = f"""
-SELECT DISTINCT s.{R.stockout_entity} AS entity, d.place
+def _entity_days(entity: str, ratio: float) -> str:
+    return f"""
+SELECT DISTINCT s.{entity} AS entity, d.place
 FROM o_sold s JOIN o_open_place d ON d.date = s.sale_date
-WHERE s.{R.stockout_entity} IN (
-  SELECT {R.stockout_entity} FROM o_sold WHERE NOT is_zero_price GROUP BY 1
-  HAVING sum(quantity) > 0 AND count(DISTINCT sale_date) >= CAST({R.min_sell_ratio} AS DOUBLE) * (SELECT n FROM o_open))
+WHERE s.{entity} IN (
+  SELECT {entity} FROM o_sold WHERE NOT is_zero_price GROUP BY 1
+  HAVING sum(quantity) > 0 AND count(DISTINCT sale_date) >= CAST({ratio} AS DOUBLE) * (SELECT n FROM o_open))
 """
 
+
+PARTS["o_entity_days"] = _entity_days(R.stockout_entity, R.min_sell_ratio)
+PARTS["o_article_days"] = _entity_days("sku", 0.01)
+PARTS["o_article_names"] = "SELECT sku AS entity, max(product_name) AS product_name, max(cat_l3) AS cat_l3 FROM o_sold GROUP BY sku"
+
 PARTS["o_traffic_month"] = """
 SELECT strftime(date, '%Y-%m') AS year_month, sum(n_invoices) / CAST(count(*) AS DOUBLE) AS inv_per_day,
        sum(revenue) / sum(n_invoices) AS basket FROM o_traffic GROUP BY 1

@@ -132,7 +132,8 @@ SELECT * FROM (
               ON a.invoice_id = b.invoice_id AND a.item < b.item GROUP BY 1, 2) p
         JOIN o_basket_item i ON i.item = x JOIN o_basket_item j ON j.item = y))
 WHERE support >= {R.min_support} AND lift >= {R.min_lift}"""
-SQL["stockout_suspects"] = f"""
+def _stockouts(days: str) -> str:
+    return f"""
 SELECT * FROM (
   SELECT g.entity, d0.date AS gap_start, d1.date AS gap_end, g.gap AS gap_open_days, g.ratio AS sell_day_ratio,
          pow(1 - g.ratio, g.gap) AS chance_probability,
@@ -141,11 +142,15 @@ SELECT * FROM (
   FROM (SELECT entity, place, nxt, nxt - place - 1 AS gap,
                count(*) OVER (PARTITION BY entity) / CAST((SELECT n FROM o_open) + 1 - min(place) OVER (PARTITION BY entity) AS DOUBLE) AS ratio
         FROM (SELECT *, lead(place, 1, (SELECT n FROM o_open) + 1) OVER (PARTITION BY entity ORDER BY place) AS nxt
-              FROM o_entity_days)) g
+              FROM {days})) g
   JOIN o_open_place d0 ON d0.place = g.place + 1 JOIN o_open_place d1 ON d1.place = g.nxt - 1
   WHERE g.gap >= {R.min_gap})
 WHERE chance_probability < {R.max_gap_probability}"""
 
+
+SQL["stockout_suspects"] = _stockouts("o_entity_days")
+SQL["stockout_articles"] = f"SELECT * FROM ({_stockouts('o_article_days')}) JOIN o_article_names USING (entity)"
+
 # --- data quality ------------------------------------------------------------------------
 SQL["dq_overview"] = """
 SELECT r.n AS raw_lines, count(*) AS staged_lines, r.n - count(*) AS duplicates, min(sale_date) AS first_day,

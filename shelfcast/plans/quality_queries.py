@@ -20,6 +20,17 @@ def stockout_suspects(t: Layers) -> DataFrame:
     return stockout.stockout_suspects(t.staged, t.calendar, t.rules)
 
 
+# An article of the driver tables is sold on about one open day in eighty.
+ARTICLE_SELL_RATIO = 0.01
+
+
+@query("entity:s product_name:s cat_l3:s gap_start:t gap_end:t gap_open_days:i sell_day_ratio:r chance_probability:r status:s")
+def stockout_articles(t: Layers) -> DataFrame:
+    """Per article, with its name and category."""
+    rules = t.rules.scaled(stockout_entity="sku", min_sell_ratio=ARTICLE_SELL_RATIO)
+    return stockout.stockout_suspects(t.staged, t.calendar, rules)
+
+
 @query("raw_lines:i staged_lines:i duplicates:i first_day:t last_day:t n_invoices:i n_skus:i revenue:d")
 def dq_overview(t: Layers) -> DataFrame:
     return quality.overview(t.raw, t.staged)
