@@ -331,9 +331,16 @@ _normal_p = f"""1 - sqrt(2 / pi()) * abs(z_stat) / {_cells}
     * list_sum(list_transform(range({_cells}), lambda i: exp(-pow((i + 0.5) * abs(z_stat) / {_cells}, 2) / 2)))"""
 _student_p = f"""1 - 2 * exp(lgamma(n_days / CAST(2 AS DOUBLE)) - lgamma((n_days - 1) / CAST(2 AS DOUBLE))) / sqrt((n_days - 1) * pi()) * abs(dm_stat) / {_cells}
     * list_sum(list_transform(range({_cells}), lambda i: pow(1 + pow((i + 0.5) * abs(dm_stat) / {_cells}, 2) / (n_days - 1), -n_days / CAST(2 AS DOUBLE))))"""
+# The ways to reach each sum s of the ranks 1 to n.
+_ways = """(WITH RECURSIVE ways(n, s, c) AS (
+  SELECT 0, 0, CAST(1 AS DOUBLE) UNION ALL
+  SELECT n + 1, s + step, sum(c) FROM (SELECT n, s, c, unnest([0, n + 1]) AS step FROM ways WHERE n < 50) GROUP BY n, s + step)
+SELECT * FROM ways)"""
 SQL["ev_significance"] = f"""
 SELECT (SELECT model FROM o_champion) AS model, compared_to, n_series, mean_abs_err_diff, share_series_better, w_stat, z_stat,
-       {_normal_p} AS wilcoxon_p, n_days, share_days_better, dm_stat, {_student_p} AS dm_p
+       CASE WHEN n_series <= 50 AND compared_to NOT IN (SELECT compared_to FROM o_signed WHERE ties > 1)
+            THEN least(1, 2 * (SELECT sum(c) FROM {_ways} WHERE n = n_series AND s <= w_stat) / pow(2, n_series))
+            ELSE {_normal_p} END AS wilcoxon_p, n_days, share_days_better, dm_stat, {_student_p} AS dm_p
 FROM ({SQL["ev_wilcoxon"]}) JOIN ({SQL["ev_dm_stat"]}) USING (compared_to)"""
 SQL["ev_champion"] = "SELECT * FROM o_champion"
 SQL["ev_levels"] = "SELECT * FROM o_levels"

@@ -191,17 +191,35 @@ def wilcoxon(weeks: DataFrame, chosen: str, others: list[str]) -> DataFrame:
             (F.sum("d") / F.sum("n")).alias("mean_abs_err_diff"),
             (1 - F.sum("n_up") / F.sum("n")).alias("share_series_better"))
         .select("compared_to", "n_series", "mean_abs_err_diff", "share_series_better",
-                statistic.alias("w_stat"), F.try_divide(statistic - total / 2, spread).alias("z_stat"))
+                statistic.alias("w_stat"), F.try_divide(statistic - total / 2, spread).alias("z_stat"),
+                F.when((F.col("_ties") == 0) & (n <= EXACT_SERIES), signed_rank_p("n_series", statistic)).alias("exact_p"))
     )
 
 
+# Up to so many series without ties the rank sum's distribution is counted; the counts are exact in a double.
+EXACT_SERIES = 50
+
+
+def signed_rank_p(n: str, w: Column) -> Column:
+    """Two-sided p-value of the smaller rank sum `w` of n ranks, each up or down with even chance.
+
+    The ways to reach each sum are counted rank by rank: with rank i, a sum is reached without it as
+    before, or with it from the sum less i.
+    """
+    ways = F.expr(
+        f"aggregate(sequence(1L, {n}), array(1D), (c, i) -> zip_with(concat(c, array_repeat(0D, cast(i AS INT))), "
+        "concat(array_repeat(0D, cast(i AS INT)), c), (a, b) -> a + b))")
+    reached = F.aggregate(F.slice(ways, F.lit(1), w.cast("int") + 1), F.lit(0.0), lambda a, c: a + c)
+    return F.least(F.lit(1.0), 2 * reached / F.pow(F.lit(2.0), F.col(n)))
+
+
 def significance(daily: DataFrame, weeks: DataFrame, chosen: str, others: list[str], horizon: int) -> DataFrame:
     """Both tests with p-values, one row per compared model."""
     holdout = daily.join(weeks.filter(F.col("phase") == "holdout").select("cutoff").distinct(), "cutoff", "left_semi")
     by_day = diebold_mariano(holdout, chosen, others, horizon).withColumn(
         "dm_p", student_p(F.col("dm_stat"), (F.col("n_days") - 1).cast("double")))
-    by_series = wilcoxon(weeks, chosen, others).withColumn("wilcoxon_p", normal_p(F.col("z_stat")))
-    return by_series.join(by_day.drop("mean_diff"), "compared_to").withColumn("model", F.lit(chosen))
+    by_series = wilcoxon(weeks, chosen, others).withColumn("wilcoxon_p", F.coalesce("exact_p", normal_p(F.col("z_stat"))))
+    return by_series.drop("exact_p").join(by_day.drop("mean_diff"), "compared_to").withColumn("model", F.lit(chosen))
 
 
 # --- summaries -----------------------------------------------------------------------------------

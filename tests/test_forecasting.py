@@ -406,3 +406,19 @@ def test_short_series_get_a_learned_forecast(spark):
     fc = learner.learned_forecasts(df, ts.features(df), [START + timedelta(days=119)], 7).collect()
     assert {k: sum(r["unique_id"] == k for r in fc) for k in ("s0", "s1", "s2")} == {"s0": 7, "s1": 7, "s2": 7}
     assert all(math.isfinite(r["yhat"]) for r in fc)
+
+
+def test_small_rank_sums_have_their_exact_chance(spark):
+    """Against all ways to give n ranks a sign."""
+    from itertools import product
+
+    cases, want = [], {}
+    for n in range(1, 13):
+        sums = [sum(r for r, up in zip(range(1, n + 1), ups) if up) for ups in product((0, 1), repeat=n)]
+        for w in range(n * (n + 1) // 4 + 1):
+            cases.append((n, float(w)))
+            want[n, float(w)] = min(1.0, 2 * sum(s <= w for s in sums) / 2 ** n)
+    made = spark.createDataFrame(cases, "n long, w double").withColumn("p", evaluate.signed_rank_p("n", F.col("w")))
+    assert {(r["n"], r["w"]): r["p"] for r in made.collect()} == want
+    large = spark.createDataFrame([(50, 637.0)], "n long, w double").withColumn("p", evaluate.signed_rank_p("n", F.col("w"))).first()["p"]
+    assert abs(large - 1.0) < 0.01
