@@ -107,7 +107,7 @@ class LexiconAutomaton:
 
 
 class WordMatches(dict):
-    """The match of each white-space token met, punctuation aside, remembered up to a bound."""
+    """(letter runs, matches of those that match) of each white-space token met, remembered up to a bound."""
 
     def __init__(self, automaton: LexiconAutomaton):
         super().__init__()
@@ -116,6 +116,6 @@ class WordMatches(dict):
     def __missing__(self, token: str):
         if len(self) >= CACHE:
             self.clear()
-        found = [m for piece in LETTERS.findall(token.lower()) if (m := self.automaton.match(piece))]
-        value = self[token] = max(found, key=lambda m: (m[1], m[0]), default=None)
+        pieces = LETTERS.findall(token.lower())
+        value = self[token] = len(pieces), tuple(m for piece in pieces if (m := self.automaton.match(piece)))
         return value

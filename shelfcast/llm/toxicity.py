@@ -36,7 +36,6 @@ from shelfcast.llm.lexicon import LETTERS, STEM, WORD, LexiconAutomaton, WordMat
 FOLDS, HELD_FOLD, CUT = 4, 2, 0.3
 # Documents the lexicon and the weights are fitted on, at most.
 SAMPLE = 8000
-MOST_ENTRIES = 2000
 LEAST_TEXTS = 3
 LEAST_WEIGHT = 1.5
 STEM_LENGTHS = range(4, 11)
@@ -68,7 +67,11 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learned_lexicon(sample: DataFrame) -> list[tuple[str, str, float]]:
-    """(term, kind, log-odds of a toxic text) for a bounded number of terms."""
+    """(term, kind, log-odds of a toxic text) of every term that the sample is evidence for.
+
+    No rank decides: the evidence asked for grows with the number of terms, so that chance alone lets about
+    one through. Evidence needs texts, so the terms are bounded by the words of the sample's toxic texts.
+    """
     texts = {int(r["label"]): r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(texts) < 2:
         return []
@@ -85,7 +88,7 @@ def learned_lexicon(sample: DataFrame) -> list[tuple[str, str, float]]:
     counted = (
         every.filter(F.col("toxic") >= LEAST_TEXTS).withColumn("weight", odds)
         .filter((F.col("weight") >= LEAST_WEIGHT) & (evidence >= needed)))
-    best = counted.orderBy(F.desc(F.col("weight") * F.log1p("toxic")), "term").limit(MOST_ENTRIES).collect()
+    best = counted.orderBy("term").collect()
     stems = {r["term"]: r["weight"] for r in best if not r["term"].endswith(" ")}
     words = {r["term"][:-1]: (r["weight"], r["toxic"]) for r in best if r["term"].endswith(" ")}
     toxic = {r["term"]: r["toxic"] for r in best}
@@ -94,12 +97,12 @@ def learned_lexicon(sample: DataFrame) -> list[tuple[str, str, float]]:
     for word, (_, n) in words.items():
         for length in STEM_LENGTHS:
             alone[word[:length]] = max(alone.get(word[:length], 0), n)
-    entries = []
+    kept: dict[str, float] = {}
     for stem in sorted(stems, key=len):
-        shorter = [stems[stem[:n]] for n in STEM_LENGTHS if n < len(stem) and (stem[:n], STEM) in {(e[0], e[1]) for e in entries}]
+        shorter = [kept[stem[:n]] for n in STEM_LENGTHS if n < len(stem) and stem[:n] in kept]
         if toxic[stem] >= 1.5 * alone.get(stem, 0) and stems[stem] > max(shorter, default=-math.inf) + 0.5:
-            entries.append((stem, STEM, float(stems[stem])))
-    kept = {e[0]: e[2] for e in entries}
+            kept[stem] = float(stems[stem])
+    entries = [(stem, STEM, weight) for stem, weight in kept.items()]
     for word, (weight, _) in sorted(words.items()):
         if weight > max((kept[word[:n]] for n in STEM_LENGTHS if word[:n] in kept), default=-math.inf) + 0.5:
             entries.append((word, WORD, float(weight)))
@@ -118,19 +121,23 @@ def _in_quotation(words: list[str], at: int) -> bool:
 def text_features(text: str | None, matches: WordMatches) -> list[float]:
     words = (text or "").split()
     counts = [0] * len(STRENGTHS)
-    misspelt = quoted = 0
-    for at, match in enumerate(map(matches.__getitem__, words)):
-        if match is None:
+    misspelt = quoted = length = 0
+    # Each run of letters is a word: a token may join several by commas, slashes or underscores.
+    for at, (runs, found) in enumerate(map(matches.__getitem__, words)):
+        length += runs or 1
+        if not found:
             continue
         if _in_quotation(words, at):
-            quoted += 1
-        elif not match[1]:
-            misspelt += 1
-        else:
-            counts[next(k for k, least in enumerate(STRENGTHS) if match[0] >= least)] += 1
-    rate = 100 / (len(words) + 20)
+            quoted += len(found)
+            continue
+        for weight, exact in found:
+            if exact:
+                counts[next(k for k, least in enumerate(STRENGTHS) if weight >= least)] += 1
+            else:
+                misspelt += 1
+    rate = 100 / (length + 20)
     return [*(math.log1p(n) for n in counts), *(math.log1p(n * rate) for n in counts),
-            math.log1p(misspelt), math.log1p(misspelt * rate), math.log1p(quoted), math.log1p(len(words)) / 10]
+            math.log1p(misspelt), math.log1p(misspelt * rate), math.log1p(quoted), math.log1p(length) / 10]
 
 
 N_FEATURES = 2 * len(STRENGTHS) + 4

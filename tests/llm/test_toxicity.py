@@ -4,7 +4,7 @@ import pandas as pd
 from hypothesis import given, settings, strategies as st
 
 from shelfcast.llm.lexicon import STEM, WORD, LexiconAutomaton, WordMatches, allowed_errors
-from shelfcast.llm.toxicity import N_FEATURES, clean, fitted, op3_lexicon_automata, scored, text_features
+from shelfcast.llm.toxicity import N_FEATURES, clean, fitted, learned_lexicon, op3_lexicon_automata, scored, text_features
 
 SF = "/root/testdata/sf0.01"
 ENTRIES = [("idiot", WORD, 5.0), ("scum", WORD, 4.5), ("worthless", WORD, 4.0), ("achlich", STEM, 3.0), ("idiots", WORD, 3.5)]
@@ -38,6 +38,20 @@ def test_context_parts_quotation_from_abuse():
     assert text_features(None, matches) == text_features("", matches) == [0.0] * N_FEATURES
 
 
+def test_every_run_of_letters_is_a_word():
+    matches = WordMatches(LexiconAutomaton(ENTRIES))
+    joined, apart = text_features("idiot,scum/worthless_idiot", matches), text_features("idiot scum worthless idiot", matches)
+    assert joined == apart and joined[0] == text_features("idiot " * 4, matches)[0]
+    assert text_features('"idiot/scum"', matches)[8] == text_features('"idiot" "scum"', matches)[8] > 0
+
+
+def test_no_rank_drops_learned_terms(spark):
+    names = ["".join(chr(97 + (i // 26 ** k) % 26) for k in range(3)) for i in range(2600)]
+    rows = [(" ".join(names) if i % 2 else "plain words here", i % 2) for i in range(80)]
+    entries = learned_lexicon(spark.createDataFrame(rows, "text string, label int"))
+    assert {e[0] for e in entries if e[1] == WORD} >= set(names)
+
+
 def test_held_out_accuracy(spark):
     got = op3_lexicon_automata(spark, SF).toPandas()
     assert len(got) == 1000 and got.score.between(0, 1).all()
