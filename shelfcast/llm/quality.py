@@ -6,8 +6,9 @@ scaled indicators a linear hinge-loss model is fitted by dual coordinate descent
 towards the ratios alone. A logistic curve, fitted on texts the model has not seen, turns the
 margin into a score.
 
-Ratios and model come from a bounded sample of labelled rows (`SAMPLE`; a text has at most
-`DIMENSIONS` features, whatever its length). Every whole text is scored. Labels, language,
+Ratios and model come from a bounded sample of labelled rows (`SAMPLE`). A text has at most
+`DIMENSIONS` features, whatever its length, and travels as a list of them or a bit each, whichever
+is shorter: 16 KB at most, so the driver holds 200 MB at most. Every whole text is scored. Labels, language,
 source and id are never inputs of a score.
 
 Nulls and edge cases: a null text is an empty one, whose score is that of no n-grams; a null id
@@ -19,7 +20,7 @@ there was, or 0.5; no rows give no rows. All columns pass through, and `score` i
 from __future__ import annotations
 
 import operator
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -71,17 +72,44 @@ def ngrams(text: str | None) -> np.ndarray:
     return np.flatnonzero(present)
 
 
-def log_ratios(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+def packed(row: np.ndarray) -> bytes:
+    """Features of a text in `DIMENSIONS` bits at most."""
+    if 32 * len(row) < DIMENSIONS:
+        return row.astype(np.uint32).tobytes()
+    bits = np.zeros(DIMENSIONS, bool)
+    bits[row] = True
+    return np.packbits(bits).tobytes()
+
+
+class PackedRows(Sequence):
+    """Features of texts, unpacked one text at a time."""
+
+    def __init__(self, rows: list[bytes]):
+        self.rows = rows
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        row = self.rows[i]
+        if 8 * len(row) < DIMENSIONS:
+            return np.frombuffer(row, np.uint32).astype(np.int64)
+        return np.flatnonzero(np.unpackbits(np.frombuffer(row, np.uint8)))
+
+    def taken(self, places: np.ndarray) -> PackedRows:
+        return PackedRows([self.rows[i] for i in places])
+
+
+def log_ratios(rows: Sequence[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """log of each n-gram's share among good texts over that among bad ones."""
-    shares = []
-    for label in (1, 0):
-        held = [r for r, y in zip(rows, labels) if y == label]
-        seen = SMOOTHING + np.bincount(np.concatenate([*held, np.zeros(0, np.int64)]).astype(np.int64), minlength=DIMENSIONS)
-        shares.append(np.log(seen / (len(held) + 2 * SMOOTHING)))
-    return shares[0] - shares[1]
+    seen = np.full((2, DIMENSIONS), SMOOTHING)
+    for row, label in zip(rows, labels):
+        seen[int(label), row] += 1
+    bad, good = (np.log(seen[k] / (np.count_nonzero(labels == k) + 2 * SMOOTHING)) for k in (0, 1))
+    return good - bad
 
 
-def hinge_fit(rows: list[np.ndarray], signs: np.ndarray, ratios: np.ndarray, costs: np.ndarray, seed: int = 8) -> np.ndarray:
+def hinge_fit(rows: Sequence[np.ndarray], signs: np.ndarray, ratios: np.ndarray, costs: np.ndarray, seed: int = 8) -> np.ndarray:
     """Weights of n-grams by dual coordinate descent on the hinge loss, ratios included.
 
     One dual variable per text between 0 and its cost; each step solves its own exactly and moves
@@ -92,11 +120,12 @@ def hinge_fit(rows: list[np.ndarray], signs: np.ndarray, ratios: np.ndarray, cos
     weights, bias, dual = np.zeros(DIMENSIONS), 0.0, np.zeros(len(rows))
     for _ in range(EPOCHS):
         for i in rng.permutation(len(rows)):
-            x = ratios[rows[i]] * scales[i]
-            slope = signs[i] * (weights[rows[i]] @ x + bias) - 1
+            row = rows[i]
+            x = ratios[row] * scales[i]
+            slope = signs[i] * (weights[row] @ x + bias) - 1
             moved = min(max(dual[i] - slope / (x @ x + 1), 0.0), costs[i])
             if moved != dual[i]:
-                weights[rows[i]] += (moved - dual[i]) * signs[i] * x
+                weights[row] += (moved - dual[i]) * signs[i] * x
                 bias += (moved - dual[i]) * signs[i]
                 dual[i] = moved
     # The bias is one more feature; it goes with the curve, which has its own intercept.
@@ -116,12 +145,12 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: in
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [ngrams(t.as_py()).astype(np.uint32).tobytes() for t in batch.column("text")]
+            rows = [packed(ngrams(t.as_py())) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("side"), batch.column("label").cast(pa.int32()), pa.array(rows, pa.binary())], ["side", "label", "x"])
 
     once = sample.groupBy(F.md5("text").alias("side")).agg(F.min("text").alias("text"), F.max("label").alias("label"))
     seen = written(once.mapInArrow(features, "side string, label int, x binary"), "quality-sample").orderBy("side").collect()
-    rows = [np.frombuffer(r["x"], np.uint32).astype(np.int64) for r in seen]
+    rows = PackedRows([bytes(r["x"]) for r in seen])
     y = np.array([r["label"] for r in seen], float)
     each = np.array([weights[int(v)] for v in y])
     if len(set(y.tolist())) < 2:
@@ -130,7 +159,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: in
     each /= each.mean()
 
     def learn(take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        chosen = [rows[i] for i in take]
+        chosen = rows.taken(take)
         ratios = log_ratios(chosen, y[take])
         fit = hinge_fit(chosen, 2 * y[take] - 1, ratios, COST * each[take])
         plain = np.abs(fit).sum() / max(np.abs(ratios).sum(), 1e-12) * ratios

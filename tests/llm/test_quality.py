@@ -4,7 +4,8 @@ import numpy as np
 import pandas as pd
 
 from shelfcast.llm import quality
-from shelfcast.llm.quality import DIMENSIONS, fitted, hinge_fit, log_ratios, ngrams, op8_bayes_support_vectors, scored
+from shelfcast.llm.quality import (
+    DIMENSIONS, PackedRows, fitted, hinge_fit, log_ratios, ngrams, op8_bayes_support_vectors, packed, scored)
 
 SF = "/root/testdata/sf0.01"
 
@@ -16,6 +17,14 @@ def test_ngrams_are_indicators_of_the_whole_text():
     assert len(np.setdiff1d(ngrams(far + "!?"), ngrams(far))) > 0
 
 
+def test_rows_of_any_size_pack_into_a_bit_a_feature():
+    rng = np.random.default_rng(3)
+    rows = [np.sort(rng.choice(DIMENSIONS, n, replace=False)) for n in (0, 1, 4095, 4096, 4097, 90000, DIMENSIONS)]
+    sent = [packed(r) for r in rows]
+    assert max(map(len, sent)) == DIMENSIONS // 8
+    assert all((a == b).all() for a, b in zip(rows, PackedRows(sent)))
+
+
 def test_dual_descent_reaches_the_primal_optimum(monkeypatch):
     monkeypatch.setattr(quality, "EPOCHS", 400)
     rng = np.random.default_rng(1)
