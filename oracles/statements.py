@@ -426,6 +426,13 @@ FROM (SELECT p.cat_l1, sum(p.forecast_week) AS w, coalesce(any_value(x.qty_facto
 # --- streams end in the same tables as the batch jobs ---------------------------------------
 SQL["stream_ingest_dedup"] = "SELECT * FROM o_dedup"
 SQL["stream_daily_traffic"] = "SELECT * FROM o_traffic"
+SQL["stream_late_lines"] = """
+SELECT s.sale_date AS date, count(*) FILTER (WHERE NOT late) AS kept_lines, count(*) FILTER (WHERE late) AS late_lines,
+       coalesce(sum(line_revenue) FILTER (WHERE NOT late), 0) AS kept_revenue,
+       coalesce(sum(line_revenue) FILTER (WHERE late), 0) AS late_revenue
+FROM (SELECT sale_date, line_revenue,
+             invoice_id LIKE '%7' AND sale_date + INTERVAL 93 DAY <= (SELECT max(sold_at) FROM o_stg WHERE invoice_id NOT LIKE '%7') AS late
+      FROM o_sold) s GROUP BY s.sale_date"""
 SQL["stream_reconcile"] = "SELECT * FROM o_drift"
 
 SQL["pol_backtest_carry"] = "SELECT * FROM o_carry"

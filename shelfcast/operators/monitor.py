@@ -43,18 +43,21 @@ def backfill(weeks: DataFrame, chosen: str) -> DataFrame:
         F.lit(None).alias("order_qty")))
 
 
-def evaluate_snapshots(snapshots: DataFrame, series: DataFrame, last_day: Column) -> DataFrame:
-    """Runs whose week has passed, scored on the days sold.
+def sold_in_weeks(snapshots: DataFrame, series: DataFrame) -> DataFrame:
+    """What was sold on the open days of each saved week that `series` knows.
 
     Each saved week becomes its seven days, so the join with daily sales is an equi-join.
     """
     start = F.to_date("week_start")
-    passed = snapshots.filter(F.date_add(start, 6) <= last_day)
-    days = passed.select("run_id", "unique_id", F.explode(F.sequence(start, F.date_add(start, 6))).alias("ds"))
+    days = snapshots.select("run_id", "unique_id", F.explode(F.sequence(start, F.date_add(start, 6))).alias("ds"))
     sold = series.filter(~F.col("is_closed")).select("unique_id", "ds", "y_raw")
-    actual = days.join(sold, ["unique_id", "ds"]).groupBy("run_id", "unique_id").agg(F.sum("y_raw").alias("actual"))
+    return days.join(sold, ["unique_id", "ds"]).groupBy("run_id", "unique_id").agg(F.sum("y_raw").alias("actual"))
+
+
+def score_runs(snapshots: DataFrame, actual: DataFrame) -> DataFrame:
+    """One row per run: its forecasts against (run_id, unique_id, actual)."""
     error = F.col("forecast_week") - F.col("actual")
-    return passed.join(actual, ["run_id", "unique_id"]).groupBy("run_id").agg(
+    return snapshots.join(actual, ["run_id", "unique_id"]).groupBy("run_id").agg(
         F.max("kind").alias("kind"), F.max("week_start").alias("week_start"), F.max("model").alias("model"),
         F.try_divide(F.sum(F.abs(error)), F.sum("actual")).alias("wmape"),
         F.try_divide(F.sum(error), F.sum("actual")).alias("bias"),
@@ -62,6 +65,16 @@ def evaluate_snapshots(snapshots: DataFrame, series: DataFrame, last_day: Column
         rows().alias("n_series"))
 
 
+def passed_weeks(snapshots: DataFrame, last_day: Column) -> DataFrame:
+    return snapshots.filter(F.date_add(F.to_date("week_start"), 6) <= last_day)
+
+
+def evaluate_snapshots(snapshots: DataFrame, series: DataFrame, last_day: Column) -> DataFrame:
+    """Runs whose week has passed, scored on the days sold."""
+    passed = passed_weeks(snapshots, last_day)
+    return score_runs(passed, sold_in_weeks(passed, series))
+
+
 def drift(runs: DataFrame, reference_wmape: Column, rules: Rules) -> DataFrame:
     """Every scored week with its running tracking signal and whether it raised an alarm.
 

@@ -29,19 +29,38 @@ def stream_ingest_dedup(t: Layers) -> DataFrame:
     return flows.current_lines(t.spark, f"{root}/store")
 
 
+TRAFFIC = ("invoice_id", "sold_at", "txn_channel", "is_return", "line_revenue", "quantity")
+
+
+def _delivered(lines: DataFrame, folder: str) -> int:
+    """Lines as files by time of sale, in one job; as many files as a shuffle has partitions."""
+    files = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines.select(*TRAFFIC).repartitionByRange(files, "sold_at").write.mode("append").parquet(folder)
+    return files
+
+
 @query("date:t n_invoices:i revenue:d quantity:d")
 def stream_daily_traffic(t: Layers) -> DataFrame:
+    """All lines, in about four batches, in whatever order the files are listed."""
     root = _folder(t, "stream-traffic")
-    needed = t.staged.select("invoice_id", "sold_at", "txn_channel", "is_return", "line_revenue", "quantity")
-    # Delivered quarter by quarter, as sales come in; the state of older days is dropped.
-    quarters = [r[0] for r in t.calendar.select(F.trunc("date", "quarter").alias("q")).distinct().orderBy("q").collect()]
-    for quarter in quarters:
-        needed.filter(F.trunc("sold_at", "quarter") == F.lit(quarter)).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    staged = flows.file_stream(t.spark, f"{root}/in", needed.schema, files_per_batch=3)
+    files = _delivered(t.staged, f"{root}/in")
+    staged = flows.file_stream(t.spark, f"{root}/in", t.staged.select(*TRAFFIC).schema, files_per_batch=max(1, files // 4))
     flows.run_to_end(flows.follow_traffic(staged, f"{root}/store", "92 days"), f"{root}/checkpoint")
     return flows.current_traffic(t.spark, f"{root}/store")
 
 
+@query("date:t kept_lines:i late_lines:i kept_revenue:d late_revenue:d")
+def stream_late_lines(t: Layers) -> DataFrame:
+    """Invoices that end in 7 come in after all others: on days closed by then they are late, and still counted."""
+    root = _folder(t, "stream-late")
+    straggling = F.coalesce(F.col("invoice_id").endswith("7"), F.lit(False))
+    for lines in (t.staged.filter(~straggling), t.staged.filter(straggling)):
+        files = _delivered(lines, f"{root}/in")
+        staged = flows.file_stream(t.spark, f"{root}/in", t.staged.select(*TRAFFIC).schema, files_per_batch=files)
+        flows.run_to_end(flows.follow_traffic(staged, f"{root}/store", "92 days"), f"{root}/checkpoint")
+    return flows.late_traffic(t.spark, f"{root}/store")
+
+
 @contest("run_id:s week_start:t wmape:r tracking_signal:r over_limit:b biased:b flagged:b is_latest:b")
 def stream_reconcile(t: Layers) -> DataFrame:
     """The hold-out days arrive in files; the last verdicts must equal the batch ones."""
