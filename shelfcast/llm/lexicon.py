@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 LETTERS = re.compile(r"[^\W\d_]+")
-CACHE = 1 << 20
+CACHE = 1 << 17
 WORD, STEM = "word", "stem"
 
 
@@ -112,10 +112,13 @@ class WordMatches(dict):
     def __init__(self, automaton: LexiconAutomaton):
         super().__init__()
         self.automaton = automaton
+        # Most tokens match nothing: one value for all of so many runs.
+        self.unmatched: dict[int, tuple[int, tuple]] = {}
 
     def __missing__(self, token: str):
         if len(self) >= CACHE:
             self.clear()
         pieces = LETTERS.findall(token.lower())
-        value = self[token] = len(pieces), tuple(m for piece in pieces if (m := self.automaton.match(piece)))
+        found = tuple(m for piece in pieces if (m := self.automaton.match(piece)))
+        value = self[token] = (len(pieces), found) if found else self.unmatched.setdefault(len(pieces), (len(pieces), ()))
         return value
