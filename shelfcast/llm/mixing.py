@@ -8,6 +8,7 @@ size, so the words taken from a source miss its target by less than its largest
 Nulls and edge cases: a null text has size 0; a null source is a source of its own, sorted
 last; a source without words has target 0 and its documents are not taken; a table without
 rows gives no rows. Repeated rows are separate documents. Other columns pass through.
+Documents equal in id and size are ordered by their texts, so a rerun takes the same ones.
 """
 
 from __future__ import annotations
@@ -55,15 +56,17 @@ def _offset(source: Column, seed: str) -> Column:
 
 
 def planned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-            size: str | None = None, weights=WEIGHTS, max_copies: int = MAX_COPIES, seed: str = SEED) -> DataFrame:
+            size: str | None = None, then: tuple[str, ...] = (), weights=WEIGHTS, max_copies: int = MAX_COPIES,
+            seed: str = SEED) -> DataFrame:
     """`docs` with source_size, target and `copies`, the times the mix takes each row.
 
-    `size` names a column of sizes; without it the words of `text` are counted.
+    `size` names a column of sizes; without it the words of `text` are counted. `then` names
+    columns that order rows of equal size and id.
     """
     words, rank, copies = fresh(docs, "_words"), fresh(docs, "_rank"), fresh(docs, "copies")
     sized = docs.withColumn(words, F.col(size) if size else word_count(F.col(text)))
     tie = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
-    ranked = numbered(sized, source, [F.col(words), tie, F.col(doc_id)], rank, "mix")
+    ranked = numbered(sized, source, [F.col(words), tie, F.col(doc_id), *map(F.col, then)], rank, "mix")
     targets = written(source_targets(sized.select(source, words), source, words, weights, max_copies), "targets")
     each = F.when(F.col("t.source_size") > 0, F.col("t.target") / F.col("t.source_size")).otherwise(F.lit(0.0))
     start = _offset(F.col(f"r.{source}"), seed)
@@ -76,11 +79,23 @@ def planned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
                 F.least(crossed, F.lit(max_copies)).cast("long").alias(copies)))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of `docs` as often as it is taken, with the columns of `docs`."""
-    copies = fresh(docs, "copies")
-    taken = planned(docs, **options).filter(F.col(copies) > 0)
-    return taken.withColumn(copies, F.explode(F.array_repeat(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+          size: str | None = None, **options) -> DataFrame:
+    """The mix itself: each row of `docs` as often as it is taken, with the columns of `docs`.
+
+    Rows are written once with their number and size. Only these travel to be ordered, so long
+    texts do not gather in the task of the largest sizes; texts are met again by row number.
+    """
+    row, words, content, copies = (fresh(docs, c) for c in ("_row", "_words", "_content", "_copies"))
+    whole = written(docs.select(
+        "*", F.monotonically_increasing_id().alias(row),
+        (F.col(size) if size else word_count(F.col(text))).alias(words), F.xxhash64(text).alias(content)), "mix-rows")
+    narrow = whole.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), row, words, content)
+    plan = planned(narrow, source="source", size=words, then=(content,), **options)
+    # Written, so that Spark can weigh the join by its size.
+    taken = written(plan.filter("copies > 0").select(row, F.col("copies").cast("int").alias(copies)), "mix-taken")
+    each = F.explode(F.array_repeat(F.lit(1), F.col(copies)))
+    return whole.join(taken, row).select(*docs.columns, each.alias(copies)).drop(copies)
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ import re
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from pyspark.sql import functions as F
+
 from shelfcast.llm.mixing import MAX_COPIES, WEIGHTS, mixed, planned, source_targets
 
 
@@ -70,3 +72,11 @@ def test_mix_keeps_columns_and_repeats_rows(spark, awkward, empty):
     assert sorted(map(str, rows.collect())) == sorted(map(str, mixed(awkward).collect()))
     assert mixed(empty).count() == 0
     assert mixed(empty.union(empty).selectExpr("1L AS doc_id", "cast(null AS string) AS text", "'a' AS source")).count() == 0
+
+
+def test_rows_of_one_id_and_size_are_taken_alike_on_every_run(spark):
+    rows = [(1, f"word{i} again", "a", i) for i in range(40)] + [(None, "", None, 0), (2, None, "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _row long")
+    once, dealt = mixed(docs.repartition(3)), mixed(docs.repartition(7).orderBy(F.desc("text")))
+    assert once.columns == docs.columns
+    assert sorted(map(str, once.collect())) == sorted(map(str, dealt.collect()))
