@@ -9,14 +9,22 @@ Nulls and edge cases: a null or empty text, or one that is only copyright lines,
 licence; a null id is kept; equal texts get equal results and are looked up by their content,
 so ids may repeat; a table of known licences that lists a text twice gives the first by name;
 no rows give no rows. Other columns are not carried.
+
+What cannot be a known licence is not brought to its form. Equivalent spellings begin with the
+same letters, so the first letters of a form are those of the first word that no copyright line
+holds, and that word begins a line: texts and lines of which no line begins as a known form does
+are left out, which changes no result.
 """
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from shelfcast.functions.tables import written
 from shelfcast.llm.common import table
+from shelfcast.llm.licence_texts import TEXTS
 
 # Spellings held to be the same, after punctuation is gone.
 SPELLINGS = (
@@ -27,6 +35,8 @@ SPELLINGS = (
     ("organisation", "organization"), ("per cent", "percent"), ("programme", "program"), ("recognised", "recognized"),
     ("sub license", "sublicense"), ("utilisation", "utilization"), ("whilst", "while"), ("https", "http"),
 )
+# How many letters at the start of a spelling both forms share; each begins with a word at least as long.
+KEPT_LETTERS = min(len(os.path.commonprefix(pair)) for pair in SPELLINGS)
 # Words after "copyright" or "(c)" in the prose of a licence; anything else is a name, a year or a sign.
 PROSE = (
     "notice", "notices", "holder", "holders", "owner", "owners", "license", "licenses", "licence", "licences", "law", "laws",
@@ -49,29 +59,12 @@ COPYRIGHT_LINE = (
     rf"(?m)^[^\p{{L}}\p{{N}}\n]*(?:(?:copyright|\(c\)){_NAMED}|copyright[^\p{{L}}\p{{N}}\n]*(?:©|\p{{N}})[^\n]*"
     r"|(?:©|all rights reserved)[^\n]*)$")
 
-_WARRANTY = (
-    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
-    "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
-    "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
-    "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.")
-_ISC = (
-    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
-    "provided that the above copyright notice and this permission notice appear in all copies.\n\n"
-    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED '
-    "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR "
-    "CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF "
-    "CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.")
-# Licence texts and the notices that stand for them. Longer licences come in as a
-# table of (license, text) of the same shape.
+# The notices that stand for a licence, after its entire texts. More licences come
+# in as a table of (license, text) of the same shape.
 KNOWN = (
+    *TEXTS,
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
-    ("MIT", "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and "
-            'associated documentation files (the "Software"), to deal in the Software without restriction, including without '
-            "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
-            "Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\n"
-            "The above copyright notice and this permission notice shall be included in all copies or substantial portions of "
-            "the Software.\n\n" + _WARRANTY),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
             "granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -85,8 +78,6 @@ KNOWN = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Released under CC0 1.0."),
-    ("ISC", _ISC),
-    ("ISC", "ISC License\n\n" + _ISC),
 )
 
 
@@ -99,16 +90,29 @@ def canonical(text: Column) -> Column:
     return plain
 
 
+def first_letters(form: Column) -> Column:
+    """The letters of a canonical form's first word that no spelling changes."""
+    return F.substring(F.element_at(F.split(form, " "), 1), 1, KEPT_LETTERS)
+
+
+def may_be_known(text: Column, letters: list[str]) -> Column:
+    """Whether a line of the text begins with the first letters of a known form."""
+    if not letters:
+        return F.lit(False)
+    return F.lower(text).rlike(rf"(?m)^[^\p{{L}}\p{{N}}\n\r\u0085\u2028\u2029]*+(?:{'|'.join(sorted(letters))})")
+
+
 def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
 def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
-    """(digest, license), one row per digest."""
+    """(digest, license, letters), one row per digest."""
     texts = spark.createDataFrame(list(KNOWN), "license string, text string") if known is None else known
+    forms = texts.select("license", canonical(F.col("text")).alias("form")).filter(F.length("form") > 0)
     return (
-        texts.filter(F.length(canonical(F.col("text"))) > 0)
-        .groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license")))
+        forms.groupBy(F.sha2("form", 256).alias("digest"), first_letters(F.col("form")).alias("letters"))
+        .agg(F.min("license").alias("license")))
 
 
 def scanned(docs: DataFrame, known: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -116,14 +120,18 @@ def scanned(docs: DataFrame, known: DataFrame | None = None, doc_id: str = "doc_
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     table_of = written(known_digests(spark, known), "licences")
+    # Three letters each, of the known licences alone.
+    letters = [r["letters"] for r in table_of.select("letters").distinct().collect()]
+    table_of = table_of.drop("letters")
     content = F.sha2(F.col("text"), 256)
     lines = docs.select(content.alias("content"), F.explode(F.split("text", "\n")).alias("line"))
     named = (
-        lines.withColumn("digest", digest(F.col("line"))).join(table_of, "digest")
+        lines.filter(may_be_known(F.col("line"), letters)).withColumn("digest", digest(F.col("line"))).join(table_of, "digest")
         .groupBy("content").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices")))
     # Texts with a notice; written, so that Spark can weigh the join by its size.
     named = written(named, "notices")
-    whole = docs.select("doc_id", content.alias("content"), digest(F.col("text")).alias("digest"))
+    form = F.when(may_be_known(F.col("text"), letters), digest(F.col("text")))
+    whole = docs.select("doc_id", content.alias("content"), form.alias("digest"))
     return (
         whole.join(table_of, "digest", "left").join(named, "content", "left")
         .select("doc_id", "license", F.coalesce("notices", F.lit("")).alias("notices")))
