@@ -19,31 +19,32 @@ def median_before(lines: DataFrame, key: str, time: str, order: list[Column], va
     approximated and no task sees more than a slice. A null key is a key like any other; rows of
     one key and one second are never parted.
     """
-    # Keys with more than one slice, and their later slices: small tables, written so that the
-    # joins see their size and leave the lines in place.
+    # Keys with more than one slice, and where their slices start: small tables, written so that
+    # the joins see their size and leave the lines in place. Without such keys all that hangs on
+    # them is an empty join, which adaptive execution leaves out.
     hot = written(
         lines.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
         .select(F.col(key).alias("_hot")), "hot_keys")
     second = F.date_trunc("second", time)
     earlier = Window.partitionBy("_hot").orderBy("_second").rowsBetween(Window.unboundedPreceding, -1)
-    slices = written(
+    slices = (
         lines.select(key, second.alias("_second")).join(hot, F.col(key).eqNullSafe(F.col("_hot")))
         .groupBy("_hot", "_second").agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_slice", F.floor(F.coalesce(F.sum("_n").over(earlier), F.lit(0)) / hot_rows))
-        .groupBy("_hot", "_slice").agg(F.min("_second").alias("_from")), "slices")
+        .groupBy("_hot", "_slice").agg(F.min("_second").alias("_from")))
     starts = written(
         slices.groupBy("_hot").agg(F.array_sort(F.collect_list(F.struct("_from", "_slice"))).alias("_starts")), "slice_starts")
     # The slice of a row is the last one that starts no later.
     own = F.element_at(F.filter("_starts", lambda s: s["_from"] <= second), -1)["_slice"]
-    placed = lines.join(starts, F.col(key).eqNullSafe(F.col("_hot")), "left").withColumn(
-        "_slice", F.coalesce(own, F.lit(0))).drop("_starts", "_hot")
+    same_key = F.col(key).eqNullSafe(F.col("_hot"))
+    placed = lines.join(starts, same_key, "left").withColumn("_slice", F.coalesce(own, F.lit(0))).drop("_starts", "_hot")
 
     # Carry: one row per (key, slice, value), counted before the slice.
-    hot_counts = written(
-        placed.select(key, "_slice", value).filter(F.col(value).isNotNull())
-        .join(hot, F.col(key).eqNullSafe(F.col("_hot")))
-        .groupBy("_hot", "_slice", F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_n")), "hot_counts")
-    later = slices.filter("_slice > 0").select(F.col("_hot").alias("_of"), F.col("_slice").alias("_at"))
+    hot_counts = (
+        lines.filter(F.col(value).isNotNull()).join(starts, same_key)
+        .groupBy("_hot", own.alias("_slice"), F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_n")))
+    later = starts.select(F.col("_hot").alias("_of"), F.explode("_starts").alias("_s")).select(
+        "_of", F.col("_s._slice").alias("_at")).filter("_at > 0")
     carry = (
         hot_counts.join(later, F.col("_hot").eqNullSafe(F.col("_of")) & (F.col("_slice") < F.col("_at")))
         .groupBy(F.col("_of").alias(key), F.col("_at").alias("_slice"), F.col("_value").alias(value))

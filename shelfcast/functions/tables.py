@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +48,12 @@ def written(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     path = f"{shared_folder(spark)}/shelfcast/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:8]}"
     df.write.mode("error").partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def side_by_side(*builds: Callable[[], DataFrame]) -> list[DataFrame]:
+    """Tables that do not need each other, built and written at the same time, in the order given.
+
+    Each is its own chain of jobs; the cluster fills the cores that a small one leaves idle.
+    """
+    with ThreadPoolExecutor(len(builds)) as pool:
+        return [ready.result() for ready in [pool.submit(build) for build in builds]]

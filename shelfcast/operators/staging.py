@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import partial
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from shelfcast.functions.joins import left_join_where
 from shelfcast.functions.medians import banded_median, counted_median
 from shelfcast.functions.running import median_before
-from shelfcast.functions.tables import written
+from shelfcast.functions.tables import side_by_side, written
 from shelfcast.functions.scans import ordered_running
 from shelfcast.params import (
     BULK, COST_ACTUAL, COST_CATEGORY, COST_SKU, CREDIT_NOTES, DELETED_MARK, INTERNAL,
@@ -270,12 +271,12 @@ def stage_lines(base: DataFrame, rules: Rules) -> DataFrame:
     rare = unknown_cost() | bulk_candidate(rules)
     # Each lookup reads its few columns once and is written, so that the final plan scans the
     # lines twice (rare and common), knows the size of what it joins, and moves wide lines only
-    # where a lookup has outgrown a broadcast.
-    costs = [(written(table, "costs"), keys) for table, keys in cost_lookups(base)]
-    big_lines = written(bulk_lines(base, rules), "bulk_lines")
-    big_invoices = written(bulk_invoices(base, rules), "bulk_invoices")
-    sellers = written(seller_codes(base), "seller_codes")
-    looked_up = left_join_where(base, rare, [*costs, (big_lines, LINE_KEY)])
+    # where a lookup has outgrown a broadcast. None needs another: they are built side by side.
+    found, keys = zip(*cost_lookups(base))
+    big_lines, big_invoices, sellers, *costs = side_by_side(
+        lambda: written(bulk_lines(base, rules), "bulk_lines"), lambda: written(bulk_invoices(base, rules), "bulk_invoices"),
+        lambda: written(seller_codes(base), "seller_codes"), *[partial(written, table, "costs") for table in found])
+    looked_up = left_join_where(base, rare, [*zip(costs, keys), (big_lines, LINE_KEY)])
     marked = looked_up.join(big_invoices, "invoice_id", "left")
     classified = with_channel(with_filled_cost(marked))
     coded = classified.join(sellers, "seller", "left").withColumn(
