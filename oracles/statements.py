@@ -300,6 +300,10 @@ SQL["fc_future"] = "SELECT * FROM o_stat_now"
 SQL["fc_ensembles_gap"] = f"""
 SELECT unique_id, cutoff, cutoff + CAST(step AS INTEGER) AS ds, model, 0 AS gap FROM o_hist, {_ahead},
 (VALUES ('Ens_Tweedie_IMAPA'), ('Ens_Tweedie_ETS_IMAPA'), ('Ens_Tweedie_IMAPA_MA')) m(model)"""
+# The intercept, twelve lag features, six weekdays, the day of the month, and a mark per category but the first.
+SQL["fc_learner_score"] = """
+SELECT place, 0 AS gap FROM (SELECT unnest(range(0, 19 + n)) AS place FROM (
+  SELECT count(DISTINCT p.cat_l1) AS n FROM (SELECT DISTINCT unique_id FROM o_hist_now) JOIN o_profile p USING (unique_id)))"""
 for _name in ("xp_local_gap", "xp_waterfall_gap"):
     SQL[_name] = f"""
 SELECT unique_id, cutoff + CAST(step AS INTEGER) AS ds, 0 AS gap FROM o_hist_now, range(1, {R.horizon + 1}) r(step)"""

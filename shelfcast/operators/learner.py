@@ -83,6 +83,25 @@ def fit(rows: DataFrame, n_columns: int) -> np.ndarray:
         vectors.unpersist()
 
 
+def score(design_rows: DataFrame, weights: np.ndarray) -> DataFrame:
+    """(place, gap): how far each weight, the intercept first, is from where its fit ends.
+
+    The gap is the slope of the penalised quasi-likelihood by that weight, over its curvature:
+    the step that is left in that direction, in units of the weight. One pass over the rows.
+    """
+    x = [F.lit(1.0), *[F.col(f"x{i}") for i in range(len(weights) - 1)]]
+    mean = F.exp(sum((F.lit(float(w)) * c for w, c in zip(weights, x)), F.lit(0.0)))
+    rows = design_rows.withColumn("_mean", mean)
+    pull, curve = (F.col("y") - F.col("_mean")) * F.pow("_mean", F.lit(1 - POWER)), F.pow("_mean", F.lit(2 - POWER))
+    sums = rows.agg(F.sum(curve).alias("all"), *[F.sum(pull * c).alias(f"s{i}") for i, c in enumerate(x)],
+                    *[F.sum(curve * c * c).alias(f"h{i}") for i, c in enumerate(x)])
+    # The intercept carries no penalty. A column without a value other than 0 keeps weight 0.
+    ridge = [0.0, *[RIDGE] * (len(weights) - 1)]
+    gaps = [(F.col(f"s{i}") - F.lit(r * float(w)) * F.col("all")) / (F.col(f"h{i}") + F.lit(r) * F.col("all"))
+            for i, (r, w) in enumerate(zip(ridge, weights))]
+    return sums.select(F.posexplode(F.array(*gaps)).alias("place", "gap"))
+
+
 def _recursion(weights: dict[date, np.ndarray], categories: list[str], horizon: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -117,6 +117,13 @@ def fc_global_tweedie(t: Layers) -> DataFrame:
     return t.learned_backtest
 
 
+@query("place:i gap:d")
+def fc_learner_score(t: Layers) -> DataFrame:
+    """What is left of the fit at each weight, which must be nothing."""
+    rows, _ = t.design
+    return learner.score(rows, t.weights)
+
+
 @query(FORECAST)
 def fc_ensembles(t: Layers) -> DataFrame:
     return t.backtest_forecasts.filter(F.col("model").isin(*forecast.ENSEMBLES))

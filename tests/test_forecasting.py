@@ -422,3 +422,26 @@ def test_small_rank_sums_have_their_exact_chance(spark):
     assert {(r["n"], r["w"]): r["p"] for r in made.collect()} == want
     large = spark.createDataFrame([(50, 637.0)], "n long, w double").withColumn("p", evaluate.signed_rank_p("n", F.col("w"))).first()["p"]
     assert abs(large - 1.0) < 0.01
+
+
+def test_the_score_tells_a_settled_fit_from_a_moved_one(spark):
+    import random
+
+    import numpy as np
+
+    from shelfcast.operators import learner
+
+    rng = random.Random(7)
+    rows = [(START + timedelta(days=d), rng.choice([0.0, 0.0, 1.0, 3.0, 8.0]), rng.random(), float(d % 7 == 0), 0.0) for d in range(400)]
+    df = spark.createDataFrame(rows, "ds date, y double, x0 double, x1 double, x2 double")
+    weights = learner.fit(df, 3)
+    gaps = {r["place"]: r["gap"] for r in learner.score(df, weights).collect()}
+    assert sorted(gaps) == [0, 1, 2, 3] and max(map(abs, gaps.values())) < 1e-3
+    # By hand, for weights that no fit gives.
+    moved = weights + np.array([0.1, 0.0, 0.2, 0.3])
+    x = np.array([[1.0, *r[2:]] for r in rows])
+    y, mean = np.array([r[1] for r in rows]), np.exp(x @ moved)
+    penalty = np.array([0.0, 1.0, 1.0, 1.0]) * learner.RIDGE * (mean ** 0.8).sum()
+    want = (((y - mean) * mean ** -0.2) @ x - penalty * moved) / ((mean ** 0.8) @ (x * x) + penalty)
+    got = {r["place"]: r["gap"] for r in learner.score(df, moved).collect()}
+    assert np.allclose([got[i] for i in range(4)], want) and np.abs(want).max() > 0.05
