@@ -156,3 +156,14 @@ def test_a_machines_own_folder_is_refused_on_a_cluster(spark, monkeypatch):
             placed(cluster, folder)
     assert placed(cluster, "s3a://bucket/store/") == "s3a://bucket/store"
     assert placed(spark, "/tmp/store") == "/tmp/store"
+
+
+def test_the_folder_the_cluster_shares_is_accepted(spark, tmp_path):
+    from types import SimpleNamespace
+    conf = {"spark.checkpoint.dir": "file:///mnt/shared"}
+    cluster = SimpleNamespace(_jsc=spark._jsc, conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077"))
+    for folder in ("file:///mnt/shared/app/store", "file:/mnt/shared/app/store/", "/mnt/shared", "/mnt/shared//app"):
+        assert placed(cluster, folder) == folder.rstrip("/")
+    for folder in ("file:///mnt/shared-not", "/mnt", "/mnt/shared/../store", "file:/tmp/store"):
+        with pytest.raises(RuntimeError, match="one machine"):
+            placed(cluster, folder)
