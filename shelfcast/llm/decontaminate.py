@@ -1,10 +1,10 @@
 """Benchmark decontamination by fingerprints of item-sized windows.
 
 1. Texts and items become words (lower case, letters and digits) and their five-word shingles.
-   Where a document shares a shingle with an item, it gets a window of the item's size, laid so
-   that the shingles meet. A window without a common shingle has similarity 0 to every item and
-   needs no fingerprint. Seeds are repeated under a few salts, so that a passage that many
-   documents hold is not one hot key.
+   Where a document shares shingles with items, every window of an item's size, at whatever start,
+   is looked at that holds as many of them as the least similarity takes. Other windows are less
+   similar to every item and need no fingerprint. Seeds are repeated under a few salts, so that a
+   passage that many documents hold is not one hot key.
 2. Each window and item has a 64-bit SimHash of its words, cut into `BLOCKS` blocks. Two prints that
    differ in `RADIUS` bits at most differ in some block by RADIUS div BLOCKS bits at most. Each item
    stands in the index under all block values so near to its own, so an equi join on (item size,
@@ -82,27 +82,34 @@ def _hashed_shingles(hashes: str) -> Column:
 
 
 def windows(keyed: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, n, start): item-sized windows of documents where shingles meet, 0-based start; and
-    (key, n, item_id): the items of that size that share a shingle with the document."""
+    """(key, n, start): item-sized windows of documents at every 0-based start where enough shingles of items lie;
+    and (key, n, item_id): the items of that size that share a shingle with the document."""
     def placed(df: DataFrame, split: Column, *carried: str) -> DataFrame:
         hashed = df.select(*carried, F.transform(split, lambda w: F.xxhash64(w)).alias("h"))
-        return hashed.select(*carried, F.size("h").alias("n_words"), F.posexplode(_hashed_shingles("h")).alias("place", "shingle"))
+        return hashed.select(*carried, F.size("h").alias("n_words"), F.posexplode(_hashed_shingles("h")).alias("place", "seed"))
 
-    laid_items = written(
-        placed(items, F.col("item_words"), "item_id", "n")
-        .select(F.col("shingle").alias("seed"), F.col("place").alias("seed_place"), "n", "item_id").distinct(), "item-shingles")
+    laid_items = written(placed(items, F.col("item_words"), "item_id", "n").select("seed", "n", "item_id").distinct(), "item-shingles")
     salts, salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))), lambda *by: F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")
-    # Items by (shingle, place, size): one row stands for all items that have it there.
-    seeds = written(laid_items.select("seed", "seed_place", "n").distinct().withColumn("salt", salts), "seeds")
-    split = placed(keyed, words(F.col("text")), "key").withColumn("seed", F.col("shingle")).withColumn("salt", salt("key", "place"))
-    met = split.join(seeds, ["seed", "salt"])
-    last = F.greatest(F.col("n_words") - F.col("n"), F.lit(0))
-    start = F.greatest(F.least(F.col("place") - F.col("seed_place"), last), F.lit(0))
-    met = written(met.select("key", "n", "seed", start.alias("start")).distinct(), "met")
-    holders = laid_items.select("seed", "n", "item_id").distinct().withColumn("salt", salts)
-    shared = met.select("key", "n", "seed").distinct().withColumn("salt", salt("key")).join(holders, ["seed", "n", "salt"])
-    return (written(met.select("key", "n", "start").distinct(), "windows"),
-            written(shared.select("key", "n", "item_id").distinct(), "windowed-items"))
+    # Items by (shingle, size): one row stands for all items that have it.
+    seeds = written(laid_items.select("seed", "n").distinct().withColumn("salt", salts), "seeds")
+    split = placed(keyed, words(F.col("text")), "key").withColumn("salt", salt("key", "place"))
+    met = written(split.join(seeds, ["seed", "salt"]).select("key", "n", "seed", "place", "n_words").distinct(), "met")
+    # What two bags of shingles have in common is at most the places of one whose shingle the other has, and the
+    # similarity is twice that over the places of both: it takes two places in five of both. Only whole texts
+    # that have as many are cut into windows.
+    both = F.least("n_words", "n") + F.col("n") - 2 * (SHINGLE - 1)
+    enough = lambda hits: hits >= F.ceil(both * F.lit(round(SIMILARITY * 50)) / 100)
+    long_enough = met.groupBy("key", "n", "n_words").agg(F.collect_set("place").alias("places")).filter(enough(F.size("places")))
+    first = F.greatest(F.col("place") - F.col("n") + SHINGLE, F.lit(0))
+    starts = F.sequence(first, F.least("place", F.greatest(F.col("n_words") - F.col("n"), F.lit(0))))
+    held = (
+        long_enough.withColumn("place", F.explode("places")).select("key", "n", "n_words", F.explode(starts).alias("start"))
+        .groupBy("key", "n", "n_words", "start").agg(F.count(F.lit(1)).alias("hits")).filter(enough(F.col("hits"))))
+    laid = written(held.select("key", "n", "start"), "windows")
+    holders = laid_items.withColumn("salt", salts)
+    kept = met.select("key", "n", "seed").distinct().join(laid.select("key", "n").distinct(), ["key", "n"], "left_semi")
+    shared = kept.withColumn("salt", salt("key")).join(holders, ["seed", "n", "salt"])
+    return laid, written(shared.select("key", "n", "item_id").distinct(), "windowed-items")
 
 
 def block_of(bits: Column, block: int) -> Column:

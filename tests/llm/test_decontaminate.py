@@ -118,3 +118,14 @@ def test_the_radius_decides_without_the_rescue(spark):
     assert exact < near <= whole
     # Recall of the fingerprints alone, against every window.
     assert len(near) >= 0.95 * len(whole)
+
+
+def test_a_window_is_found_where_no_shingle_stands_at_its_place(spark):
+    passage = [f"r{i}" for i in range(60)]
+    rest = [f"z{i}" for i in range(200)]
+    # The halves change places: each start that fits one half to the item loses the other half.
+    turned = rest[:90] + passage[30:] + passage[:30] + rest[90:]
+    items, docs = [(1, " ".join(passage))], [(7, " ".join(turned)), (8, " ".join(rest + passage[:30]))]
+    got = contaminations(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == brute(docs, items) == {(7, 1)}
+    assert [(r["start"], round(r["similarity"], 6)) for r in got] == [(90, round(52 / 56, 6))]
