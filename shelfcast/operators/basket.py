@@ -20,19 +20,15 @@ BLOCK_ROWS = 4096
 def baskets(staged: DataFrame, prices: DataFrame, rules: Rules) -> DataFrame:
     """Category sets of invoices with two or more categories, discounted lines left out.
 
-    The few discounted price points are found first and removed by anti join on (article,
-    month, price), so a hot article spreads over its prices. The set of an invoice is built
-    with map-side combine and is bounded by the number of categories.
+    Lines meet the usual price of their article and month in one join, which splits a hot article;
+    lines without one are kept. The set of an invoice is built with map-side combine and is bounded by
+    the number of categories.
     """
-    lines = staged.filter(standard_retail()).withColumn("month", month_of())
-    points = lines.select("sku", "month", "unit_price").distinct()
-    discounted = (
-        points.join(prices, ["sku", "month"])
-        .filter(F.col("unit_price") < rules.discount_cut * F.col("usual_price"))
-        .select("sku", "month", "unit_price")
-    )
+    lines = staged.filter(standard_retail()).select(
+        "invoice_id", "sku", "unit_price", rules.basket_level, month_of().alias("month"))
+    discounted = F.col("unit_price") < rules.discount_cut * F.col("usual_price")
     return (
-        lines.join(discounted, ["sku", "month", "unit_price"], "left_anti")
+        lines.join(prices, ["sku", "month"], "left").filter(~F.coalesce(discounted, F.lit(False)))
         .groupBy("invoice_id").agg(F.collect_set(rules.basket_level).alias("items"))
         .filter(F.size("items") >= 2)
         .select("items")
