@@ -7,6 +7,8 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from shelfcast.functions.tables import written
+
 SKETCH_ACCURACY = 10_000
 
 
@@ -36,9 +38,10 @@ def banded_quantiles(df: DataFrame, keys: list[str], value: str, taus: list[floa
     margin = 2.0 / SKETCH_ACCURACY
     present = df.filter(F.col(value).isNotNull()).select(*keys, value)
     edges = [edge for tau in taus for edge in (max(tau - margin, 0.0), min(tau + margin, 1.0))]
-    # Where a band would be narrower than two ranks, all rows of the key are its band.
-    sketched = present.groupBy(*keys).agg(
-        F.percentile_approx(value, edges, SKETCH_ACCURACY).alias("_edges"), (F.count(F.lit(1)) * margin < 2).alias("_few"))
+    # Where a band would be narrower than two ranks, all rows of the key are its band. Written, so that the
+    # join sees how few keys there are and leaves the rows in place.
+    sketched = written(present.groupBy(*keys).agg(
+        F.percentile_approx(value, edges, SKETCH_ACCURACY).alias("_edges"), (F.count(F.lit(1)) * margin < 2).alias("_few")), "sketches")
     same_key = reduce(and_, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys], F.lit(True))
     inside = F.col("_few") | reduce(or_, [F.col(value).between(F.col("_edges")[2 * i], F.col("_edges")[2 * i + 1]) for i in range(len(taus))])
     placed = present.alias("l").join(sketched.alias("r"), same_key).select(

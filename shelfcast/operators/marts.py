@@ -38,16 +38,17 @@ def open_days_by_month(calendar: DataFrame) -> DataFrame:
 def daily_category(staged: DataFrame, calendar: DataFrame, prices: DataFrame, rules: Rules) -> DataFrame:
     """Retail demand per open day and category; days without a sale are zero rows.
 
-    Lines first shrink to (day, category, article, price) with map-side combine, so the join
-    with the usual price sees a bounded number of rows per article, however hot it is.
+    Lines move once, to the usual price of their article and month, and are summed there; a hot article
+    is split by the join.
     Figures are per level-3 name; a name under two parents shows them under both.
     """
     retail = staged.filter(standard_retail())
-    by_price = retail.groupBy(F.col("sale_date").alias("date"), "cat_l3", "sku", "unit_price").agg(
-        F.sum("quantity").alias("q"), F.sum("line_revenue").alias("r"), F.sum("line_profit").alias("p"))
     usual = F.col("usual_price")
+    sold = retail.select(
+        F.col("sale_date").alias("date"), "cat_l3", "sku", "unit_price", month_of().alias("month"),
+        F.col("quantity").alias("q"), F.col("line_revenue").alias("r"), F.col("line_profit").alias("p"))
     figures = (
-        by_price.withColumn("month", month_of("date")).join(prices, ["sku", "month"])
+        sold.join(prices, ["sku", "month"])
         .groupBy("date", "cat_l3").agg(
             F.sum("q").alias("quantity"), F.sum("r").alias("revenue"), F.sum("p").alias("profit"),
             F.sum(F.when(F.col("unit_price") < rules.discount_cut * usual, F.col("q"))).alias("discounted"),

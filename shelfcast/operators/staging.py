@@ -19,6 +19,8 @@ from shelfcast.params import (
 )
 
 LINE_KEY = ["invoice_id", "sold_at", "sku"]
+# True on the lines of invoices that are big as a whole, else null.
+BIG_INVOICE = "_big_invoice"
 
 STAGED_COLUMNS = (
     "invoice_id", "invoice_base_id", "invoice_type", "is_edited_invoice",
@@ -36,13 +38,14 @@ STAGED_COLUMNS = (
 
 # --- rows and text -----------------------------------------------------------------------
 
-def dedup_latest(raw: DataFrame) -> DataFrame:
+def dedup_latest(raw: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     """Keep the latest load of each (invoice, time, article); a total order settles ties.
 
     `row_number() = 1` lets Spark drop all but one copy per task before the shuffle, so a
-    line loaded a million times costs one row per map task.
+    line loaded a million times costs one row per map task. `within` names columns that follow from
+    the key and by which the lines are partitioned already.
     """
-    latest = Window.partitionBy(*LINE_KEY).orderBy(*[
+    latest = Window.partitionBy(*within, *LINE_KEY).orderBy(*[
         F.col(c).desc_nulls_last() for c in ("loaded_at", "source_hash", "unit_price", "quantity", "unit_cost")])
     return raw.withColumn("_rn", F.row_number().over(latest)).filter(F.col("_rn") == 1).drop("_rn")
 
@@ -56,10 +59,23 @@ def repair_category(lines: DataFrame, rules: Rules) -> DataFrame:
 
 
 def clean_base(raw: DataFrame, rules: Rules) -> DataFrame:
-    """Deduplicated, category-repaired lines with the columns staging needs."""
-    return repair_category(dedup_latest(raw), rules).select(
-        "invoice_id", "sold_at", "branch", "seller", "note", "sku", "barcode", "product_name",
-        "brand", "category_path", "quantity", "unit_price", "unit_cost")
+    """Deduplicated, category-repaired lines with the columns staging needs, and `_big_invoice`.
+
+    Lines move once, to their invoice: copies of a line meet there, and the invoice is summed there, so
+    that no later step moves wide lines by invoice again. Lines without an invoice belong together in
+    nothing; they are spread by time and article.
+    """
+    columns = ["invoice_id", "sold_at", "branch", "seller", "note", "sku", "barcode", "product_name",
+               "brand", "category_path", "quantity", "unit_price", "unit_cost"]
+    lone = F.when(F.col("invoice_id").isNull(), F.xxhash64("sold_at", "sku"))
+    home = ["invoice_id", "_lone"]
+    lines = raw.select(*columns, "loaded_at", "source_hash", lone.alias("_lone")).repartition(*home)
+    kept = repair_category(dedup_latest(lines, within=tuple(home)), rules)
+    invoice = Window.partitionBy(*home)
+    qty, value = F.sum("quantity").over(invoice), F.sum(F.col("quantity") * F.col("unit_price")).over(invoice)
+    big = kept.withColumns({"invoice_qty": qty, "invoice_value": value}).withColumn(
+        BIG_INVOICE, F.when(F.col("invoice_id").isNotNull() & big_invoice(rules), F.lit(True)))
+    return big.select(*columns, BIG_INVOICE)
 
 
 def category_levels(lines: DataFrame) -> DataFrame:
@@ -223,11 +239,13 @@ def bulk_candidate(rules: Rules) -> Column:
 def bulk_lines(lines: DataFrame, rules: Rules) -> DataFrame:
     """Keys of lines that are big in themselves and against the article's own history.
 
-    Only articles with such a line have their history looked at.
+    Only articles with such a line have their history looked at, up to the last of them: nothing later
+    can be before one. Lines without a time come first in any history.
     """
     articles = written(
-        lines.filter(bulk_candidate(rules)).select(clean_sku().alias("_candidate")).distinct(), "bulk_articles")
-    history = lines.join(articles, clean_sku().eqNullSafe(F.col("_candidate")), "left_semi")
+        lines.filter(bulk_candidate(rules)).groupBy(clean_sku().alias("_candidate")).agg(F.max("sold_at").alias("_last")), "bulk_articles")
+    seen = F.col("sold_at").isNull() | (F.col("sold_at") <= F.col("_last"))
+    history = lines.join(articles, clean_sku().eqNullSafe(F.col("_candidate")) & seen).select(*lines.columns)
     return (
         prior_median_quantity(history, rules)
         .filter(bulk_candidate(rules) & (F.col("quantity") >= rules.bulk_line_ratio * F.col("prior_median_qty")))
@@ -235,10 +253,20 @@ def bulk_lines(lines: DataFrame, rules: Rules) -> DataFrame:
     )
 
 
+def big_invoice(rules: Rules) -> Column:
+    return (F.col("invoice_qty") >= rules.bulk_invoice_units) | (F.col("invoice_value") >= rules.bulk_invoice_value)
+
+
 def bulk_invoices(lines: DataFrame, rules: Rules) -> DataFrame:
     """Ids of invoices that are big as a whole."""
-    big = (F.col("invoice_qty") >= rules.bulk_invoice_units) | (F.col("invoice_value") >= rules.bulk_invoice_value)
-    return invoice_size(lines).filter(big).select("invoice_id", F.lit(True).alias("_big_invoice"))
+    return invoice_size(lines).filter(big_invoice(rules)).select("invoice_id", F.lit(True).alias(BIG_INVOICE))
+
+
+def with_big_invoices(lines: DataFrame, rules: Rules) -> DataFrame:
+    """`lines` with `_big_invoice`, which those of `clean_base` have already."""
+    if BIG_INVOICE in lines.columns:
+        return lines
+    return lines.join(written(bulk_invoices(lines, rules), "bulk_invoices"), "invoice_id", "left")
 
 
 def with_channel(marked: DataFrame) -> DataFrame:
@@ -257,7 +285,7 @@ def classify_channel(lines: DataFrame, rules: Rules) -> DataFrame:
     """Only ids of bulk invoices and keys of bulk lines reach the joins, and only lines big
     enough to be bulk take part in the second one. Needs the article code as sold."""
     marked = left_join_where(lines, bulk_candidate(rules), [(bulk_lines(lines, rules), LINE_KEY)])
-    return with_channel(marked.join(bulk_invoices(lines, rules), "invoice_id", "left"))
+    return with_channel(with_big_invoices(marked, rules))
 
 
 # --- the whole chain ------------------------------------------------------------------------
@@ -266,19 +294,18 @@ def stage_lines(base: DataFrame, rules: Rules) -> DataFrame:
     """All cleaning steps on `clean_base` output. Write `base` first: it is read repeatedly.
 
     One split serves both rare cases (no cost, bulk candidate): the common lines are scanned
-    once and meet only the join with the bulk invoice ids and the seller codes.
+    once and meet only the join with the seller codes.
     """
     rare = unknown_cost() | bulk_candidate(rules)
     # Each lookup reads its few columns once and is written, so that the final plan scans the
     # lines twice (rare and common), knows the size of what it joins, and moves wide lines only
     # where a lookup has outgrown a broadcast. None needs another: they are built side by side.
     found, keys = zip(*cost_lookups(base))
-    big_lines, big_invoices, sellers, *costs = side_by_side(
-        lambda: written(bulk_lines(base, rules), "bulk_lines"), lambda: written(bulk_invoices(base, rules), "bulk_invoices"),
-        lambda: written(seller_codes(base), "seller_codes"), *[partial(written, table, "costs") for table in found])
-    looked_up = left_join_where(base, rare, [*zip(costs, keys), (big_lines, LINE_KEY)])
-    marked = looked_up.join(big_invoices, "invoice_id", "left")
-    classified = with_channel(with_filled_cost(marked))
+    big_lines, sellers, *costs = side_by_side(
+        lambda: written(bulk_lines(base, rules), "bulk_lines"), lambda: written(seller_codes(base), "seller_codes"), *[partial(written, table, "costs") for table in found])
+    lines = with_big_invoices(base, rules)
+    looked_up = left_join_where(lines, rare, [*zip(costs, keys), (big_lines, LINE_KEY)])
+    classified = with_channel(with_filled_cost(looked_up))
     coded = classified.join(sellers, "seller", "left").withColumn(
         "seller_active", ~F.col("seller").contains(DELETED_MARK))
     described = product_attributes(category_levels(time_attributes(invoice_attributes(coded))))

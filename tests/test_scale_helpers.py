@@ -101,3 +101,9 @@ def test_block_counts_equal_pair_counting(spark):
             for b in s[i + 1:]:
                 want[a, b] = want.get((a, b), 0) + 1
     assert got == want
+
+
+def test_bands_leave_the_rows_in_place(spark):
+    rows = spark.range(3000).selectExpr("CAST(id % 3 AS STRING) AS k", "CAST(id AS DOUBLE) AS v")
+    plan = banded_median(rows, ["k"], "v", "m")._jdf.queryExecution().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
