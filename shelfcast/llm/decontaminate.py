@@ -177,7 +177,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
     def times(side: str, shingle: Column) -> Column:
         return F.size(F.filter(F.col(side), lambda other: other == shingle))
 
-    common = F.aggregate(F.array_distinct("b"), F.lit(0), lambda n, s: n + F.least(times("a", s), times("b", s)))
+    counted = F.aggregate(F.array_distinct("b"), F.lit(0), lambda n, s: n + F.least(times("a", s), times("b", s)))
+    # Where one side has each shingle once, no shingle counts twice; only the others are counted one by one.
+    once = (F.size(F.array_distinct("a")) == F.size("a")) | (F.size(F.array_distinct("b")) == F.size("b"))
+    common = F.when(once, F.size(F.array_intersect("a", "b"))).otherwise(counted)
     verified = sets.select("key", "item_id", "start", (common * 2.0 / (F.size("a") + F.size("b"))).alias("similarity"))
     best = (
         verified.filter(F.col("similarity") >= SIMILARITY).groupBy("key", "item_id")
