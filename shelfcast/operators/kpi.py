@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfcast.functions.medians import banded_median, median
+from shelfcast.functions.tables import written
 from shelfcast.operators.marts import rows
 from shelfcast.params import (
     BEFORE_HOLIDAY, CHANNEL_RETAIL, CHANNEL_WHOLESALE, QUADRANT_LOSS, Rules, WHOLE_STORE,
@@ -125,6 +126,8 @@ def cost_anomalies(staged: DataFrame) -> DataFrame:
 
 
 def bulk_summary(bulk: DataFrame) -> DataFrame:
+    # Written, since the median reads it apart from the sums.
+    bulk = written(bulk.select("bulk_frequency", "n_bulk_orders", "bulk_revenue", "bulk_share_qty", "reserve_value"), "bulk_skus")
     classes = bulk.groupBy("bulk_frequency").agg(
         rows().alias("n_skus"), F.sum("n_bulk_orders").alias("n_orders"), F.sum("bulk_revenue").alias("revenue"),
         F.count_if(F.col("bulk_share_qty") > 0.5).alias("n_mostly_bulk"), F.sum("reserve_value").alias("reserve_value"))
