@@ -274,7 +274,7 @@ class Layers:
 
     @cached_property
     def prices_before(self) -> DataFrame:
-        return self.unit_prices(until=self.holdout_start, actual_cost_only=True)
+        return written(self.unit_prices(until=self.holdout_start, actual_cost_only=True), "prices_before")
 
     @cached_property
     def policy_weeks(self) -> DataFrame:
