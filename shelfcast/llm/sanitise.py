@@ -15,7 +15,8 @@ Base spans always stay. A disclosing term gets a span of kind `term` wherever it
 base span. `sanitised` writes the texts anew.
 
 A neighbourhood is bounded, so pairs grow with the entities found and not with the length of texts.
-Counts of an entity or a term that a third of the documents hold are summed before the shuffle.
+Counts of an entity or a term that a third of the documents hold are summed before the shuffle. No table
+holds a row per text and word: one scan counts words, a second meets the few terms found to disclose.
 
 Nulls and edge cases: a null text is empty (and stays null when sanitised); empty texts have no spans;
 doc_id may be null or repeat, each row has its own spans, and rows equal in id and text are alike;
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,13 +38,15 @@ from shelfcast.functions.shipping import shipped
 from shelfcast.functions.tables import written
 from shelfcast.llm.common import fresh, table
 from shelfcast.llm.decontaminate import key_of
-from shelfcast.llm.lexical_search import LOWER, TERM, UPPER, terms
+from shelfcast.llm.lexical_search import LOWER, TERM, UPPER
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW = 8
 CONTEXTS = 3
 THRESHOLD = 0.9
 STEM = 3
+# Hash codes that tell before a join which rows may have a partner; at most so many are broadcast.
+CODES = 1 << 20
 # How a text is written without its personal data.
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 REMOVED = "[REMOVED]"
@@ -173,9 +177,38 @@ def _stem(term: Column) -> Column:
     return F.substring(term, 1, STEM)
 
 
+def _words(text: str) -> list[str]:
+    """The terms of a text. Bytes are lower-cased in ASCII alone."""
+    return _WORD.findall(text.encode().lower().decode())
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n: Counter[str] = Counter()
+        for text in batch.column("text"):
+            n.update(_words(text.as_py()))
+        n[""] = n.total()
+        yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], ["term", "n"])
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        held = pa.array([list(set(_words(text.as_py()))) for text in batch.column("text")], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([batch.column("key"), held], ["key", "terms"])
+
+
+def _narrowed(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """`rows` whose `column` has the hash code of a value in `wanted`: all partners and few others, so
+    that the join after it moves little, whichever join Spark picks for the size of `wanted`."""
+    name, code = fresh(rows, "_code"), F.pmod(F.xxhash64(column), F.lit(CODES)).cast("int")
+    codes = wanted.select(code.alias(name)).distinct()
+    return rows.withColumn(name, code).join(F.broadcast(codes), name, "left_semi").drop(name)
+
+
 def disclosing(docs: DataFrame, profile: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(term, replacement), the terms that disclose some entity, null where the term is removed; and
     (key, found): for each text that holds such terms, the list of these rows. Both written."""
+    shipped(docs.sparkSession)
     contexts = profile.select(F.explode("near").alias("c")).select("c.entity", "c.terms")
     # A neighbourhood that repeats is summed first, and then counted once as a witness.
     seen = contexts.withColumn("context", F.xxhash64(F.array_join("terms", " "))).withColumn("term", F.explode("terms"))
@@ -186,14 +219,13 @@ def disclosing(docs: DataFrame, profile: DataFrame, doc_id: str = "doc_id", text
     stems = asked.select(_stem(F.col("term")).alias("stem")).unionByName(docs.sparkSession.createDataFrame([("",)], "stem string"))
     stems = written(stems.distinct(), "stems")
     wanted = written(asked.select("term", F.lit(True).alias("asked")).distinct(), "asked-terms")
-    split = docs.select(key_of(doc_id, text).alias("key"), terms(F.col(text)).alias("all"))
-    every = split.select("key", F.size("all").alias("size"), F.explode(F.concat("all", F.array(F.lit("")))).alias("term"))
-    every = every.withColumn("stem", _stem(F.col("term"))).join(stems, "stem", "left_semi").join(wanted, "term", "left")
-    held = written(
-        every.groupBy(F.when(F.col("asked"), F.col("key")).alias("key"), "term", "stem")
-        .agg(F.sum(F.when(F.col("term") == "", F.col("size")).otherwise(1)).alias("n")), "term-counts")
-    counts = held.filter(F.col("term") != "").groupBy("term", "stem").agg(F.sum("n").alias("n"))
-    total = held.filter(F.col("term") == "").agg(F.sum("n")).first()[0] or 0
+    # Each batch of texts counts its own words, so what is summed is far less than the words.
+    read = docs.select(key_of(doc_id, text).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    every = read.select("text").mapInArrow(_counted, "term string, n long").withColumn("stem", _stem(F.col("term")))
+    counts = written(
+        every.join(stems, "stem", "left_semi").join(wanted, "term", "left")
+        .groupBy(F.when(F.col("asked"), F.col("term")).alias("term"), "stem").agg(F.sum("n").alias("n")), "term-counts")
+    total = counts.filter(F.col("stem") == "").agg(F.sum("n")).first()[0] or 0
     shares = contexts.groupBy("entity").agg((F.sum(F.size("terms")) / float(max(total, 1))).alias("share"))
     shares = written(shares.filter((F.col("share") > 0) & (F.col("share") < 1)), "shares")
     told = written(
@@ -210,8 +242,9 @@ def disclosing(docs: DataFrame, profile: DataFrame, doc_id: str = "doc_id", text
         .withColumn("vague", (F.length("term") > STEM) & (_told(F.col("near"), F.col("n"), F.col("share")) < THRESHOLD)))
     decided = general.groupBy("term", "stem").agg(F.min("vague").alias("vague"))
     decided = written(decided.select("term", F.when(F.col("vague"), F.concat("stem", F.lit("*"))).alias("replacement")), "decided")
-    hits = held.filter(F.col("key").isNotNull()).join(decided, "term").groupBy("key").agg(
-        F.collect_list(F.struct("term", "replacement")).alias("found"))
+    held = read.mapInArrow(_held, T.StructType([read.schema["key"], T.StructField("terms", T.ArrayType(T.StringType()))]))
+    hits = _narrowed(held.select("key", F.explode("terms").alias("term")), "term", decided).join(decided, "term").groupBy("key").agg(
+        F.collect_set(F.struct("term", "replacement")).alias("found"))
     return decided, written(hits, "hits")
 
 
@@ -236,7 +269,8 @@ def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     profile = profiled(docs, doc_id, text)
     _, hits = disclosing(docs, profile, doc_id, text)
     # Only texts that hold a disclosing term are read again, each once.
-    texts = docs.select(key_of(doc_id, text).alias("key"), F.col(text).alias("text")).join(hits, "key").dropDuplicates(["key"])
+    texts = _narrowed(docs.select(key_of(doc_id, text).alias("key"), F.col(text).alias("text")), "key", hits)
+    texts = texts.join(hits, "key").dropDuplicates(["key"])
     placed = texts.mapInArrow(_placed, T.StructType([T.StructField("key", T.LongType()), T.StructField("extra", _SPAN)]))
     return profile.join(written(placed, "term-spans"), "key", "left").select(
         "doc_id", "base", F.coalesce("extra", F.array().cast(_SPAN)).alias("extra"))

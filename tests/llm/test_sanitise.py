@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from shelfcast.llm import sanitise
 from shelfcast.llm.sanitise import (
     CONTEXTS, _cleaned, base_spans, disclosing, luhn, neighbourhoods, op12_disclosing_terms, profiled, sanitised, scanned)
 
@@ -95,6 +96,39 @@ def test_statistics_equal_plain_loops(spark):
     assert {r["term"] for r in disclosing(docs, profiled(docs))[0].collect()} == brute_disclosing(rows)
 
 
+def test_what_is_written_grows_with_terms_and_not_with_texts(spark, monkeypatch):
+    made, written = {}, sanitise.written
+
+    def counted(df, name, *by):
+        out = written(df, name, *by)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(sanitise, "written", counted)
+    # A word near the address is in every other text too, in new ones as in old ones.
+    rows, common = corpus(), "the " + " ".join(f"w{i}" for i in range(500))
+    sizes = []
+    for texts in (20, 200):
+        docs = spark.createDataFrame([*rows, *[(1000 + i, common) for i in range(texts)]], "doc_id long, text string").repartition(4)
+        disclosing(docs, profiled(docs))
+        sizes.append(sum(n for name, n in made.items() if name not in ("personal-data", "hits")))
+    assert sizes[1] <= sizes[0] + 50
+
+
+def test_spans_are_the_same_whichever_join_is_picked(spark, monkeypatch):
+    rows = [*corpus(), *corpus()[:3], (None, corpus()[0][1]), (500, None), (501, "QUIXOTAL \u00c9t\u00e9 quixotal"), (502, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    expected = sorted(map(str, scanned(docs).collect()))
+    assert len(expected) == len(rows) and any("kind=4" in r for r in expected)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(sanitise, "CODES", 3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(str, scanned(docs).collect())) == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_neighbourhoods_leave_out_other_base_spans():
     text = "one two me@x.org three 10.0.0.1 four"
     assert neighbourhoods(text, base_spans(text)) == [
