@@ -7,6 +7,23 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from shelfcast.functions.tables import written
 
 
+# Keys are first counted by so many hash codes: what a task sends does not grow with its rows.
+CODES = 1 << 16
+
+
+def crowded_keys(lines: DataFrame, key: str, most: int, out: str) -> DataFrame:
+    """The keys of more than `most` rows, as a written table with the column `out`.
+
+    A key has no more rows than its hash code has. Only the keys of codes with more than `most` rows are
+    counted one by one; without such codes that is an empty join.
+    """
+    code = F.pmod(F.xxhash64(key), F.lit(CODES)).cast("int")
+    many = F.count(F.lit(1)) > most
+    codes = written(lines.groupBy(code.alias("_code")).agg(many.alias("_many")).filter("_many").select("_code"), "crowded_codes")
+    near = lines.select(key).join(codes, code == F.col("_code"), "left_semi")
+    return written(near.groupBy(key).agg(many.alias("_many")).filter("_many").select(F.col(key).alias(out)), "hot_keys")
+
+
 def median_before(lines: DataFrame, key: str, time: str, order: list[Column], value: str,
                   out: str, hot_rows: int) -> DataFrame:
     """Add `out`: the interpolated median of `value` over the rows of the same `key` that
@@ -22,9 +39,7 @@ def median_before(lines: DataFrame, key: str, time: str, order: list[Column], va
     # Keys with more than one slice, and where their slices start: small tables, written so that
     # the joins see their size and leave the lines in place. Without such keys all that hangs on
     # them is an empty join, which adaptive execution leaves out.
-    hot = written(
-        lines.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-        .select(F.col(key).alias("_hot")), "hot_keys")
+    hot = crowded_keys(lines, key, hot_rows, "_hot")
     second = F.date_trunc("second", time)
     earlier = Window.partitionBy("_hot").orderBy("_second").rowsBetween(Window.unboundedPreceding, -1)
     slices = (

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from shelfcast.functions.holidays import holiday_offset, holiday_window
 from shelfcast.functions.medians import median
 from shelfcast.functions.scans import ordered_running
-from shelfcast.operators.staging import month_of, retail_sale, standard_retail, year_month_of
+from shelfcast.operators.staging import month_of, retail_sale, standard_retail, with_usual_price, year_month_of
 from shelfcast.params import (
     BULK, CHANNEL_INTERNAL, CHANNEL_RETAIL, CHANNEL_WHOLESALE, COST_ACTUAL, FREQUENT, INTERNAL,
     NORMAL_DAYS, OCCASIONAL, ONCE, ORGANIZATION, QUADRANT_LOSS, QUADRANT_POTENTIAL, QUADRANT_REVIEW,
@@ -35,22 +35,29 @@ def open_days_by_month(calendar: DataFrame) -> DataFrame:
 
 # --- daily demand --------------------------------------------------------------------------
 
-def daily_category(staged: DataFrame, calendar: DataFrame, prices: DataFrame, rules: Rules) -> DataFrame:
+def daily_category(staged: DataFrame, calendar: DataFrame, prices: DataFrame | None, rules: Rules) -> DataFrame:
     """Retail demand per open day and category; days without a sale are zero rows.
 
-    Lines move once, to the usual price of their article and month, and are summed there; a hot article
-    is split by the join.
+    Lines move once, to their article and month, and are summed there per day and price; the usual price is
+    found among these sums. Where `prices` are given, lines are joined with them instead.
     Figures are per level-3 name; a name under two parents shows them under both.
     """
     retail = staged.filter(standard_retail())
     usual = F.col("usual_price")
     sold = retail.select(
         F.col("sale_date").alias("date"), "cat_l3", "sku", "unit_price", month_of().alias("month"),
-        F.col("quantity").alias("q"), F.col("line_revenue").alias("r"), F.col("line_profit").alias("p"))
+        F.col("quantity").alias("q"), F.col("line_profit").alias("p"))
+    if prices is None:
+        # One task sums one month of one article row by row; what it keeps is bounded by days, prices and categories.
+        article_days = (
+            sold.filter(F.col("sku").isNotNull() & F.col("month").isNotNull()).repartition("sku", "month")
+            .groupBy("sku", "month", "unit_price", "date", "cat_l3").agg(F.sum("q").alias("q"), F.sum("p").alias("p"), rows().alias("n")))
+        priced = with_usual_price(article_days, "n")
+    else:
+        priced = sold.join(prices, ["sku", "month"])
     figures = (
-        sold.join(prices, ["sku", "month"])
-        .groupBy("date", "cat_l3").agg(
-            F.sum("q").alias("quantity"), F.sum("r").alias("revenue"), F.sum("p").alias("profit"),
+        priced.groupBy("date", "cat_l3").agg(
+            F.sum("q").alias("quantity"), F.sum(F.col("unit_price") * F.col("q")).alias("revenue"), F.sum("p").alias("profit"),
             F.sum(F.when(F.col("unit_price") < rules.discount_cut * usual, F.col("q"))).alias("discounted"),
             F.sum(F.col("unit_price") * F.col("q")).alias("sold_value"),
             F.sum(usual * F.col("q")).alias("usual_value"))
@@ -168,13 +175,15 @@ def sku_abc(staged: DataFrame, calendar: DataFrame, rules: Rules) -> DataFrame:
     before the article decides, so the article that crosses a cut belongs to the class
     above. Opening promotions stay in, unlike in ordinary retail demand.
 
-    Lines first shrink to article days. Names are keys there, because text in an aggregate
-    buffer would turn hashing into sorting.
+    Lines move once, to their article, and shrink to article days there, which bound what a task keeps.
+    Names are keys there, because text in an aggregate buffer would turn hashing into sorting.
     """
-    article_days = staged.filter(retail_sale() & ~F.col("is_zero_price")).groupBy(
-        "sku", "product_name", "cat_l1", "cat_l3", "sale_date").agg(
+    sold = staged.filter(retail_sale() & ~F.col("is_zero_price")).select(
+        "sku", "product_name", "cat_l1", "cat_l3", "sale_date", "quantity", "line_revenue",
+        F.when(F.col("cost_fill_method").isNotNull(), F.col("line_profit")).alias("known_profit"))
+    article_days = sold.repartition("sku").groupBy("sku", "product_name", "cat_l1", "cat_l3", "sale_date").agg(
         F.sum("quantity").alias("quantity"), F.sum("line_revenue").alias("revenue"),
-        F.sum(F.when(F.col("cost_fill_method").isNotNull(), F.col("line_profit"))).alias("profit"))
+        F.sum("known_profit").alias("profit"))
     articles = (
         article_days.groupBy("sku").agg(
             F.max("product_name").alias("product_name"), F.max("cat_l1").alias("cat_l1"),

@@ -21,6 +21,8 @@ from shelfcast.params import (
 LINE_KEY = ["invoice_id", "sold_at", "sku"]
 # True on the lines of invoices that are big as a whole, else null.
 BIG_INVOICE = "_big_invoice"
+# Hash codes of articles with a line big enough to be bulk; as a written table at most about 1 MB.
+CANDIDATE_CODES = 1 << 17
 
 STAGED_COLUMNS = (
     "invoice_id", "invoice_base_id", "invoice_type", "is_edited_invoice",
@@ -90,10 +92,14 @@ def category_levels(lines: DataFrame) -> DataFrame:
     )
 
 
+def invoice_base(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("invoice_base_id", F.split_part("invoice_id", F.lit("."), F.lit(1)))
+
+
 def invoice_attributes(lines: DataFrame) -> DataFrame:
     invoice = F.col("invoice_id")
     return (
-        lines.withColumn("invoice_base_id", F.split_part(invoice, F.lit("."), F.lit(1)))
+        invoice_base(lines)
         .withColumn("invoice_type", F.when(invoice.startswith("TH"), "return").otherwise("sale"))
         .withColumn("is_edited_invoice", invoice.contains("."))
     )
@@ -240,12 +246,15 @@ def bulk_lines(lines: DataFrame, rules: Rules) -> DataFrame:
     """Keys of lines that are big in themselves and against the article's own history.
 
     Only articles with such a line have their history looked at, up to the last of them: nothing later
-    can be before one. Lines without a time come first in any history.
+    can be before one. Lines without a time come first in any history. Articles are known by a hash code:
+    the list of codes is small however many articles there are, so that lines need not move to meet it, and
+    an article of the same code is looked at for nothing.
     """
+    code = F.pmod(F.xxhash64(clean_sku()), F.lit(CANDIDATE_CODES)).cast("int")
     articles = written(
-        lines.filter(bulk_candidate(rules)).groupBy(clean_sku().alias("_candidate")).agg(F.max("sold_at").alias("_last")), "bulk_articles")
+        lines.filter(bulk_candidate(rules)).groupBy(code.alias("_candidate")).agg(F.max("sold_at").alias("_last")), "bulk_articles")
     seen = F.col("sold_at").isNull() | (F.col("sold_at") <= F.col("_last"))
-    history = lines.join(articles, clean_sku().eqNullSafe(F.col("_candidate")) & seen).select(*lines.columns)
+    history = lines.join(articles, (code == F.col("_candidate")) & seen).select(*lines.columns)
     return (
         prior_median_quantity(history, rules)
         .filter(bulk_candidate(rules) & (F.col("quantity") >= rules.bulk_line_ratio * F.col("prior_median_qty")))
@@ -312,6 +321,20 @@ def stage_lines(base: DataFrame, rules: Rules) -> DataFrame:
     return quality_flags(line_money(drop_suspect_costs(described, rules))).select(*STAGED_COLUMNS)
 
 
+# --- the stored form --------------------------------------------------------------------------
+
+def packed(staged: DataFrame) -> DataFrame:
+    """What has to be stored of staged lines: money and known costs follow from the other columns."""
+    return staged.withColumn("_found_cost", F.when(unknown_cost(), F.col("unit_cost_filled"))).drop(
+        "invoice_base_id", "unit_cost_filled", "line_revenue", "line_cogs", "line_profit")
+
+
+def unpacked(stored: DataFrame) -> DataFrame:
+    """Staged lines from what `packed` has left of them."""
+    cost = F.when(~F.col("is_cost_suspect"), F.when(unknown_cost(), F.col("_found_cost")).otherwise(F.col("unit_cost")))
+    return invoice_base(line_money(stored.withColumn("unit_cost_filled", cost))).select(*STAGED_COLUMNS)
+
+
 # --- derived staging tables -------------------------------------------------------------------
 
 def standard_retail() -> Column:
@@ -332,6 +355,15 @@ def year_month_of(column: str = "sale_date") -> Column:
     return F.date_format(column, "yyyy-MM")
 
 
+def with_usual_price(lines: DataFrame, n_lines: str) -> DataFrame:
+    """`lines` with the usual price of their article and month, as `usual_prices` has it. They hold `sku`, `month`,
+    `unit_price` and how many sold lines each row stands for, and are partitioned by article and month already."""
+    article_month = Window.partitionBy("sku", "month")
+    counted = lines.withColumn("_n_lines", F.sum(n_lines).over(Window.partitionBy("sku", "month", "unit_price")))
+    best = F.max(F.struct("_n_lines", "unit_price")).over(article_month)["unit_price"]
+    return counted.withColumn("usual_price", best).drop("_n_lines")
+
+
 def usual_prices(staged: DataFrame) -> DataFrame:
     """Per article and month the price on most lines; the higher price wins a tie."""
     counts = (

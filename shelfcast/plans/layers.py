@@ -32,7 +32,7 @@ class Inputs:
 
     @cached_property
     def staged(self) -> DataFrame:
-        return written(staging.stage_lines(self.base, self.rules), "staged")
+        return staging.unpacked(written(staging.packed(staging.stage_lines(self.base, self.rules)), "staged"))
 
     @cached_property
     def calendar(self) -> DataFrame:
@@ -44,7 +44,7 @@ class Inputs:
 
     @cached_property
     def daily(self) -> DataFrame:
-        return written(marts.daily_category(self.staged, self.calendar, self.prices, self.rules), "daily")
+        return written(marts.daily_category(self.staged, self.calendar, None, self.rules), "daily")
 
     # --- series and backtests ------------------------------------------------------------
 

@@ -17,7 +17,7 @@ AS_OF = "1999-06-30"
 
 @query("date:t cat_l1:s cat_l2:s cat_l3:s quantity:d revenue:d profit:d n_invoices:i promo_qty_share:r discount_depth:r")
 def mart_daily_category(t: Layers) -> DataFrame:
-    return marts.daily_category(t.staged, t.calendar, t.prices, t.rules)
+    return marts.daily_category(t.staged, t.calendar, None, t.rules)
 
 
 @query("year_month:s channel:s revenue:d profit:d n_invoices:i quantity:d open_days:i revenue_per_open_day:d")
