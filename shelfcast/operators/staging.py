@@ -21,6 +21,8 @@ from shelfcast.params import (
 LINE_KEY = ["invoice_id", "sold_at", "sku"]
 # True on the lines of invoices that are big as a whole, else null.
 BIG_INVOICE = "_big_invoice"
+# The eight digits after the type in an invoice id, where a source has spread its lines by them.
+INVOICE_NO = "_invoice_no"
 # Hash codes of articles with a line big enough to be bulk; as a written table at most about 1 MB.
 CANDIDATE_CODES = 1 << 17
 
@@ -65,13 +67,21 @@ def clean_base(raw: DataFrame, rules: Rules) -> DataFrame:
 
     Lines move once, to their invoice: copies of a line meet there, and the invoice is summed there, so
     that no later step moves wide lines by invoice again. Lines without an invoice belong together in
-    nothing; they are spread by time and article.
+    nothing; they are spread by time and article. Where a source gives the number in its invoice ids, Spark
+    moves lines by that unless they are spread by it already: lines of one id have one number, which every
+    line is held to.
     """
     columns = ["invoice_id", "sold_at", "branch", "seller", "note", "sku", "barcode", "product_name",
                "brand", "category_path", "quantity", "unit_price", "unit_cost"]
-    lone = F.when(F.col("invoice_id").isNull(), F.xxhash64("sold_at", "sku"))
-    home = ["invoice_id", "_lone"]
-    lines = raw.select(*columns, "loaded_at", "source_hash", lone.alias("_lone")).repartition(*home)
+    if INVOICE_NO in raw.columns:
+        home = [INVOICE_NO, "invoice_id"]
+        same = F.col(INVOICE_NO).eqNullSafe(F.substring("invoice_id", 3, 8))
+        lines = raw.withColumn("invoice_id", F.when(same, F.col("invoice_id")).otherwise(
+            F.raise_error(F.lit("an invoice id does not hold the number of its line")).cast("string"))).select(*columns, "loaded_at", "source_hash", INVOICE_NO)
+    else:
+        lone = F.when(F.col("invoice_id").isNull(), F.xxhash64("sold_at", "sku"))
+        home = ["invoice_id", "_lone"]
+        lines = raw.select(*columns, "loaded_at", "source_hash", lone.alias("_lone")).repartition(*home)
     kept = repair_category(dedup_latest(lines, within=tuple(home)), rules)
     invoice = Window.partitionBy(*home)
     qty, value = F.sum("quantity").over(invoice), F.sum(F.col("quantity") * F.col("unit_price")).over(invoice)

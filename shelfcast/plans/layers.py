@@ -16,19 +16,20 @@ from shelfcast.operators import (
     evaluate, explain, forecast, learner, marts, policy, series as ts, smoothing, staging)
 from shelfcast.params import BINDING, DEFAULT, FALLBACK_MODEL, Rules
 from shelfcast.plans.session import prepared, sized_for
-from shelfcast.sources.binding import raw_sales_lines
+from shelfcast.sources.binding import numbered_sales_lines
 
 
 class Inputs:
     """Everything up to the forecasts of every model, which no choice of a model changes."""
 
     def __init__(self, raw: DataFrame, rules: Rules = DEFAULT):
+        """`raw` may hold the number of each invoice (`staging.INVOICE_NO`), which only the cleaning reads."""
         self.spark = prepared(raw.sparkSession)
-        self.raw, self.rules = raw, rules
+        self.numbered, self.raw, self.rules = raw, raw.drop(staging.INVOICE_NO), rules
 
     @cached_property
     def base(self) -> DataFrame:
-        return written(staging.clean_base(self.raw, self.rules), "base")
+        return written(staging.clean_base(self.numbered, self.rules), "base")
 
     @cached_property
     def staged(self) -> DataFrame:
@@ -302,5 +303,5 @@ def layers_for(spark: SparkSession, sf_dir: str) -> Layers:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _built:
         sized_for(prepared(spark), [f"{sf_dir}/{name}.parquet" for name in ("lineitem", "orders", "part")])
-        _built[key] = Layers(raw_sales_lines(spark, sf_dir), BINDING)
+        _built[key] = Layers(numbered_sales_lines(spark, sf_dir), BINDING)
     return _built[key]

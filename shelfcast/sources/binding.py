@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from shelfcast.operators.staging import INVOICE_NO
 from shelfcast.params import DELETED_MARK, OPENING_PROMO_MISSPELT
 from shelfcast.sources.ingest import CANONICAL_FIELDS
 
@@ -40,6 +41,11 @@ def _category_path() -> Column:
 
 def raw_sales_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All canonical columns; the month and invoice totals stay null (see `with_totals`)."""
+    return numbered_sales_lines(spark, sf_dir).drop(INVOICE_NO)
+
+
+def numbered_sales_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw lines with the number in their invoice id, by which the join with the orders has spread them."""
     # Of keys and flags the joins move only what the rules make of them: small numbers, and booleans that rarely hold.
     items = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", (F.col("l_suppkey") % 30).cast("int").alias("supplier_step"), "l_quantity", "l_discount",
@@ -51,6 +57,7 @@ def raw_sales_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
 
     order_no, part_no = F.col("l_orderkey"), F.col("l_partkey")
+    number = lambda key: F.lpad(F.col(key).cast("string"), 8, "0")
     is_return = F.col("is_return")
     cost_key = order_no * 7 + part_no
     note_key = order_no % 60
@@ -59,10 +66,11 @@ def raw_sales_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     lines = (
         items
-        # Orders grow with the lines, so this is a shuffle join at any scale. Shuffling the six
-        # narrow columns here also spreads the wide line building over all cores.
-        .join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        # Orders grow with the lines, so this is a shuffle join at any scale, and spreads the wide line building
+        # over all cores. It goes by the number alone (long keys share one), so that what partitions by the
+        # number finds the lines in place; as a range, the equality of the keys is no further key of the join.
+        .join(orders.hint("merge"), (number("l_orderkey") == number("o_orderkey")) & order_no.between(F.col("o_orderkey"), F.col("o_orderkey")))
         .withColumn("source_hash", F.explode(loads))
         .withColumn("sold_at", F.timestamp_add(
             "HOUR", (6 + (order_no * 7) % 16).cast("int"), F.col("o_orderdate")))
@@ -71,7 +79,7 @@ def raw_sales_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "period_month": F.date_format("sold_at", "MM-yyyy"),
         "invoice_id": F.concat(
             F.when(is_return, "TH").otherwise("HD"),
-            F.lpad(order_no.cast("string"), 8, "0"),
+            number("l_orderkey"),
             F.when(F.col("is_edited"), ".01").otherwise("")),
         "branch": F.lit("CN1"),
         "seller": F.concat(
@@ -99,6 +107,7 @@ def raw_sales_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat("source_hash", F.lit(".csv")).alias("source_file"),
         "source_hash",
         F.when(F.col("source_hash") == "b2", SECOND_LOAD).otherwise(FIRST_LOAD).cast("timestamp").alias("loaded_at"),
+        number("l_orderkey").alias(INVOICE_NO),
     )
 
 
